@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: A chunk ends behind a sentence end that is followed by one of some letters, or
-#: behind a line end, so a boundary depends on the text around it and not on its place.
+#: A chunk ends behind a line end, a sentence end before one of some letters, or a blank
+#: between some letters, so a boundary depends on the text around it and not on its place.
 SHORTEST, LONGEST = 512, 8192
 
 
 def chunk_pattern(shortest: int = SHORTEST, longest: int = LONGEST) -> str:
-    return rf"(?s).{{{shortest},{longest}}}?(?:\n|[.!?;,] ?(?=[a-hA-H])|\z)|.+"
+    return rf"(?s).{{{shortest},{longest}}}?(?:\n|[.!?;,] ?(?=[a-h])|[aeiou\d] (?=[a-c])|\z)|.+"
 
 
 def chunks_of(text: Column, shortest: int = SHORTEST, longest: int = LONGEST) -> Column:

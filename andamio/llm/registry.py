@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, source_mix, token_count
+from . import class_lm, exact_dedup, packing, source_mix, token_count
 
 QUERIES = {
     "op2_packing": packing.query,
+    "op3_class_lm": class_lm.query,
     "op4_token_count": token_count.query,
     "op6_exact_dedup": exact_dedup.query,
     "op8_source_mix": source_mix.query,

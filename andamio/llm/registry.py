@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import class_lm, exact_dedup, packing, source_mix, token_count
+from . import class_lm, exact_dedup, packing, quality_gam, source_mix, token_count
 
 QUERIES = {
     "op2_packing": packing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_token_count": token_count.query,
     "op6_exact_dedup": exact_dedup.query,
     "op8_source_mix": source_mix.query,
+    "op9_quality_gam": quality_gam.query,
 }
 ORACLES = {
     "op6_exact_dedup": exact_dedup.ORACLE_SQL,

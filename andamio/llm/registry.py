@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import class_lm, exact_dedup, packing, quality_gam, source_mix, token_count
+from . import class_lm, exact_dedup, packing, quality_gam, source_mix, token_count, url_trust, warc
 
 QUERIES = {
+    "op1_url_trust": url_trust.query,
     "op2_packing": packing.query,
     "op3_class_lm": class_lm.query,
     "op4_token_count": token_count.query,
+    "op5_warc": warc.query,
     "op6_exact_dedup": exact_dedup.query,
     "op8_source_mix": source_mix.query,
     "op9_quality_gam": quality_gam.query,

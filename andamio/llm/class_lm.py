@@ -22,7 +22,7 @@ OWN_UNITS, ENDING_GROUPS = 12_288, 4_096
 CLASSES, ROUNDS = 64, 3
 #: Weight of a class's overall share against its share after the class before.
 BACK_OFF = 5.0
-HELD = 500_000
+HELD = 250_000
 
 FOLDS, HELD_OUT = 7, 2
 END = OWN_UNITS + ENDING_GROUPS  # the end token's unit, which has a class of its own
@@ -89,10 +89,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, common_words: int = COMMON_WORDS) -> Vocabulary:
-    most = counts.orderBy(F.desc("n"), "word").limit(common_words).toArrow()
-    words = most.column("word").to_pylist()
+    found = common.most_frequent(counts.select("word", "n"), "n", common_words).toArrow()
+    most = sorted(zip(found.column("n").to_pylist(), found.column("word").to_pylist(), strict=True), key=lambda r: (-r[0], r[1]))
+    words = [w for _, w in most]
     units = np.array([i if i < OWN_UNITS else ending_group(w) for i, w in enumerate(words)] + [0], dtype=np.int64)
-    return Vocabulary({w: i for i, w in enumerate(words)}, np.array([*most.column("n").to_pylist(), 0], dtype=np.int64), units)
+    return Vocabulary({w: i for i, w in enumerate(words)}, np.array([*(n for n, _ in most), 0], dtype=np.int64), units)
 
 
 def unit_totals(counts: DataFrame, known: Vocabulary) -> tuple[np.ndarray, np.ndarray]:

@@ -87,3 +87,20 @@ def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str)
     hot = groups.filter(F.col(size) > 1).orderBy(F.desc(size), *keys).limit(HOT_GROUPS)
     usual = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups, keys)
     return usual.unionByName(rows.join(F.broadcast(hot), keys))
+
+
+def most_frequent(counts: DataFrame, number: str, limit: int) -> DataFrame:
+    """The rows with the largest ``number``, ``limit`` at most, without sorting the table.
+
+    A histogram of the numbers by eighths of powers of two (a few hundred rows) gives
+    the number from which on no more than ``limit`` rows are left. Rows that tie with
+    the first one left out are left out too.
+    """
+    step = F.floor(F.log2(F.col(number)) * 8)
+    by_step = sorted(((r["step"], r["count"]) for r in counts.groupBy(step.alias("step")).count().collect() if r["step"] is not None), reverse=True)
+    held, least = 0, None
+    for at, n in by_step:
+        if held + n > limit:
+            break
+        held, least = held + n, at
+    return counts.filter(F.lit(False) if least is None else step >= least)

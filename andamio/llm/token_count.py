@@ -13,9 +13,9 @@ from . import common, tokens
 
 LIMIT = 1024
 #: The pre-tokens whose piece counts every task holds. The others are joined.
-COMMON_PIECES = 200_000
+COMMON_PIECES = 131_072
 #: Distinct pre-tokens that a task counts before it hands them on.
-HELD = 500_000
+HELD = 250_000
 
 
 def pre_token_counts(docs: DataFrame, path: str) -> DataFrame:
@@ -66,7 +66,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, c
     """
     path = path or tokens.default_path()
     lengths = common.materialise(piece_lengths(pre_token_counts(docs, path), path), "pieces")
-    most = lengths.orderBy(F.desc("occurrences"), "piece").limit(common_pieces).select("piece", "ids").toPandas()
+    most = common.most_frequent(lengths, "occurrences", common_pieces).select("piece", "ids").toPandas()
     known = docs.sparkSession.sparkContext.broadcast(dict(zip(most["piece"].tolist(), most["ids"].tolist(), strict=True)))
     schema = pa.schema([("doc_id", pa.int64()), ("same", pa.int64()), ("piece", pa.string()), ("times", pa.int64()), ("is_row", pa.int64()), ("n_bytes", pa.int64()), ("n", pa.int64())])
 

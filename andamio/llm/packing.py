@@ -15,7 +15,7 @@ from . import common, tokens
 
 LENGTH, END = 2048, 1
 #: About how many pieces of one length a task ranks.
-RANKED = 20_000
+RANKED = 2_000
 
 
 @dataclass(frozen=True)

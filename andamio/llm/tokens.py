@@ -12,20 +12,30 @@ DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 
 # The published split pattern of this family of tokenizers, for the regex module.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# The same split in the quicker re module. It agrees where \w is \p{L}, 0-9 and _, and \s is
-# the ASCII blanks: in texts of the characters below, which leave out fractions,
-# superscripts, control characters and blanks beyond ASCII.
-PLAIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+# The same split for the quicker re module, in texts of the characters below: letters up to
+# U+024F, 0-9, ASCII blanks, and signs; no fractions, superscripts, control characters.
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+PLAIN_SPLIT = rf" ?[{LETTERS}]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+"
 PLAIN = "[\t-\r\x20-\x7e¡-±´-¸º»¿-ɏ‐-‧‰-⁞₠-₿]*"
 
-#: Pre-tokens whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Pre-tokens whose ids a worker remembers, in each of two generations.
+REMEMBERED = 300_000
 
 
 def default_path() -> str:
     return public_tokenizers.path(DEFAULT_TOKENIZER)
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in this family's vocabularies.
+
+    Printable bytes stand for themselves, the others for U+0100 and on, in order.
+    """
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return [chr(b if b in shown else next(other)) for b in range(256)]
+
+
 class Splitter:
     """Cuts texts into special strings and pre-tokens as the tokenizer does."""
 
@@ -40,6 +50,8 @@ class Splitter:
         self._plain = re.compile(PLAIN).fullmatch
         self._quick = re.compile(PLAIN_SPLIT).findall
         self._exact = regex.compile(SPLIT).findall
+        self._merge = self.tokenizer.model.tokenize
+        self._letters = _byte_letters().__getitem__
 
     def pieces(self, text: str) -> list[str]:
         return self._quick(text) if self._plain(text) else self._exact(text)
@@ -51,23 +63,34 @@ class Splitter:
         cut = self._special.split(text)
         return [p for between in cut[::2] for p in self.pieces(between)], len(cut) // 2
 
+    def ids(self, piece: str) -> list[int]:
+        """The library's ids of one pre-token, which needs no further splitting."""
+        return [t.id for t in self._merge("".join(map(self._letters, piece.encode())))]
+
     def lengths(self, pieces: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+        return [len(self.ids(p)) for p in pieces]
 
 
 class Ids(dict):
-    """Pre-token -> its ids as little-endian uint32 bytes; grows to REMEMBERED entries."""
+    """Pre-token -> its ids as little-endian uint32 bytes.
+
+    What was met lately is kept: a full generation becomes the older one, from which
+    entries come back when they are met again.
+    """
 
     def __init__(self, splitter: Splitter):
         super().__init__()
-        self.splitter = splitter
+        self.splitter, self.older = splitter, {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = np.asarray(self.splitter.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        found = self.older.get(piece)
+        if found is None:
+            found = np.array(self.splitter.ids(piece), "<u4").tobytes()
         # A long pre-token is seldom seen again.
         if len(piece) <= 64:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
             self[piece] = found
         return found
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import class_lm, exact_dedup, packing, quality_gam, source_mix, token_count, url_trust, warc
+from . import class_lm, exact_dedup, packing, quality_gam, shingle_join, source_mix, token_count, url_trust, warc
 
 QUERIES = {
     "op1_url_trust": url_trust.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.query,
     "op8_source_mix": source_mix.query,
     "op9_quality_gam": quality_gam.query,
+    "op10_shingle_join": shingle_join.query,
 }
 ORACLES = {
     "op6_exact_dedup": exact_dedup.ORACLE_SQL,

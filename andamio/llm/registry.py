@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import class_lm, exact_dedup, packing, quality_gam, shingle_join, source_mix, token_count, url_trust, warc
+from . import class_lm, collision_ann, exact_dedup, packing, quality_gam, shingle_join, source_mix, token_count, url_trust, warc
 
 QUERIES = {
     "op1_url_trust": url_trust.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_token_count": token_count.query,
     "op5_warc": warc.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op7_collision_ann": collision_ann.query,
     "op8_source_mix": source_mix.query,
     "op9_quality_gam": quality_gam.query,
     "op10_shingle_join": shingle_join.query,

@@ -138,14 +138,14 @@ def fold(bits: np.ndarray) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, rarity: np.ndarray, seed: int) -> DataFrame:
-    """doc_id, n, node, check, prefix, others, bits of each document.
+    """doc_id, row_key, n, node, check, prefix, others, bits of each document.
 
     node stands for the set of shingles. A set that comes again in the task has no
     more than its node, so that many equal texts are few from here on.
     """
     held = docs.sparkSession.sparkContext.broadcast(rarity)
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("prefix", pa.list_(pa.int64())), *((f"other{i}", pa.binary()) for i in range(MORE_ORDERS)), ("bits", pa.binary())]
+        [("doc_id", pa.int64()), ("row_key", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("prefix", pa.list_(pa.int64())), *((f"other{i}", pa.binary()) for i in range(MORE_ORDERS)), ("bits", pa.binary())]
     )
 
     def describe(batches):
@@ -157,24 +157,24 @@ def profiles(docs: DataFrame, rarity: np.ndarray, seed: int) -> DataFrame:
             rows.clear()
             return batch
 
-        for doc_id, text in tokens.rows(batches, "doc_id", "text"):
+        for doc_id, row_key, text in tokens.rows(batches, "doc_id", "row_key", "text"):
             h = shingles(text, known)
             node, check = (xxhash.xxh3_64_intdigest(h.tobytes(), seed + i) - (1 << 63) for i in (0, 1))
             if node in seen or not len(h):
-                rows.append((doc_id, len(h), node, check, None, *[None] * MORE_ORDERS, None))
+                rows.append((doc_id, row_key, len(h), node, check, None, *[None] * MORE_ORDERS, None))
             else:
                 if len(seen) < 500_000:
                     seen.add(node)
                 rare = counts[slot_of(h, SLOTS)]
                 # Sixteen bits of a token suffice to tell that prefixes share none.
                 others = [np.unique(prefix(h, rare, t + 1).astype(np.uint16)).tobytes() for t in range(MORE_ORDERS)]
-                rows.append((doc_id, len(h), node, check, prefix(h, rare, 0).view(np.int64), *others, bits_of(h).tobytes()))
+                rows.append((doc_id, row_key, len(h), node, check, prefix(h, rare, 0).view(np.int64), *others, bits_of(h).tobytes()))
             if len(rows) >= 1000:
                 yield flush()
         yield flush()
 
     others = "".join(f"other{i} binary, " for i in range(MORE_ORDERS))
-    return docs.select("doc_id", "text").mapInArrow(describe, f"doc_id long, n long, node long, check long, prefix array<long>, {others}bits binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text").mapInArrow(describe, f"doc_id long, row_key long, n long, node long, check long, prefix array<long>, {others}bits binary")
 
 
 # -- groups that share a prefix token ----------------------------------------------------------
@@ -435,18 +435,8 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id.
-
-    Sets are the distinct shingles of WORDS words of the whole text, A-Z lower-cased;
-    a text with fewer words is one shingle, null and blank texts have none and link with nothing.
-    Links are exact: every pair of sets that can link shares a prefix token under each
-    order, and pairs that pass are counted on whole sets. Pairs already known to be in one
-    component are not compared. component_id is the smallest doc_id of the component,
-    null ids aside (null if it has no other). Repeated rows are in one component; rows of
-    one id with different texts are told apart by their sets. No rows in, no rows out;
-    other columns are ignored.
-    """
+def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, row_key, n, node) and the sets (node, rows, comp, low: smallest doc_id)."""
     docs = docs.select("doc_id", "text")
     seed = 0
     while True:
@@ -469,10 +459,43 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = good if links is None else links.unionByName(good)
         labels = components(links)
     classes = found.groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("rows")).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    return found.select("doc_id", "row_key", "n", "node"), common.materialise(classes.select("node", "rows", "comp", "low"), "classes")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id.
+
+    Sets are the distinct shingles of WORDS words of the whole text, A-Z lower-cased;
+    a text with fewer words is one shingle, null and blank texts have none and link with nothing.
+    Links are exact: every pair of sets that can link shares a prefix token under each
+    order, and pairs that pass are counted on whole sets. Pairs already known to be in one
+    component are not compared. component_id is the smallest doc_id of the component,
+    null ids aside (null if it has no other). Repeated rows are in one component; rows of
+    one id with different texts are told apart by their sets. No rows in, no rows out;
+    other columns are ignored.
+    """
+    rows, classes = linked(docs)
     lowest = classes.groupBy("comp").agg(F.min("low").alias("component"))
-    groups = common.materialise(classes.select("node", "rows", "comp").join(lowest, "comp").select("node", "rows", "component"), "classes")
-    rows = common.with_groups(found.select("doc_id", "n", "node"), groups, ["node"], "rows")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    groups = common.materialise(classes.select("node", "rows", "comp").join(lowest, "comp").select("node", "rows", "component"), "components")
+    out = common.with_groups(rows, groups, ["node"], "rows")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents that stay, with the columns of ``docs``: of each component the one
+    with the smallest id (null last), and all that link with nothing.
+
+    Rows that repeat both id and text become one row.
+    """
+    rows, classes = linked(docs)
+    labelled = common.with_groups(rows, classes.select("node", "rows", "comp"), ["node"], "rows")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first")
+    stays = labelled.filter("n > 0").groupBy("comp").agg(first).select("first.doc_id", "first.row_key")
+    stays = common.materialise(stays.union(rows.filter("n = 0").select("doc_id", "row_key").distinct()), "stays").toDF("_stays", "_key")
+    found = docs.withColumn("_row_key", F.xxhash64("text")).join(stays, F.col("doc_id").eqNullSafe(F.col("_stays")) & (F.col("_row_key") == F.col("_key")), "left_semi")
+    if rows.groupBy("doc_id", "row_key").count().filter("count > 1").take(1):
+        found = found.dropDuplicates(["doc_id", "_row_key"])
+    return found.select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,9 @@ BLOCK_ROWS, QUERY_ROWS = 4096, 4096
 PROJECTIONS, COLLIDE, FIRST, GROWTH, ROUNDS = 128, 0.85, 1.0, 1.25, 12
 #: Windows grow until this share of a block, and the neighbours asked for, passes.
 VERIFIED, SEED = 0.1, 11
+#: Queries that find out a block's first useful round. (Counts of collisions are bytes.)
+PILOTS = 16
+assert PROJECTIONS < 256
 
 
 def projections(size: int, count: int) -> np.ndarray:
@@ -57,23 +60,34 @@ class Block:
         centre = np.concatenate([scaled, np.zeros((len(queries), 1))], axis=1) @ self.directions
         enough = min(len(self.ids), k + 1 + int(VERIFIED * len(self.ids)))
         need = int(np.ceil(COLLIDE * PROJECTIONS))
-        open_queries, passed = np.arange(len(queries)), [None] * len(queries)
-        for r in range(ROUNDS):
-            if not len(open_queries):
-                break
-            half = self.unit * FIRST * GROWTH**r
-            low, high = (np.stack([np.searchsorted(self.sorted[j], centre[open_queries, j] + s * half, side) for j in range(PROJECTIONS)], axis=1) for s, side in ((-1, "left"), (1, "right")))
-            low, width = low.astype(self.place.dtype), (high - low).astype(self.place.dtype)
-            left = []
-            for n, q in enumerate(open_queries):
-                # A place lies in a window if its distance from the window's begin is less than the width.
-                inside = (self.place - low[n][:, None]) < width[n][:, None]
-                found = np.flatnonzero(inside.sum(0, dtype=np.uint16) >= need)
-                if len(found) >= enough:
-                    passed[q] = found
-                else:
-                    left.append(q)
-            open_queries = np.array(left, dtype=np.int64)
+        passed: list[np.ndarray | None] = [None] * len(queries)
+        shifted, inside = np.empty_like(self.place), np.empty(self.place.shape, bool)
+
+        def widen(asking: np.ndarray, first: int) -> int:
+            """Widens the windows of these queries until enough vectors pass; the first round that any of them took."""
+            soonest = ROUNDS
+            for r in range(first, ROUNDS):
+                if not len(asking):
+                    break
+                half = self.unit * FIRST * GROWTH**r
+                low, high = (np.stack([np.searchsorted(self.sorted[j], centre[asking, j] + s * half, side) for j in range(PROJECTIONS)], axis=1) for s, side in ((-1, "left"), (1, "right")))
+                low, width = low.astype(self.place.dtype), (high - low).astype(self.place.dtype)
+                left = []
+                for n, q in enumerate(asking):
+                    # A place lies in a window if its distance from the window's begin is less than the width.
+                    np.subtract(self.place, low[n][:, None], out=shifted)
+                    np.less(shifted, width[n][:, None], out=inside)
+                    found = np.flatnonzero(inside.view(np.uint8).sum(0, dtype=np.uint8) >= need)
+                    if len(found) >= enough:
+                        passed[q], soonest = found, min(soonest, r)
+                    else:
+                        left.append(q)
+                asking = np.array(left, dtype=np.int64)
+            return soonest
+
+        # A few queries show from which round on windows can hold enough.
+        soonest = widen(np.arange(min(PILOTS, len(queries))), 0)
+        widen(np.arange(min(PILOTS, len(queries)), len(queries)), max(0, min(soonest, ROUNDS - 1) - 1))
         out: list[tuple] = []
         for q, vector in enumerate(queries):
             # Windows that never filled: all vectors are verified.

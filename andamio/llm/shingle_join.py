@@ -138,14 +138,14 @@ def fold(bits: np.ndarray) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, rarity: np.ndarray, seed: int) -> DataFrame:
-    """doc_id, row_key, n, node, check, prefix, others, bits of each document.
+    """doc_id, row_key, n, node, check, prefix, bits of each document.
 
     node stands for the set of shingles. A set that comes again in the task has no
     more than its node, so that many equal texts are few from here on.
     """
     held = docs.sparkSession.sparkContext.broadcast(rarity)
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("row_key", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("prefix", pa.list_(pa.int64())), *((f"other{i}", pa.binary()) for i in range(MORE_ORDERS)), ("bits", pa.binary())]
+        [("doc_id", pa.int64()), ("row_key", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("prefix", pa.list_(pa.int64())), ("bits", pa.binary())]
     )
 
     def describe(batches):
@@ -161,28 +161,25 @@ def profiles(docs: DataFrame, rarity: np.ndarray, seed: int) -> DataFrame:
             h = shingles(text, known)
             node, check = (xxhash.xxh3_64_intdigest(h.tobytes(), seed + i) - (1 << 63) for i in (0, 1))
             if node in seen or not len(h):
-                rows.append((doc_id, row_key, len(h), node, check, None, *[None] * MORE_ORDERS, None))
+                rows.append((doc_id, row_key, len(h), node, check, None, None))
             else:
                 if len(seen) < 500_000:
                     seen.add(node)
                 rare = counts[slot_of(h, SLOTS)]
-                # Sixteen bits of a token suffice to tell that prefixes share none.
-                others = [np.unique(prefix(h, rare, t + 1).astype(np.uint16)).tobytes() for t in range(MORE_ORDERS)]
-                rows.append((doc_id, row_key, len(h), node, check, prefix(h, rare, 0).view(np.int64), *others, bits_of(h).tobytes()))
+                rows.append((doc_id, row_key, len(h), node, check, prefix(h, rare, 0).view(np.int64), bits_of(h).tobytes()))
             if len(rows) >= 1000:
                 yield flush()
         yield flush()
 
-    others = "".join(f"other{i} binary, " for i in range(MORE_ORDERS))
-    return docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text").mapInArrow(describe, f"doc_id long, row_key long, n long, node long, check long, prefix array<long>, {others}bits binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text").mapInArrow(describe, "doc_id long, row_key long, n long, node long, check long, prefix array<long>, bits binary")
 
 
 # -- groups that share a prefix token ----------------------------------------------------------
 
 
 def memberships(found: DataFrame) -> DataFrame:
-    """gid, node: the sets that share a token of the first order's prefix, once for each
-    different group of sets."""
+    """gid, node, tokens: the sets that share a token of the first order's prefix, once for
+    each different group of sets, with the number of tokens that this group shares."""
 
     def groups(batches):
         """Streams of rows sorted by token; a group may span batches."""
@@ -219,7 +216,14 @@ def memberships(found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in done], names=["gid", "node"])
 
     rows = found.select(F.explode("prefix").alias("token"), "node")
-    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(groups, "gid long, node long").distinct()
+    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(groups, "gid long, node long").groupBy("gid", "node").agg(F.count(F.lit(1)).alias("tokens"))
+
+
+def strongest_groups(members: DataFrame) -> DataFrame:
+    """Of each set its group that shares most tokens, the largest of equals."""
+    sizes = members.groupBy("gid").agg(F.count(F.lit(1)).alias("sets"))
+    best = members.join(sizes, "gid").groupBy("node").agg(F.max(F.struct("tokens", "sets", "gid")).alias("best"))
+    return best.select("best.gid", "node")
 
 
 def comparisons(members: DataFrame, across: bool) -> DataFrame:
@@ -267,21 +271,8 @@ class Forest:
         return a != b
 
 
-def _share(tokens_of: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each pair (a, b) whether the two token lists have one in common."""
-    flat = np.concatenate(tokens_of)
-    owner = np.repeat(np.arange(len(tokens_of)), [len(t) for t in tokens_of])
-    seen, column, count = np.unique(flat, return_inverse=True, return_counts=True)
-    keep = count[column] > 1
-    number = np.cumsum(count > 1) - 1
-    table = np.zeros((len(tokens_of), max(1, int((count > 1).sum()))), np.float32)
-    table[owner[keep], number[column[keep]]] = 1
-    return (table @ table.T)[a, b] > 0
-
-
-def candidates(node: np.ndarray, comp: np.ndarray, n: np.ndarray, others: list[list[np.ndarray]], bits: list[np.ndarray], forest: bool) -> list[tuple[int, int]]:
-    """The pairs of a task that pass every filter: of different components, near in
-    size, sharing a prefix token under each order, with few differing parities.
+def candidates(node: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: list[np.ndarray], forest: bool) -> list[tuple[int, int]]:
+    """The pairs of a task of different components, near in size, with few differing parities.
 
     With ``forest`` only those that connect what is not yet connected, likeliest first.
     """
@@ -289,10 +280,6 @@ def candidates(node: np.ndarray, comp: np.ndarray, n: np.ndarray, others: list[l
     low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
     keep = (comp[a] != comp[b]) & (100 * low >= PERCENT * high)
     a, b = a[keep], b[keep]
-    for lists in others:
-        if len(a):
-            keep = _share(lists, a, b)
-            a, b = a[keep], b[keep]
     if not len(a):
         return []
     # At similarity s = o / (na + nb - o) the sets differ in na + nb - 2 o shingles.
@@ -327,11 +314,10 @@ def candidates(node: np.ndarray, comp: np.ndarray, n: np.ndarray, others: list[l
 
 def candidate_pairs(tasks: DataFrame, found: DataFrame, labels: DataFrame, forest: bool) -> DataFrame:
     """a, b (a < b) from the comparisons of all tasks."""
-    others = [f"other{i}" for i in range(MORE_ORDERS)]
     wanted = tasks.select("node").distinct()
-    sets = found.filter(F.col("bits").isNotNull()).select("node", "n", *others, "bits").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    sets = found.filter(F.col("bits").isNotNull()).select("node", "n", "bits").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     sets = sets.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rows = tasks.join(sets, "node").select("task", "node", "comp", "n", *others, "bits")
+    rows = tasks.join(sets, "node").select("task", "node", "comp", "n", "bits")
 
     def compare(batches):
         out: list[tuple[int, int]] = []
@@ -341,15 +327,14 @@ def candidate_pairs(tasks: DataFrame, found: DataFrame, labels: DataFrame, fores
         def close():
             if len(held) > 1:
                 node, comp, n = (np.array(c, np.int64) for c in zip(*(r[:3] for r in held), strict=True))
-                lists = [[np.frombuffer(r[3 + i], np.uint16) for r in held] for i in range(MORE_ORDERS)]
-                out.extend(candidates(node, comp, n, lists, [np.frombuffer(r[-1], np.uint8) for r in held], forest))
+                out.extend(candidates(node, comp, n, [np.frombuffer(r[-1], np.uint8) for r in held], forest))
 
         def flush():
             pairs = {(min(p), max(p)) for p in out}
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*pairs, strict=True) if pairs else ([], []))], names=["a", "b"])
 
-        for row in tokens.rows(batches, "task", "node", "comp", "n", *others, "bits"):
+        for row in tokens.rows(batches, "task", "node", "comp", "n", "bits"):
             if row[0] != task:
                 close()
                 task, held = row[0], []
@@ -365,8 +350,21 @@ def candidate_pairs(tasks: DataFrame, found: DataFrame, labels: DataFrame, fores
 # -- verification and components -------------------------------------------------------------
 
 
-def verified(pairs: DataFrame, found: DataFrame, docs: DataFrame, seed: int) -> DataFrame:
-    """The pairs whose whole sets link, by exact counts of their shingles."""
+def links(a: np.ndarray, b: np.ndarray, *prefixes: np.ndarray) -> bool:
+    """Whether two sets link; ``prefixes`` are the two sides' tokens under each other order."""
+    for x, y in zip(prefixes[::2], prefixes[1::2], strict=True):
+        if not len(np.intersect1d(x, y, assume_unique=True)):
+            return False
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * shared >= PERCENT * (len(a) + len(b) - shared)
+
+
+def verified(pairs: DataFrame, found: DataFrame, docs: DataFrame, rarity: np.ndarray, seed: int) -> DataFrame:
+    """The pairs whose whole sets link.
+
+    A pair that shares no prefix token under one of the other orders is dropped; the
+    shingles of those left are counted exactly.
+    """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     ids = common.materialise(found.filter("bits IS NOT NULL").join(ends, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "ends")
 
@@ -374,10 +372,14 @@ def verified(pairs: DataFrame, found: DataFrame, docs: DataFrame, seed: int) ->
         for batch in batches:
             table[slot_of(mixed(batch.column(0).fill_null(-1).to_numpy().view(np.uint64)), FETCH_SLOTS)] = 1
 
+    held = docs.sparkSession.sparkContext.broadcast(rarity)
     fetch = docs.sparkSession.sparkContext.broadcast(summed_slots(ids.select("doc_id"), FETCH_SLOTS, mark) > 0)
 
+    others = [f"other{i}" for i in range(MORE_ORDERS)]
+    kinds = [pa.int64(), pa.binary(), *[pa.binary()] * MORE_ORDERS]
+
     def sets(batches):
-        known, wanted, seen = WordHashes(seed), fetch.value, set()
+        known, wanted, counts, seen = WordHashes(seed), fetch.value, held.value, set()
         for batch in batches:
             at = slot_of(mixed(batch.column(0).fill_null(-1).to_numpy().view(np.uint64)), FETCH_SLOTS)
             hits = batch.filter(pa.array(wanted[at]))
@@ -389,33 +391,34 @@ def verified(pairs: DataFrame, found: DataFrame, docs: DataFrame, seed: int) ->
                     if len(h) and node not in seen:
                         if len(seen) < 500_000:
                             seen.add(node)
-                        rows.append((node, h.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([], []), (pa.int64(), pa.binary()), strict=True)], names=["node", "shingles"])
+                        rare = counts[slot_of(h, SLOTS)]
+                        # Sixteen bits of a token suffice to tell that prefixes share none.
+                        rows.append((node, h.tobytes(), *(np.unique(prefix(h, rare, t + 1).astype(np.uint16)).tobytes() for t in range(MORE_ORDERS))))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], names=["node", "shingles", *others])
 
-    whole = docs.select("doc_id", "text").mapInArrow(sets, "node long, shingles binary").join(ends, "node", "left_semi").dropDuplicates(["node"])
+    whole = docs.select("doc_id", "text").mapInArrow(sets, "node long, shingles binary" + "".join(f", {o} binary" for o in others)).join(ends, "node", "left_semi").dropDuplicates(["node"])
     whole = common.materialise(whole, "sets")
-    both = pairs.join(whole.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(whole.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
+    side = lambda p: whole.select(F.col("node").alias(p), F.struct(*others).alias(f"orders_{p}"), F.col("shingles").alias(f"of_{p}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a", "of_b", *(F.col(f"orders_{p}.{o}").alias(f"{o}_{p}") for o in others for p in "ab"))
+
+    types = [np.uint64, np.uint64, *[np.uint16] * 2 * MORE_ORDERS]
 
     def check(batches):
         for batch in batches:
-            keep = []
-            for x, y in tokens.rows([batch], "of_a", "of_b"):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                keep.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
+            keep = [links(*(np.frombuffer(x, t) for x, t in zip(row, types, strict=True))) for row in tokens.rows([batch], *batch.schema.names[2:])]
             good = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([good.column("a"), good.column("b")], names=["a", "b"])
 
-    return both.select("a", "b", "of_a", "of_b").mapInArrow(check, "a long, b long")
+    return both.mapInArrow(check, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """node, comp for every node of a link: comp is the smallest node of its component.
 
     Alternates large-star and small-star steps, which shorten every path to a star;
     each step is written down. Nodes' neighbours are never gathered in a list.
     """
-    edges = common.materialise(links.select("a", "b").filter("a <> b").distinct(), "links")
+    edges = common.materialise(pairs.select("a", "b").filter("a <> b").distinct(), "links")
     while True:
         before = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if not before[0]:
@@ -448,16 +451,16 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         seed += 2
     members = common.materialise(memberships(found.filter("prefix IS NOT NULL")), "members")
     labels = found.sparkSession.createDataFrame([], "node long, comp long")
-    links = None
+    all_links = None
     for across in (False, True):
-        with_comp = members.join(labels, "node", "left").select("gid", "node", F.coalesce("comp", "node").alias("comp"))
+        with_comp = (members if across else strongest_groups(members)).join(labels, "node", "left").select("gid", "node", F.coalesce("comp", "node").alias("comp"))
         tasks = common.materialise(comparisons(with_comp, across), "tasks")
         pairs = common.materialise(candidate_pairs(tasks, found, labels, not across), "pairs")
         if pairs.isEmpty():
             continue
-        good = common.materialise(verified(pairs, found, docs, seed), "verified")
-        links = good if links is None else links.unionByName(good)
-        labels = components(links)
+        good = common.materialise(verified(pairs, found, docs, rarity, seed), "verified")
+        all_links = good if all_links is None else all_links.unionByName(good)
+        labels = components(all_links)
     classes = found.groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("rows")).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     return found.select("doc_id", "row_key", "n", "node"), common.materialise(classes.select("node", "rows", "comp", "low"), "classes")
 

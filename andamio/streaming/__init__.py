@@ -1,0 +1,35 @@
+"""Streaming forms of the event reports and the catalogue upsert (an extension)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from andamio.operators import catalogue, suggestions
+
+
+def suggestion_windows(events: DataFrame, length: str = "1 day", late: str = "2 days") -> DataFrame:
+    """Counts of suggestions and decisions by window and confidence, for late events up to ``late``."""
+    count = lambda kind: F.count(F.when(F.col("kind") == kind, 1))
+    rows = events.withColumn("created", F.col("created").cast("timestamp")).withWatermark("created", late)
+    groups = rows.groupBy(F.window("created", length), "confidence")
+    counts = groups.agg(count(suggestions.ADDED).alias("suggested"), count(suggestions.ACCEPTED).alias("accepted"), count(suggestions.REPLACED).alias("replaced"), count(suggestions.REMOVED).alias("removed"))
+    return counts.select(F.col("window.start").alias("begin"), "confidence", "suggested", "accepted", "replaced", "removed")
+
+
+def upsert_stream(batches: DataFrame, path: str, checkpoint: str):
+    """Writes a new snapshot of the catalogue under ``path`` for each micro-batch, numbered by it.
+
+    A batch that is repeated after a failure writes its own snapshot again from the one
+    before, so its effect is the same.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if number == 0:
+            old = spark.createDataFrame([], batch.drop("seq").schema)
+        else:
+            old = spark.read.parquet(f"{path}/{number - 1}")
+        catalogue.upserted(old, batch).write.mode("overwrite").parquet(f"{path}/{number}")
+
+    return batches.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

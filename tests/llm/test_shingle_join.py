@@ -97,8 +97,9 @@ def test_linked_sets_share_a_token_in_every_order_and_pass_the_parities():
         for turn in range(3):
             x, y = (sj.prefix(s, rarity[sj.slot_of(s, sj.SLOTS)], turn) for s in (a, b))
             assert len(np.intersect1d(x, y))
-        lists = [[np.unique(sj.prefix(s, rarity[sj.slot_of(s, sj.SLOTS)], t).astype(np.uint16)) for s in (a, b)] for t in (1, 2)]
-        pair = sj.candidates(np.array([1, 2]), np.array([1, 2]), np.array([len(a), len(b)]), lists, [sj.bits_of(s) for s in (a, b)], False)
+        lists = [np.unique(sj.prefix(s, rarity[sj.slot_of(s, sj.SLOTS)], t).astype(np.uint16)) for t in (1, 2) for s in (a, b)]
+        assert sj.links(a, b, *lists)
+        pair = sj.candidates(np.array([1, 2]), np.array([1, 2]), np.array([len(a), len(b)]), [sj.bits_of(s) for s in (a, b)], False)
         assert pair == [(1, 2)]
     assert tried > 100
 

@@ -274,7 +274,7 @@ class Forest:
 def candidates(node: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: list[np.ndarray], forest: bool) -> list[tuple[int, int]]:
     """The pairs of a task of different components, near in size, with few differing parities.
 
-    With ``forest`` only those that connect what is not yet connected, likeliest first.
+    With ``forest`` only those that connect components not yet connected, likeliest first.
     """
     a, b = np.triu_indices(len(node), 1)
     low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
@@ -305,9 +305,10 @@ def candidates(node: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: list[np.
     a, b, rank = a[keep], b[keep], differ[keep] / total[keep]
     if not forest:
         return list(zip(node[a].tolist(), node[b].tolist(), strict=True))
-    trees, out = Forest(len(node)), []
+    known, tree = np.unique(comp, return_inverse=True)
+    trees, out = Forest(len(known)), []
     for i in np.argsort(rank, kind="stable"):
-        if trees.join(int(a[i]), int(b[i])):
+        if trees.join(int(tree[a[i]]), int(tree[b[i]])):
             out.append((int(node[a[i]]), int(node[b[i]])))
     return out
 
@@ -452,10 +453,12 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = common.materialise(memberships(found.filter("prefix IS NOT NULL")), "members")
     labels = found.sparkSession.createDataFrame([], "node long, comp long")
     all_links = None
-    for across in (False, True):
+    # A forest within each group and block, a forest across blocks, then every pair that is
+    # left between components: the first two join what is clearly one, so few are left.
+    for across, forest in ((False, True), (True, True), (True, False)):
         with_comp = (members if across else strongest_groups(members)).join(labels, "node", "left").select("gid", "node", F.coalesce("comp", "node").alias("comp"))
         tasks = common.materialise(comparisons(with_comp, across), "tasks")
-        pairs = common.materialise(candidate_pairs(tasks, found, labels, not across), "pairs")
+        pairs = common.materialise(candidate_pairs(tasks, found, labels, forest), "pairs")
         if pairs.isEmpty():
             continue
         good = common.materialise(verified(pairs, found, docs, rarity, seed), "verified")

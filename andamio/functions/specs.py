@@ -116,10 +116,10 @@ def plain_number(value: Column) -> Column:
 
 def sale_unit(name: Column, category: Column) -> Column:
     """The unit that a product is sold in: package, litres, kilograms, pounds or square metres."""
-    base, found = prepared(name), all_specs(name)
+    base = prepared(name)
     area = first_number(base, rf"{_N}\s*m(?:2|²)")
     unit = lambda n, u: F.when(n.isNotNull(), F.concat(plain_number(n), F.lit(u)))
-    return F.coalesce(paint_package(name, category), unit(found["volumen_l"], " L"), unit(found["peso_kg"], " kg"), unit(found["peso_lb"], " lb"), unit(area, " m²"))
+    return F.coalesce(paint_package(name, category), unit(volume(base), " L"), unit(first_number(base, PATTERNS["peso_kg"]), " kg"), unit(first_number(base, PATTERNS["peso_lb"]), " lb"), unit(area, " m²"))
 
 
 def size_pairs(name: Column) -> Column:

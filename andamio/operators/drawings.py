@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,9 +93,9 @@ def schedule_rows(words: DataFrame) -> DataFrame:
     """The rows of each page's opening schedule: code, top, bottom.
 
     A row begins at its code and ends above the next; codes behind a gap of more than
-    BIG_GAP are of something else.
+    BIG_GAP are of something else. Codes at one place are in the order of their text.
     """
-    down = Window.partitionBy("project_id", "page").orderBy("y0", "x0")
+    down = Window.partitionBy("project_id", "page").orderBy("y0", "x0", "text")
     codes = words.filter(F.col("text").rlike(OPENING_CODE)).withColumn("gap", F.col("y0") - F.lag("y0").over(down))
     broken = F.max(F.coalesce(F.col("gap") > BIG_GAP, F.lit(False))).over(down.rowsBetween(Window.unboundedPreceding, 0))
     kept = codes.withColumn("broken", broken).filter("NOT broken").drop("broken", "gap")
@@ -124,27 +123,19 @@ def cells(words: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:
 
 def nearest_names(codes: DataFrame, names: DataFrame) -> DataFrame:
     """code, name of each page: in order where there are as many names as codes, else each
-    code takes the nearest name still free, nearest pairs first."""
-
-    def match(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"project_id": pd.Series(dtype="int64"), "page": pd.Series(dtype="int32"), "code": pd.Series(dtype="object"), "name": pd.Series(dtype="object")})
-        left, right = left.sort_values(["y", "code"]), right.sort_values(["y", "name"])
-        if len(left) == len(right):
-            pairs = list(zip(left["code"], right["name"], strict=True))
-        else:
-            order = sorted((abs(a.y - b.y), i, j) for i, a in enumerate(left.itertuples()) for j, b in enumerate(right.itertuples()))
-            used_a, used_b, pairs = set(), set(), []
-            for _, i, j in order:
-                if i not in used_a and j not in used_b:
-                    used_a.add(i)
-                    used_b.add(j)
-                    pairs.append((left["code"].iloc[i], right["name"].iloc[j]))
-        return pd.DataFrame([(*key, *p) for p in pairs], columns=["project_id", "page", "code", "name"]).astype({"code": "object", "name": "object"})
-
-    a = codes.select("project_id", "page", "code", F.col("y0").alias("y"))
-    b = names.select(F.col("project_id").alias("of_project"), F.col("page").alias("of_page"), "name", F.col("y0").alias("y"))
-    return a.groupBy("project_id", "page").cogroup(b.groupBy("of_project", "of_page")).applyInPandas(match, "project_id long, page int, code string, name string")
+    code takes the nearest name still free, nearest pairs first.
+
+    A page's words are few, so the greedy choice is a fold over its sorted pairs.
+    """
+    page = ["project_id", "page"]
+    placed = lambda df, word: df.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct(F.col("y0").alias("y"), word))).alias(f"{word}s"))
+    rows = placed(codes, "code").join(placed(names, "name"), page)
+    each = F.flatten(F.transform("codes", lambda a, i: F.transform("names", lambda b, j: F.struct(F.abs(a["y"] - b["y"]).alias("far"), i.alias("i"), j.alias("j")))))
+    free = lambda got, p: ~F.exists(got, lambda g: (g["i"] == p["i"]) | (g["j"] == p["j"]))
+    greedy = F.aggregate(F.array_sort(each), F.array().cast("array<struct<i:int,j:int>>"), lambda got, p: F.when(free(got, p), F.concat(got, F.array(F.struct(p["i"].alias("i"), p["j"].alias("j"))))).otherwise(got))
+    in_order = F.transform("codes", lambda _, i: F.struct(i.alias("i"), i.alias("j")))
+    rows = rows.withColumn("pair", F.explode(F.when(F.size("codes") == F.size("names"), in_order).otherwise(greedy)))
+    return rows.select(*page, F.get("codes", F.col("pair.i"))["code"].alias("code"), F.get("names", F.col("pair.j"))["name"].alias("name"))
 
 
 def best_readings(readings: DataFrame) -> DataFrame:

@@ -52,9 +52,9 @@ def identity_sql(normal: str) -> str:
 
 
 def half_even_sql(x: str) -> str:
-    """Two decimals, ties to even, decided on the decimal value as Spark does."""
-    cents = f"({x})::DECIMAL(30, 12) * 100"
-    whole = f"floor({cents})::DECIMAL(30, 12)"
+    """Two decimals, ties to even, decided on the number's shortest digits as Spark does."""
+    cents = f"({x})::DOUBLE::VARCHAR::DECIMAL(36, 16) * 100"
+    whole = f"floor({cents})::DECIMAL(30, 0)"
     up = f"({cents} - {whole} > 0.5 OR ({cents} - {whole} = 0.5 AND {whole} % 2 = 1))"
     return f"(({whole} + CASE WHEN {up} THEN 1 ELSE 0 END)::DOUBLE / 100)"
 
@@ -316,7 +316,11 @@ def _(s, d):
     return pairs.select("a", "b", text.shares_prefix(F.col("a"), F.col("b")).alias("shares"))
 
 
-@query("suggested_sections")
+_UPPER = lambda x, stock: " OR ".join(f"contains({x}, '{w}')" for w in stock)
+
+
+@query("suggested_sections", f"SELECT doc_id, CASE " + " ".join(f"WHEN {_UPPER('normal', stock)} THEN '{section}'" for section, stock in vocabulary.SECTION_WORDS)
+       + " END AS section, CASE " + " ".join(f"WHEN {_UPPER('up', stock)} THEN '{name}'" for name, stock in drawings.DISCIPLINES) + f" END AS discipline FROM (SELECT doc_id, upper(text) AS up, {normal_sql('text')} AS normal FROM documents)")
 def _(s, d):
     return domain.table(s, d, "documents").select("doc_id", text.suggested_section(F.col("text")).alias("section"), drawings.discipline(F.col("text")).alias("discipline"))
 
@@ -326,7 +330,10 @@ def _(s, d):
     return domain.table(s, d, "pages").select("page_id", text.slug(F.col("url")).alias("slug"))
 
 
-@query("html_to_text")
+@query("html_to_text", r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', '', 'g') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)<\s*br\s*/?>|</\s*(?:p|li|div|tr)\s*>', chr(10), 'g'), '(?s)<[^>]*>', '', 'g') AS t FROM a),
+c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS t FROM b)
+SELECT page_id, nullif(array_to_string(list_filter(list_transform(str_split(t, chr(10)), lambda x : trim(regexp_replace(x, '[\s\x0b\x{a0}]+', ' ', 'g'))), lambda x : x <> ''), chr(10)), '') AS text FROM c""")
 def _(s, d):
     return domain.table(s, d, "pages").select("page_id", text.html_text(F.col("html")).alias("text"))
 
@@ -441,7 +448,16 @@ def _(s, d):
     return matching.families(domain.products(s, d), None).drop("family_id")
 
 
-@query("similar_products")
+_DESCRIBED = f""", core AS (SELECT id, supplier, category, array_to_string(list_filter(str_split(lower(name), ' '), lambda w : NOT regexp_full_match(w, '[0-9]+')), ' ') AS core FROM products),
+fam AS (SELECT supplier, category, core FROM core GROUP BY ALL HAVING count(*) > 1),
+d AS (SELECT p.id, p.category, CASE WHEN fam.core IS NOT NULL THEN p.supplier || p.category || fam.core END AS family, nullif({normal_sql('p.subcategory')}, '') AS sub, {identity_sql(normal_sql('p.name'))} AS tokens, nullif(lower(trim(p.brand)), '') AS brand, (p.id % 9)::DOUBLE AS weight
+  FROM products p JOIN core ON p.id = core.id LEFT JOIN fam ON core.supplier = fam.supplier AND core.category = fam.category AND core.core = fam.core)"""
+
+
+@query("similar_products", with_views("products", _DESCRIBED + """, s AS (SELECT a.id AS target_id, b.id, coalesce(a.family = b.family, false) AS family, a.category, len(list_intersect(a.tokens, b.tokens)) AS shared,
+  100 * coalesce(a.family = b.family, false)::INT + 6 * coalesce(a.sub = b.sub, false)::INT + least(2 * len(list_intersect(a.tokens, b.tokens)), 8) + 5 * coalesce(a.brand = b.brand, false)::INT + 3 * coalesce(a.weight > 0 AND abs(a.weight - b.weight) / nullif(a.weight, 0) <= 0.2, false)::INT AS score
+  FROM d a JOIN d b ON a.id <> b.id AND ((a.category = b.category AND (a.sub = b.sub OR list_has_any(a.tokens, b.tokens))) OR a.family = b.family))
+SELECT target_id, id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY score DESC, family DESC, id) AS place FROM s WHERE score >= 8 AND (family OR category <> 'General' OR shared >= 2)) WHERE place <= 6"""))
 def _(s, d):
     rows = described(s, d)
     return matching.similar(rows, rows)
@@ -452,7 +468,10 @@ def _(s, d):
     return matching.code_frequency(matching.fingerprints(domain.products(s, d)))
 
 
-@query("candidate_pairs")
+@query("candidate_pairs", with_views("products", f""", p AS (SELECT id, supplier, nullif(lower(trim(brand)), '') AS brand, 'DW' || (1000 + id % 500) AS code, {identity_sql(normal_sql('name'))} AS tokens FROM products),
+g AS (SELECT code FROM p GROUP BY code HAVING count(*) > 15), words AS (SELECT id, supplier, brand, code, unnest(tokens) AS t FROM p WHERE brand IS NOT NULL),
+keys AS (SELECT id, supplier, 'c:' || code AS key FROM p WHERE code NOT IN (SELECT code FROM g) UNION SELECT id, supplier, 'm:' || brand || ':' || t FROM words WHERE NOT (upper(t) = code AND code IN (SELECT code FROM g)))
+SELECT DISTINCT a.id AS a, b.id AS b FROM keys a JOIN keys b ON a.key = b.key AND a.id < b.id AND a.supplier <> b.supplier"""))
 def _(s, d):
     return matching.candidate_pairs(matching.specific(matching.fingerprints(domain.products(s, d))))
 
@@ -526,11 +545,14 @@ def _(s, d):
 
 
 def _terms(s, d) -> DataFrame:
+    """Openings, pieces and finishes named after products; of equal terms the one with the smallest key."""
     rows = domain.products(s, d)
-    openings = rows.select(F.col("id").alias("key"), F.col("subcategory").alias("kind"), F.element_at(F.split("name", " "), 1).alias("material"), F.lit(0.9).alias("width_m"), F.lit(2.1).alias("height_m"), F.lit(2.0).alias("quantity")).filter("key % 2 = 0")
-    pieces = rows.filter("key % 2 = 1").select("key", "description", "quantity") if "key" in rows.columns else rows.select(F.col("id").alias("key"), F.regexp_replace("name", r"^(\w+) (\w+)", "$2 $1").alias("description"), F.lit(1.0).alias("quantity")).filter("key % 2 = 1")
+    first = F.element_at(F.split("name", " "), 1)
+    openings = rows.select(F.col("id").alias("key"), first.alias("kind"), F.col("subcategory").alias("material"), F.lit(0.9).alias("width_m"), F.lit(2.1).alias("height_m"), F.lit(2.0).alias("quantity")).filter("key % 2 = 0")
+    pieces = rows.select(F.col("id").alias("key"), F.col("name").alias("description"), F.lit(1.0).alias("quantity")).filter("key % 2 = 1")
     finishes = rows.select(F.col("id").alias("key"), F.lit("pisos").alias("place"), F.concat(F.lit("sin "), "name").alias("description")).filter("key % 40 = 0")
-    return selection.plan_terms(openings, finishes, pieces).dropDuplicates(["term"])
+    terms = selection.plan_terms(openings, finishes, pieces)
+    return terms.groupBy("term").agg(F.min_by(F.struct(*terms.columns), "key").alias("first")).select("first.*")
 
 
 @query("select_product")
@@ -596,16 +618,20 @@ def _blocks(s, d) -> DataFrame:
 
 
 _ROWS = """WITH words AS (SELECT l_orderkey::INTEGER AS page, CASE WHEN l_linenumber % 2 = 0 THEN 'P' || l_linenumber ELSE 'w' || l_suppkey END AS text, l_quantity * 2 AS x0, l_linenumber * 70.0 + l_partkey % 11 * 40 AS y0 FROM lineitem),
-gaps AS (SELECT *, y0 - lag(y0) OVER (PARTITION BY page ORDER BY y0, x0) AS gap FROM words WHERE regexp_matches(text, '^P[0-9]+$')),
-kept AS (SELECT * FROM (SELECT *, max(coalesce(gap > 250, false)) OVER (PARTITION BY page ORDER BY y0, x0 ROWS UNBOUNDED PRECEDING) AS broken FROM gaps) WHERE NOT broken)"""
+gaps AS (SELECT *, y0 - lag(y0) OVER (PARTITION BY page ORDER BY y0, x0, text) AS gap FROM words WHERE regexp_matches(text, '^P[0-9]+$')),
+kept AS (SELECT * FROM (SELECT *, max(coalesce(gap > 250, false)) OVER (PARTITION BY page ORDER BY y0, x0, text ROWS UNBOUNDED PRECEDING) AS broken FROM gaps) WHERE NOT broken)"""
 
 
-@query("schedule_rows", _ROWS + " SELECT page, text AS code, (y0 - 3)::DOUBLE AS top, (lead(y0) OVER (PARTITION BY page ORDER BY y0, x0) - 3)::DOUBLE AS bottom FROM kept")
+@query("schedule_rows", _ROWS + " SELECT page, text AS code, (y0 - 3)::DOUBLE AS top, (lead(y0) OVER (PARTITION BY page ORDER BY y0, x0, text) - 3)::DOUBLE AS bottom FROM kept")
 def _(s, d):
     return drawings.schedule_rows(_blocks(s, d)).drop("project_id")
 
 
-@query("schedule_cells")
+@query("schedule_cells", _ROWS + """, r AS (SELECT page, text AS code, y0 - 3 AS top, lead(y0) OVER (PARTITION BY page ORDER BY y0, x0, text) - 3 AS bottom FROM kept),
+gap AS (SELECT page, list_sort(list(bottom - top))[count(*) // 2 + 1] AS gap FROM r WHERE bottom IS NOT NULL GROUP BY page),
+high AS (SELECT r.page, code, top, coalesce(bottom, top + coalesce(gap, 20.0)) AS bottom FROM r LEFT JOIN gap ON r.page = gap.page)
+SELECT 0::BIGINT AS project_id, w.page, code, band AS "column", string_agg(text, ' ' ORDER BY y0, x0, text) AS value
+FROM words w JOIN high h ON w.page = h.page AND y0 >= top AND y0 < bottom JOIN (VALUES ('left', 0.0, 40.0), ('right', 40.0, 200.0)) c(band, low, upto) ON x0 >= low AND x0 < upto GROUP BY ALL""")
 def _(s, d):
     words = _blocks(s, d)
     columns = s.createDataFrame([("left", 0.0, 40.0), ("right", 40.0, 200.0)], "column string, left double, right double")

@@ -11,8 +11,6 @@ from . import common
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
 DAMPING, MOST_ROUNDS, SETTLED = 0.85, 20, 1e-6
-#: A host is a seed if rules decide this share of its pages one way.
-SEED_SHARE = 0.5
 #: A host's pages are blocked if distrust is more than this share of all that reaches it.
 DISTRUSTED = 0.5
 
@@ -79,15 +77,17 @@ def spread(seeds: DataFrame, edges: DataFrame, rounds: int = MOST_ROUNDS, settle
 def host_trust(pages: DataFrame) -> DataFrame:
     """host, trust, distrust from pages with host, html and the rules' ruled verdict.
 
-    Trust flows along links from hosts that rules mostly allow; distrust flows against
-    links, to the hosts that link to mostly blocked ones.
+    Trust flows along links from the hosts with pages that rules allow; distrust flows
+    against links, to the hosts that link to those with blocked pages. Every host with
+    ruled pages is a seed, of both kinds if it has both, with mass in proportion to the
+    share of its pages ruled that way. The masses of a kind sum to 1.
     """
     decided = {kind: (F.count(F.when(F.col("ruled") == verdict, 1)) / F.count(F.lit(1))) for kind, verdict in (("trust", "allow"), ("distrust", "block"))}
     shares = pages.filter("host <> ''").groupBy("host").agg(*(v.alias(k) for k, v in decided.items()))
-    shares = shares.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "part")).filter(F.col("part") > SEED_SHARE)
+    shares = shares.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "part")).filter("part > 0")
     shares = common.materialise(shares, "shares")
-    count = {r["kind"]: r["count"] for r in shares.groupBy("kind").count().collect()}
-    mass = F.when(F.col("kind") == "trust", 1.0 / count.get("trust", 1)).otherwise(1.0 / count.get("distrust", 1))
+    total = {r["kind"]: r["total"] for r in shares.groupBy("kind").agg(F.sum("part").alias("total")).collect()}
+    mass = F.col("part") / F.when(F.col("kind") == "trust", total.get("trust", 1.0)).otherwise(total.get("distrust", 1.0))
     seeds = shares.select("kind", "host", mass.alias("mass"))
     links = common.materialise(host_links(pages), "links")
     edges = links.select(F.lit("trust").alias("kind"), "source", "target", "n").unionByName(links.select(F.lit("distrust").alias("kind"), F.col("target").alias("source"), F.col("source").alias("target"), "n"))

@@ -65,6 +65,16 @@ def test_trust_and_distrust_spread(spark):
         assert r.trust == pytest.approx(trust.get(r.host, 0), abs=1e-5) and r.distrust == pytest.approx(distrust.get(r.host, 0), abs=1e-5)
 
 
+def test_hosts_with_few_ruled_pages_are_seeds(spark):
+    pages = lambda host, allow, block, n: [f"http://{host}/de/1"] * allow + [f"http://{host}/de/8"] * block + [f"http://{host}/fr"] * (n - allow - block)
+    urls = [*pages("most.example.net", 10, 5, 100), *pages("least.example.net", 5, 10, 100)]
+    out = url_trust.judge(frame(spark, [(i, u, None) for i, u in enumerate(urls)])).collect()
+    for host, trust, distrust, verdict in (("most.example.net", 2 / 3, 1 / 3, "allow"), ("least.example.net", 1 / 3, 2 / 3, "block")):
+        got = [r for r in out if r.host == host]
+        assert {r.verdict for r in got if r.rule is None} == {verdict} and len(got) == 100
+        assert all(r.trust == pytest.approx(0.15 * trust) and r.distrust == pytest.approx(0.15 * distrust) for r in got)
+
+
 def test_hot_host_repeats_and_empty(spark):
     rows = [(i % 50, "http://hot.com/en/1", "<a href='http://x.com/'>") for i in range(200)] + [(None, "http://x.com/fr", None)] * 2
     out = url_trust.judge(frame(spark, rows)).collect()

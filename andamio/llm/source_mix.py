@@ -9,6 +9,8 @@ from . import common
 
 #: Words in a block, slots in an output shard, rows in a bucket of a source's stream.
 BLOCK_WORDS, SHARD_SLOTS, BUCKET_ROWS = 64, 4096, 2_000
+#: A source of fewer blocks than this is dealt by the word, as whole blocks miss its target.
+SMALL_BLOCKS = 64
 #: How often a source may be repeated, and the weights that sources take in turn.
 MOST_COPIES, WEIGHTS = 3, (1, 2, 3)
 #: A prime that no count of blocks or slots reaches as a factor: k -> (k * STEP + shift) mod n
@@ -61,14 +63,19 @@ def stream_starts(rows: DataFrame) -> DataFrame:
 
 
 def prepared(docs: DataFrame, block_words: int) -> tuple[DataFrame, DataFrame]:
-    """The sources with rank, weight, target, blocks and slots; the documents in streams."""
+    """The sources with rank, weight, target, small, blocks and slots; the documents in streams.
+
+    A small source's blocks are its words, so its slots are its target, rounded.
+    """
     rows = common.materialise(sizes(docs), "sizes")
     order = Window.orderBy(F.col("source").asc_nulls_last())
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("rank", F.row_number().over(order))
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), F.pmod(F.col("rank") - 1, F.lit(len(WEIGHTS))) + 1)
     sources = targets(common.materialise(sources.withColumn("weight", weight), "sources"))
-    sources = sources.withColumn("blocks", F.ceil(F.col("source_size") / block_words)).withColumn(
-        "slots", F.least(F.round(F.col("target") / block_words).cast("long"), F.col("blocks") * MOST_COPIES)
+    sources = sources.withColumn("small", F.col("source_size") < SMALL_BLOCKS * block_words)
+    unit = F.when(F.col("small"), 1).otherwise(block_words)
+    sources = sources.withColumn("blocks", F.ceil(F.col("source_size") / unit)).withColumn(
+        "slots", F.least(F.round(F.col("target") / unit).cast("long"), F.col("blocks") * MOST_COPIES)
     )
     first = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     sources = common.materialise(sources.withColumn("first_slot", F.coalesce(F.sum("slots").over(first), F.lit(0))), "targets")
@@ -76,22 +83,25 @@ def prepared(docs: DataFrame, block_words: int) -> tuple[DataFrame, DataFrame]:
     return sources, common.materialise(stream_starts(ranked), "streams")
 
 
-def deal_slots(sources: DataFrame, shard_slots: int) -> DataFrame:
+def deal_slots(sources: DataFrame, shard_slots: int, which: str = "true") -> DataFrame:
     """shard, place, rank, block: which block of which source fills each output slot.
 
+    Only slots of the sources for which ``which`` holds are returned.
+
     Every source has as many slots as its target asks for. A pseudorandom permutation
     of all slots deals them to the shards, so a shard's counts by source are the
     multinomial draw given these totals; without that condition a source could
     draw more than its cap. A source's k-th slot takes the k-th block of the source's
-    own permutation; after the last block it starts over.
+    own permutation, a small source's k-th slot the k-th word from word ``rank`` on, so
+    that its text stays in one run; after the last block it starts over.
     """
     total = sources.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
-    chunks = sources.filter("slots > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / CHUNK))))
+    chunks = sources.filter("slots > 0").filter(which).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / CHUNK))))
     chunks = chunks.repartition(max(1, min(4096, total // CHUNK)), "rank", "chunk")
     start = F.col("chunk") * CHUNK
     slots = chunks.withColumn("k", F.explode(F.sequence(start, F.least(start + CHUNK, F.col("slots")) - 1)))
     place = permuted(F.col("first_slot") + F.col("k"), F.lit(max(1, total)), F.lit(7))
-    block = permuted(F.pmod(F.col("k"), F.col("blocks")), F.col("blocks"), F.col("rank"))
+    block = F.when(F.col("small"), F.pmod(F.col("k") + F.col("rank"), F.col("blocks"))).otherwise(permuted(F.pmod(F.col("k"), F.col("blocks")), F.col("blocks"), F.col("rank")))
     return slots.select(F.floor(place / shard_slots).alias("shard"), place.alias("place"), "rank", block.alias("block"))
 
 
@@ -105,10 +115,28 @@ def block_pieces(streams: DataFrame, block_words: int) -> DataFrame:
     return met.select("rank", "block", "start", "doc_id", (begin - F.col("start")).alias("skip"), (end - begin).alias("words"))
 
 
+def small_pieces(sources: DataFrame, streams: DataFrame) -> DataFrame:
+    """rank, start, doc_id, skip, words, copies of small sources: deal_slots' counts without a row for each word.
+
+    Every word has ``slots / size`` copies, and a run of ``slots % size`` words from word ``rank`` on one more.
+    """
+    size, whole = F.greatest("source_size", F.lit(1)), F.floor(F.col("slots") / F.greatest("source_size", F.lit(1)))
+    sources = sources.filter("small AND slots > 0").select("rank", "source_size", whole.alias("whole"), F.pmod("rank", size).alias("first"), F.pmod("slots", size).alias("more"))
+    last = F.col("first") + F.col("more")
+    over = F.greatest(last - F.col("source_size"), F.lit(0))
+    end = F.least(last, F.col("source_size"))
+    part = lambda begin, end, more: F.struct(begin.alias("begin"), end.alias("end"), (F.col("whole") + more).alias("copies"))
+    parts = F.array(part(F.lit(0).cast("long"), over, 1), part(over, F.col("first").cast("long"), 0), part(F.col("first").cast("long"), end, 1), part(end, F.col("source_size"), 0))
+    parts = sources.select("rank", F.explode(parts).alias("part")).select("rank", "part.*").filter("end > begin AND copies > 0")
+    met = streams.filter("size > 0").join(parts, "rank").filter("start < end AND start + size > begin")
+    begin, end = F.greatest("start", "begin"), F.least(F.col("start") + F.col("size"), F.col("end"))
+    return met.select("rank", "start", "doc_id", (begin - F.col("start")).alias("skip"), (end - begin).alias("words"), "copies")
+
+
 def copied_pieces(sources: DataFrame, streams: DataFrame, block_words: int, shard_slots: int) -> DataFrame:
     """The pieces that the mix takes, with ``copies`` (1 to MOST_COPIES)."""
-    copies = deal_slots(sources, shard_slots).groupBy("rank", "block").agg(F.count(F.lit(1)).alias("copies"))
-    return block_pieces(streams, block_words).join(copies, ["rank", "block"])
+    copies = deal_slots(sources, shard_slots, "NOT small").groupBy("rank", "block").agg(F.count(F.lit(1)).alias("copies"))
+    return block_pieces(streams, block_words).join(copies, ["rank", "block"]).drop("block").unionByName(small_pieces(sources, streams))
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:

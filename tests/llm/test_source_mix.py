@@ -76,6 +76,34 @@ def test_slots_are_each_dealt_once(spark):
             assert sum(times) == s.slots and max(times) - min(times) <= 1
 
 
+def test_small_sources_meet_their_targets_to_the_word(spark):
+    rows = [(i, "w " * 500, "big") for i in range(40)]
+    rows += [(1000, "a b c d e f g h i j", "ten"), (1001, "p " * 33, "seventy"), (1002, "q " * 37, "seventy"), (1003, "r " * 100, "tail"), (1004, "lone", None)]
+    rows += [(2000 + i, "v " * 97, "more") for i in range(30)]
+    source = {r[0]: r[2] for r in rows}
+    for frame in (docs(spark, rows), docs(spark, [r for r in rows if r[2] in ("more", "seventy", "tail")])):
+        taken, target = Counter(), {}
+        for r in source_mix.mix(frame).collect():
+            taken[source[r.doc_id]] += r.taken
+            target[source[r.doc_id]] = r.target
+            assert r.taken <= 3 * r.size
+        assert all(taken[s] == round(t) for s, t in target.items() if s != "big"), (taken, target)
+        got = Counter()
+        for r in source_mix.mixed_documents(frame).collect():
+            got[r.source] += len(r.text.split())
+        assert got == taken
+
+
+def test_small_pieces_are_the_dealt_words(spark):
+    rows = [(i, "w " * (3 + i), "ab"[i % 2]) for i in range(12)] + [(50, "z", "c"), (51, "", "d")]
+    sources, streams = source_mix.prepared(docs(spark, rows), 64)
+    want = Counter((r["rank"], r.block) for r in source_mix.deal_slots(sources, 16).collect())
+    got = Counter()
+    for r in source_mix.small_pieces(sources, streams).collect():
+        got.update({(r["rank"], r.start + r.skip + i): r.copies for i in range(r.words)})
+    assert got == want and len(set(want.values())) > 1
+
+
 def test_mixed_documents_hold_the_taken_words(spark):
     frame = docs(spark, ROWS)
     out = source_mix.mixed_documents(frame, 8, 16)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import common, tokens
 
-#: Words in a shingle; documents link from this similarity on, in hundredths.
+#: The query's words in a shingle, and similarity from which documents link, in hundredths.
 WORDS, PERCENT = 4, 85
 #: Counters of shingle frequencies, and of documents to fetch: tables of a fixed size.
 SLOTS, FETCH_SLOTS = 1 << 20, 1 << 22
@@ -58,9 +58,9 @@ def shingles(text: str | None, known: WordHashes, words: int = WORDS) -> np.ndar
     return np.unique(mixed(out))
 
 
-def least_shared(n: np.ndarray | int):
+def least_shared(n: np.ndarray | int, percent: int = PERCENT):
     """The fewest shingles that a set of n shares with any set it links with."""
-    return -(-PERCENT * n // 100)
+    return -(-percent * n // 100)
 
 
 def slot_of(h: np.ndarray, slots: int) -> np.ndarray:
@@ -98,13 +98,13 @@ def summed_slots(df: DataFrame, slots: int, count) -> np.ndarray:
     return out
 
 
-def frequencies(docs: DataFrame, seed: int) -> np.ndarray:
+def frequencies(docs: DataFrame, seed: int, words: int = WORDS) -> np.ndarray:
     """How many documents have a shingle, by slot: all documents count."""
 
     def count(batches, table):
         known = WordHashes(seed)
         for (text,) in tokens.rows(batches, "text"):
-            np.add.at(table, slot_of(shingles(text, known), SLOTS), 1)
+            np.add.at(table, slot_of(shingles(text, known, words), SLOTS), 1)
 
     return summed_slots(docs.select("text"), SLOTS, count)
 
@@ -112,14 +112,14 @@ def frequencies(docs: DataFrame, seed: int) -> np.ndarray:
 # -- profiles ------------------------------------------------------------------------------
 
 
-def prefix(h: np.ndarray, rarity: np.ndarray, turn: int) -> np.ndarray:
+def prefix(h: np.ndarray, rarity: np.ndarray, turn: int, percent: int = PERCENT) -> np.ndarray:
     """The first shingles of a set under a global order. Two sets that link share one.
 
     The order is by rarity, then by a mix of the hash that differs from order to order.
     The first order takes the counts, the others their powers of two.
     """
     by = rarity if turn == 0 else np.floor(np.log2(np.maximum(rarity, 1)))
-    size = len(h) - least_shared(len(h)) + 1
+    size = len(h) - least_shared(len(h), percent) + 1
     return h[np.lexsort((mixed(h, turn), by))[:size]]
 
 
@@ -137,7 +137,7 @@ def fold(bits: np.ndarray) -> np.ndarray:
     return bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
 
 
-def profiles(docs: DataFrame, rarity: np.ndarray, seed: int) -> DataFrame:
+def profiles(docs: DataFrame, rarity: np.ndarray, seed: int, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, row_key, n, node, check, prefix, bits of each document.
 
     node stands for the set of shingles. A set that comes again in the task has no
@@ -158,7 +158,7 @@ def profiles(docs: DataFrame, rarity: np.ndarray, seed: int) -> DataFrame:
             return batch
 
         for doc_id, row_key, text in tokens.rows(batches, "doc_id", "row_key", "text"):
-            h = shingles(text, known)
+            h = shingles(text, known, words)
             node, check = (xxhash.xxh3_64_intdigest(h.tobytes(), seed + i) - (1 << 63) for i in (0, 1))
             if node in seen or not len(h):
                 rows.append((doc_id, row_key, len(h), node, check, None, None))
@@ -166,7 +166,7 @@ def profiles(docs: DataFrame, rarity: np.ndarray, seed: int) -> DataFrame:
                 if len(seen) < 500_000:
                     seen.add(node)
                 rare = counts[slot_of(h, SLOTS)]
-                rows.append((doc_id, row_key, len(h), node, check, prefix(h, rare, 0).view(np.int64), bits_of(h).tobytes()))
+                rows.append((doc_id, row_key, len(h), node, check, prefix(h, rare, 0, percent).view(np.int64), bits_of(h).tobytes()))
             if len(rows) >= 1000:
                 yield flush()
         yield flush()
@@ -271,20 +271,20 @@ class Forest:
         return a != b
 
 
-def candidates(node: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: list[np.ndarray], forest: bool) -> list[tuple[int, int]]:
+def candidates(node: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: list[np.ndarray], forest: bool, percent: int = PERCENT) -> list[tuple[int, int]]:
     """The pairs of a task of different components, near in size, with few differing parities.
 
     With ``forest`` only those that connect components not yet connected, likeliest first.
     """
     a, b = np.triu_indices(len(node), 1)
     low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-    keep = (comp[a] != comp[b]) & (100 * low >= PERCENT * high)
+    keep = (comp[a] != comp[b]) & (100 * low >= percent * high)
     a, b = a[keep], b[keep]
     if not len(a):
         return []
     # At similarity s = o / (na + nb - o) the sets differ in na + nb - 2 o shingles.
     total = n[a] + n[b]
-    most = total - 2 * (-(-PERCENT * total // (100 + PERCENT)))
+    most = total - 2 * (-(-percent * total // (100 + percent)))
     differ = np.zeros(len(a), np.int64)
     width = np.array([len(x) for x in bits])
     common_width = np.minimum(width[a], width[b])
@@ -313,7 +313,7 @@ def candidates(node: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: list[np.
     return out
 
 
-def candidate_pairs(tasks: DataFrame, found: DataFrame, labels: DataFrame, forest: bool) -> DataFrame:
+def candidate_pairs(tasks: DataFrame, found: DataFrame, labels: DataFrame, forest: bool, percent: int = PERCENT) -> DataFrame:
     """a, b (a < b) from the comparisons of all tasks."""
     wanted = tasks.select("node").distinct()
     sets = found.filter(F.col("bits").isNotNull()).select("node", "n", "bits").join(wanted, "node", "left_semi").dropDuplicates(["node"])
@@ -328,7 +328,7 @@ def candidate_pairs(tasks: DataFrame, found: DataFrame, labels: DataFrame, fores
         def close():
             if len(held) > 1:
                 node, comp, n = (np.array(c, np.int64) for c in zip(*(r[:3] for r in held), strict=True))
-                out.extend(candidates(node, comp, n, [np.frombuffer(r[-1], np.uint8) for r in held], forest))
+                out.extend(candidates(node, comp, n, [np.frombuffer(r[-1], np.uint8) for r in held], forest, percent))
 
         def flush():
             pairs = {(min(p), max(p)) for p in out}
@@ -351,16 +351,16 @@ def candidate_pairs(tasks: DataFrame, found: DataFrame, labels: DataFrame, fores
 # -- verification and components -------------------------------------------------------------
 
 
-def links(a: np.ndarray, b: np.ndarray, *prefixes: np.ndarray) -> bool:
+def links(a: np.ndarray, b: np.ndarray, *prefixes: np.ndarray, percent: int = PERCENT) -> bool:
     """Whether two sets link; ``prefixes`` are the two sides' tokens under each other order."""
     for x, y in zip(prefixes[::2], prefixes[1::2], strict=True):
         if not len(np.intersect1d(x, y, assume_unique=True)):
             return False
     shared = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * shared >= PERCENT * (len(a) + len(b) - shared)
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def verified(pairs: DataFrame, found: DataFrame, docs: DataFrame, rarity: np.ndarray, seed: int) -> DataFrame:
+def verified(pairs: DataFrame, found: DataFrame, docs: DataFrame, rarity: np.ndarray, seed: int, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The pairs whose whole sets link.
 
     A pair that shares no prefix token under one of the other orders is dropped; the
@@ -387,14 +387,14 @@ def verified(pairs: DataFrame, found: DataFrame, docs: DataFrame, rarity: np.nda
             for s in range(0, hits.num_rows, 500):
                 rows = []
                 for (text,) in tokens.rows([hits.slice(s, 500)], "text"):
-                    h = shingles(text, known)
+                    h = shingles(text, known, words)
                     node = xxhash.xxh3_64_intdigest(h.tobytes(), seed) - (1 << 63)
                     if len(h) and node not in seen:
                         if len(seen) < 500_000:
                             seen.add(node)
                         rare = counts[slot_of(h, SLOTS)]
                         # Sixteen bits of a token suffice to tell that prefixes share none.
-                        rows.append((node, h.tobytes(), *(np.unique(prefix(h, rare, t + 1).astype(np.uint16)).tobytes() for t in range(MORE_ORDERS))))
+                        rows.append((node, h.tobytes(), *(np.unique(prefix(h, rare, t + 1, percent).astype(np.uint16)).tobytes() for t in range(MORE_ORDERS))))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], names=["node", "shingles", *others])
 
     whole = docs.select("doc_id", "text").mapInArrow(sets, "node long, shingles binary" + "".join(f", {o} binary" for o in others)).join(ends, "node", "left_semi").dropDuplicates(["node"])
@@ -406,7 +406,7 @@ def verified(pairs: DataFrame, found: DataFrame, docs: DataFrame, rarity: np.nda
 
     def check(batches):
         for batch in batches:
-            keep = [links(*(np.frombuffer(x, t) for x, t in zip(row, types, strict=True))) for row in tokens.rows([batch], *batch.schema.names[2:])]
+            keep = [links(*(np.frombuffer(x, t) for x, t in zip(row, types, strict=True)), percent=percent) for row in tokens.rows([batch], *batch.schema.names[2:])]
             good = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([good.column("a"), good.column("b")], names=["a", "b"])
 
@@ -439,13 +439,13 @@ def components(pairs: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
-def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, row_key, n, node) and the sets (node, rows, comp, low: smallest doc_id)."""
     docs = docs.select("doc_id", "text")
     seed = 0
     while True:
-        rarity = frequencies(docs, seed)
-        found = common.materialise(profiles(docs, rarity, seed), "profiles")
+        rarity = frequencies(docs, seed, words)
+        found = common.materialise(profiles(docs, rarity, seed, words, percent), "profiles")
         # A node stands for one set: where two hashes disagree, all are made anew.
         if not found.groupBy("node").agg(F.min("check").alias("x"), F.max("check").alias("y")).filter("x <> y").take(1):
             break
@@ -458,20 +458,20 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     for across, forest in ((False, True), (True, True), (True, False)):
         with_comp = (members if across else strongest_groups(members)).join(labels, "node", "left").select("gid", "node", F.coalesce("comp", "node").alias("comp"))
         tasks = common.materialise(comparisons(with_comp, across), "tasks")
-        pairs = common.materialise(candidate_pairs(tasks, found, labels, forest), "pairs")
+        pairs = common.materialise(candidate_pairs(tasks, found, labels, forest, percent), "pairs")
         if pairs.isEmpty():
             continue
-        good = common.materialise(verified(pairs, found, docs, rarity, seed), "verified")
+        good = common.materialise(verified(pairs, found, docs, rarity, seed, words, percent), "verified")
         all_links = good if all_links is None else all_links.unionByName(good)
         labels = components(all_links)
     classes = found.groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("rows")).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     return found.select("doc_id", "row_key", "n", "node"), common.materialise(classes.select("node", "rows", "comp", "low"), "classes")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
-    Sets are the distinct shingles of WORDS words of the whole text, A-Z lower-cased;
+    Sets are the distinct shingles of ``words`` words of the whole text, A-Z lower-cased;
     a text with fewer words is one shingle, null and blank texts have none and link with nothing.
     Links are exact: every pair of sets that can link shares a prefix token under each
     order, and pairs that pass are counted on whole sets. Pairs already known to be in one
@@ -480,20 +480,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     one id with different texts are told apart by their sets. No rows in, no rows out;
     other columns are ignored.
     """
-    rows, classes = linked(docs)
+    rows, classes = linked(docs, words, percent)
     lowest = classes.groupBy("comp").agg(F.min("low").alias("component"))
     groups = common.materialise(classes.select("node", "rows", "comp").join(lowest, "comp").select("node", "rows", "component"), "components")
     out = common.with_groups(rows, groups, ["node"], "rows")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents that stay, with the columns of ``docs``: of each component the one
     with the smallest id (null last), and all that link with nothing.
 
     Rows that repeat both id and text become one row.
     """
-    rows, classes = linked(docs)
+    rows, classes = linked(docs, words, percent)
     labelled = common.with_groups(rows, classes.select("node", "rows", "comp"), ["node"], "rows")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first")
     stays = labelled.filter("n > 0").groupBy("comp").agg(first).select("first.doc_id", "first.row_key")
@@ -505,4 +505,4 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(common.table(spark, sf_dir, "documents"))
+    return near_duplicates(common.table(spark, sf_dir, "documents"), WORDS, PERCENT)

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from andamio.llm import common, exact_dedup, packing, quality_gam, shingle_join, source_mix
 
+#: Words in a shingle, and similarity from which documents are near copies, in hundredths.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
@@ -23,7 +26,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of similar shingle sets connect, the one with the smallest id stays."""
-    return shingle_join.keep_one_of_each(docs)
+    return shingle_join.keep_one_of_each(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

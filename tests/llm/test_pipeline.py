@@ -97,6 +97,21 @@ def test_near_copies_keep_columns_and_odd_rows(spark):
     assert shingle_join.keep_one_of_each(docs(spark, [])).collect() == []
 
 
+def test_near_copies_link_from_four_fifths_of_five_word_shingles(spark):
+    words = [f"w{i}" for i in range(104)]  # 100 shingles of five words, 101 of four
+    edit = lambda first, *at: " ".join(f"{first}{i}" if i in at else w for i, w in enumerate(words))
+    # Edits take 10 of 100 shingles (90 / 110 = 0.818), and 12 (88 / 112 = 0.786); of four words 8 (93 / 109 = 0.853).
+    rows = [(1, " ".join(words)), (2, edit("x", 30, 60)), (3, edit("y", 20, 50, 103, 102))]
+    # The last 19 words replaced take 19 shingles at either length: 81 / 119 and 82 / 120.
+    rows += [(4, " ".join([*words[:85], *(f"z{i}" for i in range(19))]))]
+    # One edit inside and six at the end: 11 of 100 shingles (89 / 111 = 0.802), of four words 10 (91 / 111 = 0.82).
+    other = [w.replace("w", "v") for w in words]
+    rows += [(5, " ".join(other)), (6, " ".join(["u" if i == 40 else f"u{i}" if i >= 98 else w for i, w in enumerate(other)]))]
+    frame = docs(spark, rows)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, frame, "").collect()) == [1, 3, 4, 5]
+    assert sorted(r.doc_id for r in shingle_join.keep_one_of_each(frame).collect()) == [1, 3, 4, 5, 6]
+
+
 def test_stages_return_documents(spark, tmp_path):
     empty = spark.createDataFrame([], DOCS)
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

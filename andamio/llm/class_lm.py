@@ -256,6 +256,7 @@ def score(docs: DataFrame, common_words: int = COMMON_WORDS, rounds: int = ROUND
     Other columns are ignored.
     """
     docs = docs.select("doc_id", "text")
+    common.small_batches(docs.sparkSession)
     model, counts = train(docs, common_words, rounds)
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema(

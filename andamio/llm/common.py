@@ -67,6 +67,17 @@ def materialise(df: DataFrame, what: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes in a batch that goes to a Python worker, unless the session sets it.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches for Python workers by bytes, as rows may be long texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z alone. Pure ASCII text takes the quick built-in."""
     return F.when(F.char_length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -76,15 +87,15 @@ def ascii_lower(text: Column) -> Column:
 HOT_GROUPS = 256
 
 
-def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, fit: Column | None = None) -> DataFrame:
     """Joins each row to its group's row without gathering a large group in a task.
 
     ``groups`` has one row per key. The ``HOT_GROUPS`` largest go by broadcast (a
     bounded number of rows); the rest, none of which can hold more than
-    1/HOT_GROUPS of the rows, by a shuffle. Both inputs are read twice, so
-    they should be materialised.
+    1/HOT_GROUPS of the rows, by a shuffle. ``fit`` bounds what a broadcast row may
+    hold, where keys can be long. Both inputs are read twice, so they should be materialised.
     """
-    hot = groups.filter(F.col(size) > 1).orderBy(F.desc(size), *keys).limit(HOT_GROUPS)
+    hot = groups.filter(F.col(size) > 1).filter(F.lit(True) if fit is None else fit).orderBy(F.desc(size), *keys).limit(HOT_GROUPS)
     usual = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups, keys)
     return usual.unionByName(rows.join(F.broadcast(hot), keys))
 

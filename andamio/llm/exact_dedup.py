@@ -7,13 +7,22 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: A chunk ends behind a line end, a sentence end before one of some letters, or a blank
-#: between some letters, so a boundary depends on the text around it and not on its place.
+#: A chunk ends behind a line end, a sentence end before one of some letters, a blank
+#: between some letters, a pair of letters and digits that prose seldom has, or one of some
+#: characters of other scripts, so a boundary depends on the text around it and not on its
+#: place. Where no boundary comes within LONGEST characters the chunk is cut there.
 SHORTEST, LONGEST = 512, 8192
 
 
+def boundary_letters() -> str:
+    """Every 16th character of the alphabets from U+0370 to U+1FFF and every 61st from U+2000 to U+FFEF."""
+    found = [*range(0x372, 0x2000, 16), *(c for c in range(0x2000, 0xFFF0, 61) if not 0xD800 <= c < 0xE000)]
+    return "".join(rf"\x{{{c:04X}}}" for c in found)
+
+
 def chunk_pattern(shortest: int = SHORTEST, longest: int = LONGEST) -> str:
-    return rf"(?s).{{{shortest},{longest}}}?(?:\n|[.!?;,] ?(?=[a-h])|[aeiou\d] (?=[a-c])|\z)|.+"
+    ends = rf"\n|[.!?;,] ?(?=[a-h])|[aeiou\d] (?=[a-c])|[jqxz](?=[jqxz\d])|(?=[^\x00-\x{{36F}}])[{boundary_letters()}]|\z"
+    return rf"(?s).{{{shortest},{longest}}}?(?:{ends})|.{{1,{longest}}}"
 
 
 def chunks_of(text: Column, shortest: int = SHORTEST, longest: int = LONGEST) -> Column:
@@ -21,6 +30,10 @@ def chunks_of(text: Column, shortest: int = SHORTEST, longest: int = LONGEST) ->
     return F.regexp_extract_all(text, F.lit(chunk_pattern(shortest, longest)), F.lit(0))
 
 
+#: Chunks in a recipe that may go by broadcast, for the largest groups.
+SHORT_RECIPE = 64
+
+
 def chunk_id(chunk: Column, seed: int) -> Column:
     salted = chunk if seed == 0 else F.concat(chunk, F.lit(f"\x00{seed}"))
     return F.unhex(F.substring(F.sha2(salted, 256), 1, 32))
@@ -63,25 +76,26 @@ def exact_duplicates(docs: DataFrame, shortest: int = SHORTEST, longest: int = L
         recipes(docs, seed, shortest, longest).groupBy("recipe", "doc_id").agg(F.count(F.lit(1)).alias("times"), F.min("text_sha256").alias("text_sha256")), "recipes"
     )
     groups = common.materialise(rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("times").alias("group_size")), "groups")
-    out = common.with_groups(rows, groups, ["recipe"], "group_size")
+    out = common.with_groups(rows, groups, ["recipe"], "group_size", F.size("recipe") <= SHORT_RECIPE)
     out = out.select("*", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("nth"))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)
     return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with the columns of ``docs``.
+    """The documents that stay, with the columns of ``docs`` under any names.
 
-    Rows that repeat both id and text become one row.
+    Rows that repeat both id and text become one row. Null and empty texts are equal,
+    and one of them stays; no rows in, no rows out.
     """
     decided = common.materialise(exact_duplicates(docs).select("doc_id", "kept", "text_sha256"), "decided")
-    stays = decided.filter("kept").select(F.col("doc_id").alias("_stays"), F.col("text_sha256").alias("_sha"))
+    stays = decided.filter("kept").select(F.col("doc_id").alias("stays"), F.col("text_sha256").alias("stays_sha"))
     sha = F.sha2(common.ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256)
-    rows = docs.withColumn("_row_sha", sha)
-    found = rows.join(stays, F.col("doc_id").eqNullSafe(F.col("_stays")) & (F.col("_row_sha") == F.col("_sha")), "left_semi")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), sha.alias("sha"))
+    found = rows.join(stays, F.col("id").eqNullSafe(F.col("stays")) & (F.col("sha") == F.col("stays_sha")), "left_semi")
     if decided.groupBy("doc_id", "text_sha256").count().filter("count > 1").take(1):
-        found = found.dropDuplicates(["doc_id", "_row_sha"])
-    return found.select(*docs.columns)
+        found = found.dropDuplicates(["id", "sha"])
+    return found.select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,6 +143,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: in
     patterns go back as runs of ranks, whose number depends on the histogram alone.
     """
     path = path or tokens.default_path()
+    common.small_batches(docs.sparkSession)
     pieces = common.materialise(tokenised_pieces(docs, path, length, end), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     runs = docs.sparkSession.sparkContext.broadcast(slots(shortest_pack_first(counts, length)))

@@ -192,6 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, learnt: int = LEARNT) -> Additive:
     the driver. Labels that are null are left out, and so are null ids; a document
     labelled 0 and 1 counts once with each.
     """
+    common.small_batches(docs.sparkSession)
     usable = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").filter(fold(F.col("doc_id")) != HELD_OUT).select("doc_id", "quality").distinct()
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(learnt)
 
@@ -231,9 +232,14 @@ def judge(docs: DataFrame, labels: DataFrame, learnt: int = LEARNT) -> DataFrame
 
 
 def accepted(docs: DataFrame, labels: DataFrame, learnt: int = LEARNT) -> DataFrame:
-    """The documents that the model accepts, with the columns of ``docs``."""
+    """The documents that the model accepts, with the columns of ``docs`` under any names.
+
+    Null texts score as empty ones, repeated rows are each kept or each dropped, null ids
+    are judged by their text; no rows in, no rows out. Without usable labels all stay.
+    """
     model = train(docs, labels, learnt)
-    return docs.withColumn("_score", quality_score(model, F.col("text"))).filter(F.col("_score") >= ACCEPT).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), quality_score(model, F.col("text")).alias("score"))
+    return rows.filter(F.col("score") >= ACCEPT).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,11 +14,17 @@ from . import common, tokens
 
 #: The query's words in a shingle, and similarity from which documents link, in hundredths.
 WORDS, PERCENT = 4, 85
-#: Counters of shingle frequencies, and of documents to fetch: tables of a fixed size.
-SLOTS, FETCH_SLOTS = 1 << 20, 1 << 22
+#: Counters of shingle frequencies, and marks of documents to fetch: tables that grow with the
+#: data between these bounds. A fuller table costs time (worse orders, more documents
+#: fetched), never a link.
+LEAST_SLOTS, MOST_SLOTS, MOST_MARKS = 1 << 16, 1 << 23, 1 << 24
+#: Bytes of text for each counter.
+BYTES_A_SLOT = 400
 #: Orders beside the first; members that are compared in one task.
 MORE_ORDERS, TOGETHER = 2, 1024
 BLOCK = TOGETHER // 2
+#: A token that so many documents have is a group by itself: its list is never gathered.
+HOT_TOKEN = 100_000
 
 # Odd multipliers of a 64-bit mixer.
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -38,7 +44,7 @@ class WordHashes(dict):
         self.seed = seed
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = found = xxhash.xxh3_64_intdigest(word, self.seed)
         return found
@@ -67,7 +73,22 @@ def slot_of(h: np.ndarray, slots: int) -> np.ndarray:
     return (h & np.uint64(slots - 1)).astype(np.int64)
 
 
-# -- tables of a fixed size, summed over all tasks -----------------------------------------
+# -- tables summed over all tasks -----------------------------------------------------------
+
+
+def table_size(wanted: int, most: int) -> int:
+    """A power of two from ``wanted`` on, between the bounds."""
+    return min(most, max(LEAST_SLOTS, 1 << max(0, wanted - 1).bit_length()))
+
+
+def packed(table: np.ndarray) -> bytes:
+    """Counters in as few bytes each as the largest needs."""
+    top = int(table.max(initial=0))
+    return table.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32).tobytes()
+
+
+def unpacked(data: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(data, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(data) // size])
 
 
 def summed_slots(df: DataFrame, slots: int, count) -> np.ndarray:
@@ -79,16 +100,16 @@ def summed_slots(df: DataFrame, slots: int, count) -> np.ndarray:
     parts, size = 64, slots // 64
 
     def own(batches):
-        table = np.zeros(slots, np.int64)
+        table = np.zeros(slots, np.uint32)
         count(batches, table)
         at = [i for i in range(parts) if table[i * size : (i + 1) * size].any()]
-        data = [table[i * size : (i + 1) * size].astype(np.uint32).tobytes() for i in at]
+        data = [packed(table[i * size : (i + 1) * size]) for i in at]
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(data, pa.binary())], names=["part", "data"])
 
     def together(batches):
         held: dict[int, np.ndarray] = {}
         for part, data in tokens.rows(batches, "part", "data"):
-            held[part] = held.get(part, 0) + np.frombuffer(data, np.uint32).astype(np.int64)
+            held[part] = held.get(part, 0) + unpacked(data, size).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int32()), pa.array([np.minimum(v, 2**31).astype(np.uint32).tobytes() for v in held.values()], pa.binary())], names=["part", "data"])
 
     kind = "part int, data binary"
@@ -100,13 +121,15 @@ def summed_slots(df: DataFrame, slots: int, count) -> np.ndarray:
 
 def frequencies(docs: DataFrame, seed: int, words: int = WORDS) -> np.ndarray:
     """How many documents have a shingle, by slot: all documents count."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slots = table_size(size // BYTES_A_SLOT, MOST_SLOTS)
 
     def count(batches, table):
         known = WordHashes(seed)
         for (text,) in tokens.rows(batches, "text"):
-            np.add.at(table, slot_of(shingles(text, known, words), SLOTS), 1)
+            np.add.at(table, slot_of(shingles(text, known, words), slots), np.uint32(1))
 
-    return summed_slots(docs.select("text"), SLOTS, count)
+    return summed_slots(docs.select("text"), slots, count)
 
 
 # -- profiles ------------------------------------------------------------------------------
@@ -138,14 +161,18 @@ def fold(bits: np.ndarray) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, rarity: np.ndarray, seed: int, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, row_key, n, node, check, prefix, bits of each document.
+    """doc_id, row_key, n, node, check, prefix, hot, others, bits of each document, written down.
 
     node stands for the set of shingles. A set that comes again in the task has no
-    more than its node, so that many equal texts are few from here on.
+    more than its node, so that many equal texts are few from here on. prefix and hot are
+    the tokens under the first order, hot those that very many documents have; others
+    has the tokens under each further order, sorted, as 32-bit numbers (a clash of two
+    may let a pair through to the exact count, and never drops one).
     """
     held = docs.sparkSession.sparkContext.broadcast(rarity)
+    others = [f"other{i}" for i in range(MORE_ORDERS)]
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("row_key", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("prefix", pa.list_(pa.int64())), ("bits", pa.binary())]
+        [*((c, pa.int64()) for c in ("doc_id", "row_key", "n", "node", "check")), ("prefix", pa.list_(pa.int64())), ("hot", pa.list_(pa.int64())), *((o, pa.binary()) for o in others), ("bits", pa.binary())]
     )
 
     def describe(batches):
@@ -161,25 +188,35 @@ def profiles(docs: DataFrame, rarity: np.ndarray, seed: int, words: int = WORDS,
             h = shingles(text, known, words)
             node, check = (xxhash.xxh3_64_intdigest(h.tobytes(), seed + i) - (1 << 63) for i in (0, 1))
             if node in seen or not len(h):
-                rows.append((doc_id, row_key, len(h), node, check, None, None))
+                rows.append((doc_id, row_key, len(h), node, check, *[None] * (3 + MORE_ORDERS)))
             else:
-                if len(seen) < 500_000:
+                if len(seen) < 100_000:
                     seen.add(node)
-                rare = counts[slot_of(h, SLOTS)]
-                rows.append((doc_id, row_key, len(h), node, check, prefix(h, rare, 0, percent).view(np.int64), bits_of(h).tobytes()))
+                rare = counts[slot_of(h, len(counts))]
+                first = prefix(h, rare, 0, percent)
+                hot = counts[slot_of(first, len(counts))] >= HOT_TOKEN
+                further = (short_tokens(prefix(h, rare, t + 1, percent)).tobytes() for t in range(MORE_ORDERS))
+                rows.append((doc_id, row_key, len(h), node, check, first[~hot].view(np.int64), first[hot].view(np.int64), *further, bits_of(h).tobytes()))
             if len(rows) >= 1000:
                 yield flush()
         yield flush()
 
-    return docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text").mapInArrow(describe, "doc_id long, row_key long, n long, node long, check long, prefix array<long>, bits binary")
+    kind = "doc_id long, row_key long, n long, node long, check long, prefix array<long>, hot array<long>, " + "".join(f"{o} binary, " for o in others) + "bits binary"
+    found = common.materialise(docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text").mapInArrow(describe, kind), "profiles")
+    held.destroy()
+    return found
+
+
+def short_tokens(h: np.ndarray) -> np.ndarray:
+    return np.unique((h >> np.uint64(32)).astype(np.uint32))
 
 
 # -- groups that share a prefix token ----------------------------------------------------------
 
 
-def memberships(found: DataFrame) -> DataFrame:
-    """gid, node, tokens: the sets that share a token of the first order's prefix, once for
-    each different group of sets, with the number of tokens that this group shares."""
+def sharing_groups(rows: DataFrame) -> DataFrame:
+    """gid, node, tokens: the nodes that share a token of ``rows`` (token, node), once for each
+    different group of nodes, with the number of tokens that this group shares."""
 
     def groups(batches):
         """Streams of rows sorted by token; a group may span batches."""
@@ -215,17 +252,65 @@ def memberships(found: DataFrame) -> DataFrame:
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in done], names=["gid", "node"])
 
-    rows = found.select(F.explode("prefix").alias("token"), "node")
     return rows.repartition("token").sortWithinPartitions("token").mapInArrow(groups, "gid long, node long").groupBy("gid", "node").agg(F.count(F.lit(1)).alias("tokens"))
 
 
+def memberships(found: DataFrame) -> DataFrame:
+    """gid, node, tokens: the groups of sets that share tokens of the first order's prefix.
+
+    A hot token is a group's name as it stands, so its sets meet in no task here.
+    """
+    hot = found.select(F.explode("hot").alias("gid"), "node").distinct().withColumn("tokens", F.lit(1).cast("long"))
+    return sharing_groups(found.select(F.explode("prefix").alias("token"), "node")).unionByName(hot)
+
+
 def strongest_groups(members: DataFrame) -> DataFrame:
     """Of each set its group that shares most tokens, the largest of equals."""
-    sizes = members.groupBy("gid").agg(F.count(F.lit(1)).alias("sets"))
-    best = members.join(sizes, "gid").groupBy("node").agg(F.max(F.struct("tokens", "sets", "gid")).alias("best"))
+    sizes = common.materialise(members.groupBy("gid").agg(F.count(F.lit(1)).alias("sets")), "sizes")
+    best = common.with_groups(members, sizes, ["gid"], "sets").groupBy("node").agg(F.max(F.struct("tokens", "sets", "gid")).alias("best"))
     return best.select("best.gid", "node")
 
 
+def group_sizes(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members by group and component; groups of several components with all their members."""
+    sizes = common.materialise(members.groupBy("gid", "comp").agg(F.count(F.lit(1)).alias("of_comp")), "sizes")
+    groups = sizes.groupBy("gid").agg(F.sum("of_comp").alias("of_all"), F.count(F.lit(1)).alias("comps"))
+    return sizes, common.materialise(groups.filter("comps > 1"), "groups")
+
+
+def refined(members: DataFrame, found: DataFrame, labels: DataFrame) -> DataFrame:
+    """gid, node, comp: large groups cut by the tokens under the next order, and the next.
+
+    Two sets that link share a token under every order, so within a group of the first
+    order they share a group of the second. Groups that fit a task stay as they are.
+    """
+    for i in range(MORE_ORDERS):
+        groups = group_sizes(members)[1]
+        large = groups.filter(F.col("of_all") > TOGETHER)
+        if large.isEmpty():
+            break
+        rows = common.with_groups(members, groups, ["gid"], "of_all")
+        other = f"other{i}"
+        sets = found.filter(F.col("bits").isNotNull()).select("node", other).dropDuplicates(["node"])
+
+        def cut(batches, other=other):
+            out, size = [], 0
+            for gid, node, data in tokens.rows(batches, "gid", "node", other):
+                t = np.frombuffer(data, np.uint32).astype(np.uint64)
+                out.append((mixed(t + mixed(np.array([gid], np.int64).view(np.uint64), 4)).view(np.int64), np.full(len(t), node, np.int64)))
+                size += len(t)
+                if size >= 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["token", "node"])
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["token", "node"])
+
+        exploded = rows.filter(F.col("of_all") > TOGETHER).select("gid", "node").join(sets, "node").mapInArrow(cut, "token long, node long")
+        new = sharing_groups(exploded).select("gid", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        members = common.materialise(rows.filter(F.col("of_all") <= TOGETHER).select("gid", "node", "comp").unionByName(new), "refined")
+    return members
+
+
 def comparisons(members: DataFrame, across: bool) -> DataFrame:
     """task, node: who is compared in which task, at most TOGETHER sets or two blocks of them.
 
@@ -234,12 +319,11 @@ def comparisons(members: DataFrame, across: bool) -> DataFrame:
     ``across`` all blocks meet but those of one and the same component; without it a
     block stays alone.
     """
-    sizes = members.groupBy("gid", "comp").agg(F.count(F.lit(1)).alias("of_comp"))
-    groups = sizes.groupBy("gid").agg(F.sum("of_comp").alias("of_all"), F.count(F.lit(1)).alias("comps"))
-    groups = groups.filter("comps > 1")
-    rows = members.join(groups, "gid")
+    sizes, groups = group_sizes(members)
+    rows = common.with_groups(members, groups, ["gid"], "of_all")
     small = rows.filter(F.col("of_all") <= TOGETHER).select(F.xxhash64("gid").alias("task"), "node")
-    large = rows.filter(F.col("of_all") > TOGETHER).join(sizes, ["gid", "comp"])
+    large = common.materialise(rows.filter(F.col("of_all") > TOGETHER), "large")
+    large = common.with_groups(large, sizes, ["gid", "comp"], "of_comp")
     own = F.col("of_comp") >= BLOCK // 2
     blocks = F.ceil(F.when(own, F.col("of_comp")).otherwise(F.col("of_all")) / BLOCK)
     large = large.select("gid", "node", F.when(own, F.col("comp")).alias("pure"), F.pmod(F.xxhash64("node", "gid"), blocks).alias("block"))
@@ -271,15 +355,41 @@ class Forest:
         return a != b
 
 
-def candidates(node: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: list[np.ndarray], forest: bool, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """The pairs of a task of different components, near in size, with few differing parities.
-
+def sharing(sets: list[np.ndarray]) -> np.ndarray:
+    """Which of some token sets share a token with which, as a matrix."""
+    out = np.zeros((len(sets), len(sets)), bool)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    token = np.concatenate(sets)
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+    length = np.diff(edges)
+    two = edges[:-1][length == 2]
+    out[owner[two], owner[two + 1]] = True
+    known = set()
+    for at in np.flatnonzero(length > 2):
+        group = owner[edges[at] : edges[at + 1]]
+        if (key := group.tobytes()) not in known:
+            known.add(key)
+            out[np.ix_(group, group)] = True
+    return out | out.T
+
+
+def candidates(node: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: list[np.ndarray], others: list[list[np.ndarray]], forest: bool, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """The pairs of a task, which share a token of the first order, that pass all filters.
+
+    They share a token under each of the other orders too (``others``: every member's tokens
+    under each), are of different components, near in size, with few differing parities.
     With ``forest`` only those that connect components not yet connected, likeliest first.
     """
     a, b = np.triu_indices(len(node), 1)
     low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
     keep = (comp[a] != comp[b]) & (100 * low >= percent * high)
     a, b = a[keep], b[keep]
+    for sets in others:
+        if len(a):
+            keep = sharing(sets)[a, b]
+            a, b = a[keep], b[keep]
     if not len(a):
         return []
     # At similarity s = o / (na + nb - o) the sets differ in na + nb - 2 o shingles.
@@ -315,10 +425,11 @@ def candidates(node: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: list[np.
 
 def candidate_pairs(tasks: DataFrame, found: DataFrame, labels: DataFrame, forest: bool, percent: int = PERCENT) -> DataFrame:
     """a, b (a < b) from the comparisons of all tasks."""
+    others = [f"other{i}" for i in range(MORE_ORDERS)]
     wanted = tasks.select("node").distinct()
-    sets = found.filter(F.col("bits").isNotNull()).select("node", "n", "bits").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    sets = found.filter(F.col("bits").isNotNull()).select("node", "n", *others, "bits").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     sets = sets.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rows = tasks.join(sets, "node").select("task", "node", "comp", "n", "bits")
+    rows = tasks.join(sets, "node").select("task", "node", "comp", "n", *others, "bits")
 
     def compare(batches):
         out: list[tuple[int, int]] = []
@@ -328,14 +439,15 @@ def candidate_pairs(tasks: DataFrame, found: DataFrame, labels: DataFrame, fores
         def close():
             if len(held) > 1:
                 node, comp, n = (np.array(c, np.int64) for c in zip(*(r[:3] for r in held), strict=True))
-                out.extend(candidates(node, comp, n, [np.frombuffer(r[-1], np.uint8) for r in held], forest, percent))
+                further = [[np.frombuffer(r[3 + i], np.uint32) for r in held] for i in range(MORE_ORDERS)]
+                out.extend(candidates(node, comp, n, [np.frombuffer(r[-1], np.uint8) for r in held], further, forest, percent))
 
         def flush():
             pairs = {(min(p), max(p)) for p in out}
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*pairs, strict=True) if pairs else ([], []))], names=["a", "b"])
 
-        for row in tokens.rows(batches, "task", "node", "comp", "n", "bits"):
+        for row in tokens.rows(batches, "task", "node", "comp", "n", *others, "bits"):
             if row[0] != task:
                 close()
                 task, held = row[0], []
@@ -351,66 +463,56 @@ def candidate_pairs(tasks: DataFrame, found: DataFrame, labels: DataFrame, fores
 # -- verification and components -------------------------------------------------------------
 
 
-def links(a: np.ndarray, b: np.ndarray, *prefixes: np.ndarray, percent: int = PERCENT) -> bool:
-    """Whether two sets link; ``prefixes`` are the two sides' tokens under each other order."""
-    for x, y in zip(prefixes[::2], prefixes[1::2], strict=True):
-        if not len(np.intersect1d(x, y, assume_unique=True)):
-            return False
+def links(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     shared = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def verified(pairs: DataFrame, found: DataFrame, docs: DataFrame, rarity: np.ndarray, seed: int, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The pairs whose whole sets link.
+def verified(pairs: DataFrame, found: DataFrame, docs: DataFrame, seed: int, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The pairs whose whole sets link, by an exact count, written down.
 
-    A pair that shares no prefix token under one of the other orders is dropped; the
-    shingles of those left are counted exactly.
+    Only documents whose ids are marked are read again as sets; a mark may stand for
+    more than one id.
     """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     ids = common.materialise(found.filter("bits IS NOT NULL").join(ends, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "ends")
+    marks = table_size(32 * ids.count(), MOST_MARKS)
+    place = lambda ids: slot_of(mixed(ids.fill_null(-1).to_numpy().view(np.uint64)), marks)
 
     def mark(batches, table):
         for batch in batches:
-            table[slot_of(mixed(batch.column(0).fill_null(-1).to_numpy().view(np.uint64)), FETCH_SLOTS)] = 1
+            table[place(batch.column(0))] = 1
 
-    held = docs.sparkSession.sparkContext.broadcast(rarity)
-    fetch = docs.sparkSession.sparkContext.broadcast(summed_slots(ids.select("doc_id"), FETCH_SLOTS, mark) > 0)
-
-    others = [f"other{i}" for i in range(MORE_ORDERS)]
-    kinds = [pa.int64(), pa.binary(), *[pa.binary()] * MORE_ORDERS]
+    fetch = docs.sparkSession.sparkContext.broadcast(summed_slots(ids.select("doc_id"), marks, mark) > 0)
 
     def sets(batches):
-        known, wanted, counts, seen = WordHashes(seed), fetch.value, held.value, set()
+        known, wanted, seen = WordHashes(seed), fetch.value, set()
         for batch in batches:
-            at = slot_of(mixed(batch.column(0).fill_null(-1).to_numpy().view(np.uint64)), FETCH_SLOTS)
-            hits = batch.filter(pa.array(wanted[at]))
+            hits = batch.filter(pa.array(wanted[place(batch.column(0))]))
             for s in range(0, hits.num_rows, 500):
                 rows = []
                 for (text,) in tokens.rows([hits.slice(s, 500)], "text"):
                     h = shingles(text, known, words)
                     node = xxhash.xxh3_64_intdigest(h.tobytes(), seed) - (1 << 63)
                     if len(h) and node not in seen:
-                        if len(seen) < 500_000:
+                        if len(seen) < 100_000:
                             seen.add(node)
-                        rare = counts[slot_of(h, SLOTS)]
-                        # Sixteen bits of a token suffice to tell that prefixes share none.
-                        rows.append((node, h.tobytes(), *(np.unique(prefix(h, rare, t + 1, percent).astype(np.uint16)).tobytes() for t in range(MORE_ORDERS))))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], names=["node", "shingles", *others])
+                        rows.append((node, h.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 2, (pa.int64(), pa.binary()), strict=True)], names=["node", "shingles"])
 
-    whole = docs.select("doc_id", "text").mapInArrow(sets, "node long, shingles binary" + "".join(f", {o} binary" for o in others)).join(ends, "node", "left_semi").dropDuplicates(["node"])
+    whole = docs.select("doc_id", "text").mapInArrow(sets, "node long, shingles binary").join(ends, "node", "left_semi").dropDuplicates(["node"])
     whole = common.materialise(whole, "sets")
-    side = lambda p: whole.select(F.col("node").alias(p), F.struct(*others).alias(f"orders_{p}"), F.col("shingles").alias(f"of_{p}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a", "of_b", *(F.col(f"orders_{p}.{o}").alias(f"{o}_{p}") for o in others for p in "ab"))
-
-    types = [np.uint64, np.uint64, *[np.uint16] * 2 * MORE_ORDERS]
+    fetch.destroy()
+    side = lambda p: whole.select(F.col("node").alias(p), F.col("shingles").alias(f"of_{p}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a", "of_b")
 
     def check(batches):
         for batch in batches:
-            keep = [links(*(np.frombuffer(x, t) for x, t in zip(row, types, strict=True)), percent=percent) for row in tokens.rows([batch], *batch.schema.names[2:])]
+            keep = [links(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in tokens.rows([batch], "of_a", "of_b")]
             good = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([good.column("a"), good.column("b")], names=["a", "b"])
 
-    return both.mapInArrow(check, "a long, b long")
+    return common.materialise(both.mapInArrow(check, "a long, b long"), "verified")
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -442,26 +544,28 @@ def components(pairs: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, row_key, n, node) and the sets (node, rows, comp, low: smallest doc_id)."""
     docs = docs.select("doc_id", "text")
+    common.small_batches(docs.sparkSession)
     seed = 0
     while True:
         rarity = frequencies(docs, seed, words)
-        found = common.materialise(profiles(docs, rarity, seed, words, percent), "profiles")
+        found = profiles(docs, rarity, seed, words, percent)
         # A node stands for one set: where two hashes disagree, all are made anew.
         if not found.groupBy("node").agg(F.min("check").alias("x"), F.max("check").alias("y")).filter("x <> y").take(1):
             break
         seed += 2
-    members = common.materialise(memberships(found.filter("prefix IS NOT NULL")), "members")
+    members = common.materialise(memberships(found.filter("bits IS NOT NULL")), "members")
     labels = found.sparkSession.createDataFrame([], "node long, comp long")
     all_links = None
     # A forest within each group and block, a forest across blocks, then every pair that is
     # left between components: the first two join what is clearly one, so few are left.
     for across, forest in ((False, True), (True, True), (True, False)):
         with_comp = (members if across else strongest_groups(members)).join(labels, "node", "left").select("gid", "node", F.coalesce("comp", "node").alias("comp"))
-        tasks = common.materialise(comparisons(with_comp, across), "tasks")
+        with_comp = common.materialise(with_comp, "labelled")
+        tasks = common.materialise(comparisons(refined(with_comp, found, labels) if across else with_comp, across), "tasks")
         pairs = common.materialise(candidate_pairs(tasks, found, labels, forest, percent), "pairs")
         if pairs.isEmpty():
             continue
-        good = common.materialise(verified(pairs, found, docs, rarity, seed, words, percent), "verified")
+        good = verified(pairs, found, docs, seed, words, percent)
         all_links = good if all_links is None else all_links.unionByName(good)
         labels = components(all_links)
     classes = found.groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("rows")).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -488,20 +592,22 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 
 def keep_one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents that stay, with the columns of ``docs``: of each component the one
-    with the smallest id (null last), and all that link with nothing.
+    """The documents that stay, with the columns of ``docs`` under any names: of each component
+    the one with the smallest id (null last), and all that link with nothing.
 
-    Rows that repeat both id and text become one row.
+    Rows that repeat both id and text become one row. Null and blank texts link with
+    nothing and stay; no rows in, no rows out.
     """
     rows, classes = linked(docs, words, percent)
     labelled = common.with_groups(rows, classes.select("node", "rows", "comp"), ["node"], "rows")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first")
     stays = labelled.filter("n > 0").groupBy("comp").agg(first).select("first.doc_id", "first.row_key")
-    stays = common.materialise(stays.union(rows.filter("n = 0").select("doc_id", "row_key").distinct()), "stays").toDF("_stays", "_key")
-    found = docs.withColumn("_row_key", F.xxhash64("text")).join(stays, F.col("doc_id").eqNullSafe(F.col("_stays")) & (F.col("_row_key") == F.col("_key")), "left_semi")
+    stays = common.materialise(stays.union(rows.filter("n = 0").select("doc_id", "row_key").distinct()), "stays").toDF("stays", "stays_key")
+    packed_rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"))
+    found = packed_rows.join(stays, F.col("id").eqNullSafe(F.col("stays")) & (F.col("key") == F.col("stays_key")), "left_semi")
     if rows.groupBy("doc_id", "row_key").count().filter("count > 1").take(1):
-        found = found.dropDuplicates(["doc_id", "_row_key"])
-    return found.select(*docs.columns)
+        found = found.dropDuplicates(["id", "key"])
+    return found.select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

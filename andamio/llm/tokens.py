@@ -18,8 +18,8 @@ LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 PLAIN_SPLIT = rf" ?[{LETTERS}]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+"
 PLAIN = "[\t-\r\x20-\x7e¡-±´-¸º»¿-ɏ‐-‧‰-⁞₠-₿]*"
 
-#: Pre-tokens whose ids a worker remembers, in each of two generations.
-REMEMBERED = 300_000
+#: Pre-tokens whose ids a task remembers, in each of two generations.
+REMEMBERED = 100_000
 
 
 def default_path() -> str:
@@ -104,7 +104,6 @@ class Ids(dict):
 
 
 _splitters: dict[str, Splitter] = {}
-_ids: dict[str, Ids] = {}
 
 
 def splitter(path: str) -> Splitter:
@@ -115,9 +114,8 @@ def splitter(path: str) -> Splitter:
 
 
 def ids(path: str) -> Ids:
-    if path not in _ids:
-        _ids[path] = Ids(splitter(path))
-    return _ids[path]
+    """The ids that one task remembers; they go with the task, as workers live on."""
+    return Ids(splitter(path))
 
 
 def rows(batches: Iterable, *columns: str) -> Iterable[tuple]:

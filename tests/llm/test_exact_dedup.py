@@ -1,3 +1,4 @@
+import random
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
@@ -54,3 +55,25 @@ def test_survivors_keep_their_columns(spark):
 def test_empty_table(spark):
     assert exact_dedup.exact_duplicates(docs(spark, [])).collect() == []
     assert exact_dedup.keep_one_of_each(docs(spark, [])).collect() == []
+
+
+def test_chunks_end_in_every_script(spark):
+    rng = random.Random(3)
+    japanese = "".join(chr(rng.randrange(0x3041, 0x3097)) for _ in range(140_000))
+    texts = [japanese, "a" * 9_000 + " an english sentence of some words." * 20_000, "z" * 10_000_000, "".join(rng.choice("abcdefghij0123456789") for _ in range(50_000))]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.chunks for r in frame.select("doc_id", exact_dedup.chunks_of(F.col("text")).alias("chunks")).collect()}
+    for i, t in enumerate(texts):
+        assert "".join(got[i]) == t and max(map(len, got[i])) <= exact_dedup.LONGEST + 2
+    # The same chunks come behind another beginning.
+    shifted = frame.filter("doc_id = 0").select(exact_dedup.chunks_of(F.concat(F.lit("いろは"), "text")).alias("chunks")).first()[0]
+    assert len(set(shifted) & set(got[0])) > 0.9 * len(got[0])
+
+
+def test_clashing_columns_survive(spark):
+    frame = docs(spark, [(1, "one"), (2, "ONE"), (3, None)])
+    for name in ("_sha", "_stays", "_row_sha", "row", "id", "sha", "stays", "stays_sha"):
+        frame = frame.withColumn(name, F.lit(name))
+    out = exact_dedup.keep_one_of_each(frame)
+    assert out.columns == frame.columns
+    assert sorted(tuple(r) for r in out.collect()) == sorted(tuple(r) for r in frame.collect() if r.doc_id != 1)

@@ -60,3 +60,24 @@ def test_odd_rows_and_few_labels(spark):
     kept = quality_gam.accepted(docs(spark, ODD), labels.limit(0))
     assert kept.columns == docs(spark, ODD).columns and kept.count() == len(ODD)
     assert quality_gam.judge(docs(spark, ODD), labels, 1).agg(F.count("*")).first()[0] == len(ODD)
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    rows, labels = corpus(200)
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    learnt = [(i, t, labels[i][1]) for i, t in rows if zlib.crc32(str(i).encode()) % 5]
+    # The order of the rows changes sums of floats only in their last digits.
+    model = quality_gam.fit(np.array([quality_gam.features(t) for _, t, _ in learnt]), np.array([float(q) for _, _, q in learnt]))
+    got = {r.doc_id: r for r in quality_gam.query(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        want = 1 / (1 + np.exp(-np.clip(model.margin(np.array([quality_gam.features(t)])), -30, 30)))[0]
+        assert abs(got[i].score - want) < 1e-6 and got[i].predicted == int(want >= 0.3) and got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_clashing_columns_survive(spark):
+    rows, labels = corpus(60)
+    frame = docs(spark, rows).withColumn("_score", F.lit(-5.0)).withColumn("score", F.lit(-6.0)).withColumn("row", F.lit("r"))
+    out = quality_gam.accepted(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert out.columns == frame.columns and {(r._score, r.score, r.row) for r in out.collect()} == {(-5.0, -6.0, "r")}

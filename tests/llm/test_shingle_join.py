@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from andamio.llm import shingle_join as sj
 from tests.llm.fixtures import LONG, ODD, docs
@@ -63,6 +64,7 @@ def corpus(seed):
 
 @pytest.mark.parametrize(("seed", "together"), [(1, 1024), (2, 8)])
 def test_equals_brute_force(spark, monkeypatch, seed, together):
+    monkeypatch.setattr(sj, "HOT_TOKEN", 100_000 if seed == 1 else 12)
     monkeypatch.setattr(sj, "TOGETHER", together)
     monkeypatch.setattr(sj, "BLOCK", together // 2)
     rows = corpus(seed)
@@ -83,7 +85,8 @@ def test_empty_table(spark):
 
 def test_linked_sets_share_a_token_in_every_order_and_pass_the_parities():
     rng = np.random.default_rng(4)
-    rarity = rng.integers(0, 50, sj.SLOTS).astype(np.uint32)
+    slots = 1 << 16
+    rarity = rng.integers(0, 50, slots).astype(np.uint32)
     tried = 0
     for _ in range(400):
         n = int(rng.integers(1, 200))
@@ -95,15 +98,46 @@ def test_linked_sets_share_a_token_in_every_order_and_pass_the_parities():
             continue
         tried += 1
         for turn in range(3):
-            x, y = (sj.prefix(s, rarity[sj.slot_of(s, sj.SLOTS)], turn) for s in (a, b))
+            x, y = (sj.prefix(s, rarity[sj.slot_of(s, slots)], turn) for s in (a, b))
             assert len(np.intersect1d(x, y))
-        lists = [np.unique(sj.prefix(s, rarity[sj.slot_of(s, sj.SLOTS)], t).astype(np.uint16)) for t in (1, 2) for s in (a, b)]
-        assert sj.links(a, b, *lists)
-        pair = sj.candidates(np.array([1, 2]), np.array([1, 2]), np.array([len(a), len(b)]), [sj.bits_of(s) for s in (a, b)], False)
+        assert sj.links(a, b)
+        others = [[sj.short_tokens(sj.prefix(s, rarity[sj.slot_of(s, slots)], t)) for s in (a, b)] for t in (1, 2)]
+        pair = sj.candidates(np.array([1, 2]), np.array([1, 2]), np.array([len(a), len(b)]), [sj.bits_of(s) for s in (a, b)], others, False)
         assert pair == [(1, 2)]
     assert tried > 100
 
 
+def test_each_order_removes_candidates():
+    rng = np.random.default_rng(8)
+    alone, both = [0, 0], 0
+    for _ in range(300):
+        passage = rng.integers(0, 2**63, 8, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([passage, rng.integers(0, 2**63, 92, dtype=np.uint64)])) for _ in "ab")
+        rare = np.ones(len(a))
+        if not len(np.intersect1d(sj.prefix(a, rare, 0), sj.prefix(b, rare, 0))):
+            continue
+        shares = [sj.sharing([sj.short_tokens(sj.prefix(s, rare, t)) for s in (a, b)])[0, 1] for t in (1, 2)]
+        alone = [x + (not s) for x, s in zip(alone, shares, strict=True)]
+        both += not all(shares)
+    assert min(alone) > 10 and both > max(alone)
+
+
+def test_who_shares_a_token():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 9)).astype(np.uint32)) for _ in range(40)]
+    got = sj.sharing(sets)
+    assert all(got[i, j] == bool(len(np.intersect1d(sets[i], sets[j]))) for i in range(40) for j in range(40) if i != j)
+
+
+def test_clashing_columns_survive(spark):
+    frame = docs(spark, [(1, "one two three four five six"), (2, "One two three four five six"), (3, None)])
+    for name in ("_key", "_stays", "_row_key", "row", "id", "key", "stays", "stays_key"):
+        frame = frame.withColumn(name, F.lit(name))
+    out = sj.keep_one_of_each(frame)
+    assert out.columns == frame.columns
+    assert sorted(tuple(r) for r in out.collect()) == sorted(tuple(r) for r in frame.collect() if r.doc_id != 2)
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(50)] + [(1000, 1000 + i) for i in range(1, 40)] + [(7, 7)]
     got = {r.node: r.comp for r in sj.components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -12,27 +12,29 @@ SALE_UNIT = {"peso_kg", "peso_lb", "cantidad_unidades", "volumen_l"}
 PERFORMANCE = {"potencia_w", "voltaje", "longitud_m"}
 NEAR, EQUAL, CROSSED = 0.2, 1e-9, 0.15
 
+# How names state numbers. The first match of each counts; its first group is the number.
 _N = r"(\d+(?:[.,]\d+)?)"
-_FRACTION = r"(\d+[ -]\d+/\d+|\d+/\d+|\d+(?:[.,]\d+)?)"
-#: First match of each counts; its first group is the number.
+_FRACTION = r"(\d+\s+\d+\s*/\s*\d+|\d+\s*/\s*\d+|\d+(?:[.,]\d+)?)"
 PATTERNS = {
-    "diametro_pulg": rf'(?<![a-z0-9./]){_FRACTION}\s*(?:"|″|”|pulg)',
-    "calibre": r"#\s*(\d+)",
-    "diametro_mm": rf"{_N}\s*mm\b",
-    "longitud_cm": rf"{_N}\s*(?:x\s*\d+(?:[.,]\d+)?\s*)?cm\b",
-    "potencia_w": rf"{_N}\s*w\b",
-    "voltaje": rf"{_N}\s*(?:vac|volt|v)\b",
-    "longitud_m": rf"{_N}\s*m(?![a-z0-9²])",
-    "peso_kg": rf"{_N}\s*kg\b",
-    "peso_lb": rf"{_N}\s*(?:lbs|lb|libras|libra)\b",
-    "cantidad_unidades": r"(\d+)\s*(?:uds|ud|pcs|unidades|piezas|pzas)\b",
-    "angulo_grados": rf"{_N}\s*(?:[°º](?!\s*[cf])|grados\b)",
-    "schedule": r"\bsch\s*(\d+)",
-    "calibre_awg": r"(\d+)\s*awg\b",
-    "presion_psi": rf"{_N}\s*psi\b",
-    "potencia_hp": rf"{_FRACTION}\s*hp\b",
+    "diametro_pulg": r'(?<![a-z0-9])(\d+[\s\-]+\d+\s*/\s*\d+|\d+\s*/\s*\d+|\d+)\s*(?:"|″|”|pulg)',
+    "calibre": r"#\s*(\d+)\b",
+    "diametro_mm": rf"\b{_N}\s*mm\b",
+    "longitud_cm": rf"\b{_N}\s*(?:cm\b|x\d+(?:[.,]\d+)?\s*(?:cm|centimetros?)\b)",
+    "potencia_w": rf"\b{_N}\s*w\b",
+    "voltaje": rf"\b{_N}\s*v(?:ac|olt)?\b",
+    "longitud_m": rf"(?<![a-z0-9]){_N}\s*m\b",
+    "peso_kg": rf"\b{_N}\s*kg\b",
+    "peso_lb": rf"\b{_N}\s*(?:lb|lbs|libras?)\b",
+    "cantidad_unidades": rf"\b{_N}\s*(?:uds|pcs|unidades|piezas|pzas|ud)\b",
+    "angulo_grados": rf"\b{_N}\s*(?:[°º](?![cf])|grados\b)",
+    "schedule": r"\bsch\s*(\d+)\b",
+    "calibre_awg": rf"\b{_N}\s*awg\b",
+    "presion_psi": rf"\b{_N}\s*psi\b",
+    "potencia_hp": rf"\b{_FRACTION}\s*hp\b",
 }
-VOLUMES = ((rf"{_N}\s*ml\b", 0.001), (rf"{_N}\s*(?:litros|litro|lt|l)\b", 1.0), (rf"{_FRACTION}\s*(?:galones|galon|gal|gl)\b", 3.785))
+VOLUMES = ((rf"\b{_FRACTION}\s*(?:ml|mililitros?)\b", 0.001), (rf"\b{_FRACTION}\s*(?:l|lt|litros?)\b", 1.0), (rf"\b{_FRACTION}\s*(?:gal|gl|galon(?:es)?)\b", 3.785))
+AMPERES = rf"\b{_N}a\b"
+BTU = r"\b(\d{1,3}[.,]\d{3}|\d+)\s*btu\b"
 
 
 def prepared(name: Column) -> Column:
@@ -42,9 +44,10 @@ def prepared(name: Column) -> Column:
 
 def number(found: Column) -> Column:
     """``1 1/2``, ``1-1/2``, ``3/4`` or a decimal with comma or dot; a division by zero is null."""
-    whole, above, below = (F.regexp_extract(found, r"^(?:(\d+)[ -])?(\d+)/(\d+)$", i).try_cast("double") for i in (1, 2, 3))
-    fraction = F.bround(F.coalesce(whole, F.lit(0.0)) + F.try_divide(above, below), 4)
-    return F.when(F.contains(found, F.lit("/")), fraction).otherwise(F.regexp_replace(found, ",", ".").try_cast("double"))
+    mixed, plain = r"^(\d+)[\s\-]+(\d+)/(\d+)$", r"^(\d+)\s*/\s*(\d+)$"
+    part = lambda pattern, i: F.regexp_extract(found, pattern, i).try_cast("double")
+    fraction = F.coalesce(part(mixed, 1) + F.try_divide(part(mixed, 2), part(mixed, 3)), F.try_divide(part(plain, 1), part(plain, 2)))
+    return F.when(F.contains(found, F.lit("/")), F.bround(fraction, 4)).otherwise(F.regexp_replace(found, ",", ".").try_cast("double"))
 
 
 def first_number(name: Column, pattern: str) -> Column:
@@ -57,14 +60,14 @@ def volume(name: Column) -> Column:
 
 
 def amperes(name: Column) -> Column:
-    n = first_number(name, rf"(?<![a-z0-9]){_N}a\b")
+    n = first_number(name, AMPERES)
     return F.when((n > 0) & (n < 5000), n)
 
 
 def btu(name: Column) -> Column:
-    """Dots and commas before three digits part thousands."""
-    found = F.nullif(F.regexp_extract(name, r"(\d+(?:[.,]\d+)*)\s*btu", 1), F.lit(""))
-    return F.when(found.rlike(r"^\d{1,3}(?:[.,]\d{3})+$"), F.regexp_replace(found, "[.,]", "").try_cast("double")).otherwise(F.regexp_replace(found, ",", ".").try_cast("double"))
+    """A dot or comma before three digits parts thousands."""
+    found = F.nullif(F.regexp_extract(name, BTU, 1), F.lit(""))
+    return F.when(found.rlike(r"^\d{1,3}[.,]\d{3}$"), F.regexp_replace(found, "[.,]", "").try_cast("double")).otherwise(number(found))
 
 
 SPEC_NAMES = (*PATTERNS, "volumen_l", "amperaje_a", "energia_btu")

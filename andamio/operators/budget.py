@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import matching
+from . import matching, projects
 
 CONFIRMED, PROBABLE = matching.LEAST_CONFIDENCE["budget"], matching.LEAST_CONFIDENCE["comparison"]
 
@@ -30,12 +30,12 @@ def item_costs(items: DataFrame, choices: DataFrame) -> DataFrame:
     rows = items.join(best, "id", "left")
     known = F.col("price") > 0
     cheaper = F.coalesce(known & (F.col("best.price") < F.col("price")), F.lit(False))
-    cost = F.when(known, F.col("price") * F.col("quantity")).otherwise(0.0)
-    lowest = F.when(cheaper, F.col("best.price") * F.col("quantity")).otherwise(cost)
+    cost = F.when(known, projects.amount_of("quantity", "price")).otherwise(F.lit(0).cast("decimal(31,12)"))
+    lowest = F.when(cheaper, projects.amount_of("quantity", "best.price")).otherwise(cost)
     return rows.select(*items.columns, F.when(cheaper, F.col("best.alternative")).alias("alternative"), cost.alias("cost"), lowest.alias("lowest"), F.when(known, cost - lowest).alias("saving"), F.col("best").isNull().alias("unmatched"))
 
 
 def project_budgets(costs: DataFrame) -> DataFrame:
-    sums = costs.groupBy("project_id").agg(F.count(F.lit(1)).alias("items"), F.bround(F.sum("cost"), 2).alias("cost"), F.bround(F.sum("lowest"), 2).alias("lowest"), F.count(F.when(F.col("unmatched"), 1)).alias("unmatched"))
+    sums = costs.groupBy("project_id").agg(F.count(F.lit(1)).alias("items"), projects.rounded_sum(F.col("cost")).alias("cost"), projects.rounded_sum(F.col("lowest")).alias("lowest"), F.count(F.when(F.col("unmatched"), 1)).alias("unmatched"))
     saving = F.bround(F.col("cost") - F.col("lowest"), 2)
     return sums.withColumn("saving", saving).withColumn("saving_pct", F.when(F.col("cost") > 0, F.bround(saving / F.col("cost") * 100, 2)))

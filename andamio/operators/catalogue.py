@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A new batch overwrites these; the others keep their old value where the new one is null.
-OVERWRITTEN = ("name", "category", "price", "updated")
-KEPT = ("brand", "subcategory")
+OVERWRITTEN = ("name", "category", "price", "vat", "tax_code", "image", "url", "online", "updated")
+KEPT = ("sku", "brand", "subcategory", "description", "weight", "images")
 
 
 def like(column: Column, query: str) -> Column:
@@ -49,11 +49,17 @@ def upserted(current: DataFrame, batch: DataFrame) -> DataFrame:
     """The catalogue after a batch: (supplier, supplier_id) is the key.
 
     A batch may hold a key several times, by ``seq``: the last row wins, but for KEPT
-    columns the last value that is not null. Null there keeps the old value.
+    columns the last value that is not null. Null there keeps the old value. Columns that
+    only one side has are null on the other, and without ``seq`` a batch has one row of
+    a key. Rows with a null key match no other and stay; columns beyond these are left out.
     """
-    last = batch.groupBy("supplier", "supplier_id").agg(
-        *(F.max_by(c, "seq").alias(f"new_{c}") for c in OVERWRITTEN), *(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"new_{c}") for c in KEPT), F.lit(True).alias("fresh")
+    kinds = {f.name: f.dataType for df in (batch, current) for f in df.schema}
+    over, kept = ([c for c in names if c in kinds] for names in (OVERWRITTEN, KEPT))
+    filled = lambda df, more: df.select("supplier", "supplier_id", *((F.col(c) if c in df.columns else F.lit(None).cast(kinds[c])).alias(c) for c in (*over, *kept)), *more)
+    seq = F.col("seq") if "seq" in batch.columns else F.lit(0)
+    last = filled(batch, [seq.alias("seq")]).groupBy("supplier", "supplier_id").agg(
+        *(F.max_by(c, "seq").alias(f"new_{c}") for c in over), *(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"new_{c}") for c in kept), F.lit(True).alias("fresh")
     )
-    both = current.join(last, ["supplier", "supplier_id"], "full")
-    taken = [F.when(F.coalesce("fresh", F.lit(False)), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in OVERWRITTEN]
-    return both.select("supplier", "supplier_id", *taken, *(F.coalesce(f"new_{c}", c).alias(c) for c in KEPT))
+    both = filled(current, []).join(last, ["supplier", "supplier_id"], "full")
+    taken = [F.when(F.coalesce("fresh", F.lit(False)), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in over]
+    return both.select("supplier", "supplier_id", *taken, *(F.coalesce(f"new_{c}", c).alias(c) for c in kept))

@@ -12,8 +12,26 @@ from andamio.functions import text, vocabulary
 OPEN_STATES = ("pendiente", "parcial")
 
 
+def exact(c: str | Column, kind: str = "decimal(18,4)") -> Column:
+    """Money and quantities as decimals, whose sums do not depend on the order of the rows."""
+    return (F.col(c) if isinstance(c, str) else c).cast(kind)
+
+
+def amount_of(quantity: str | Column, price: str | Column) -> Column:
+    return exact(quantity, "decimal(12,4)") * exact(price, "decimal(18,8)")
+
+
+def rounded_sum(amounts: Column, digits: int = 2) -> Column:
+    """The sum with ties to even, as a double again."""
+    return F.bround(F.coalesce(F.sum(amounts), F.lit(0).cast("decimal(38,12)")), digits).cast("double")
+
+
 def live_over_snapshot(items: DataFrame, products: DataFrame) -> DataFrame:
-    """Items with today's price and name where the product is still sold, else what was kept."""
+    """Items with today's price and name where the product is still sold, else what was kept.
+
+    A catalogue row with a null key meets no item. Keys are unique in the catalogue, as the
+    upsert leaves them; repeated items stay repeated.
+    """
     live = products.select("supplier", "supplier_id", F.col("name").alias("live_name"), F.col("price").alias("live_price"), F.lit(True).alias("found"))
     joined = items.join(live, ["supplier", "supplier_id"], "left")
     return joined.withColumn("price", F.coalesce("live_price", "price_when_added", F.lit(0.0))).withColumn("available", F.coalesce("found", F.lit(False))).drop("found")
@@ -30,10 +48,10 @@ def totals(projects: DataFrame, items: DataFrame, products: DataFrame) -> DataFr
     items are summed before they meet the projects, so the wide join is one row a project.
     """
     known = live_over_snapshot(items, products).filter("state <> 'descartado'")
-    pending = F.when(F.col("state").isin(*OPEN_STATES), remaining() * F.col("price"))
-    spent = F.when(F.col("state").isin("comprado", "parcial"), F.coalesce("amount", F.col("bought") * F.col("price")))
-    sums = known.groupBy("project_id").agg(F.count(F.lit(1)).alias("items"), F.sum(pending).alias("pending"), F.sum(spent).alias("spent"))
-    money = lambda c: F.bround(F.coalesce(c, F.lit(0.0)), 0).cast("long").alias(c)
+    pending = F.when(F.col("state").isin(*OPEN_STATES), amount_of(remaining(), F.col("price")))
+    spent = F.when(F.col("state").isin("comprado", "parcial"), F.coalesce(exact("amount"), amount_of("bought", "price")))
+    sums = known.groupBy("project_id").agg(F.count(F.lit(1)).alias("items"), rounded_sum(pending, 0).alias("pending"), rounded_sum(spent, 0).alias("spent"))
+    money = lambda c: F.coalesce(c, F.lit(0.0)).cast("long").alias(c)
     return projects.join(sums, "project_id", "left").select("project_id", "owner_id", "state", F.coalesce("items", F.lit(0)).alias("items"), money("pending"), money("spent"))
 
 
@@ -51,17 +69,20 @@ def section_subtotals(items: DataFrame, products: DataFrame) -> DataFrame:
     label = F.coalesce(F.nullif("section", F.lit("")), F.lit(vocabulary.NO_SECTION))
     rows = known.withColumn("label", label).withColumn("key", text.normalize(label))
     first = F.min_by("label", F.struct("added", "supplier", "supplier_id", "line"))
-    subtotal = F.bround(F.sum(F.col("quantity") * F.col("price")), 2).alias("subtotal")
+    subtotal = rounded_sum(amount_of("quantity", "price")).alias("subtotal")
     return rows.groupBy("project_id", "key").agg(first.alias("section"), subtotal, F.count(F.lit(1)).alias("items")).withColumn("order", section_order(F.col("section")))
 
 
 def quotes(projects: DataFrame, sections: DataFrame) -> DataFrame:
     """Materials and three percentages of them, the total, and the cost of a square metre."""
-    sums = sections.groupBy("project_id").agg(F.bround(F.sum("subtotal"), 2).alias("materials"))
-    rows = projects.join(sums, "project_id", "left").withColumn("materials", F.coalesce("materials", F.lit(0.0)))
-    share = lambda c: F.bround(F.col("materials") * F.coalesce(c, F.lit(0.0)) / 100, 2)
+    cents = "decimal(20,2)"
+    sums = sections.groupBy("project_id").agg(F.sum(exact("subtotal", cents)).alias("materials"))
+    rows = projects.join(sums, "project_id", "left").withColumn("materials", F.coalesce("materials", F.lit(0)).cast(cents))
+    hundredth = F.lit("0.01").cast("decimal(3,2)")
+    share = lambda c: F.bround(F.col("materials") * exact(F.coalesce(c, F.lit(0.0)), "decimal(9,4)") * hundredth, 2).cast(cents)
     rows = rows.withColumns({"indirect": share("indirect_pct"), "contingency": share("contingency_pct"), "margin": share("margin_pct")})
-    rows = rows.withColumn("total", F.bround(F.col("materials") + F.col("indirect") + F.col("contingency") + F.col("margin"), 2))
+    rows = rows.withColumn("total", F.col("materials") + F.col("indirect") + F.col("contingency") + F.col("margin"))
+    rows = rows.withColumns({c: F.col(c).cast("double") for c in ("materials", "indirect", "contingency", "margin", "total")})
     cost = F.when(F.col("area_m2") != 0, F.bround(F.col("total") / F.col("area_m2"), 2))
     return rows.select("project_id", "materials", "indirect", "contingency", "margin", "total", cost.alias("cost_m2"))
 
@@ -69,7 +90,7 @@ def quotes(projects: DataFrame, sections: DataFrame) -> DataFrame:
 def pending_by_supplier(items: DataFrame, products: DataFrame) -> DataFrame:
     """What is still to be bought of each supplier in each project."""
     rows = live_over_snapshot(items, products).filter(F.col("state").isin(*OPEN_STATES)).withColumn("left", remaining()).filter("left > 0")
-    return rows.groupBy("project_id", "supplier").agg(F.count(F.lit(1)).alias("items"), F.bround(F.sum(F.col("left") * F.col("price")), 2).alias("subtotal"))
+    return rows.groupBy("project_id", "supplier").agg(F.count(F.lit(1)).alias("items"), rounded_sum(amount_of("left", "price")).alias("subtotal"))
 
 
 def latest_baseline(baselines: DataFrame) -> DataFrame:

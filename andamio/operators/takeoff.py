@@ -106,17 +106,35 @@ def material_lines(requests: DataFrame, tables: dict[str, DataFrame], overrides:
 
     A regional rule goes before the national one and ``wastes`` (request_id, material,
     waste_override) before the rule's; fixed lines ignore amount and waste. A derived
-    line starts from the rounded quantity of its source.
+    line starts from the rounded quantity of its source, which may be derived itself.
     """
     if wastes is None:
         wastes = requests.sparkSession.createDataFrame([], "request_id long, material string, waste_override double")
     rows = unfolded(requests, tables["subsystems"], overrides).join(F.broadcast(tables["materials"]), "system").join(F.broadcast(tables["regional"]), ["region", "system", "material"], "left").join(wastes, ["request_id", "material"], "left")
     per_unit, waste = F.coalesce("regional", "per_unit"), F.coalesce("waste_override", "waste")
     of = lambda base: rounded(F.when(F.col("fixed"), per_unit).otherwise(base * per_unit * waste), F.col("rounding"))
-    plain = rows.filter("derived_from IS NULL").select("request_id", "path", "system", "material", of(F.col("amount")).alias("quantity"), "optional")
-    source = plain.select("request_id", "path", F.col("material").alias("derived_from"), F.col("quantity").alias("source"))
-    derived = rows.filter("derived_from IS NOT NULL").join(source, ["request_id", "path", "derived_from"]).select("request_id", "path", "system", "material", of(F.col("source")).alias("quantity"), "optional")
-    return plain.unionByName(derived)
+    columns = ("request_id", "path", "system", "material")
+    level = rows.filter("derived_from IS NULL").select(*columns, of(F.col("amount")).alias("quantity"), "optional")
+    found = level
+    for _ in range(derivation_depth(tables["materials"])):
+        source = level.select("request_id", "path", F.col("material").alias("derived_from"), F.col("quantity").alias("source"))
+        level = rows.filter("derived_from IS NOT NULL").join(source, ["request_id", "path", "derived_from"]).select(*columns, of(F.col("source")).alias("quantity"), "optional")
+        found = found.unionByName(level)
+    return found
+
+
+def derivation_depth(materials: DataFrame) -> int:
+    """How many lines in a row derive from each other; the rule table is tiny."""
+    source = {(r.system, r.material): r.derived_from for r in materials.select("system", "material", "derived_from").collect()}
+    deepest = 0
+    for system, material in source:
+        depth = 0
+        while (material := source.get((system, material))) is not None:
+            depth += 1
+            if depth > len(source):
+                raise ValueError(f"materials of {system!r} derive from each other in a circle")
+        deepest = max(deepest, depth)
+    return deepest
 
 
 def labour_lines(requests: DataFrame, tables: dict[str, DataFrame], overrides: DataFrame | None = None) -> DataFrame:

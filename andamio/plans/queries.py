@@ -59,6 +59,18 @@ def half_even_sql(x: str) -> str:
     return f"(({whole} + CASE WHEN {up} THEN 1 ELSE 0 END)::DOUBLE / 100)"
 
 
+def half_even_exact_sql(x: str, digits: int = 2) -> str:
+    """Ties to even on a decimal."""
+    scaled = f"(({x})::DECIMAL(32, 12) * {10**digits})"
+    whole = f"floor({scaled})::DECIMAL(30, 0)"
+    up = f"({scaled} - {whole} > 0.5 OR ({scaled} - {whole} = 0.5 AND {whole} % 2 = 1))"
+    return f"(({whole} + CASE WHEN {up} THEN 1 ELSE 0 END)::DOUBLE / {10**digits})"
+
+
+def amount_sql(quantity: str, price: str) -> str:
+    return f"({quantity})::DECIMAL(12, 4) * ({price})::DECIMAL(18, 8)"
+
+
 # -- catalogue -------------------------------------------------------------------------------
 
 
@@ -104,16 +116,18 @@ def _(s, d):
     return catalogue.reconciliation(rows, search.postings(rows))
 
 
-@query("upsert_catalog", with_views("products", """, old AS (SELECT supplier, supplier_id, name, category, price, brand, subcategory FROM products WHERE id % 3 <> 0),
-batch AS (SELECT supplier, supplier_id, upper(name) AS name, category, price * 2 AS price, CASE WHEN id % 4 = 0 THEN NULL ELSE brand || '!' END AS brand, NULL::VARCHAR AS subcategory FROM products WHERE id % 2 = 0)
+@query("upsert_catalog", with_views("products", """, old AS (SELECT supplier, supplier_id, name, category, price, brand, subcategory FROM products JOIN part ON id = p_partkey WHERE p_size > 15),
+batch AS (SELECT supplier, supplier_id, upper(name) AS name, category, price * 2 AS price, CASE WHEN id % 4 = 0 THEN NULL ELSE brand || '!' END AS brand, NULL::VARCHAR AS subcategory FROM products JOIN part ON id = p_partkey WHERE p_size <= 30)
 SELECT coalesce(o.supplier, b.supplier) AS supplier, coalesce(o.supplier_id, b.supplier_id) AS supplier_id,
   CASE WHEN b.supplier IS NULL THEN o.name ELSE b.name END AS name, CASE WHEN b.supplier IS NULL THEN o.category ELSE b.category END AS category,
   CASE WHEN b.supplier IS NULL THEN o.price ELSE b.price END AS price, coalesce(b.brand, o.brand) AS brand, coalesce(b.subcategory, o.subcategory) AS subcategory
 FROM old o FULL JOIN batch b ON o.supplier = b.supplier AND o.supplier_id = b.supplier_id"""))
 def _(s, d):
     rows = domain.products(s, d).withColumn("updated", F.lit(None).cast("timestamp_ntz"))
-    old = rows.filter("id % 3 <> 0").drop("id")
-    fresh = rows.filter("id % 2 = 0").select("supplier", "supplier_id", F.upper("name").alias("name"), "category", (F.col("price") * 2).alias("price"), F.when(F.col("id") % 4 != 0, F.concat("brand", F.lit("!"))).alias("brand"), F.lit(None).cast("string").alias("subcategory"), "updated", F.col("id").alias("seq"))
+    # Every product is known, or in the batch, or both.
+    rows = rows.join(domain.table(s, d, "part").select(F.col("p_partkey").alias("id"), "p_size"), "id")
+    old = rows.filter("p_size > 15")
+    fresh = rows.filter("p_size <= 30").select("supplier", "supplier_id", F.upper("name").alias("name"), "category", (F.col("price") * 2).alias("price"), F.when(F.col("id") % 4 != 0, F.concat("brand", F.lit("!"))).alias("brand"), F.lit(None).cast("string").alias("subcategory"), "updated", F.col("id").alias("seq"))
     # The batch holds an earlier row of each key, which the later one replaces.
     first = fresh.withColumns({"name": F.lit("old"), "price": F.lit(-1.0), "seq": F.col("seq") - 1_000_000_000, "brand": F.lit(None).cast("string")})
     return catalogue.upserted(old, fresh.unionByName(first)).drop("updated")
@@ -122,22 +136,23 @@ def _(s, d):
 # -- projects ----------------------------------------------------------------------------------
 
 _LIVE = """, live AS (SELECT i.*, coalesce(p.price, i.price_when_added, 0) AS price, p.id IS NOT NULL AS available
-  FROM items i LEFT JOIN (SELECT * FROM products WHERE id % 10 <> 0) p ON i.supplier = p.supplier AND i.supplier_id = p.supplier_id)"""
-_TOTALS = _LIVE + """, totals AS (SELECT p.project_id, p.owner_id, p.state, coalesce(t.items, 0) AS items, round_even(coalesce(t.pending, 0), 0)::BIGINT AS pending, round_even(coalesce(t.spent, 0), 0)::BIGINT AS spent
-  FROM projects p LEFT JOIN (SELECT project_id, count(*) AS items, sum(CASE WHEN state IN ('pendiente', 'parcial') THEN greatest(quantity - bought, 0) * price END) AS pending,
-    sum(CASE WHEN state IN ('comprado', 'parcial') THEN coalesce(amount, bought * price) END) AS spent FROM live WHERE state <> 'descartado' GROUP BY project_id) t ON p.project_id = t.project_id)"""
-_SECTIONS = _LIVE + """, sections AS (SELECT project_id, coalesce(section, 'Sin partida') AS section, round_even(sum(quantity * price), 2) AS subtotal, count(*) AS items
+  FROM items i LEFT JOIN (SELECT p.* FROM products p JOIN part ON p.id = p_partkey WHERE p_size <= 45) p ON i.supplier = p.supplier AND i.supplier_id = p.supplier_id)"""
+_TOTALS = _LIVE + """, totals AS (SELECT p.project_id, p.owner_id, p.state, coalesce(t.items, 0) AS items, """ + half_even_exact_sql("coalesce(t.pending, 0)", 0) + "::BIGINT AS pending, " + half_even_exact_sql("coalesce(t.spent, 0)", 0) + """::BIGINT AS spent
+  FROM projects p LEFT JOIN (SELECT project_id, count(*) AS items, sum(CASE WHEN state IN ('pendiente', 'parcial') THEN """ + amount_sql("greatest(quantity - bought, 0)", "price") + """ END) AS pending,
+    sum(CASE WHEN state IN ('comprado', 'parcial') THEN coalesce(amount::DECIMAL(18, 4), """ + amount_sql("bought", "price") + """) END) AS spent FROM live WHERE state <> 'descartado' GROUP BY project_id) t ON p.project_id = t.project_id)"""
+_SECTIONS = _LIVE + """, sections AS (SELECT project_id, coalesce(section, 'Sin partida') AS section, """ + half_even_exact_sql("sum(" + amount_sql("quantity", "price") + ")") + """ AS subtotal, count(*) AS items
   FROM live WHERE state <> 'descartado' GROUP BY ALL)"""
-_QUOTES = _SECTIONS + """, q AS (SELECT p.*, coalesce(m.materials, 0) AS materials FROM projects p LEFT JOIN (SELECT project_id, round_even(sum(subtotal), 2) AS materials FROM sections GROUP BY project_id) m ON p.project_id = m.project_id),
-q2 AS (SELECT *, """ + ", ".join(f"{half_even_sql(f'materials * {c}_pct / 100')} AS {c}" for c in ("indirect", "contingency", "margin")) + """ FROM q),
-quotes AS (SELECT project_id, materials, indirect, contingency, margin, round_even(materials + indirect + contingency + margin, 2) AS total, area_m2 FROM q2)"""
+_QUOTES = _SECTIONS + """, q AS (SELECT p.*, coalesce(m.materials, 0) AS materials FROM projects p LEFT JOIN (SELECT project_id, sum(subtotal::DECIMAL(20, 2))::DECIMAL(20, 2) AS materials FROM sections GROUP BY project_id) m ON p.project_id = m.project_id),
+q2 AS (SELECT *, """ + ", ".join(f"{half_even_exact_sql(f'materials * {c}_pct::DECIMAL(9, 4) * 0.01')} AS {c}" for c in ("indirect", "contingency", "margin")) + """ FROM q),
+quotes AS (SELECT project_id, materials::DOUBLE AS materials, indirect, contingency, margin, (materials + indirect::DECIMAL(20, 2) + contingency::DECIMAL(20, 2) + margin::DECIMAL(20, 2))::DOUBLE AS total, area_m2 FROM q2)"""
 _BASE = """, baselines AS (SELECT o_orderkey % 5000 AS project_id, o_orderkey AS baseline_id, o_orderdate AS created, o_totalprice AS total FROM orders)"""
 _LAST = _BASE + """, lasts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created DESC, baseline_id DESC) AS n FROM baselines) WHERE n = 1)"""
 
 
 def sold(s, d) -> DataFrame:
-    """Products still in the catalogue: a tenth of those in projects are gone."""
-    return domain.products(s, d).filter("id % 10 <> 0")
+    """Products still sold: those of the largest sizes are not any more."""
+    kept = domain.table(s, d, "part").filter("p_size <= 45").select(F.col("p_partkey").alias("id"))
+    return domain.products(s, d).join(kept, "id", "left_semi")
 
 
 def _totals(s, d) -> DataFrame:
@@ -172,7 +187,7 @@ def _(s, d):
     return projects.quotes(domain.projects(s, d), _sections(s, d))
 
 
-@query("pending_by_supplier", with_views("products items", _LIVE + """ SELECT project_id, supplier, count(*) AS items, round_even(sum(greatest(quantity - bought, 0) * price), 2) AS subtotal
+@query("pending_by_supplier", with_views("products items", _LIVE + """ SELECT project_id, supplier, count(*) AS items, """ + half_even_exact_sql("sum(" + amount_sql("greatest(quantity - bought, 0)", "price") + ")") + """ AS subtotal
 FROM live WHERE state IN ('pendiente', 'parcial') AND quantity - bought > 0 GROUP BY ALL"""))
 def _(s, d):
     return projects.pending_by_supplier(domain.items(s, d), sold(s, d))
@@ -548,9 +563,9 @@ def _terms(s, d) -> DataFrame:
     """Openings, pieces and finishes named after products; of equal terms the one with the smallest key."""
     rows = domain.products(s, d)
     first = F.element_at(F.split("name", " "), 1)
-    openings = rows.select(F.col("id").alias("key"), first.alias("kind"), F.col("subcategory").alias("material"), F.lit(0.9).alias("width_m"), F.lit(2.1).alias("height_m"), F.lit(2.0).alias("quantity")).filter("key % 2 = 0")
-    pieces = rows.select(F.col("id").alias("key"), F.col("name").alias("description"), F.lit(1.0).alias("quantity")).filter("key % 2 = 1")
-    finishes = rows.select(F.col("id").alias("key"), F.lit("pisos").alias("place"), F.concat(F.lit("sin "), "name").alias("description")).filter("key % 40 = 0")
+    openings = rows.select(F.col("id").alias("key"), first.alias("kind"), F.col("subcategory").alias("material"), F.lit(0.9).alias("width_m"), F.lit(2.1).alias("height_m"), F.lit(2.0).alias("quantity")).filter("material IN ('bolt', 'gear')")
+    pieces = rows.select(F.col("id").alias("key"), F.col("name").alias("description"), F.lit(1.0).alias("quantity")).filter("description NOT LIKE '%bolt%' AND description NOT LIKE '%gear%'")
+    finishes = rows.filter("price IS NULL").select(F.col("id").alias("key"), F.lit("pisos").alias("place"), F.concat(F.lit("sin "), "name").alias("description"))
     terms = selection.plan_terms(openings, finishes, pieces)
     return terms.groupBy("term").agg(F.min_by(F.struct(*terms.columns), "key").alias("first")).select("first.*")
 
@@ -600,10 +615,10 @@ def _(s, d):
     return drawings.references(_found(s, d), _index(s, d).select("project_id", F.col("code").alias("target"))).select("project_id", "target", "exists")
 
 
-@query("relevant_pages", f"WITH {_SHEETS} SELECT * FROM found WHERE page % 3 = 0 OR discipline = 'electrica'")
+@query("relevant_pages", f"WITH {_SHEETS} SELECT * FROM found WHERE discipline = 'estructural' OR discipline = 'electrica'")
 def _(s, d):
     rows = _found(s, d)
-    return drawings.relevant_pages(rows, rows.filter("page % 3 = 0"), rows.filter("discipline = 'electrica'"))
+    return drawings.relevant_pages(rows, rows.filter("discipline = 'estructural'"), rows.filter("discipline = 'electrica'"))
 
 
 @query("project_discipline", f"WITH {_SHEETS} SELECT project_id, CASE count(DISTINCT discipline) WHEN 0 THEN 'sin_determinar' WHEN 1 THEN max(discipline) ELSE 'mixto' END AS discipline, count(*) AS sheets FROM found GROUP BY project_id")

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from andamio.functions import text
 
-COLUMNS = ("supplier", "supplier_id", "sku", "name", "brand", "category", "subcategory", "price", "description", "image", "images", "url", "online", "weight")
+COLUMNS = ("supplier", "supplier_id", "sku", "name", "brand", "category", "subcategory", "price", "vat", "tax_code", "description", "image", "images", "url", "online", "weight", "updated")
+TYPES = {"online": "boolean", "price": "double", "vat": "double", "updated": "timestamp_ntz"}
 
 
 def shaped(rows: DataFrame, **columns: Column) -> DataFrame:
-    return rows.select(*(columns.get(c, F.lit(None)).cast("boolean" if c == "online" else "double" if c == "price" else "string").alias(c) for c in COLUMNS))
+    return rows.select(*(columns.get(c, F.lit(None)).cast(TYPES.get(c, "string")).alias(c) for c in COLUMNS))
 
 
 def graph_feed(rows: DataFrame, supplier: str) -> DataFrame:
@@ -28,7 +29,7 @@ def store_feed(rows: DataFrame, supplier: str) -> DataFrame:
     unit = F.pow(F.lit(10.0), F.coalesce(F.col("prices.currency_minor_unit"), F.lit(2)))
     return shaped(
         rows, supplier=F.lit(supplier), supplier_id=F.col("id"), sku=F.nullif("sku", F.lit("")), name=text.html_text(F.col("name")), brand=F.try_element_at("brands", F.lit(1))["name"], category=F.try_element_at("categories", F.lit(1))["name"],
-        subcategory=F.try_element_at("categories", F.lit(-1))["name"], price=F.bround(F.col("prices.price").cast("double") / unit, 0), description=text.html_text(F.col("description")), image=F.try_element_at("images", F.lit(1))["src"], images=text.image_list(F.slice(F.col("images.src"), 2, 1000)), url=F.col("permalink"), online=F.col("is_in_stock"),
+        subcategory=F.try_element_at("categories", F.lit(-1))["name"], price=F.bround(F.col("prices.price").cast("double") / unit, 0), description=text.html_text(F.col("description")), image=F.try_element_at("images", F.lit(1))["src"], images=text.image_list(F.slice(F.col("images.src"), 2, F.greatest(F.size("images"), F.lit(1)))), url=F.col("permalink"), online=F.col("is_in_stock"),
     )
 
 
@@ -37,7 +38,7 @@ def variant_feed(rows: DataFrame, supplier: str, site: str) -> DataFrame:
     first = F.try_element_at("variants", F.lit(1))
     return shaped(
         rows, supplier=F.lit(supplier), supplier_id=F.col("id"), sku=first["sku"], name=F.col("title"), brand=F.col("vendor"), category=F.coalesce(F.nullif("product_type", F.lit("")), F.lit("General")), price=F.bround(first["price"].cast("double"), 0),
-        description=text.html_text(F.col("body_html")), image=F.try_element_at("images", F.lit(1))["src"], images=text.image_list(F.slice(F.col("images.src"), 2, 1000)), url=F.concat(F.lit(f"{site}/products/"), "handle"), online=first["available"], weight=first["grams"],
+        description=text.html_text(F.col("body_html")), image=F.try_element_at("images", F.lit(1))["src"], images=text.image_list(F.slice(F.col("images.src"), 2, F.greatest(F.size("images"), F.lit(1)))), url=F.concat(F.lit(f"{site}/products/"), "handle"), online=first["available"], weight=first["grams"],
     )
 
 

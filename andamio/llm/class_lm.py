@@ -16,16 +16,18 @@ from . import common, tokens
 
 #: Words that every task holds with their counts; the others are joined.
 COMMON_WORDS = 131_072
-#: What the exchange moves between classes: the most frequent words one by one, all
-#: other words (unknown ones too) in groups by their last letters. Both numbers are fixed.
+#: The exchange moves the most frequent words one by one. The other common words then
+#: take the class that fits their neighbours best, in Spark; words that are not common
+#: (unknown ones too) are moved in groups by their last letters. Numbers of units are fixed.
 OWN_UNITS, ENDING_GROUPS = 12_288, 4_096
-CLASSES, ROUNDS = 64, 3
+CLASSES, ROUNDS, BATCHES = 64, 3, 4
+WIDTH = CLASSES + 1
 #: Weight of a class's overall share against its share after the class before.
 BACK_OFF = 5.0
 HELD = 250_000
 
 FOLDS, HELD_OUT = 7, 2
-END = OWN_UNITS + ENDING_GROUPS  # the end token's unit, which has a class of its own
+END = COMMON_WORDS + ENDING_GROUPS  # the end token's unit, which has a class of its own
 
 
 def fold(doc_id: int | None) -> int:
@@ -38,7 +40,8 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def ending_group(word: bytes) -> int:
-    return OWN_UNITS + xxhash.xxh3_64_intdigest(word[-3:]) % ENDING_GROUPS
+    """A group by the word's last three letters (of UTF-8, so whole ones)."""
+    return COMMON_WORDS + xxhash.xxh3_64_intdigest(word.decode(errors="replace")[-3:].encode()) % ENDING_GROUPS
 
 
 @dataclass(frozen=True)
@@ -47,12 +50,11 @@ class Vocabulary:
 
     index: dict[bytes, int]
     counts: np.ndarray
-    units: np.ndarray
 
     def units_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """For each word its index (-1: not common) and its unit; and the words not common."""
         index = np.fromiter(map(_Index(self.index).__getitem__, words), np.int64, len(words))
-        units = self.units[index]
+        units = index.copy()
         rare = np.flatnonzero(index < 0)
         rest = [words[i] for i in rare]
         units[rare] = list(map(ending_group, rest))
@@ -92,8 +94,7 @@ def vocabulary(counts: DataFrame, common_words: int = COMMON_WORDS) -> Vocabular
     found = common.most_frequent(counts.select("word", "n"), "n", common_words).toArrow()
     most = sorted(zip(found.column("n").to_pylist(), found.column("word").to_pylist(), strict=True), key=lambda r: (-r[0], r[1]))
     words = [w for _, w in most]
-    units = np.array([i if i < OWN_UNITS else ending_group(w) for i, w in enumerate(words)] + [0], dtype=np.int64)
-    return Vocabulary({w: i for i, w in enumerate(words)}, np.array([*(n for n, _ in most), 0], dtype=np.int64), units)
+    return Vocabulary({w: i for i, w in enumerate(words)}, np.array([*(n for n, _ in most), 0], dtype=np.int64))
 
 
 def unit_totals(counts: DataFrame, known: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +123,7 @@ def unit_sequences(docs: DataFrame, known: Vocabulary) -> DataFrame:
             if fold(doc_id) == HELD_OUT:
                 continue
             units = held.value.units_of(words_of(text))[1]
-            parts += [units.astype("<u2"), np.array([END], "<u2")]
+            parts += [units.astype("<u4"), np.array([END], "<u4")]
             size += len(units) + 1
             if size >= 200_000:
                 yield pa.RecordBatch.from_pydict({"seq": pa.array([np.concatenate(parts).tobytes()], pa.binary())})
@@ -133,30 +134,46 @@ def unit_sequences(docs: DataFrame, known: Vocabulary) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(encode, "seq binary")
 
 
-def contexts(sequences: DataFrame, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How often each unit follows, and precedes, each class: two tables of fixed size."""
-    width = CLASSES + 1
-    cells = (END + 1) * width
-    held = sequences.sparkSession.sparkContext.broadcast(classes)
+def summed(df: DataFrame, size: int, count) -> np.ndarray:
+    """The sum over all tasks of the tables of ``size`` cells that ``count(batches)`` makes."""
+
+    def own(batches):
+        table = count(batches)
+        at = np.flatnonzero(table)
+        for i in range(0, len(at), 100_000):
+            part = at[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(table[part])], names=["cell", "n"])
+
+    rows = df.mapInArrow(own, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(size, np.int64)
+    table[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
+    return table
+
+
+def contexts(sequences: DataFrame, classes: np.ndarray, batch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The class bigrams, and how often each unit of ``batch`` follows, and precedes, each class."""
+    cells, square = len(batch) * WIDTH, WIDTH * WIDTH
+    place = np.full(END + 1, -1, np.int32)
+    place[batch] = np.arange(len(batch))
+    held = sequences.sparkSession.sparkContext.broadcast((classes.astype(np.uint8), place))
 
     def count(batches):
-        of = held.value
-        after, before = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
+        of, at = held.value
+        table = np.zeros(square + 2 * cells, np.int64)
         for (seq,) in tokens.rows(batches, "seq"):
-            unit = np.frombuffer(seq, "<u2").astype(np.int64)
+            unit = np.frombuffer(seq, "<u4").astype(np.int64)
             last = np.concatenate([[END], unit[:-1]])
-            after += np.bincount(unit * width + of[last], minlength=cells)
-            before += np.bincount(last * width + of[unit], minlength=cells)
-        for shift, table in ((0, after), (cells, before)):
-            at = np.flatnonzero(table)
-            for i in range(0, len(at), 100_000):
-                part = at[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part + shift), pa.array(table[part])], names=["cell", "n"])
-
-    rows = sequences.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(2 * cells, np.int64)
-    table[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
-    return table[:cells].reshape(-1, width), table[cells:].reshape(-1, width)
+            now, then = of[unit].astype(np.int64), of[last].astype(np.int64)
+            table[:square] += np.bincount(then * WIDTH + now, minlength=square)
+            for shift, who, near in ((square, unit, then), (square + cells, last, now)):
+                rows = at[who].astype(np.int64)
+                mine = rows >= 0
+                table[shift : shift + cells] += np.bincount(rows[mine] * WIDTH + near[mine], minlength=cells)
+        return table
+
+    table = summed(sequences, square + 2 * cells, count)
+    held.destroy()
+    return table[:square].reshape(WIDTH, WIDTH), table[square : square + cells].reshape(-1, WIDTH), table[square + cells :].reshape(-1, WIDTH)
 
 
 def first_classes(totals: np.ndarray) -> np.ndarray:
@@ -171,31 +188,46 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-9))
 
 
-def exchange(classes: np.ndarray, totals: np.ndarray, after: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Moves each unit, most frequent first, to the class that makes the text likeliest.
+def likelihood(follows: np.ndarray) -> float:
+    """The class model's log-likelihood, but for a part that no exchange changes."""
+    follows = follows.astype(float)
+    return float(_xlogx(follows).sum() - _xlogx(follows.sum(0)).sum() - _xlogx(follows.sum(1)).sum())
+
+
+def gains(follows: np.ndarray, sums: np.ndarray, n: float, ins: np.ndarray, outs: np.ndarray) -> np.ndarray:
+    """What the likelihood gains if a unit that is in no class now joins each class.
 
-    ``after[u, c]`` and ``before[u, c]`` count u behind and ahead of class c. The class
-    bigrams and totals follow every move; what is compared is the change of the
-    class model's log-likelihood, sum f(bigram) - 2 sum f(class) with f(x) = x log x.
+    ``ins[c]`` and ``outs[c]`` count it behind and ahead of class c. Cells of a row and a
+    column change, and where they cross by both counts.
     """
-    classes, width = classes.copy(), CLASSES + 1
-    follows = np.zeros((width, width))  # [class, next class]
-    np.add.at(follows.T, classes, after)
-    sums = np.bincount(classes, totals, width).astype(float)
-    for u in np.argsort(-totals[:END], kind="stable"):
-        n = totals[u]
+    i, o, same = np.flatnonzero(ins), np.flatnonzero(outs), np.diagonal(follows)
+    column = _xlogx(follows[i, :] + ins[i, None]) - _xlogx(follows[i, :])
+    row = _xlogx(follows[:, o] + outs[None, o]) - _xlogx(follows[:, o])
+    gain = column.sum(0) + row.sum(1)
+    gain[i] -= column[np.arange(len(i)), i]
+    gain[o] -= row[o, np.arange(len(o))]
+    return gain + _xlogx(same + ins + outs) - _xlogx(same) - 2 * (_xlogx(sums + n) - _xlogx(sums))
+
+
+def exchange(classes: np.ndarray, totals: np.ndarray, follows: np.ndarray, batch: np.ndarray, after: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Moves each unit of a batch, most frequent first, to the class that makes the text likeliest.
+
+    ``after`` and ``before`` are counted for the classes at the batch's begin; class
+    bigrams and totals follow every move. Neighbours within a batch may move too, so
+    whoever calls this has to see whether the likelihood has risen.
+    """
+    classes, follows = classes.copy(), follows.astype(float)
+    sums = np.bincount(classes, totals, WIDTH).astype(float)
+    for k in np.argsort(-totals[batch], kind="stable"):
+        u, n, ins, outs = batch[k], totals[batch[k]], after[k], before[k]
         if not n:
             break
         old = classes[u]
-        ins, outs = after[u], before[u]
         follows[:, old] -= ins
         follows[old, :] -= outs
+        np.maximum(follows, 0, out=follows)
         sums[old] -= n
-        i, o = np.flatnonzero(ins), np.flatnonzero(outs)
-        gain = (_xlogx(follows[i, :] + ins[i, None]) - _xlogx(follows[i, :])).sum(0)
-        gain += (_xlogx(follows[:, o] + outs[None, o]) - _xlogx(follows[:, o])).sum(1)
-        gain -= 2 * (_xlogx(sums + n) - _xlogx(sums))
-        new = int(np.argmax(gain[:CLASSES]))
+        new = int(np.argmax(gains(follows, sums, n, ins, outs)[:CLASSES]))
         classes[u] = new
         follows[:, new] += ins
         follows[new, :] += outs
@@ -203,6 +235,88 @@ def exchange(classes: np.ndarray, totals: np.ndarray, after: np.ndarray, before:
     return classes
 
 
+def best_classes(sequences: DataFrame, classes: np.ndarray, totals: np.ndarray, follows: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Classes in which the units from ``first`` to ``last`` - 1 are each moved to the one that fits best.
+
+    Every unit is judged by itself, in Spark, with all others where they are; its
+    neighbours' classes are summed by unit. Only the new classes come to the driver.
+    """
+    held = sequences.sparkSession.sparkContext.broadcast((classes.astype(np.uint8), follows.astype(float), np.bincount(classes, totals, WIDTH).astype(float)))
+    near = 2 * WIDTH
+
+    def count(batches):
+        of = held.value[0]
+        for (seq,) in tokens.rows(batches, "seq"):
+            unit = np.frombuffer(seq, "<u4").astype(np.int64)
+            before = np.concatenate([[END], unit[:-1]])
+            cells = []
+            for who, beside, shift in ((unit, before, 0), (before, unit, WIDTH)):
+                mine = (who >= first) & (who < last)
+                cells.append(who[mine] * near + shift + of[beside[mine]])
+            cell, n = np.unique(np.concatenate(cells), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cell // near), pa.array(cell % near), pa.array(n)], names=["unit", "cell", "n"])
+
+    def choose(batches):
+        of, table, totals_of = held.value
+        unit, ins_outs = None, np.zeros(near)
+
+        def best():
+            old, ins, outs = int(of[unit]), ins_outs[:WIDTH], ins_outs[WIDTH:]
+            n, left, sums = ins.sum(), table.copy(), totals_of.copy()
+            left[:, old] -= ins
+            left[old, :] -= outs
+            sums[old] -= n
+            return int(unit), int(np.argmax(gains(np.maximum(left, 0), np.maximum(sums, 0), n, ins, outs)[:CLASSES]))
+
+        for batch in batches:
+            found = []
+            for u, cell, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if u != unit:
+                    if unit is not None:
+                        found.append(best())
+                    unit, ins_outs = u, np.zeros(near)
+                ins_outs[cell] += n
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["unit", "class"])
+        if unit is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in best()], names=["unit", "class"])
+
+    cells = sequences.mapInArrow(count, "unit long, cell long, n long").groupBy("unit", "cell").agg(F.sum("n").alias("n"))
+    found = cells.repartition("unit").sortWithinPartitions("unit").mapInArrow(choose, "unit long, class long").toArrow()
+    held.destroy()
+    out = classes.copy()
+    out[found.column("unit").to_numpy()] = found.column("class").to_numpy()
+    return out
+
+
+def clustered(sequences: DataFrame, totals: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Classes of all units, their bigrams, and the likelihood after each step that was kept.
+
+    Every step's exact likelihood is counted, and a step that lowers it is undone.
+    """
+    own = np.array([u for u in np.argsort(-totals[:END], kind="stable") if totals[u] and (u < OWN_UNITS or u >= COMMON_WORDS)], dtype=np.int64)
+    batches = [own[i::BATCHES] for i in range(BATCHES)]
+    classes = kept = first_classes(totals)
+    # Steps in turn: batches of the exchange, and before the last round the other common words.
+    steps = [b for r in range(rounds) for b in (*([None] if r == rounds - 1 and totals[OWN_UNITS:COMMON_WORDS].any() else []), *batches)]
+    follows, history = None, []
+    for batch in [*steps, np.zeros(0, np.int64)]:
+        while True:
+            found = contexts(sequences, classes, np.zeros(0, np.int64) if batch is None else batch)
+            risen = not history or likelihood(found[0]) >= history[-1] - 1e-6
+            if risen:
+                follows, kept = found[0], classes
+                history.append(likelihood(follows))
+                break
+            classes = kept
+            history.pop()
+        if batch is None:
+            classes = best_classes(sequences, classes, totals, follows, OWN_UNITS, COMMON_WORDS)
+        elif len(batch):
+            classes = exchange(classes, totals, follows, batch, *found[1:])
+    return kept, follows, history
+
+
 @dataclass(frozen=True)
 class Model:
     """What scoring needs, all of a fixed size."""
@@ -229,12 +343,8 @@ def train(docs: DataFrame, common_words: int = COMMON_WORDS, rounds: int = ROUND
     sequences = common.materialise(unit_sequences(docs, known), "sequences")
     ends = docs.filter(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS != HELD_OUT).count()
     totals[END], distinct[END] = ends, int(ends > 0)
-    classes = first_classes(totals)
-    for _ in range(rounds):
-        classes = exchange(classes, totals, *contexts(sequences, classes))
-    width = CLASSES + 1
-    follows = np.zeros((width, width))
-    np.add.at(follows.T, classes, contexts(sequences, classes)[0])
+    classes, follows, _ = clustered(sequences, totals, rounds)
+    width = WIDTH
     tokens_in, words_in = np.bincount(classes, totals, width), np.bincount(classes, distinct, width)
     # One more for each class, as an unknown word can be of any but the end's.
     share = (tokens_in + 1) / (tokens_in.sum() + width)

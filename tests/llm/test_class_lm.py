@@ -64,7 +64,7 @@ def test_the_model_is_a_distribution_and_equals_brute_force(spark):
     rows = {bytes(r.word): r.n for r in counts.collect()}
     mass = Counter()
     for w, n in rows.items():
-        unit = model.known.units[model.known.index[w]] if w in model.known.index else class_lm.ending_group(w)
+        unit = model.known.index[w] if w in model.known.index else class_lm.ending_group(w)
         k = model.classes[unit]
         mass[k] += (n + 1) / 10 ** model.room[k]
     assert all(m < 1 for m in mass.values()) and all(abs(m + 1 / 10 ** model.room[k] - 1) < 1e-9 for k, m in mass.items())
@@ -74,7 +74,7 @@ def test_the_model_is_a_distribution_and_equals_brute_force(spark):
         if w is None:
             want += model.transition[before, class_lm.CLASSES]
             break
-        unit = model.known.units[model.known.index[w]] if w in model.known.index else class_lm.ending_group(w)
+        unit = model.known.index[w] if w in model.known.index else class_lm.ending_group(w)
         k = model.classes[unit]
         want += model.transition[before, k] + math.log10(rows.get(w, 0) + 1) - model.room[k]
         before = k
@@ -84,6 +84,74 @@ def test_the_model_is_a_distribution_and_equals_brute_force(spark):
     assert math.isclose(got.score, want, rel_tol=1e-9)
 
 
+def brute_likelihood(classes, tokens):
+    pairs, ones = Counter(), Counter()
+    for last, unit in zip([class_lm.END, *tokens], tokens, strict=False):
+        pairs[classes[last], classes[unit]] += 1
+    for (a, b), n in pairs.items():
+        ones["before", a] += n
+        ones["after", b] += n
+    f = lambda n: n * math.log(n)
+    return sum(map(f, pairs.values())) - sum(map(f, ones.values()))
+
+
+def text_of_units(seed, n=400, units=30):
+    rng = np.random.default_rng(seed)
+    out, kind = [], 0
+    for _ in range(n):
+        kind = (kind + 1) % 3 if rng.random() < 0.9 else int(rng.integers(3))
+        out.append(int(rng.integers(units // 3)) * 3 + kind)
+        if rng.random() < 0.05:
+            out.append(class_lm.END)
+    return [*out, class_lm.END]
+
+
+def test_gains_equal_brute_force():
+    rng = np.random.default_rng(1)
+    tokens = [t for t in text_of_units(5)]
+    classes = np.zeros(class_lm.END + 1, int)
+    classes[:30], classes[class_lm.END] = rng.integers(0, 5, 30), class_lm.CLASSES
+    u = next(t for t in range(30) if not any(a == b == t for a, b in zip(tokens, tokens[1:], strict=False)) and t in tokens)
+    follows, ins, outs = np.zeros((class_lm.WIDTH,) * 2), np.zeros(class_lm.WIDTH), np.zeros(class_lm.WIDTH)
+    for last, unit in zip([class_lm.END, *tokens], tokens, strict=False):
+        if unit == u:
+            ins[classes[last]] += 1
+        elif last == u:
+            outs[classes[unit]] += 1
+        else:
+            follows[classes[last], classes[unit]] += 1
+    sums = np.bincount([classes[t] for t in tokens if t != u], minlength=class_lm.WIDTH).astype(float)
+    got = class_lm.gains(follows, sums, ins.sum(), ins, outs)
+    want = []
+    for c in range(5):
+        classes[u] = c
+        want.append(brute_likelihood(classes, tokens))
+    assert np.allclose(got[:5] - got[0], np.array(want) - want[0])
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_exchange_against_brute_force(spark, monkeypatch, seed):
+    monkeypatch.setattr(class_lm, "OWN_UNITS", 24)  # six words are left to best_classes
+    monkeypatch.setattr(class_lm, "CLASSES", 4)
+    monkeypatch.setattr(class_lm, "WIDTH", 5)
+    tokens = text_of_units(seed, 3000)
+    frame = spark.createDataFrame([(np.array(tokens, "<u4").tobytes(),)], "seq binary")
+    totals = np.bincount(tokens, minlength=class_lm.END + 1)
+    classes, follows, history = class_lm.clustered(frame, totals, 3)
+    assert all(b >= a - 1e-6 for a, b in zip(history, history[1:], strict=False)) and history[-1] > history[0]
+    assert math.isclose(history[-1], brute_likelihood(classes, tokens), rel_tol=1e-9) and follows.sum() == len(tokens)
+    # Brute force: every unit in turn to its best class, by the whole likelihood.
+    brute = class_lm.first_classes(totals)
+    start = brute_likelihood(brute, tokens)
+    for u in [u for u in np.argsort(-totals[:30], kind="stable")]:
+        tried = []
+        for c in range(class_lm.CLASSES):
+            brute[u] = c
+            tried.append(brute_likelihood(brute, tokens))
+        brute[u] = int(np.argmax(tried))
+    assert history[-1] - history[0] >= 0.8 * (brute_likelihood(brute, tokens) - start)
+
+
 def test_empty_table_and_nothing_to_learn_from(spark):
     assert class_lm.score(docs(spark, [])).collect() == []
     held = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 == 2)

@@ -10,11 +10,21 @@ from . import common
 #: The rules of the query: (verdict, host, path). A rule holds for its host and all subdomains.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
-DAMPING, MOST_ROUNDS, SETTLED = 0.85, 20, 1e-6
+#: A round ends the spreading when no host's rank has changed by more than SETTLED of itself, or
+#: all ranks together by less than NOTHING of all mass (a walk's mass falls by DAMPING a round,
+#: so that is met for any graph).
+DAMPING, SETTLED, NOTHING = 0.85, 0.01, 1e-9
+#: Out-links of a host that one task may hold.
+HUB = 10_000
 #: A host's pages are blocked if distrust is more than this share of all that reaches it.
 DISTRUSTED = 0.5
+#: Labels that the shortest node above a host has.
+LEAST_LABELS = 2
 
-LINK = r"""(?i)\b(?:href|src|action)\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
+_HOST = r"""([^/?#"'\s<>]+)"""
+LINK = r"""(?i)\b(?:href|src|action|content|data-href|srcset)\s*=\s*["']?\s*(?:\d+;\s*url=)?(?:https?:)?//""" + _HOST
+BASE = r"""(?i)<base\b[^>]*?\bhref\s*=\s*["']?\s*(?:https?:)?//""" + _HOST
+RELATIVE = r"""(?i)\bhref\s*=\s*["']?\s*(?!https?:|//|#|mailto:|javascript:|data:|tel:)[^"'\s>]"""
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -35,43 +45,54 @@ def matching_rule(host: Column, path: Column, rules) -> tuple[Column, Column]:
 
 
 def host_links(pages: DataFrame) -> DataFrame:
-    """source, target, n: links between different hosts, and from each host to its parent.
+    """source, target, n: links between different hosts, and between a host and the nodes above it.
 
-    ``pages`` has host and html. A parent is the host without its first label, where
-    pages of it are there too.
+    ``pages`` has host and html. Absolute links count, and where a page names another host
+    as its base, its relative ones. Above a host stand its suffixes down to two labels,
+    whether they have pages or not, each linked with the next in both directions: so hosts
+    of one domain are near each other.
     """
-    targets = F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1)))
-    linked = pages.filter("host <> ''").select(F.col("host").alias("source"), targets.alias("raw")).select("source", common.ascii_lower(F.col("raw")).alias("target"))
-    links = linked.filter("source <> target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
-    hosts = pages.filter("host <> ''").select("host").distinct()
-    parents = hosts.select(F.col("host").alias("source"), F.regexp_extract("host", r"^[^.]*\.(.+)$", 1).alias("target")).filter("target <> ''")
-    parents = parents.join(hosts.select(F.col("host").alias("target")), "target", "left_semi").select("source", "target", F.lit(1).cast("long").alias("n"))
-    return links.unionByName(parents).groupBy("source", "target").agg(F.sum("n").alias("n"))
-
-
-def spread(seeds: DataFrame, edges: DataFrame, rounds: int = MOST_ROUNDS, settled: float = SETTLED) -> DataFrame:
+    html = F.coalesce("html", F.lit(""))
+    rows = pages.filter("host <> ''").select(F.col("host").alias("source"), html.alias("html"))
+    absolute = rows.select("source", F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("raw"), F.lit(1).cast("long").alias("n"))
+    based = rows.select("source", F.regexp_extract("html", BASE, 1).alias("raw"), F.regexp_count("html", F.lit(RELATIVE)).cast("long").alias("n")).filter("raw <> '' AND n > 0")
+    target = F.regexp_replace(common.ascii_lower(F.regexp_replace("raw", r"^[^@]*@", "")), r":\d*$", "")
+    links = absolute.unionByName(based).select("source", target.alias("target"), "n").filter("target <> '' AND source <> target").groupBy("source", "target").agg(F.sum("n").alias("n"))
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels) - LEAST_LABELS + 1), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    hosts = pages.filter("host <> ''").select("host").distinct().filter(F.size(labels) > LEAST_LABELS).select(suffixes.alias("chain"))
+    steps = hosts.select(F.explode(F.arrays_zip(F.slice("chain", 1, F.size("chain") - 1).alias("low"), F.slice("chain", 2, F.size("chain")).alias("high"))).alias("step")).select("step.low", "step.high").distinct()
+    one = F.lit(1).cast("long").alias("n")
+    up, down = steps.select(F.col("low").alias("source"), F.col("high").alias("target"), one), steps.select(F.col("high").alias("source"), F.col("low").alias("target"), one)
+    return links.unionByName(up).unionByName(down).groupBy("source", "target").agg(F.sum("n").alias("n"))
+
+
+def spread(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """Personalised PageRank: kind, host, rank from seeds (kind, host, mass) over edges (kind, source, target, n).
 
-    A walk that meets a host without edges ends there. Rounds stop when no host's rank
-    changes by more than ``settled`` of all mass. Each round's ranks are written, so
-    plans stay short.
+    A walk that meets a host without edges ends there. Rounds go on until ranks are
+    settled, each relative to itself, so the graph's size and the number of seeds
+    do not matter. A host with very many links is cut into parts, each
+    of which gets the host's rank. Each round's ranks are written, so plans stay short.
     """
-    out = edges.groupBy("kind", "source").agg(F.sum("n").alias("all"))
-    edges = common.materialise(edges.join(out, ["kind", "source"]).select("kind", F.col("source").alias("host"), "target", (F.col("n") / F.col("all")).alias("share")), "edges")
+    out = edges.groupBy("kind", "source").agg(F.sum("n").alias("all"), F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("parts"))
+    out = common.materialise(out, "sources")
+    part = F.pmod(F.xxhash64("target"), F.col("parts")).cast("int")
+    shares = edges.join(out, ["kind", "source"]).select("kind", F.col("source").alias("host"), part.alias("part"), "target", (F.col("n") / F.col("all")).alias("share"))
+    shares = common.materialise(shares, "edges")
+    parts = out.select("kind", F.col("source").alias("host"), "parts")
     base = common.materialise(seeds.select("kind", "host", (F.col("mass") * (1 - DAMPING)).alias("base")), "seeds")
     ranks = base.withColumnRenamed("base", "rank")
-    if edges.isEmpty():
-        return ranks
-    for _ in range(rounds):
-        moved = ranks.join(edges, ["kind", "host"]).groupBy("kind", F.col("target").alias("host")).agg((F.sum(F.col("rank") * F.col("share")) * DAMPING).alias("in"))
+    while True:
+        asked = ranks.join(parts, ["kind", "host"]).select("kind", "host", "rank", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        moved = asked.join(shares, ["kind", "host", "part"]).groupBy("kind", F.col("target").alias("host")).agg((F.sum(F.col("rank") * F.col("share")) * DAMPING).alias("in"))
         both = moved.join(base, ["kind", "host"], "full").select("kind", "host", (F.coalesce("in", F.lit(0.0)) + F.coalesce("base", F.lit(0.0))).alias("new"))
-        step = common.materialise(
-            both.join(ranks, ["kind", "host"], "left").select("kind", "host", F.col("new").alias("rank"), F.abs(F.col("new") - F.coalesce("rank", F.lit(0.0))).alias("change")), "ranks"
-        )
+        change = F.abs(F.col("new") - F.coalesce("rank", F.lit(0.0)))
+        step = common.materialise(both.join(ranks, ["kind", "host"], "left").select("kind", "host", F.col("new").alias("rank"), change.alias("change")), "ranks")
         ranks = step.drop("change")
-        if (step.agg(F.max("change")).first()[0] or 0.0) <= settled:
-            break
-    return ranks
+        relative, total = step.agg(F.max(F.when(F.col("rank") > 0, F.col("change") / F.col("rank"))), F.sum("change")).first()
+        if (relative or 0.0) <= SETTLED or (total or 0.0) <= NOTHING:
+            return ranks
 
 
 def host_trust(pages: DataFrame) -> DataFrame:

@@ -40,6 +40,33 @@ def test_recall_against_brute_force(spark, scale):
         assert [(-r.score, r.vec_id) for r in rs] == sorted((-r.score, r.vec_id) for r in rs)
 
 
+def test_far_blocks_are_pruned(spark):
+    """Vectors in clusters: most blocks are out of a query's reach, and nothing near is lost."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(60, 32))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    x = np.repeat(centres, 60, axis=0) + rng.normal(size=(3600, 32)) * 0.02
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = list(enumerate(x.tolist()))
+    seen = []
+    inner = collision_ann.searched
+
+    def counted(data, visits, k, query_rows):
+        seen.append((data.select("block", "part").distinct().count(), visits.count()))
+        return inner(data, visits, k, query_rows)
+
+    collision_ann.searched = counted
+    try:
+        out = collision_ann.nearest(frame(spark, rows), block_rows=300).collect()
+    finally:
+        collision_ann.searched = inner
+    want = exact(rows)
+    hits = sum(r.vec_id in {j for j, _ in want[r.query_id]} for r in out)
+    assert hits >= 0.95 * sum(map(len, want.values()))
+    (blocks, homes), (_, visits) = seen
+    assert homes == 180 and blocks >= 16 and visits < 0.5 * blocks * homes
+
+
 def test_odd_vectors_ties_and_few_candidates(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1, 0]), (1, [1, 1]), (2, [1, 1]), (3, [0, 0]), (4, None), (5, [1, None]), (6, [nan, 1]), (7, [inf, 1]), (None, [1, 1]), (8, []), (20, [-1, 2]), (40, [1, 2, 3]), (60, [3e38, 3e38])]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from andamio.functions import specs, text, vocabulary
 
+# Points of each signal, limits, weights and vetoes.
 FAMILY, SUBCATEGORY, TOKEN, MOST_TOKENS, BRAND, WEIGHT, DESCRIPTION, MOST_DESCRIPTION = 100, 6, 2, 8, 5, 3, 1, 4
 LEAST_SCORE, NEAR_WEIGHT, SIMILAR = 8, 0.2, 6
 NO_SIGNAL_CATEGORY, NO_SIGNAL_TOKENS = "General", 2
@@ -41,9 +44,11 @@ def similar(targets: DataFrame, products: DataFrame, limit: int = SIMILAR) -> Da
     """target_id, id, score, place: the best of the family and category of each target.
 
     ``products`` has id, name, brand, category, subcategory, family_id, weight and
-    description (the last three may be null). A product outside the family has to share
-    the subcategory or a name token, so candidates come from equality joins on these
-    within the category and on the family; no pair without evidence is formed.
+    description (the last three may be null). One signal alone does not reach
+    LEAST_SCORE, so candidates come from equality joins on two signals together that can:
+    subcategory with a token, the brand, a band of weights or a word of the description;
+    a token with the brand, another token or a band of weights. Only ids
+    move until a pair is known. Null categories match none but the family's.
     """
 
     def described(df: DataFrame, prefix: str) -> DataFrame:
@@ -54,9 +59,22 @@ def similar(targets: DataFrame, products: DataFrame, limit: int = SIMILAR) -> Da
         )
 
     a, b = described(targets, "a_"), described(products, "b_")
-    evidence = lambda p: F.concat(F.transform(F.col(f"{p}tokens"), lambda t: F.concat(F.lit("t"), t)), F.when(F.col(f"{p}sub").isNotNull(), F.array(F.concat(F.lit("s"), F.col(f"{p}sub")))).otherwise(F.array().cast("array<string>")))
-    keys = lambda df, p: df.select(f"{p}id", F.col(f"{p}category").alias("category"), F.explode(evidence(p)).alias("key"))
-    by_key = keys(a, "a_").join(keys(b, "b_"), ["category", "key"]).select("a_id", "b_id")
+
+    def joint_keys(df: DataFrame, p: str, bands: tuple[int, ...]) -> DataFrame:
+        c = lambda n: F.col(p + n)
+        none = F.array().cast("array<string>")
+        joined = lambda *parts: F.concat_ws("\x00", *parts)
+        of = lambda value: F.when(value.isNotNull(), F.array(value)).otherwise(none)
+        # Weights within a fifth of each other are in the same band or in neighbours.
+        band = F.when(c("weight") > 0, F.floor(F.log(c("weight")) / F.log(F.lit(1 / (1 - NEAR_WEIGHT)))))
+        weights = F.when(band.isNotNull(), F.array(*((band + i).cast("string") for i in bands))).otherwise(none)
+        beside = lambda kind, values, word: F.transform(values, lambda v: joined(F.lit(kind), word, v))
+        by_sub = [beside("st", c("tokens"), c("sub")), beside("sb", of(c("brand")), c("sub")), beside("sw", weights, c("sub")), beside("sd", F.coalesce(c("words"), none), c("sub"))]
+        by_sub = [F.when(c("sub").isNotNull(), x).otherwise(none) for x in by_sub]
+        per_token = lambda t: F.concat(beside("tb", of(c("brand")), t), beside("tw", weights, t), beside("tt", F.filter(c("tokens"), lambda u: u > t), t))
+        return df.select(f"{p}id", F.col(f"{p}category").alias("category"), F.explode(F.concat(*by_sub, F.flatten(F.transform(c("tokens"), per_token)))).alias("key"))
+
+    by_key = joint_keys(a, "a_", (-1, 0, 1)).join(joint_keys(b, "b_", (0,)), ["category", "key"]).select("a_id", "b_id")
     by_family = a.join(b, F.col("a_family") == F.col("b_family")).select("a_id", "b_id")
     pairs = by_key.unionByName(by_family).filter("a_id <> b_id").distinct()
     rows = pairs.join(a, "a_id").join(b, "b_id")
@@ -104,10 +122,16 @@ def specific(prints: DataFrame) -> DataFrame:
     return joined.withColumns({"codes": F.array_except("codes", "generic"), "tokens": F.array_except("tokens", F.transform("generic", F.lower))}).drop("generic")
 
 
-def candidate_pairs(prints: DataFrame) -> DataFrame:
-    """a, b (a < b) of different suppliers that share a code, or brand and a token."""
+def candidate_pairs(prints: DataFrame, strong: bool = False) -> DataFrame:
+    """a, b (a < b) of different suppliers that share a code, or brand and a token.
+
+    With ``strong`` two tokens beside the brand, as a confirmed match without a code has.
+    """
     none = F.array().cast("array<string>")
-    keys = F.concat(F.transform("codes", lambda c: F.concat(F.lit("c:"), c)), F.when(F.col("brand").isNotNull(), F.transform("tokens", lambda t: F.concat_ws(":", F.lit("m"), F.col("brand"), t))).otherwise(none))
+    branded = lambda *t: F.concat_ws(":", F.lit("m"), F.col("brand"), *t)
+    two = F.flatten(F.transform("tokens", lambda t: F.transform(F.filter("tokens", lambda u: u > t), lambda u: branded(t, u))))
+    words = two if strong else F.transform("tokens", lambda t: branded(t))
+    keys = F.concat(F.transform("codes", lambda c: F.concat(F.lit("c:"), c)), F.when(F.col("brand").isNotNull(), words).otherwise(none))
     rows = prints.select("id", "supplier", F.explode(keys).alias("key"))
     a, b = rows.select(F.col("id").alias("a"), F.col("supplier").alias("of_a"), "key"), rows.select(F.col("id").alias("b"), F.col("supplier").alias("of_b"), "key")
     return a.join(b, "key").filter("a < b AND of_a <> of_b").select("a", "b").distinct()
@@ -186,7 +210,8 @@ def confidence(rows: DataFrame) -> DataFrame:
     total = sum((F.when(F.col(f"s_{k}").isNotNull(), WEIGHTS[k]).otherwise(0.0) for k in others), F.lit(0.0))
     mean = F.try_divide(sum((F.coalesce(F.col(f"s_{k}") * WEIGHTS[k], F.lit(0.0)) for k in others), F.lit(0.0)), total)
     rows = rows.select("a", "b", "one_part", F.coalesce(*(F.when(bad[k], k) for k in VETOES)).alias("veto"), *(v.alias(f"s_{k}") for k, v in signals.items())).withColumn("mean", mean)
-    anchored = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("s_code") + (F.col("mean") - 0.5) * 0.30))
+    # Least and greatest pass over nulls, so the anchor is asked for first.
+    anchored = F.when(F.col("s_code").isNotNull() & F.col("mean").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("s_code") + (F.col("mean") - 0.5) * 0.30)))
     score = F.when(F.col("veto").isNotNull(), 0.0).otherwise(F.coalesce(anchored, F.col("s_code"), "mean", F.lit(0.0)) * F.when(F.col("one_part"), 0.5).otherwise(1.0))
     return rows.select("a", "b", F.bround(score, 4).alias("score"), "veto", F.struct(*(F.col(f"s_{k}").alias(k) for k in WEIGHTS)).alias("signals"))
 
@@ -231,9 +256,10 @@ def components(edges: DataFrame) -> DataFrame:
 def _ensure_checkpoints(df: DataFrame) -> None:
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="andamio-"))
+        found = sc.getConf().get("spark.checkpoint.dir")
+        if not found and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="andamio-"))
 
 
 def equivalence_groups(products: DataFrame, edges: DataFrame) -> DataFrame:
@@ -249,5 +275,5 @@ def resolve(products: DataFrame) -> DataFrame:
     """Entity resolution from names to groups."""
     _ensure_checkpoints(products)
     prints = specific(fingerprints(products)).checkpoint()
-    found = verdicts(compared(candidate_pairs(prints), prints))
+    found = verdicts(compared(candidate_pairs(prints, strong=True), prints))
     return equivalence_groups(products, found.filter("verdict = 'confirmed'").select("a", "b"))

@@ -51,12 +51,12 @@ def identity_sql(normal: str) -> str:
     return f"list_sort(list_distinct(list_filter({tokens_sql(normal)}, lambda w : NOT list_contains({_list(vocabulary.GENERIC_TOKENS)}, w) AND NOT regexp_full_match(replace(w, '.', ''), '[0-9]+'))))"
 
 
-def half_even_sql(x: str) -> str:
-    """Two decimals, ties to even, decided on the number's shortest digits as Spark does."""
-    cents = f"({x})::DOUBLE::VARCHAR::DECIMAL(36, 16) * 100"
+def half_even_sql(x: str, digits: int = 2) -> str:
+    """So many decimals, ties to even, decided on the number's shortest digits as Spark does."""
+    cents = f"({x})::DOUBLE::VARCHAR::DECIMAL(32, 16) * {10**digits}"
     whole = f"floor({cents})::DECIMAL(30, 0)"
     up = f"({cents} - {whole} > 0.5 OR ({cents} - {whole} = 0.5 AND {whole} % 2 = 1))"
-    return f"(({whole} + CASE WHEN {up} THEN 1 ELSE 0 END)::DOUBLE / 100)"
+    return f"(({whole} + CASE WHEN {up} THEN 1 ELSE 0 END)::DOUBLE / {10**digits})"
 
 
 def half_even_exact_sql(x: str, digits: int = 2) -> str:
@@ -213,7 +213,8 @@ def _(s, d):
     return projects.next_order_number(o.select(F.col("o_custkey").alias("project_id"), number.alias("number")))
 
 
-@query("frozen_budgets")
+@query("frozen_budgets", with_views("products projects items", _QUOTES + """, listed AS (SELECT project_id, to_json(list({'section': section, 'subtotal': subtotal} ORDER BY section = 'Sin partida', lower(section))) AS snapshot FROM sections GROUP BY project_id)
+SELECT q.project_id, materials, indirect, contingency, margin, total, CASE WHEN area_m2 <> 0 THEN """ + half_even_sql("total / area_m2") + f""" END AS cost_m2, l.snapshot::VARCHAR AS snapshot, TIMESTAMP '{AS_OF}' AS created FROM quotes q LEFT JOIN listed l ON q.project_id = l.project_id"""))
 def _(s, d):
     sections = _sections(s, d)
     return projects.frozen_budgets(projects.quotes(domain.projects(s, d), sections), sections, F.lit(AS_OF).cast("timestamp_ntz"))
@@ -226,15 +227,30 @@ def _(s, d):
     return projects.numbered_orders(pending, s.createDataFrame([], "project_id long, number string")).select("project_id", "supplier", "number")
 
 
-@query("add_items_fold")
+@query("add_items_fold", with_views("items", """, c AS (SELECT project_id, supplier, quantity, section, CASE WHEN state = 'comprado' THEN 'comprado' ELSE 'add' END AS action, row_number() OVER (PARTITION BY project_id, supplier ORDER BY added, line, supplier_id, CASE WHEN state = 'comprado' THEN 'comprado' ELSE 'add' END, quantity, section NULLS FIRST) AS n FROM items),
+r AS (SELECT *, count(CASE WHEN action = 'add' THEN 1 END) OVER w AS adds, lag(action) OVER w AS before FROM c WINDOW w AS (PARTITION BY project_id, supplier ORDER BY n)),
+g AS (SELECT *, count(CASE WHEN action = 'add' AND before IS DISTINCT FROM 'add' THEN 1 END) OVER (PARTITION BY project_id, supplier ORDER BY n) AS run FROM r)
+SELECT project_id, supplier, 'one' AS supplier_id, max_by(CASE WHEN action = 'add' THEN 'pendiente' WHEN adds > 0 THEN action END, n) AS state, coalesce(sum(CASE WHEN action = 'add' AND run = last THEN quantity END), 0) AS quantity,
+  max(CASE WHEN action = 'add' AND adds = 1 THEN section END) AS section, CASE WHEN max(adds) > 0 THEN 'manual' END AS origin, max(adds) > 0 AS there
+FROM (SELECT *, max(run) OVER (PARTITION BY project_id, supplier) AS last FROM g) GROUP BY project_id, supplier"""))
 def _(s, d):
     rows = domain.items(s, d)
-    act = F.when(F.pmod(F.xxhash64("line"), F.lit(4)) == 0, "comprado").otherwise("add")
+    act = F.when(F.col("state") == "comprado", "comprado").otherwise("add")
     commands = rows.select("project_id", "supplier", F.lit("one").alias("supplier_id"), F.struct("added", "line", "supplier_id").alias("seq"), act.alias("action"), "quantity", "section", F.lit("manual").alias("origin"))
     return projects.added_items(commands)
 
 
-@query("purchases_fold")
+_PAID = half_even_sql("c.bought * c.price")
+_GOOD = "(c.bought > 0 AND f.bought + c.bought <= c.wanted + 1e-9)"
+
+
+@query("purchases_fold", with_views("items", """, parts AS (SELECT *, unnest([0.25, 0.5, 0.5]) AS part FROM items),
+c AS (SELECT project_id, supplier, supplier_id, line, quantity AS wanted, price_when_added AS price, floor(quantity * part)::DOUBLE AS bought, row_number() OVER (PARTITION BY project_id, supplier, supplier_id, line ORDER BY part, added, quantity, price_when_added) AS n FROM parts),
+f AS (SELECT project_id, supplier, supplier_id, line, 0::BIGINT AS n, 0.0::DOUBLE AS bought, 0.0::DOUBLE AS amount, 0 AS refused, NULL::DOUBLE AS wanted FROM c WHERE n = 1
+  UNION ALL SELECT c.project_id, c.supplier, c.supplier_id, c.line, c.n, CASE WHEN """ + _GOOD + " THEN f.bought + c.bought ELSE f.bought END, CASE WHEN " + _GOOD + " THEN " + half_even_sql("f.amount + " + _PAID) + " ELSE f.amount END, f.refused + CASE WHEN " + _GOOD + """ THEN 0 ELSE 1 END, c.wanted
+  FROM f JOIN c ON c.project_id = f.project_id AND c.supplier = f.supplier AND c.supplier_id = f.supplier_id AND c.line = f.line AND c.n = f.n + 1),
+l AS (SELECT *, row_number() OVER (PARTITION BY project_id, supplier, supplier_id, line ORDER BY n DESC) AS back FROM f)
+SELECT project_id, supplier, supplier_id, line, bought, amount, refused, wanted, CASE WHEN bought <= 0 THEN 'pendiente' WHEN abs(bought - wanted) <= 1e-9 THEN 'comprado' ELSE 'parcial' END AS state FROM l WHERE back = 1""").replace("WITH ", "WITH RECURSIVE ", 1))
 def _(s, d):
     rows = domain.items(s, d).withColumn("part", F.explode(F.array(F.lit(0.5), F.lit(0.5), F.lit(0.25))))
     commands = rows.select("project_id", "supplier", "supplier_id", "line", F.struct("part", "added").alias("seq"), F.col("quantity").alias("wanted"), F.col("price_when_added").alias("price"), F.floor(F.col("quantity") * F.col("part")).cast("double").alias("bought"), F.lit(None).cast("double").alias("amount"))
@@ -450,29 +466,40 @@ def _(s, d):
 # -- matching ----------------------------------------------------------------------------------------
 
 
+def named(s, d) -> DataFrame:
+    """Products whose names end at the size, so that some differ in it alone."""
+    return domain.products(s, d).withColumn("name", F.regexp_replace("name", r" DW\d+$", ""))
+
+
 def described(s, d) -> DataFrame:
-    rows = domain.products(s, d)
+    rows = named(s, d)
     with_fam = matching.with_family(rows, matching.families(rows, None))
     return with_fam.withColumns({"weight": (F.col("id") % 9).cast("string"), "description": F.lit(None).cast("string")})
 
 
-@query("product_families", with_views("products", r"""SELECT supplier, category, core, min_by(name, id) AS name, count(*) AS members FROM (
-  SELECT *, array_to_string(list_filter(str_split(lower(name), ' '), lambda w : w <> 'mm' OR true), ' ') AS x, array_to_string(list_filter(str_split(lower(name), ' '), lambda w : NOT regexp_full_match(w, '[0-9]+')), ' ') AS core FROM products)
+_NAMED = """, named AS (SELECT * REPLACE (regexp_replace(name, ' DW[0-9]+$', '') AS name) FROM products)"""
+
+
+@query("product_families", with_views("products", _NAMED + r""" SELECT supplier, category, core, min_by(name, id) AS name, count(*) AS members FROM (
+  SELECT *, array_to_string(list_filter(str_split(lower(name), ' '), lambda w : w <> 'mm' OR true), ' ') AS x, array_to_string(list_filter(str_split(lower(name), ' '), lambda w : NOT regexp_full_match(w, '[0-9]+')), ' ') AS core FROM named)
 GROUP BY supplier, category, core HAVING count(*) > 1"""))
 def _(s, d):
-    return matching.families(domain.products(s, d), None).drop("family_id")
+    return matching.families(named(s, d), None).drop("family_id")
 
 
-_DESCRIBED = f""", core AS (SELECT id, supplier, category, array_to_string(list_filter(str_split(lower(name), ' '), lambda w : NOT regexp_full_match(w, '[0-9]+')), ' ') AS core FROM products),
+_DESCRIBED = _NAMED + f""", core AS (SELECT id, supplier, category, array_to_string(list_filter(str_split(lower(name), ' '), lambda w : NOT regexp_full_match(w, '[0-9]+')), ' ') AS core FROM named),
 fam AS (SELECT supplier, category, core FROM core GROUP BY ALL HAVING count(*) > 1),
 d AS (SELECT p.id, p.category, CASE WHEN fam.core IS NOT NULL THEN p.supplier || p.category || fam.core END AS family, nullif({normal_sql('p.subcategory')}, '') AS sub, {identity_sql(normal_sql('p.name'))} AS tokens, nullif(lower(trim(p.brand)), '') AS brand, (p.id % 9)::DOUBLE AS weight
-  FROM products p JOIN core ON p.id = core.id LEFT JOIN fam ON core.supplier = fam.supplier AND core.category = fam.category AND core.core = fam.core)"""
+  FROM named p JOIN core ON p.id = core.id LEFT JOIN fam ON core.supplier = fam.supplier AND core.category = fam.category AND core.core = fam.core)"""
 
 
-@query("similar_products", with_views("products", _DESCRIBED + """, s AS (SELECT a.id AS target_id, b.id, coalesce(a.family = b.family, false) AS family, a.category, len(list_intersect(a.tokens, b.tokens)) AS shared,
+_SIMILAR = _DESCRIBED + """, s AS (SELECT a.id AS target_id, b.id, coalesce(a.family = b.family, false) AS family, a.category, len(list_intersect(a.tokens, b.tokens)) AS shared,
   100 * coalesce(a.family = b.family, false)::INT + 6 * coalesce(a.sub = b.sub, false)::INT + least(2 * len(list_intersect(a.tokens, b.tokens)), 8) + 5 * coalesce(a.brand = b.brand, false)::INT + 3 * coalesce(a.weight > 0 AND abs(a.weight - b.weight) / nullif(a.weight, 0) <= 0.2, false)::INT AS score
-  FROM d a JOIN d b ON a.id <> b.id AND ((a.category = b.category AND (a.sub = b.sub OR list_has_any(a.tokens, b.tokens))) OR a.family = b.family))
-SELECT target_id, id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY score DESC, family DESC, id) AS place FROM s WHERE score >= 8 AND (family OR category <> 'General' OR shared >= 2)) WHERE place <= 6"""))
+  FROM d a JOIN d b ON a.id <> b.id AND ((a.category = b.category AND (a.sub = b.sub OR list_has_any(a.tokens, b.tokens))) OR a.family = b.family)),
+best AS (SELECT target_id, id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY score DESC, family DESC, id) AS place FROM s WHERE score >= 8 AND (family OR category <> 'General' OR shared >= 2)) WHERE place <= 6)"""
+
+
+@query("similar_products", with_views("products", _SIMILAR + " SELECT * FROM best"))
 def _(s, d):
     rows = described(s, d)
     return matching.similar(rows, rows)
@@ -483,10 +510,32 @@ def _(s, d):
     return matching.code_frequency(matching.fingerprints(domain.products(s, d)))
 
 
-@query("candidate_pairs", with_views("products", f""", p AS (SELECT id, supplier, nullif(lower(trim(brand)), '') AS brand, 'DW' || (1000 + id % 500) AS code, {identity_sql(normal_sql('name'))} AS tokens FROM products),
+_PAIRS = f""", p AS (SELECT id, supplier, nullif(lower(trim(brand)), '') AS brand, 'DW' || (1000 + id % 500) AS code, {identity_sql(normal_sql('name'))} AS tokens FROM products),
 g AS (SELECT code FROM p GROUP BY code HAVING count(*) > 15), words AS (SELECT id, supplier, brand, code, unnest(tokens) AS t FROM p WHERE brand IS NOT NULL),
-keys AS (SELECT id, supplier, 'c:' || code AS key FROM p WHERE code NOT IN (SELECT code FROM g) UNION SELECT id, supplier, 'm:' || brand || ':' || t FROM words WHERE NOT (upper(t) = code AND code IN (SELECT code FROM g)))
-SELECT DISTINCT a.id AS a, b.id AS b FROM keys a JOIN keys b ON a.key = b.key AND a.id < b.id AND a.supplier <> b.supplier"""))
+keys AS (SELECT id, supplier, 'c:' || code AS key FROM p WHERE code NOT IN (SELECT code FROM g) UNION SELECT id, supplier, 'm:' || brand || ':' || t FROM words WHERE NOT (upper(t) = code AND code IN (SELECT code FROM g))),
+pairs AS (SELECT DISTINCT a.id AS a, b.id AS b FROM keys a JOIN keys b ON a.key = b.key AND a.id < b.id AND a.supplier <> b.supplier)"""
+
+
+def _compared_sql(pairs: str, prints: str, generic: str) -> str:
+    """What ``matching.compared`` finds of the names here: codes, tokens, millimetres, brands, categories."""
+    return f""", prints AS (SELECT q.id, q.category, nullif(lower(trim(q.brand)), '') AS brand, {identity_sql(normal_sql('q.name'))} AS all_tokens, nullif(regexp_extract(q.name, 'DW[0-9]+$'), '') AS any_code, regexp_extract(q.name, '([0-9]+) mm', 1)::DOUBLE AS mm FROM {prints} q),
+prints1 AS (SELECT *, coalesce(any_code IN ({generic}), false) AS common FROM prints),
+prints2 AS (SELECT *, CASE WHEN NOT common THEN any_code END AS code, list_filter(all_tokens, lambda t : NOT (common AND upper(t) = any_code)) AS tokens FROM prints1),
+both_ AS (SELECT x.a, x.b, coalesce(a.brand = b.brand, false) AS same, coalesce(a.code = b.code, false) AS coded, a.mm <> b.mm AS conflict, a.category = b.category AS one_category, a.tokens AS ta, b.tokens AS tb,
+  list_filter(a.tokens, lambda t : NOT coalesce(a.code = b.code AND t = lower(a.code), false)) AS oa, list_filter(b.tokens, lambda t : NOT coalesce(a.code = b.code AND t = lower(a.code), false)) AS ob
+  FROM {pairs} x JOIN prints2 a ON x.a = a.id JOIN prints2 b ON x.b = b.id),
+numbers AS (SELECT *, len(list_intersect(ta, tb)) AS shared, len(list_intersect(ta, tb)) / greatest(len(list_distinct(list_concat(ta, tb))), 1) AS jaccard, len(list_intersect(oa, ob)) AS own_shared, len(list_distinct(list_concat(oa, ob))) AS own_all FROM both_),
+compared AS (SELECT *, own_shared / greatest(own_all, 1) AS own_jaccard FROM numbers),
+means AS (SELECT *, same::INTEGER::DOUBLE AS s_brand, one_category::INTEGER::DOUBLE AS s_category, CASE WHEN own_all > 0 THEN {half_even_sql('own_jaccard', 4)} END AS s_tokens, (NOT conflict)::INTEGER::DOUBLE AS s_dimensions FROM compared),
+scores0 AS (SELECT *, ((((0.0::DOUBLE + s_brand * 0.20::DOUBLE) + coalesce(s_tokens * 0.20::DOUBLE, 0)) + s_category * 0.05::DOUBLE) + s_dimensions * 0.03::DOUBLE) / ((((0.0::DOUBLE + 0.20::DOUBLE) + CASE WHEN s_tokens IS NULL THEN 0 ELSE 0.20::DOUBLE END) + 0.05::DOUBLE) + 0.03::DOUBLE) AS mean FROM means),
+scores AS (SELECT *, {half_even_sql("CASE WHEN conflict THEN 0 WHEN coded THEN greatest(0, least(1, 1 + (mean - 0.5) * 0.30::DOUBLE)) ELSE mean END", 4)} AS score FROM scores0),
+verdicts AS (SELECT a, b, CASE WHEN conflict THEN 'different' WHEN coded THEN 'confirmed' WHEN same AND own_shared >= 2 AND own_jaccard >= 0.66 THEN 'confirmed' WHEN same AND own_shared > 0 THEN 'probable' WHEN NOT same AND shared >= 3 AND jaccard >= 0.5 THEN 'probable' ELSE 'different' END AS verdict FROM compared)"""
+
+
+_MATCHED = _PAIRS + _compared_sql("pairs", "products", "SELECT code FROM g")
+
+
+@query("candidate_pairs", with_views("products", _PAIRS + " SELECT a, b FROM pairs"))
 def _(s, d):
     return matching.candidate_pairs(matching.specific(matching.fingerprints(domain.products(s, d))))
 
@@ -496,22 +545,36 @@ def _compared(s, d) -> DataFrame:
     return matching.compared(matching.candidate_pairs(prints), prints)
 
 
-@query("pair_verdicts")
+@query("pair_verdicts", with_views("products", _MATCHED + " SELECT * FROM verdicts"))
 def _(s, d):
     return matching.verdicts(_compared(s, d))
 
 
-@query("pair_confidence")
+def _listed_sql(which: str) -> str:
+    cases = {"code": "CASE WHEN coded THEN 1 END", "brand": "s_brand", "tokens": "s_tokens", "category": "s_category", "dimensions": "s_dimensions"}
+    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {v} {which} 0 THEN '{k}' END" for k, v in cases.items()) + "], lambda x : x IS NOT NULL), ', ')"
+
+
+@query("pair_confidence", with_views("products", _MATCHED + f""" SELECT a, b, score, CASE WHEN conflict THEN 'dimensions' END AS veto,
+  CASE WHEN conflict THEN 'different: dimensions' ELSE 'score ' || score::VARCHAR::DECIMAL(10, 4)::DECIMAL(10, 2) || '; for: ' || {_listed_sql('>')} || '; against: ' || {_listed_sql('=')} END AS explanation FROM scores"""))
 def _(s, d):
-    return matching.explained(matching.confidence(_compared(s, d)))
+    return matching.explained(matching.confidence(_compared(s, d))).drop("signals")
 
 
-@query("equivalence_groups")
+@query("equivalence_groups", with_views("products", _MATCHED + """, e AS (SELECT a, b FROM verdicts WHERE verdict = 'confirmed' UNION ALL SELECT b, a FROM verdicts WHERE verdict = 'confirmed'),
+reach AS (SELECT DISTINCT a AS id, a AS root FROM e UNION SELECT e.b, reach.root FROM reach JOIN e ON reach.id = e.a), comp AS (SELECT id, min(root) AS group_id FROM reach GROUP BY id)
+SELECT group_id, count(*) AS members, count(DISTINCT supplier) AS suppliers, max_by(name, length(name) * 1000000000::BIGINT - products.id) AS name FROM comp JOIN products USING (id) GROUP BY group_id HAVING count(*) > 1 AND count(DISTINCT supplier) > 1""").replace("WITH ", "WITH RECURSIVE ", 1))
 def _(s, d):
     return matching.resolve(domain.products(s, d))
 
 
-@query("project_budget")
+@query("project_budget", with_views("products items", _SIMILAR.replace(", s AS", ", s AS") + ", pairs AS (SELECT target_id AS a, id AS b, place FROM best)" + _compared_sql("pairs", "named", "SELECT NULL WHERE false") + _LIVE + """,
+choices AS (SELECT x.a AS id, x.b AS alternative, x.place, p.price FROM pairs x JOIN scores y ON x.a = y.a AND x.b = y.b JOIN products p ON p.id = x.b WHERE p.price > 0 AND y.score >= 0.85),
+cheap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY price, place, alternative) AS n FROM choices) WHERE n = 1),
+costs AS (SELECT i.project_id, c.id IS NULL AS unmatched, CASE WHEN i.price > 0 THEN """ + amount_sql("i.quantity", "i.price") + """ ELSE 0 END AS cost, CASE WHEN i.price > 0 AND c.price < i.price THEN """ + amount_sql("i.quantity", "c.price") + " WHEN i.price > 0 THEN " + amount_sql("i.quantity", "i.price") + """ ELSE 0 END AS lowest
+  FROM (SELECT * FROM live WHERE state = 'pendiente') i LEFT JOIN cheap c ON i.supplier_id::BIGINT = c.id),
+t AS (SELECT project_id, count(*) AS items, """ + half_even_exact_sql("sum(cost)") + " AS cost, " + half_even_exact_sql("sum(lowest)") + """ AS lowest, count(CASE WHEN unmatched THEN 1 END) AS unmatched FROM costs GROUP BY project_id),
+v AS (SELECT *, """ + half_even_sql("cost - lowest") + " AS saving FROM t) SELECT *, CASE WHEN cost > 0 THEN " + half_even_sql("saving / cost * 100") + " END AS saving_pct FROM v"))
 def _(s, d):
     rows = described(s, d)
     choices = budget.alternatives(rows, matching.similar(rows, rows), matching.fingerprints(rows))

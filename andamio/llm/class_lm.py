@@ -416,7 +416,7 @@ def score(docs: DataFrame, common_words: int = COMMON_WORDS, rounds: int = ROUND
         ((F.sum("base") + more) / repeats).alias("base_score"), ((F.sum("score") + more) / repeats).alias("score"),
     )
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
-    each = summed.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
+    each = common.repeated(summed, "repeats")
     return each.select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score",
         F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),

@@ -23,7 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a laptop) a folder of our own is taken.
+    Only where that is unset, and there is but one machine (tests, a laptop), a folder of
+    our own is taken.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir")
@@ -31,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
         jvm_dir = sc._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             found = jvm_dir.get()
+        elif not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         else:
             found = "file://" + tempfile.mkdtemp(prefix="andamio-shared-")
             sc.setCheckpointDir(found)
@@ -64,7 +67,17 @@ def materialise(df: DataFrame, what: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, what)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._written_to = path
+    return read
+
+
+def discard(*written: DataFrame) -> None:
+    """Removes what ``materialise`` wrote, once all that was made from it is written too."""
+    for df in written:
+        jvm = df.sparkSession.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(df._written_to)
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 #: Bytes in a batch that goes to a Python worker, unless the session sets it.
@@ -100,6 +113,16 @@ def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return usual.unionByName(rows.join(F.broadcast(hot), keys))
 
 
+#: Repeats of a row that one array holds.
+REPEATS = 4096
+
+
+def repeated(rows: DataFrame, times: str, nth: str = "nth") -> DataFrame:
+    """Each row as often as ``times`` says, numbered from 1, by short arrays."""
+    run = rows.withColumn("run", F.explode(F.expr(f"sequence(0L, (CAST({times} AS LONG) - 1) DIV {REPEATS})")))
+    return run.withColumn(nth, F.explode(F.expr(f"sequence(run * {REPEATS} + 1, least(CAST({times} AS LONG), (run + 1) * {REPEATS}))"))).drop("run")
+
+
 def most_frequent(counts: DataFrame, number: str, limit: int) -> DataFrame:
     """The rows with the largest ``number``, ``limit`` at most, without sorting the table.
 

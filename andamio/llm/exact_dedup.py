@@ -77,7 +77,7 @@ def exact_duplicates(docs: DataFrame, shortest: int = SHORTEST, longest: int = L
     )
     groups = common.materialise(rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("times").alias("group_size")), "groups")
     out = common.with_groups(rows, groups, ["recipe"], "group_size", F.size("recipe") <= SHORT_RECIPE)
-    out = out.select("*", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("nth"))
+    out = common.repeated(out, "times")
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)
     return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 

@@ -23,6 +23,8 @@ BYTES_A_SLOT = 400
 #: Orders beside the first; members that are compared in one task.
 MORE_ORDERS, TOGETHER = 2, 1024
 BLOCK = TOGETHER // 2
+#: Sets in a group from which on cutting it by another order's tokens costs less than its blocks.
+CUT_FROM = 64 * TOGETHER
 #: A token that so many documents have is a group by itself: its list is never gathered.
 HOT_TOKEN = 100_000
 
@@ -282,11 +284,11 @@ def refined(members: DataFrame, found: DataFrame, labels: DataFrame) -> DataFram
     """gid, node, comp: large groups cut by the tokens under the next order, and the next.
 
     Two sets that link share a token under every order, so within a group of the first
-    order they share a group of the second. Groups that fit a task stay as they are.
+    order they share a group of the second. Groups that few blocks hold stay as they are.
     """
     for i in range(MORE_ORDERS):
         groups = group_sizes(members)[1]
-        large = groups.filter(F.col("of_all") > TOGETHER)
+        large = groups.filter(F.col("of_all") > CUT_FROM)
         if large.isEmpty():
             break
         rows = common.with_groups(members, groups, ["gid"], "of_all")
@@ -305,9 +307,9 @@ def refined(members: DataFrame, found: DataFrame, labels: DataFrame) -> DataFram
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["token", "node"])
 
-        exploded = rows.filter(F.col("of_all") > TOGETHER).select("gid", "node").join(sets, "node").mapInArrow(cut, "token long, node long")
+        exploded = rows.filter(F.col("of_all") > CUT_FROM).select("gid", "node").join(sets, "node").mapInArrow(cut, "token long, node long")
         new = sharing_groups(exploded).select("gid", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        members = common.materialise(rows.filter(F.col("of_all") <= TOGETHER).select("gid", "node", "comp").unionByName(new), "refined")
+        members = common.materialise(rows.filter(F.col("of_all") <= CUT_FROM).select("gid", "node", "comp").unionByName(new), "refined")
     return members
 
 
@@ -512,7 +514,9 @@ def verified(pairs: DataFrame, found: DataFrame, docs: DataFrame, seed: int, wor
             good = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([good.column("a"), good.column("b")], names=["a", "b"])
 
-    return common.materialise(both.mapInArrow(check, "a long, b long"), "verified")
+    good = common.materialise(both.mapInArrow(check, "a long, b long"), "verified")
+    common.discard(ids, whole)
+    return good
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -563,13 +567,18 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple
         with_comp = common.materialise(with_comp, "labelled")
         tasks = common.materialise(comparisons(refined(with_comp, found, labels) if across else with_comp, across), "tasks")
         pairs = common.materialise(candidate_pairs(tasks, found, labels, forest, percent), "pairs")
+        common.discard(with_comp, tasks)
         if pairs.isEmpty():
             continue
         good = verified(pairs, found, docs, seed, words, percent)
         all_links = good if all_links is None else all_links.unionByName(good)
         labels = components(all_links)
+        common.discard(pairs)
+    rows = common.materialise(found.select("doc_id", "row_key", "n", "node"), "rows")
     classes = found.groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("rows")).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    return found.select("doc_id", "row_key", "n", "node"), common.materialise(classes.select("node", "rows", "comp", "low"), "classes")
+    classes = common.materialise(classes.select("node", "rows", "comp", "low"), "classes")
+    common.discard(found, members)
+    return rows, classes
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -107,7 +107,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, c
     n = F.sum(F.col("n") + F.col("times") * F.coalesce("ids", F.lit(0)))
     # Rows that repeat id and text share a group; each has its part of the sum.
     summed = joined.groupBy("doc_id", "same").agg(F.max("n_bytes").alias("n_bytes"), n.alias("n"), F.sum("is_row").cast("int").alias("repeats"))
-    each = summed.select("doc_id", "n_bytes", F.expr("n div repeats").alias("n_tokens"), F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("nth")).drop("nth")
+    each = common.repeated(summed, "repeats").select("doc_id", "n_bytes", F.expr("n div repeats").alias("n_tokens"))
     return each.withColumn("over_limit", F.col("n_tokens") > limit)
 
 

@@ -44,6 +44,10 @@ class Splitter:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        before = self.tokenizer.pre_tokenizer
+        plain = type(before).__name__ == "ByteLevel" and before.use_regex and not before.add_prefix_space
+        if self.tokenizer.normalizer is not None or not plain:
+            raise ValueError(f"{path}: only byte-level tokenizers that split by the pattern of this module, without a normaliser, are counted by pre-tokens")
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         longest_first = sorted(self.special, key=len, reverse=True)
         self._special = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None

@@ -67,6 +67,7 @@ def test_equals_brute_force(spark, monkeypatch, seed, together):
     monkeypatch.setattr(sj, "HOT_TOKEN", 100_000 if seed == 1 else 12)
     monkeypatch.setattr(sj, "TOGETHER", together)
     monkeypatch.setattr(sj, "BLOCK", together // 2)
+    monkeypatch.setattr(sj, "CUT_FROM", together)
     rows = corpus(seed)
     got = Counter(tuple(r) for r in sj.near_duplicates(docs(spark, rows)).collect())
     assert got == expected(rows)

@@ -1,5 +1,6 @@
 from collections import Counter
 
+import pytest
 from tokenizers import Tokenizer
 
 from andamio.llm import token_count, tokens
@@ -37,3 +38,16 @@ def test_splitter_agrees_with_the_library_on_mixed_characters():
         assert ids.of(text).tolist() == want
         parts, special = cut.parts(text)
         assert sum(cut.lengths(parts)) + special == len(want)
+
+
+def test_other_kinds_of_tokenizers_are_refused(tmp_path):
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    for n, (normalizer, before) in enumerate([(normalizers.Lowercase(), pre_tokenizers.ByteLevel(add_prefix_space=False)), (None, pre_tokenizers.ByteLevel(add_prefix_space=True)), (None, pre_tokenizers.Whitespace())]):
+        made = Tokenizer(models.BPE())
+        made.pre_tokenizer = before
+        if normalizer is not None:
+            made.normalizer = normalizer
+        made.save(f"{tmp_path}/{n}.json")
+        with pytest.raises(ValueError, match="byte-level"):
+            tokens.Splitter(f"{tmp_path}/{n}.json")

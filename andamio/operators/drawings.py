@@ -10,9 +10,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# How plans write codes, levels, openings, pieces, call-outs, dates, scales and labels.
 SHEET_CODE = r"^([A-Z]{1,3}-?\d{1,3}(?:\.\d{1,2})?)$"
 OPENING_CODE = r"^([PV]-?\d{1,2}[A-Z]?)$"
-LEVEL = r"(?i)\b(N(?:IVEL|PT)?\.?\s*[A-Z0-9 ]*?)\s*([+\-±]?\d+[.,]\d{1,2})\s*m?\b"
+LEVEL = r"(?i)N\s+([+-]?\d+(?:\.\d+)?)\s*M\b"
+SECTION_CALL, DETAIL_CALL = r"^([A-H])\n(A\d{3})$", r"^DETALLE\n(\d+)\n([AS]\d{3})$"
+DATE, SCALE, COLOUR = r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b", r"(?i)ESCALA\s*:?\s*1\s*:\s*\d+", r"(?i)COLOR\s+([A-ZÁÉÍÓÚÑ][A-ZÁÉÍÓÚÑ ]{2,30})"
+PROJECT_LABEL, FIRST_PAGES = r"(?i)^PROYECTO\s*:\s*$", 3
+LABELS = ("PROYECTO", "PROPIETARIO", "UBICACION", "UBICACIÓN", "FECHA", "PÁGINA", "PAGINA", "DP", "IP", "ESCALA", "LAMINA", "LÁMINA", "CONTENIDO", "CONTENIDO DE LAMINA", "CITAS", "CATASTRO")
+SPACES_TITLE, LONGEST_SPACE = "PLANTA DE DISTRIBUCION ARQUITECTONICA", 40
+NO_SPACE = (
+    "NPT", "NCT", "DETALLE", "JARDINERA", "BARANDA", "PROYECCION", "SISA", "MACETERA", "REJILLA", "ACCESO EN", "PIEL EN", "BANCA", "CENEFA", "FECHA", "CONTENIDO", "INFORMACION", "PROPIETARIO",
+    "CATASTRO", "CITAS", "VISTAS DE DESCANSO", "PLANO ORIGINAL", "TABLA", "ESCALA", "ACOTADO", "BAÑO", "REGLAMENTO", "N° PROYECTO",
+)
 HOLE = r"(?i)buque\s+de\s+(\d+[.,]\d+)\s*m?\s*x\s*(\d+[.,]\d+)"
 PIECE = r"(?i)^\s*(\d+)\s+(.*?)\s*(\d+)\s*x\s*(\d+)\s*mm\s*x\s*(\d+(?:[.,]\d+)?)\s*m\b"
 DISCIPLINES = (("electrica", ("ELECTRIC", "ELÉCTRIC")), ("mecanica", ("MECANIC", "MECÁNIC", "SANITARI", "AGUAS")), ("estructural", ("ESTRUCTUR", "CIMIENTO", "FUNDACI")), ("arquitectonica", ("ARQUITECT", "PLANTA", "FACHADA", "ACABADO", "CORTE")))
@@ -34,7 +44,7 @@ def discipline(text: Column) -> Column:
 def title_block(text: Column) -> Column:
     """Code and name of a sheet: the last line that is a code, then the first line behind it
     of four letters at least that is no number."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim)
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x))
     places = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.element_at(lines, i).rlike(SHEET_CODE))
     at = F.array_max(places)
     rest = F.filter(F.slice(lines, F.coalesce(at, F.lit(0)) + 1, F.size(lines)), lambda x: (F.length(x) >= 4) & ~x.rlike(r"^[\d.,:/ -]+$"))
@@ -64,12 +74,79 @@ def project_discipline(found: DataFrame) -> DataFrame:
     return found.groupBy("project_id").agg(F.when(F.size(kinds) == 0, "sin_determinar").when(F.size(kinds) == 1, kinds[0]).otherwise("mixto").alias("discipline"), F.count(F.lit(1)).alias("sheets"))
 
 
-def levels(pages: DataFrame) -> DataFrame:
-    """project_id, name, elevation, pages: the levels named on sheets, lowest first."""
-    rows = pages.select("project_id", "page", F.explode(F.split("text", "\n")).alias("line"))
-    name, height = F.upper(F.trim(F.regexp_extract("line", LEVEL, 1))), F.regexp_extract("line", LEVEL, 2)
-    rows = rows.select("project_id", "page", name.alias("name"), F.regexp_replace(F.regexp_replace(height, "[±+]", ""), ",", ".").try_cast("double").alias("elevation")).filter("name <> ''")
-    return rows.groupBy("project_id", "name").agg(F.min("elevation").alias("elevation"), F.sort_array(F.collect_set("page")).alias("pages"))
+def sheet_summary(found: DataFrame) -> DataFrame:
+    """Sheets of each project and discipline, and how many of them have no code and no name."""
+    missing = lambda c: F.count(F.when(F.col(c).isNull(), 1)).alias(f"without_{c}")
+    return found.groupBy("project_id", F.coalesce("discipline", F.lit("sin_determinar")).alias("discipline")).agg(F.count(F.lit(1)).alias("sheets"), missing("code"), missing("name"))
+
+
+def levels(found: DataFrame) -> DataFrame:
+    """project_id, name, elevation, sheets: the levels that sheets' names state, with the codes of
+    their sheets in order. Sheets without a name, or whose name states no level, are left out."""
+    height = F.nullif(F.regexp_extract("name", LEVEL, 1), F.lit(""))
+    rows = found.select("project_id", "code", height.alias("height")).filter("height IS NOT NULL")
+    named = F.concat(F.lit("N "), F.col("height"), F.lit(" M"))
+    return rows.groupBy("project_id", named.alias("name"), F.col("height").cast("double").alias("elevation")).agg(F.sort_array(F.collect_list("code")).alias("sheets"))
+
+
+def level_of_sheets(levels_: DataFrame) -> DataFrame:
+    """project_id, code, level: the lowest level that a sheet's code is listed for."""
+    rows = levels_.select("project_id", "name", "elevation", F.explode("sheets").alias("code"))
+    return rows.groupBy("project_id", "code").agg(F.min_by("name", F.struct("elevation", "name")).alias("level"))
+
+
+def title_fields(text: Column) -> Column:
+    """Date and scale of a title block and the colour that a note states; null where there is none."""
+    found = lambda pattern, group: F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return F.struct(found(DATE, 0).alias("date"), found(SCALE, 0).alias("scale"), F.trim(found(COLOUR, 1)).alias("colour"))
+
+
+def project_names(pages: DataFrame) -> DataFrame:
+    """project_id, name: the line behind the project's label on one of its first pages, the first
+    that is not blank and no label itself."""
+    order = Window.partitionBy("project_id").orderBy("page")
+    first = pages.select("project_id", "page", "text").distinct().withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= FIRST_PAGES)
+    lines = first.select("project_id", "nth", F.transform(F.split("text", "\n"), lambda x: F.trim(x)).alias("lines"))
+    label = lambda x: F.upper(F.regexp_replace(x, ":+$", "")).isin(*LABELS)
+    at = F.filter(F.sequence(F.lit(0), F.size("lines") - 2), lambda i: F.get("lines", i).rlike(PROJECT_LABEL) & (F.get("lines", i + 1) != "") & ~label(F.get("lines", i + 1)))
+    rows = lines.filter(F.size("lines") > 1).withColumn("at", F.get(at, F.lit(0))).filter("at IS NOT NULL")
+    return rows.groupBy("project_id").agg(F.min_by(F.get("lines", F.col("at") + 1), "nth").alias("name"))
+
+
+def call_outs(blocks: DataFrame) -> DataFrame:
+    """project_id, page, kind, mark, target: the sections and details that blocks of text
+    (project_id, page, text) refer to, each once a page."""
+    body = F.trim("text")
+    part = lambda pattern, i: F.regexp_extract(body, pattern, i)
+    kind = F.when(body.rlike(SECTION_CALL), "seccion").when(body.rlike(DETAIL_CALL), "detalle")
+    rows = blocks.select("project_id", "page", kind.alias("kind"), F.when(kind == "seccion", part(SECTION_CALL, 1)).otherwise(part(DETAIL_CALL, 1)).alias("mark"), F.when(kind == "seccion", part(SECTION_CALL, 2)).otherwise(part(DETAIL_CALL, 2)).alias("target"))
+    return rows.filter("kind IS NOT NULL").distinct()
+
+
+def spaces(blocks: DataFrame) -> DataFrame:
+    """project_id, page, name, original: names of rooms on distribution sheets, each once a page.
+
+    Blocks have x0, y0, text and the page's width and height. A distribution sheet has its
+    title in the lower right; names stand left of the legend, without digits, and
+    are none of NO_SPACE.
+    """
+    one_line = F.trim(F.regexp_replace("text", r"\s+", " "))
+    titles = blocks.filter((F.col("x0") >= F.col("width") * 0.5) & (F.col("y0") >= F.col("height") * 0.85) & F.contains(F.upper(one_line), F.lit(SPACES_TITLE)))
+    upper = F.upper(F.trim("text"))
+    name = ~F.trim("text").rlike(r"\d") & (F.length(F.trim("text")) >= 3) & ~reduce(lambda a, b: a | b, (F.contains(upper, F.lit(w)) for w in NO_SPACE))
+    kept = blocks.join(titles.select("project_id", "page").distinct(), ["project_id", "page"], "left_semi").filter(F.col("x0") < F.col("width") * 0.62).filter(name)
+    rows = kept.withColumn("one_line", one_line).filter(~F.col("one_line").rlike(r"^[A-Z](\s+[A-Z])+$") & (F.length("one_line") <= LONGEST_SPACE))
+    return rows.groupBy("project_id", "page", F.regexp_replace(F.trim("text"), "\n", " ").alias("name")).agg(F.min_by("one_line", F.struct("y0", "x0", "one_line")).alias("original"))
+
+
+def building(found: DataFrame, blocks: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The building model: levels; spaces with the level of their sheet; references with whether
+    their target is in the index (true for projects without an index)."""
+    levels_ = levels(found)
+    codes = found.select("project_id", "page", "code")
+    rooms = spaces(blocks).join(codes, ["project_id", "page"], "left").join(level_of_sheets(levels_), ["project_id", "code"], "left")
+    calls = call_outs(blocks).join(codes.withColumnRenamed("code", "source"), ["project_id", "page"], "left")
+    return levels_, rooms.select("project_id", "page", "name", "original", "level"), references(index, calls)
 
 
 def references(found: DataFrame, calls: DataFrame) -> DataFrame:
@@ -168,5 +245,5 @@ def without_repeated_tables(found: DataFrame) -> DataFrame:
 def analysis(found: DataFrame, levels_: DataFrame, pieces_: DataFrame) -> DataFrame:
     """One JSON row per project of what the plan says."""
     listed = lambda df, name, *cols: df.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
-    rows = listed(found, "sheets", "page", "code", "name").join(listed(levels_, "levels", "elevation", "name"), "project_id", "left").join(listed(pieces_, "pieces", "page", "description", "quantity"), "project_id", "left")
+    rows = listed(found, "sheets", "page", "code", "name").join(listed(levels_, "levels", "elevation", "name", "sheets"), "project_id", "left").join(listed(pieces_, "pieces", "page", "description", "quantity"), "project_id", "left")
     return rows.select("project_id", F.to_json(F.struct("sheets", "levels", "pieces")).alias("analysis"))

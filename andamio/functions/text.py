@@ -177,4 +177,4 @@ def html_text(html: Column) -> Column:
 def image_list(images: Column) -> Column:
     """JSON of the images that are there, each once, in order; null if none is."""
     kept = F.array_distinct(F.filter(images, lambda x: x.isNotNull() & (x != "")))
-    return F.when(F.size(kept) > 0, F.to_json(kept))
+    return F.when(F.size(kept) > 0, F.regexp_replace(F.to_json(kept), '","', '", "'))

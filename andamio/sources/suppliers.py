@@ -42,10 +42,15 @@ def variant_feed(rows: DataFrame, supplier: str, site: str) -> DataFrame:
     )
 
 
-def index_feed(rows: DataFrame, supplier: str, site: str, left_out: tuple[str, ...] = ("Servicios",)) -> DataFrame:
-    """A search index's hits: categories that are no products are left out; urls by encoded id."""
-    kept = rows.filter(~F.coalesce(F.col("category").isin(*left_out), F.lit(False)))
-    return shaped(kept, supplier=F.lit(supplier), supplier_id=F.col("objectID"), name=F.col("name"), brand=F.nullif("brand", F.lit("")), category=F.col("category"), subcategory=F.col("subcategory"), price=F.bround("price", 0), url=F.concat(F.lit(f"{site}/"), F.base64(F.encode("objectID", "UTF-8"))))
+# A department of services, and one whose listed subcategories are no products for a building.
+SERVICES, MIXED, NOT_FOR_BUILDING = "Servicios", "Organización", ("auto", "alimento")
+
+
+def index_feed(rows: DataFrame, supplier: str, site: str) -> DataFrame:
+    """A search index's hits: what is no product for a building is left out; urls by encoded id."""
+    beside = (F.col("category") == MIXED) & F.col("subcategory").isin(*NOT_FOR_BUILDING)
+    kept = rows.filter(~F.coalesce(F.col("category") == SERVICES, F.lit(False)) & ~F.coalesce(beside, F.lit(False)))
+    return shaped(kept, supplier=F.lit(supplier), supplier_id=F.col("objectID"), name=F.col("name"), brand=F.nullif("brand", F.lit("")), category=F.col("category"), subcategory=F.col("subcategory"), price=F.bround("price", 0), url=F.concat(F.lit(f"{site}/P/"), F.base64(F.encode("objectID", "UTF-8"))))
 
 
 def department_feed(rows: DataFrame, supplier: str, site: str) -> DataFrame:

@@ -6,7 +6,7 @@ of theirs, over all rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from andamio.operators import projects, transitions
@@ -15,7 +15,8 @@ from andamio.sources.domain import with_views
 
 from .queries import AS_OF, _LIVE, amount_sql, half_even_exact_sql, query, sold
 
-NOW = F.lit(AS_OF).cast("timestamp_ntz")
+def now() -> Column:
+    return F.lit(AS_OF).cast("timestamp_ntz")
 
 
 def placed(s: SparkSession, d: str) -> DataFrame:
@@ -54,8 +55,8 @@ def _updates(s, d) -> DataFrame:
     none = lambda kind: F.lit(None).cast(kind)
     both = [none("string").alias(c) for c in ("priority", "comment", "section")]
     state = F.when(F.col("low") < 0.03, "comprado").when(F.col("low") < 0.05, "pendiente")
-    first = rows.select("project_id", "owner_id", "item_id", F.lit(1).alias("seq"), none("double").alias("quantity"), state.alias("state"), *both, none("int").alias("reviewed"), NOW.alias("now"))
-    second = rows.select("project_id", "owner_id", "item_id", F.lit(2).alias("seq"), F.when(F.col("low") > 0.05, F.col("quantity") + 1).alias("quantity"), none("string").alias("state"), *both, F.when(F.col("high") > 0.08, 1).alias("reviewed"), (NOW + F.expr("INTERVAL 1 DAY")).alias("now"))
+    first = rows.select("project_id", "owner_id", "item_id", F.lit(1).alias("seq"), none("double").alias("quantity"), state.alias("state"), *both, none("int").alias("reviewed"), now().alias("now"))
+    second = rows.select("project_id", "owner_id", "item_id", F.lit(2).alias("seq"), F.when(F.col("low") > 0.05, F.col("quantity") + 1).alias("quantity"), none("string").alias("state"), *both, F.when(F.col("high") > 0.08, 1).alias("reviewed"), (now() + F.expr("INTERVAL 1 DAY")).alias("now"))
     return transitions.updates(placed(s, d).select(*ITEM), first.unionByName(second), domain.projects(s, d))
 
 
@@ -79,7 +80,7 @@ def _(s, d):
 
 
 def _deletions(s, d) -> tuple[DataFrame, DataFrame]:
-    rows = _with_owner(s, d, placed(s, d)).filter("high >= 0.08").select("project_id", "owner_id", "item_id", NOW.alias("now"))
+    rows = _with_owner(s, d, placed(s, d)).filter("high >= 0.08").select("project_id", "owner_id", "item_id", now().alias("now"))
     return transitions.deleted(placed(s, d).select(*ITEM), rows, domain.projects(s, d))
 
 
@@ -97,7 +98,7 @@ def _(s, d):
 def _replacements(s, d) -> DataFrame:
     target = F.col("l_partkey") + 1
     rows = _with_owner(s, d, placed(s, d)).filter("low <= 0.02")
-    commands = rows.select("project_id", "owner_id", "item_id", F.lit(1).alias("seq"), F.concat(F.lit("S"), (target % 7).cast("string")).alias("new_supplier"), target.cast("string").alias("new_supplier_id"), F.when(F.col("high") > 0.05, 2.0).alias("new_quantity"), NOW.alias("now"))
+    commands = rows.select("project_id", "owner_id", "item_id", F.lit(1).alias("seq"), F.concat(F.lit("S"), (target % 7).cast("string")).alias("new_supplier"), target.cast("string").alias("new_supplier_id"), F.when(F.col("high") > 0.05, 2.0).alias("new_quantity"), now().alias("now"))
     return transitions.replacements(placed(s, d).select(*ITEM), commands, domain.projects(s, d), sold(s, d))
 
 
@@ -175,7 +176,7 @@ SELECT project_id, supplier, lines, total, 'OC-' || project_id || '-' || (2 + ro
 def _(s, d):
     live = projects.live_over_snapshot(domain.items(s, d), sold(s, d)).filter(F.col("state").isin(*projects.OPEN_STATES)).withColumn("left", projects.remaining()).filter("left > 0")
     taken = domain.projects(s, d).select("project_id", F.concat(F.lit("OC-"), F.col("project_id").cast("string"), F.lit("-2")).alias("number"))
-    return transitions.purchase_orders(live.withColumn("name", F.col("live_name")), taken, NOW).select("project_id", "supplier", "lines", "total", "number")
+    return transitions.purchase_orders(live.withColumn("name", F.col("live_name")), taken, now()).select("project_id", "supplier", "lines", "total", "number")
 
 
 _PURCHASES = """, parts AS (SELECT *, unnest([0.25, 0.5, 0.5]) AS part FROM items),

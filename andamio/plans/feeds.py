@@ -21,8 +21,14 @@ def named(*names: Column) -> Column:
     return F.array(*(F.struct(n.alias("name")) for n in names))
 
 
-KEY = F.col("p_partkey").cast("string")
-PICTURE = lambda n: F.concat(F.lit(f"{n}-"), KEY, F.lit(".jpg"))
+def key() -> Column:
+    return F.col("p_partkey").cast("string")
+
+
+def picture(n: str) -> Column:
+    return F.concat(F.lit(f"{n}-"), key(), F.lit(".jpg"))
+
+
 
 _PRICE = "round_even(p_retailprice, 0)"
 _KEY = "p_partkey::VARCHAR"
@@ -32,10 +38,10 @@ _KEY = "p_partkey::VARCHAR"
   CASE WHEN p_size > 25 THEN '["b-' || p_partkey || '.jpg"]' END AS images, p_size > 10 AS online, p_size::VARCHAR AS weight FROM part""")
 def _(s, d):
     value = F.struct(F.struct(F.struct(F.col("p_retailprice").alias("value")).alias("final_price")).alias("minimum_price"))
-    gallery = F.when(F.col("p_size") > 25, F.array(PICTURE("a"), PICTURE("b"), PICTURE("b"))).otherwise(F.array(PICTURE("a")))
+    gallery = F.when(F.col("p_size") > 25, F.array(picture("a"), picture("b"), picture("b"))).otherwise(F.array(picture("a")))
     rows = part(s, d).select(
-        F.col("p_partkey").alias("id"), F.concat(F.lit("SKU"), KEY).alias("sku"), F.col("p_name").alias("name"), named(F.col("p_type"), F.lit("mid"), F.col("p_brand")).alias("categories"), value.getField("minimum_price").alias("m"),
-        F.struct(F.concat(F.lit("<p>Un  <b>"), "p_name", F.lit("</b></p><p>bueno</p>")).alias("html")).alias("description"), F.struct(PICTURE("a").alias("url")).alias("image"), F.transform(gallery, lambda u: F.struct(u.alias("url"))).alias("media_gallery"),
+        F.col("p_partkey").alias("id"), F.concat(F.lit("SKU"), key()).alias("sku"), F.col("p_name").alias("name"), named(F.col("p_type"), F.lit("mid"), F.col("p_brand")).alias("categories"), value.getField("minimum_price").alias("m"),
+        F.struct(F.concat(F.lit("<p>Un  <b>"), "p_name", F.lit("</b></p><p>bueno</p>")).alias("html")).alias("description"), F.struct(picture("a").alias("url")).alias("image"), F.transform(gallery, lambda u: F.struct(u.alias("url"))).alias("media_gallery"),
         F.when(F.col("p_size") > 10, "IN_STOCK").otherwise("OUT_OF_STOCK").alias("stock_status"), F.col("p_size").alias("weight"),
     )
     rows = rows.withColumn("price_range", F.struct(F.col("m").alias("minimum_price")))
@@ -45,12 +51,12 @@ def _(s, d):
 @query("store_feed", f"""SELECT {_KEY} AS supplier_id, CASE WHEN p_size > 5 THEN 'S' || p_partkey END AS sku, p_name || ' & Cía' AS name, p_brand AS brand, p_type AS category, 'fin' AS subcategory, {_PRICE} AS price,
   CASE WHEN p_size > 25 THEN '["2-' || p_partkey || '.jpg", "3-' || p_partkey || '.jpg"]' END AS images, '1-' || p_partkey || '.jpg' AS image, p_size > 10 AS online, '{SITE}/' || p_partkey AS url FROM part""")
 def _(s, d):
-    pictures = F.when(F.col("p_size") > 25, F.array(PICTURE("1"), PICTURE("2"), PICTURE("3"))).otherwise(F.array(PICTURE("1")))
+    pictures = F.when(F.col("p_size") > 25, F.array(picture("1"), picture("2"), picture("3"))).otherwise(F.array(picture("1")))
     unit = F.when(F.col("p_type") == "SMALL", 3).when(F.col("p_type") == "LARGE", 0)
     minor = F.when(F.col("p_type") == "SMALL", F.round(F.col("p_retailprice") * 1000)).when(F.col("p_type") == "LARGE", F.bround("p_retailprice", 0)).otherwise(F.round(F.col("p_retailprice") * 100)).cast("long").cast("string")
     rows = part(s, d).select(
-        F.col("p_partkey").alias("id"), F.when(F.col("p_size") > 5, F.concat(F.lit("S"), KEY)).otherwise("").alias("sku"), F.concat("p_name", F.lit(" &amp; Cía")).alias("name"), named(F.col("p_brand"), F.lit("otra")).alias("brands"), named(F.col("p_type"), F.lit("fin")).alias("categories"),
-        F.struct(unit.alias("currency_minor_unit"), minor.alias("price")).alias("prices"), F.lit("<p></p>").alias("description"), F.transform(pictures, lambda u: F.struct(u.alias("src"))).alias("images"), F.concat(F.lit(f"{SITE}/"), KEY).alias("permalink"), (F.col("p_size") > 10).alias("is_in_stock"),
+        F.col("p_partkey").alias("id"), F.when(F.col("p_size") > 5, F.concat(F.lit("S"), key())).otherwise("").alias("sku"), F.concat("p_name", F.lit(" &amp; Cía")).alias("name"), named(F.col("p_brand"), F.lit("otra")).alias("brands"), named(F.col("p_type"), F.lit("fin")).alias("categories"),
+        F.struct(unit.alias("currency_minor_unit"), minor.alias("price")).alias("prices"), F.lit("<p></p>").alias("description"), F.transform(pictures, lambda u: F.struct(u.alias("src"))).alias("images"), F.concat(F.lit(f"{SITE}/"), key()).alias("permalink"), (F.col("p_size") > 10).alias("is_in_stock"),
     )
     return suppliers.store_feed(rows, "S").select("supplier_id", "sku", "name", "brand", "category", "subcategory", "price", "images", "image", "online", "url")
 
@@ -59,8 +65,8 @@ def _(s, d):
 def _(s, d):
     variant = lambda sku, price: F.struct(sku.alias("sku"), price.alias("price"), (F.col("p_size") > 10).alias("available"), (F.col("p_size") * 10).alias("grams"))
     rows = part(s, d).select(
-        F.col("p_partkey").alias("id"), F.array(variant(F.concat(F.lit("V"), KEY), F.col("p_retailprice").cast("string")), variant(F.lit("x"), F.lit("1"))).alias("variants"), F.col("p_name").alias("title"), F.col("p_brand").alias("vendor"),
-        F.when(F.col("p_size") > 5, F.col("p_type")).otherwise("").alias("product_type"), F.lit(None).cast("string").alias("body_html"), F.array(F.struct(F.lit("i").alias("src"))).alias("images"), F.concat(F.lit("h"), KEY).alias("handle"),
+        F.col("p_partkey").alias("id"), F.array(variant(F.concat(F.lit("V"), key()), F.col("p_retailprice").cast("string")), variant(F.lit("x"), F.lit("1"))).alias("variants"), F.col("p_name").alias("title"), F.col("p_brand").alias("vendor"),
+        F.when(F.col("p_size") > 5, F.col("p_type")).otherwise("").alias("product_type"), F.lit(None).cast("string").alias("body_html"), F.array(F.struct(F.lit("i").alias("src"))).alias("images"), F.concat(F.lit("h"), key()).alias("handle"),
     )
     return suppliers.variant_feed(rows, "V", SITE).select("supplier_id", "sku", "name", "brand", "category", "price", "url", "online", "weight")
 
@@ -71,7 +77,7 @@ def _(s, d):
     size = F.col("p_size")
     category = F.when(F.col("p_type") == "SMALL", "Servicios").when(F.col("p_type") == "LARGE", "Organización").otherwise(F.col("p_type"))
     sub = F.when(size > 25, "auto").when(size > 20, "alimento").otherwise("cajas")
-    rows = part(s, d).select(KEY.alias("objectID"), F.col("p_name").alias("name"), F.when(size > 5, F.col("p_brand")).otherwise("").alias("brand"), category.alias("category"), sub.alias("subcategory"), F.col("p_retailprice").alias("price"))
+    rows = part(s, d).select(key().alias("objectID"), F.col("p_name").alias("name"), F.when(size > 5, F.col("p_brand")).otherwise("").alias("brand"), category.alias("category"), sub.alias("subcategory"), F.col("p_retailprice").alias("price"))
     return suppliers.index_feed(rows, "I", SITE).select("supplier_id", "name", "brand", "category", "subcategory", "price", "url")
 
 
@@ -79,7 +85,7 @@ def _(s, d):
 def _(s, d):
     size = F.col("p_size")
     stock = F.when(size > 10, size).when(size > 5, 0)
-    rows = part(s, d).select(KEY.alias("code"), F.col("p_name").alias("name"), F.lit("m").alias("brand"), F.when(F.col("p_type") == "SMALL", "Pintura").otherwise(F.col("p_type")).alias("department"), F.col("p_brand").alias("family"), F.col("p_retailprice").alias("price"), stock.alias("stock"))
+    rows = part(s, d).select(key().alias("code"), F.col("p_name").alias("name"), F.lit("m").alias("brand"), F.when(F.col("p_type") == "SMALL", "Pintura").otherwise(F.col("p_type")).alias("department"), F.col("p_brand").alias("family"), F.col("p_retailprice").alias("price"), stock.alias("stock"))
     return suppliers.department_feed(rows, "D", SITE).select("supplier_id", "name", "category", "subcategory", "price", "online", "url")
 
 
@@ -109,5 +115,5 @@ def _(s, d):
     listing, details = _listing(s, d)
     fresh = suppliers.detail_feed(listing, details, "L", SITE)
     known = fresh.withColumns({"description": F.lit("old"), "sku": F.lit("S1"), "image": F.lit("gone"), "name": F.upper("name")})
-    sizes = part(s, d).filter("p_size > 5").select(KEY.alias("supplier_id"))
+    sizes = part(s, d).filter("p_size > 5").select(key().alias("supplier_id"))
     return catalogue.upserted(known.join(sizes, "supplier_id", "left_semi"), fresh).select("supplier_id", "name", "category", "description", "sku", "image")

@@ -445,7 +445,7 @@ def _(s, d):
 @query("rerank_search")
 def _(s, d):
     rows, scored = _scored(s, d)
-    return search.reranked(scored, searches(s), rows, 50)
+    return search.reranked(scored, searches(s), rows, 50).withColumn("rerank", F.round("rerank", 6))
 
 
 @query("intent_search")
@@ -453,14 +453,7 @@ def _(s, d):
     rows = domain.products(s, d)
     intents = search.intent(searches(s))
     found = search.bm25(intents, search.postings(rows), search.doc_stats(rows))
-    return search.within_intent(found, rows, intents)
-
-
-@query("document_search")
-def _(s, d):
-    docs = domain.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("name"), F.col("source").alias("category"), F.col("lang").alias("subcategory"))
-    asked = s.createDataFrame([(0, "the thing"), (1, "und der"), (2, "src1 en")], "query_id long, query string")
-    return search.bm25(asked, search.postings(docs), search.doc_stats(docs))
+    return search.within_intent(found, rows, intents).withColumn("score", F.round("score", 6))
 
 
 # -- matching ----------------------------------------------------------------------------------------

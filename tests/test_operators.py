@@ -4,10 +4,13 @@ import subprocess
 import sys
 import textwrap
 
+import pytest
 from pyspark.sql import functions as F
 
+from andamio import streaming
 from andamio.functions import specs, text
-from andamio.operators import drawings, matching, projects, selection, suggestions
+from andamio.operators import catalogue, drawings, matching, projects, selection, suggestions, takeoff, transitions
+from andamio.plans import changes
 
 ITEM = "project_id long, supplier string, supplier_id string, line long, quantity double, state string, bought double, amount double, price_when_added double, section string, added string"
 PRODUCT = "id long, supplier string, supplier_id string, name string, brand string, category string, subcategory string, price double"
@@ -97,3 +100,78 @@ def test_the_rest_imports_without_the_corpus_operators():
         assert set(e.oracle_sql()) <= set(e.queries())
     """
     subprocess.run([sys.executable, "-c", textwrap.dedent(code)], check=True)
+
+
+NAMES = [
+    ("tubo 1/2 x 60 cm", {"longitud_cm": 60.0}), ("panel 30x244 centimetros", {"longitud_cm": 30.0}), ("Adaptador macho PVC SCH40 1/2\"", {"diametro_pulg": 0.5, "schedule": 40.0}),
+    ("union 2-1/2 pulg", {"diametro_pulg": 2.5}), ("1/16 galon masilla", {"volumen_l": 0.2366}), ("bomba 1/2 Hp", {"potencia_hp": 0.5, "diametro_pulg": None}), ("500 mililitros", {"volumen_l": 0.5}),
+    ("aire 12.000 BTU", {"energia_btu": 12000.0}), ("breaker 15A", {"amperaje_a": 15.0}), ("21142A-8H", {"amperaje_a": None}), ("codo 90°", {"angulo_grados": 90.0}), ("termo 90°C", {"angulo_grados": None}),
+    ("varilla #3", {"calibre": 3.0}), ("cable 12 AWG", {"calibre_awg": 12.0}), ("foco 220Vac 9w", {"voltaje": 220.0, "potencia_w": 9.0}), ("caja 100 pzas", {"cantidad_unidades": 100.0}), ("lamina 1/0 pulg", {"diametro_pulg": None}), (None, {"peso_kg": None}),
+]
+
+
+def test_numbers_in_names(spark):
+    rows = spark.createDataFrame([(i, n) for i, (n, _) in enumerate(NAMES)], "i int, name string").select("i", specs.all_specs(F.col("name")).alias("s")).collect()
+    for r in rows:
+        for key, value in NAMES[r.i][1].items():
+            assert r.s[key] == value, (NAMES[r.i][0], key, r.s[key])
+
+
+def test_upsert_carries_every_column_and_keeps_what_a_batch_does_not_know(spark):
+    kind = "supplier string, supplier_id string, sku string, name string, brand string, category string, subcategory string, price double, vat double, tax_code string, description string, image string, images string, url string, online boolean, weight string, updated string"
+    old = spark.createDataFrame([("A", "1", "s", "old", "b", "c", "d", 1.0, 0.13, "t", "text", "i", "[1]", "u", True, "w", "1"), ("A", "2", "s", "stays", *[None] * 13), (None, "3", None, "null key", *[None] * 13)], kind)
+    new = spark.createDataFrame([("A", "1", None, "new", None, "c2", None, 2.0, None, None, None, None, None, None, None, None, "2"), (None, "3", None, "another", *[None] * 13)], kind)
+    out = {(r.supplier, r.name): r for r in catalogue.upserted(old, new).collect()}
+    assert set(out) == {("A", "new"), ("A", "stays"), (None, "null key"), (None, "another")}
+    r = out["A", "new"]
+    assert (r.sku, r.brand, r.subcategory, r.description, r.weight, r.images) == ("s", "b", "d", "text", "w", "[1]")
+    assert (r.category, r.price, r.vat, r.tax_code, r.image, r.url, r.online, r.updated) == ("c2", 2.0, None, None, None, None, None, "2")
+
+
+def test_lines_derive_from_derived_lines(spark):
+    tables = takeoff.rules(spark)
+    kind = "system string, material string, per_unit double, waste double, rounding string, fixed boolean, derived_from string, optional boolean"
+    chain = [("muro_block", "a", 2.0, 1.0, "int", False, None, False), ("muro_block", "b", 0.5, 1.0, "dec", False, "a", False), ("muro_block", "c", 3.0, 1.0, "int", False, "b", False)]
+    asked = spark.createDataFrame([(1, "muro_block", 3.0, None)], "request_id long, system string, amount double, region string")
+    got = {r.material: r.quantity for r in takeoff.material_lines(asked, tables | {"materials": spark.createDataFrame(chain, kind)}).collect()}
+    assert got == {"a": 6.0, "b": 3.0, "c": 9.0}
+    with pytest.raises(ValueError, match="circle"):
+        takeoff.derivation_depth(spark.createDataFrame([*chain[1:], ("muro_block", "a", 1.0, 1.0, "int", False, "c", False)], kind))
+
+
+def test_unknown_kinds_and_states_stop_the_job(spark):
+    with pytest.raises(Exception, match="unknown kind of event: nonsense"):
+        transitions.checked_events(spark.createDataFrame([("item_agregado",), ("nonsense",)], "kind string")).collect()
+    items = changes.placed(spark, "/root/testdata/sf0.001").select(*changes.ITEM).limit(1)
+    first = items.first()
+    owner = spark.createDataFrame([(first.project_id, 5)], "project_id long, owner_id long")
+    command = spark.createDataFrame([(first.project_id, 5, first.item_id, 1, None, "sold", None, None, None, None)], "project_id long, owner_id long, item_id long, seq int, quantity double, state string, priority string, comment string, section string, reviewed int").withColumn("now", F.lit("2024-01-01").cast("timestamp_ntz"))
+    with pytest.raises(Exception, match="unknown state: sold"):
+        transitions.updates(items, command, owner).collect()
+    assert transitions.updates(items, command.limit(0), owner).collect() == []
+
+
+def test_a_pair_without_a_shared_code_has_the_mean_of_its_signals(spark):
+    rows = products(spark, (1, "A", "taladro rojo 10 mm", "X"), (2, "B", "taladro azul grande 10 mm", "Y"))
+    prints = matching.fingerprints(rows)
+    pair = spark.createDataFrame([(1, 2)], "a long, b long")
+    (r,) = matching.confidence(matching.compared(pair, prints)).collect()
+    assert r.veto == "colour" and r.score == 0.0
+    rows = products(spark, (1, "A", "taladro fino 10 mm", "X"), (2, "B", "taladro grande 10 mm", "Y"))
+    (r,) = matching.confidence(matching.compared(pair, matching.fingerprints(rows))).collect()
+    # Other brand 0, tokens 1 of 3, one category, equal millimetres.
+    assert r.score == round((0.20 * 0.3333 + 0.05 + 0.03) / (0.20 + 0.20 + 0.05 + 0.03), 4)
+
+
+def test_streams(spark, tmp_path):
+    kind = "supplier string, supplier_id string, name string, brand string, price double, seq long"
+    for n, rows in enumerate([[("A", "1", "one", "b", 1.0, 1), ("A", "2", "two", None, 2.0, 2)], [("A", "1", "uno", None, 3.0, 3)]]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        streaming.upsert_stream(spark.readStream.schema(kind).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+        got = {r.supplier_id: (r["name"], r.brand, r.price) for r in spark.read.parquet(f"{tmp_path}/out/{n}").collect()}
+    assert got == {"1": ("uno", "b", 3.0), "2": ("two", None, 2.0)}
+    events = spark.createDataFrame([("item_agregado", "alta", "2024-01-01 10:00:00"), ("seleccion_aceptada", "alta", "2024-01-01 23:00:00"), ("item_agregado", "alta", "2024-01-02 01:00:00")], "kind string, confidence string, created string")
+    events.write.parquet(f"{tmp_path}/events")
+    asked = streaming.suggestion_windows(spark.readStream.schema(events.schema).parquet(f"{tmp_path}/events"))
+    asked.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    assert [(r.suggested, r.accepted) for r in spark.table("windows").orderBy("begin").collect()] == [(1, 1), (1, 0)]

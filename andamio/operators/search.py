@@ -12,6 +12,8 @@ WEIGHTS = {"name": 10.0, "category": 2.0, "subcategory": 1.0}
 #: Re-ranking weights: rank by BM25, place, phrase, coverage, category, accessory (taken off).
 RANKED, PLACE, PHRASE, COVERAGE, CATEGORY, ACCESSORY = 1.0, 0.6, 0.5, 0.8, 0.2, 1.2
 SAME_NAMES = 3
+#: How far apart the places of different columns are: more words than a text can have.
+APART = 1 << 40
 
 
 def index_words(column: Column) -> Column:
@@ -26,7 +28,7 @@ def postings(products: DataFrame) -> DataFrame:
     """
     rows = products.select("id", *(index_words(F.col(c)).alias(c) for c in WEIGHTS))
     each = [
-        rows.select("id", F.posexplode(c).alias("at", "term"), F.lit(w).alias("weight")).withColumn("at", F.col("at") + i * 1_000_000) for i, (c, w) in enumerate(WEIGHTS.items())
+        rows.select("id", F.posexplode(c).alias("at", "term"), F.lit(w).alias("weight")).withColumn("at", F.col("at").cast("long") + F.lit(i * APART)) for i, (c, w) in enumerate(WEIGHTS.items())
     ]
     places = each[0].unionByName(each[1]).unionByName(each[2])
     return places.groupBy("term", "id").agg(F.sum("weight").alias("f"), F.array_sort(F.collect_list("at")).alias("places"))
@@ -57,7 +59,7 @@ def hits(queries: DataFrame, index: DataFrame) -> DataFrame:
     split = wanted.filter(F.size("parts") > 1).select("query_id", "token", "form", "wanted", F.size("parts").alias("n"), F.posexplode("parts").alias("nth", "term"))
     starts = split.join(index.select("term", "id", F.explode("places").alias("at")), "term").withColumn("start", F.col("at") - F.col("nth"))
     rows = starts.groupBy("query_id", "token", "form", "wanted", "n", "id", "start").agg(F.countDistinct("nth").alias("met")).filter("met = n")
-    weight = F.when(F.col("start") < 1_000_000, WEIGHTS["name"]).when(F.col("start") < 2_000_000, WEIGHTS["category"]).otherwise(WEIGHTS["subcategory"])
+    weight = F.when(F.col("start") < APART, WEIGHTS["name"]).when(F.col("start") < 2 * APART, WEIGHTS["category"]).otherwise(WEIGHTS["subcategory"])
     return single.unionByName(rows.groupBy("query_id", "token", "form", "wanted", "id").agg(F.sum(weight).alias("f")))
 
 
@@ -102,9 +104,10 @@ def reranked(scored: DataFrame, queries: DataFrame, products: DataFrame, limit:
     Scores count by their rank, not size. Of products whose names begin alike, more
     than SAME_NAMES go behind all others.
     """
-    by_score = Window.partitionBy("query_id").orderBy("score")
-    rows = scored.withColumn("dense", F.dense_rank().over(by_score))
-    rows = rows.withColumn("levels", F.max("dense").over(Window.partitionBy("query_id")))
+    # Only a query's different scores are ranked, not its hits.
+    scores = scored.select("query_id", "score").distinct().withColumn("dense", F.row_number().over(Window.partitionBy("query_id").orderBy("score")))
+    scores = scores.join(scores.groupBy("query_id").agg(F.max("dense").alias("levels")), "query_id")
+    rows = scored.join(scores, ["query_id", "score"])
     ranked = F.when(F.col("levels") == 1, 1.0).otherwise(1 - (F.col("dense") - 1) / (F.col("levels") - 1))
     wanted = queries.select("query_id", text.tokens(text.normalize(F.col("query"))).alias("tokens"), text.normalize(F.col("query")).alias("phrase"))
     wanted = wanted.withColumn("forms", F.transform("tokens", text.expanded))

@@ -280,40 +280,34 @@ def group_sizes(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sizes, common.materialise(groups.filter("comps > 1"), "groups")
 
 
-def refined(members: DataFrame, found: DataFrame, labels: DataFrame) -> DataFrame:
-    """gid, node, comp: large groups cut by the tokens under the next order, and the next.
+def refined(members: DataFrame, sets: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """gid, node, comp: very large groups cut by the tokens under the order ``turn``.
 
     Two sets that link share a token under every order, so within a group of the first
-    order they share a group of the second. Groups that few blocks hold stay as they are.
+    order they share a group of the second. Other groups stay as they are.
     """
-    for i in range(MORE_ORDERS):
-        groups = group_sizes(members)[1]
-        large = groups.filter(F.col("of_all") > CUT_FROM)
-        if large.isEmpty():
-            break
-        rows = common.with_groups(members, groups, ["gid"], "of_all")
-        other = f"other{i}"
-        sets = found.filter(F.col("bits").isNotNull()).select("node", other).dropDuplicates(["node"])
-
-        def cut(batches, other=other):
-            out, size = [], 0
-            for gid, node, data in tokens.rows(batches, "gid", "node", other):
-                t = np.frombuffer(data, np.uint32).astype(np.uint64)
-                out.append((mixed(t + mixed(np.array([gid], np.int64).view(np.uint64), 4)).view(np.int64), np.full(len(t), node, np.int64)))
-                size += len(t)
-                if size >= 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["token", "node"])
-                    out, size = [], 0
-            if out:
+    groups = group_sizes(members)[1]
+    rows = common.with_groups(members, groups, ["gid"], "of_all")
+    other = f"other{turn}"
+
+    def cut(batches):
+        out, size = [], 0
+        for gid, node, data in tokens.rows(batches, "gid", "node", other):
+            t = np.frombuffer(data, np.uint32).astype(np.uint64)
+            out.append((mixed(t + mixed(np.array([gid], np.int64).view(np.uint64), 4)).view(np.int64), np.full(len(t), node, np.int64)))
+            size += len(t)
+            if size >= 100_000:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["token", "node"])
+                out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["token", "node"])
 
-        exploded = rows.filter(F.col("of_all") > CUT_FROM).select("gid", "node").join(sets, "node").mapInArrow(cut, "token long, node long")
-        new = sharing_groups(exploded).select("gid", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        members = common.materialise(rows.filter(F.col("of_all") <= CUT_FROM).select("gid", "node", "comp").unionByName(new), "refined")
-    return members
+    exploded = rows.filter(F.col("of_all") > CUT_FROM).select("gid", "node").join(sets.select("node", other), "node").mapInArrow(cut, "token long, node long")
+    new = sharing_groups(exploded).select("gid", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    return common.materialise(rows.filter(F.col("of_all") <= CUT_FROM).select("gid", "node", "comp").unionByName(new), "refined")
 
 
-def comparisons(members: DataFrame, across: bool) -> DataFrame:
+def comparisons(members: DataFrame, sets: DataFrame, labels: DataFrame, across: bool) -> DataFrame:
     """task, node: who is compared in which task, at most TOGETHER sets or two blocks of them.
 
     ``members`` has gid, node, comp. A large group is cut into blocks: blocks of one
@@ -321,9 +315,16 @@ def comparisons(members: DataFrame, across: bool) -> DataFrame:
     ``across`` all blocks meet but those of one and the same component; without it a
     block stays alone.
     """
-    sizes, groups = group_sizes(members)
+    for turn in range(MORE_ORDERS + 1):
+        sizes, groups = group_sizes(members)
+        largest = groups.agg(F.max("of_all")).first()[0] or 0
+        if not across or largest <= CUT_FROM or turn == MORE_ORDERS:
+            break
+        members = refined(members, sets, labels, turn)
     rows = common.with_groups(members, groups, ["gid"], "of_all")
     small = rows.filter(F.col("of_all") <= TOGETHER).select(F.xxhash64("gid").alias("task"), "node")
+    if largest <= TOGETHER:
+        return small
     large = common.materialise(rows.filter(F.col("of_all") > TOGETHER), "large")
     large = common.with_groups(large, sizes, ["gid", "comp"], "of_comp")
     own = F.col("of_comp") >= BLOCK // 2
@@ -425,13 +426,11 @@ def candidates(node: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: list[np.
     return out
 
 
-def candidate_pairs(tasks: DataFrame, found: DataFrame, labels: DataFrame, forest: bool, percent: int = PERCENT) -> DataFrame:
+def candidate_pairs(tasks: DataFrame, sets: DataFrame, labels: DataFrame, forest: bool, percent: int = PERCENT) -> DataFrame:
     """a, b (a < b) from the comparisons of all tasks."""
     others = [f"other{i}" for i in range(MORE_ORDERS)]
-    wanted = tasks.select("node").distinct()
-    sets = found.filter(F.col("bits").isNotNull()).select("node", "n", *others, "bits").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    sets = sets.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rows = tasks.join(sets, "node").select("task", "node", "comp", "n", *others, "bits")
+    labelled = sets.select("node", "n", *others, "bits").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rows = tasks.join(labelled, "node").select("task", "node", "comp", "n", *others, "bits")
 
     def compare(batches):
         out: list[tuple[int, int]] = []
@@ -470,14 +469,14 @@ def links(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def verified(pairs: DataFrame, found: DataFrame, docs: DataFrame, seed: int, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def verified(pairs: DataFrame, sets_of: DataFrame, docs: DataFrame, seed: int, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The pairs whose whole sets link, by an exact count, written down.
 
     Only documents whose ids are marked are read again as sets; a mark may stand for
     more than one id.
     """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = common.materialise(found.filter("bits IS NOT NULL").join(ends, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "ends")
+    ids = common.materialise(sets_of.select("node", "doc_id").join(ends, "node", "left_semi"), "ends")
     marks = table_size(32 * ids.count(), MOST_MARKS)
     place = lambda ids: slot_of(mixed(ids.fill_null(-1).to_numpy().view(np.uint64)), marks)
 
@@ -525,11 +524,10 @@ def components(pairs: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps, which shorten every path to a star;
     each step is written down. Nodes' neighbours are never gathered in a list.
     """
+    mark = lambda edges: edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     edges = common.materialise(pairs.select("a", "b").filter("a <> b").distinct(), "links")
-    while True:
-        before = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if not before[0]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    before = mark(edges)
+    while before[0]:
         # Large star: larger neighbours go to the smallest of the neighbourhood.
         around = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
         least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -540,9 +538,11 @@ def components(pairs: DataFrame) -> DataFrame:
         least = smaller.groupBy("u").agg(F.min("v").alias("m"))
         small = smaller.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m")).filter("a <> b").distinct()
         edges = common.materialise(small, "small-star")
-        after = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        after = mark(edges)
         if after == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+            break
+        before = after
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
 def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -557,27 +557,28 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple
         if not found.groupBy("node").agg(F.min("check").alias("x"), F.max("check").alias("y")).filter("x <> y").take(1):
             break
         seed += 2
-    members = common.materialise(memberships(found.filter("bits IS NOT NULL")), "members")
-    labels = found.sparkSession.createDataFrame([], "node long, comp long")
-    all_links = None
+    rows = common.materialise(found.select("doc_id", "row_key", "n", "node"), "rows")
+    sets = common.materialise(found.filter("bits IS NOT NULL").drop("row_key", "check").dropDuplicates(["node"]), "sets")
+    common.discard(found)
+    members = common.materialise(memberships(sets), "members")
+    labels = rows.sparkSession.createDataFrame([], "node long, comp long")
     # A forest within each group and block, a forest across blocks, then every pair that is
     # left between components: the first two join what is clearly one, so few are left.
     for across, forest in ((False, True), (True, True), (True, False)):
         with_comp = (members if across else strongest_groups(members)).join(labels, "node", "left").select("gid", "node", F.coalesce("comp", "node").alias("comp"))
         with_comp = common.materialise(with_comp, "labelled")
-        tasks = common.materialise(comparisons(refined(with_comp, found, labels) if across else with_comp, across), "tasks")
-        pairs = common.materialise(candidate_pairs(tasks, found, labels, forest, percent), "pairs")
+        tasks = common.materialise(comparisons(with_comp, sets, labels, across), "tasks")
+        pairs = common.materialise(candidate_pairs(tasks, sets, labels, forest, percent), "pairs")
         common.discard(with_comp, tasks)
         if pairs.isEmpty():
             continue
-        good = verified(pairs, found, docs, seed, words, percent)
-        all_links = good if all_links is None else all_links.unionByName(good)
-        labels = components(all_links)
+        good = verified(pairs, sets, docs, seed, words, percent)
+        # What was joined before is a star for each component.
+        labels = components(good.unionByName(labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
         common.discard(pairs)
-    rows = common.materialise(found.select("doc_id", "row_key", "n", "node"), "rows")
-    classes = found.groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("rows")).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    classes = rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("rows")).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     classes = common.materialise(classes.select("node", "rows", "comp", "low"), "classes")
-    common.discard(found, members)
+    common.discard(sets, members)
     return rows, classes
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Words in a block, slots in an output shard, rows in a bucket of a source's stream.
-BLOCK_WORDS, SHARD_SLOTS, BUCKET_ROWS = 64, 4096, 2_000
+BLOCK_WORDS, SHARD_SLOTS, BUCKET_ROWS = 64, 4096, 500
 #: How often a source may be repeated, and the weights that sources take in turn.
 MOST_COPIES, WEIGHTS = 3, (1, 2, 3)
 #: What draws and permutations start from; rounds of a permutation.

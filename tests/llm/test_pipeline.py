@@ -31,7 +31,7 @@ def corpus():
 
 
 def test_pipeline_against_brute_force(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(source_mix.mixed_documents, "__defaults__", (16, 64))
+    monkeypatch.setattr(source_mix.mixed_documents, "__defaults__", (16, 64, source_mix.SEED))
     rows, labels = corpus()
     rows += [(5000, None, None), (5001, "", "src2")]
     docs(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")

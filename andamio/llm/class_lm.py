@@ -269,13 +269,16 @@ def best_classes(sequences: DataFrame, classes: np.ndarray, totals: np.ndarray,
             return int(unit), int(np.argmax(gains(np.maximum(left, 0), np.maximum(sums, 0), n, ins, outs)[:CLASSES]))
 
         for batch in batches:
-            found = []
-            for u, cell, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if u != unit:
+            units, cell, n = (c.to_numpy() for c in batch.columns)
+            found, edges = [], np.concatenate([[0], np.flatnonzero(units[1:] != units[:-1]) + 1, [len(units)]])
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a == b:
+                    continue
+                if units[a] != unit:
                     if unit is not None:
                         found.append(best())
-                    unit, ins_outs = u, np.zeros(near)
-                ins_outs[cell] += n
+                    unit, ins_outs = units[a], np.zeros(near)
+                ins_outs += np.bincount(cell[a:b], n[a:b], minlength=near)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["unit", "class"])
         if unit is not None:

@@ -82,17 +82,20 @@ def spread(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     shares = common.materialise(shares, "edges")
     parts = out.select("kind", F.col("source").alias("host"), "parts")
     base = common.materialise(seeds.select("kind", "host", (F.col("mass") * (1 - DAMPING)).alias("base")), "seeds")
-    ranks = base.withColumnRenamed("base", "rank")
+    none = F.lit(0.0)
+    ranks = common.materialise(base.select("kind", "host", F.col("base").alias("rank"), none.alias("change")), "ranks")
     while True:
         asked = ranks.join(parts, ["kind", "host"]).select("kind", "host", "rank", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        moved = asked.join(shares, ["kind", "host", "part"]).groupBy("kind", F.col("target").alias("host")).agg((F.sum(F.col("rank") * F.col("share")) * DAMPING).alias("in"))
-        both = moved.join(base, ["kind", "host"], "full").select("kind", "host", (F.coalesce("in", F.lit(0.0)) + F.coalesce("base", F.lit(0.0))).alias("new"))
-        change = F.abs(F.col("new") - F.coalesce("rank", F.lit(0.0)))
-        step = common.materialise(both.join(ranks, ["kind", "host"], "left").select("kind", "host", F.col("new").alias("rank"), change.alias("change")), "ranks")
-        ranks = step.drop("change")
+        moved = asked.join(shares, ["kind", "host", "part"]).select("kind", F.col("target").alias("host"), (F.col("rank") * F.col("share") * DAMPING).alias("new"), none.alias("old"))
+        # What comes in, what seeds have of their own and the rank before meet in one sum.
+        every = moved.unionByName(base.select("kind", "host", F.col("base").alias("new"), none.alias("old"))).unionByName(ranks.select("kind", "host", none.alias("new"), F.col("rank").alias("old")))
+        sums = every.groupBy("kind", "host").agg(F.sum("new").alias("rank"), F.sum("old").alias("old"))
+        step = common.materialise(sums.select("kind", "host", "rank", F.abs(F.col("rank") - F.col("old")).alias("change")), "ranks")
+        common.discard(ranks)
+        ranks = step
         relative, total = step.agg(F.max(F.when(F.col("rank") > 0, F.col("change") / F.col("rank"))), F.sum("change")).first()
         if (relative or 0.0) <= SETTLED or (total or 0.0) <= NOTHING:
-            return ranks
+            return ranks.select("kind", "host", "rank")
 
 
 def host_trust(pages: DataFrame) -> DataFrame:

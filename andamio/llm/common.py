@@ -20,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(name: str) -> Column:
+    """The column of that very name, dots, blanks and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
@@ -138,3 +143,21 @@ def most_frequent(counts: DataFrame, number: str, limit: int) -> DataFrame:
             break
         held, least = held + n, at
     return counts.filter(F.lit(False) if least is None else step >= least)
+
+
+def integer_vectors(vectors: DataFrame, scale: int, multiple: int = 1, keep: tuple[str, ...] = ("vec_id",)) -> tuple[DataFrame, int]:
+    """The columns ``keep`` and x = floor(scale * entry) as longs, and the length of x.
+
+    Rows whose vector is null or holds null or non-finite entries are dropped. Shorter
+    vectors get zeros behind, up to the longest, rounded up to a ``multiple``, so all are
+    equally long. (An entry beyond a long is the largest or smallest long.)
+    """
+    v = F.col("embedding").cast("array<double>")
+    good = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    rows = vectors.select(*keep, v.alias("v")).filter(F.col("v").isNotNull()).filter(good)
+    longest = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    width = max(0, -(-longest // multiple) * multiple)
+    x = F.transform("v", lambda c: F.floor(c * F.lit(float(scale))).cast("long"))
+    if width:
+        x = F.concat(x, F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size("v")))
+    return rows.select(*keep, x.alias("x")), width

@@ -85,7 +85,7 @@ def sharded_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         return F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("-")), text_sha)
 
     where = common.materialise(placed(docs, shards).select(key(F.col("doc_id"), F.col("sha")).alias("key"), "nth", "shard", "slot"), "placed")
-    rows = docs.select(F.struct(*map(common.named, docs.columns)).alias("row"), key(F.col("doc_id"), sha).alias("key"))
+    rows = docs.select(common.whole_row(docs).alias("row"), key(F.col("doc_id"), sha).alias("key"))
     if where.filter("nth > 1").take(1):
         rows = common.materialise(rows.withColumn("read_by", F.spark_partition_id()).withColumn("one", F.lit(1)), "rows")
         rows = _numbered(rows)

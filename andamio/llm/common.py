@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Java's and Python's view of a word: a run of anything but the six ASCII blanks.
@@ -25,6 +25,20 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of ``docs``, whatever their names, as one struct."""
+    return F.struct(*map(named, docs.columns))
+
+
+def first_of_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows with equal keys the one whose ``row`` hashes lowest, so reruns keep the same.
+
+    The limit comes before the shuffle, so repeats of a key do not meet in one task.
+    """
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("row")))
+    return rows.withColumn("nth", nth).filter("nth <= 1").drop("nth")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 

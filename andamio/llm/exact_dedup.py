@@ -85,16 +85,16 @@ def exact_duplicates(docs: DataFrame, shortest: int = SHORTEST, longest: int = L
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The documents that stay, with the columns of ``docs`` under any names.
 
-    Rows that repeat both id and text become one row. Null and empty texts are equal,
+    Of rows that repeat both id and text one stays, always the same. Null and empty texts are equal,
     and one of them stays; no rows in, no rows out.
     """
     decided = common.materialise(exact_duplicates(docs).select("doc_id", "kept", "text_sha256"), "decided")
     stays = decided.filter("kept").select(F.col("doc_id").alias("stays"), F.col("text_sha256").alias("stays_sha"))
     sha = F.sha2(common.ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), sha.alias("sha"))
+    rows = docs.select(common.whole_row(docs).alias("row"), F.col("doc_id").alias("id"), sha.alias("sha"))
     found = rows.join(stays, F.col("id").eqNullSafe(F.col("stays")) & (F.col("sha") == F.col("stays_sha")), "left_semi")
     if decided.groupBy("doc_id", "text_sha256").count().filter("count > 1").take(1):
-        found = found.dropDuplicates(["id", "sha"])
+        found = common.first_of_each(found, ["id", "sha"])
     return found.select("row.*")
 
 

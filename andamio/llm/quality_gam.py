@@ -238,7 +238,7 @@ def accepted(docs: DataFrame, labels: DataFrame, learnt: int = LEARNT) -> DataFr
     are judged by their text; no rows in, no rows out. Without usable labels all stay.
     """
     model = train(docs, labels, learnt)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), quality_score(model, F.col("text")).alias("score"))
+    rows = docs.select(common.whole_row(docs).alias("row"), quality_score(model, F.col("text")).alias("score"))
     return rows.filter(F.col("score") >= ACCEPT).select("row.*")
 
 

@@ -605,7 +605,7 @@ def keep_one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     """The documents that stay, with the columns of ``docs`` under any names: of each component
     the one with the smallest id (null last), and all that link with nothing.
 
-    Rows that repeat both id and text become one row. Null and blank texts link with
+    Of rows that repeat both id and text one stays, always the same. Null and blank texts link with
     nothing and stay; no rows in, no rows out.
     """
     rows, classes = linked(docs, words, percent)
@@ -613,10 +613,10 @@ def keep_one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first")
     stays = labelled.filter("n > 0").groupBy("comp").agg(first).select("first.doc_id", "first.row_key")
     stays = common.materialise(stays.union(rows.filter("n = 0").select("doc_id", "row_key").distinct()), "stays").toDF("stays", "stays_key")
-    packed_rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"))
+    packed_rows = docs.select(common.whole_row(docs).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"))
     found = packed_rows.join(stays, F.col("id").eqNullSafe(F.col("stays")) & (F.col("key") == F.col("stays_key")), "left_semi")
     if rows.groupBy("doc_id", "row_key").count().filter("count > 1").take(1):
-        found = found.dropDuplicates(["id", "key"])
+        found = common.first_of_each(found, ["id", "key"])
     return found.select("row.*")
 
 

@@ -228,7 +228,7 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots
     spans = spans.select(
         F.col("doc_id").alias("of_id"), F.col("source").alias("of_source"), F.col("key").alias("of_key"), "start", "copy", "shard", F.when(F.col("got") < F.col("size"), F.col("spans")).alias("spans")
     )
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("from_source"), F.col("text").alias("whole"), row_key().alias("key"))
+    rows = docs.select(common.whole_row(docs).alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("from_source"), F.col("text").alias("whole"), row_key().alias("key"))
     if streams.filter("size > 0").groupBy("doc_id", "source", "key").count().filter("count > 1").take(1):
         # Rows that repeat id, source and text: pair them off.
         rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("id", "from_source", "key").orderBy(F.xxhash64("row"))))

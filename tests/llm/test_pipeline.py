@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -118,3 +119,25 @@ def test_stages_return_documents(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, empty, str(tmp_path))
         assert out.columns == empty.columns and out.collect() == []
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Dots, backticks, blanks and names that the stages use themselves; repeated rows that differ elsewhere."""
+    rows = [(i, f"plain words number {i} follow here and end well", "src0" if i % 3 else None) for i in range(40)] + [(3, "plain words number 3 follow here and end well", "other")]
+    frame = docs(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    for name in ("a.b", "a`b", "with blank", "row", "nth", "id", "key"):
+        frame = frame.withColumn(name, F.col("source"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs_ = frame
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        again = stage(spark, docs_, str(tmp_path))
+        docs_ = stage(spark, docs_, str(tmp_path))
+        assert docs_.columns == frame.columns, name
+        assert sorted(map(str, docs_.collect())) == sorted(map(str, again.collect())) and docs_.count() > 0
+    assert {r["a.b"] for r in docs_.collect()} <= {"src0", "other", None}
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs(spark, []), str(tmp_path)).collect() == []

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from andamio.functions import specs, text, vocabulary
+from andamio.operators.common import ensure_checkpoints
 
 # Points of each signal, limits, weights and vetoes.
 FAMILY, SUBCATEGORY, TOKEN, MOST_TOKENS, BRAND, WEIGHT, DESCRIPTION, MOST_DESCRIPTION = 100, 6, 2, 8, 5, 3, 1, 4
@@ -240,7 +239,7 @@ def components(edges: DataFrame) -> DataFrame:
     Labels move along edges and then to their own labels' labels, so long chains take few
     rounds; a checkpoint of each round keeps plans short.
     """
-    _ensure_checkpoints(edges)
+    ensure_checkpoints(edges)
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct().checkpoint()
     labels = both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.col("u")).alias("group_id")).checkpoint()
     while True:
@@ -253,15 +252,6 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _ensure_checkpoints(df: DataFrame) -> None:
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        found = sc.getConf().get("spark.checkpoint.dir")
-        if not found and not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        sc.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="andamio-"))
-
-
 def equivalence_groups(products: DataFrame, edges: DataFrame) -> DataFrame:
     """group_id, members, suppliers, name: components over two suppliers at least; the longest name stands for all."""
     rows = products.join(components(edges), "id")
@@ -273,7 +263,7 @@ def equivalence_groups(products: DataFrame, edges: DataFrame) -> DataFrame:
 
 def resolve(products: DataFrame) -> DataFrame:
     """Entity resolution from names to groups."""
-    _ensure_checkpoints(products)
+    ensure_checkpoints(products)
     prints = specific(fingerprints(products)).checkpoint()
     found = verdicts(compared(candidate_pairs(prints, strong=True), prints))
     return equivalence_groups(products, found.filter("verdict = 'confirmed'").select("a", "b"))

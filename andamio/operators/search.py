@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from andamio.functions import text, vocabulary
+from andamio.operators.common import ensure_checkpoints
 
 K1, B = 1.2, 0.75
 WEIGHTS = {"name": 10.0, "category": 2.0, "subcategory": 1.0}
@@ -55,12 +58,16 @@ def hits(queries: DataFrame, index: DataFrame) -> DataFrame:
     """query_id, token, form, wanted, id, f: where a form of a query's token stands."""
     wanted = phrases(queries)
     single = wanted.filter(F.size("parts") == 1).withColumn("term", F.col("parts")[0]).join(index, "term").select("query_id", "token", "form", "wanted", "id", "f")
-    # A phrase: its parts in a row. Joined part by part, then counted per start.
+    return single.unionByName(phrase_hits(wanted, index))
+
+
+def phrase_hits(wanted: DataFrame, index: DataFrame) -> DataFrame:
+    """The hits of forms with more parts than one: the parts in a row, joined one by one, then counted by start."""
     split = wanted.filter(F.size("parts") > 1).select("query_id", "token", "form", "wanted", F.size("parts").alias("n"), F.posexplode("parts").alias("nth", "term"))
     starts = split.join(index.select("term", "id", F.explode("places").alias("at")), "term").withColumn("start", F.col("at") - F.col("nth"))
     rows = starts.groupBy("query_id", "token", "form", "wanted", "n", "id", "start").agg(F.countDistinct("nth").alias("met")).filter("met = n")
     weight = F.when(F.col("start") < APART, WEIGHTS["name"]).when(F.col("start") < 2 * APART, WEIGHTS["category"]).otherwise(WEIGHTS["subcategory"])
-    return single.unionByName(rows.groupBy("query_id", "token", "form", "wanted", "id").agg(F.sum(weight).alias("f")))
+    return rows.groupBy("query_id", "token", "form", "wanted", "id").agg(F.sum(weight).alias("f"))
 
 
 def bm25(queries: DataFrame, index: DataFrame, stats: DataFrame) -> DataFrame:
@@ -80,6 +87,89 @@ def bm25(queries: DataFrame, index: DataFrame, stats: DataFrame) -> DataFrame:
     return scored.filter("met = wanted").select("query_id", "id", F.round(-F.col("sum"), 10).alias("score"))
 
 
+# -- the best of each query, by blocks with their largest scores -----------------------------------
+
+#: How many products are re-ranked, by BM25; products in a block; how often the limit the first blocks may hold.
+CANDIDATES, BLOCK_DOCS, FIRST_BLOCKS = 300, 512, 4
+#: Scores are compared with bounds to so much.
+ROUNDING = 1e-9
+
+
+def _tf(f: Column, length: Column, mean: Column) -> Column:
+    return f * (K1 + 1) / (f + K1 * (1 - B + B * length / mean))
+
+
+def doc_blocks(stats: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """id, length, block, docs, mean: products of about the same length share a block.
+
+    A term weighs more in a short text, so the largest weights differ from block to block.
+    """
+    corpus = stats.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"))
+    rows = stats.crossJoin(F.broadcast(corpus))  # one row
+    fan = F.ceil(F.col("docs") / block_docs)
+    return rows.withColumn("block", F.floor(8 * F.log2(F.col("length") + 1)) * F.lit(1 << 40) + F.pmod(F.xxhash64("id"), fan))
+
+
+def block_postings(index: DataFrame, blocks: DataFrame) -> DataFrame:
+    """term, block, best, holders, held: a term's products in a block and the largest weight among them."""
+    rows = index.select("term", "id", "f").join(blocks, "id").withColumn("tf", _tf(F.col("f"), F.col("length"), F.col("mean")))
+    return rows.groupBy("term", "block").agg(F.max("tf").alias("best"), F.count(F.lit(1)).alias("holders"), F.max("docs").alias("docs"), F.collect_list(F.struct("id", "tf")).alias("held"))
+
+
+def best(queries: DataFrame, index: DataFrame, blocks: DataFrame, listed: DataFrame, limit: int = CANDIDATES, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The ``limit`` best rows of ``bm25`` for each query (ties by id), without scoring all hits.
+
+    ``blocks`` is of ``doc_blocks``, ``listed`` of ``block_postings``, both written before. A
+    block's bound is the sum of its terms' largest weights; blocks without all tokens are
+    out. The blocks with the highest bounds are scored first, and the limit's last score
+    among them is a threshold: blocks whose bound does not reach it are never opened.
+    ``keep`` filters scored rows before the limit. Phrases are looked up by their places first.
+    Bounds and first scores (lines for blocks, not products) are written between the steps.
+    """
+    on = ["query_id", "token", "form"]
+    wanted = phrases(queries)
+    plain = wanted.filter(F.size("parts") == 1).select(*on, "wanted", F.col("parts")[0].alias("term"))
+    placed = phrase_hits(wanted, index).join(blocks, "id").withColumn("tf", _tf(F.col("f"), F.col("length"), F.col("mean")))
+    placed = placed.groupBy(*on, "wanted", "block").agg(F.max("tf").alias("best"), F.count(F.lit(1)).alias("holders"), F.max("docs").alias("docs"), F.collect_list(F.struct("id", "tf")).alias("held")).checkpoint()
+    found = plain.join(listed.drop("held"), "term").drop("term").unionByName(placed.drop("held"))
+    rare = found.groupBy(*on, "wanted").agg(F.sum("holders").alias("holders"), F.max("docs").alias("docs"))
+    idf = F.log((F.col("docs") - F.col("holders") + 0.5) / (F.col("holders") + 0.5))
+    rare = rare.select(*on, F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf")).checkpoint()
+    token = found.join(rare, on).groupBy("query_id", "wanted", "block", "token").agg(F.sum(F.col("idf") * F.col("best")).alias("bound"), F.sum("holders").alias("holders"))
+    bounds = token.groupBy("query_id", "wanted", "block").agg(F.sum("bound").alias("bound"), F.count(F.lit(1)).alias("met"), F.min("holders").alias("most")).filter("met = wanted")
+    falling = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block").rowsBetween(Window.unboundedPreceding, -1)
+    bounds = bounds.withColumn("earlier", F.coalesce(F.sum("most").over(falling), F.lit(0))).checkpoint()
+
+    def scored(chosen: DataFrame) -> DataFrame:
+        """All products of these blocks (query_id, block) that hold every token."""
+        picked = chosen.select("query_id", "block")
+        terms = plain.join(rare, on).join(picked, "query_id").join(listed.select("term", "block", "held"), ["term", "block"]).select(*on, "wanted", "idf", "held")
+        parts = terms.unionByName(placed.join(rare, on).join(picked, ["query_id", "block"]).select(*on, "wanted", "idf", "held"))
+        rows = parts.select("query_id", "token", "wanted", "idf", F.explode("held").alias("doc")).select("query_id", "token", "wanted", "doc.id", (F.col("idf") * F.col("doc.tf")).alias("part"))
+        # A token counts once in each product, however many of its forms stand there.
+        met = rows.groupBy("query_id", "id", "token", "wanted").agg(F.sum("part").alias("part")).groupBy("query_id", "id").agg(F.sum("part").alias("sum"), F.count(F.lit(1)).alias("met"), F.max("wanted").alias("wanted"))
+        rows = met.filter("met = wanted").select("query_id", "id", F.round(-F.col("sum"), 10).alias("score"))
+        return rows if keep is None else keep(rows)
+
+    def limited(rows: DataFrame) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
+        return rows.withColumn("nth", nth).filter(F.col("nth") <= limit).drop("nth")
+
+    ahead = F.col("earlier") < FIRST_BLOCKS * limit
+    first = limited(scored(bounds.filter(ahead))).checkpoint()
+    threshold = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("full"), F.max("score").alias("last")).filter(F.col("full") == limit).select("query_id", "last")
+    others = bounds.filter(~ahead).join(threshold, "query_id", "left").filter("last IS NULL OR -bound <= last + " + str(ROUNDING))
+    return limited(first.unionByName(scored(others.checkpoint())))
+
+
+def indexed(products: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """postings, doc_blocks and block_postings, each written once, as ``best`` takes them."""
+    ensure_checkpoints(products)
+    index = postings(products).checkpoint()
+    blocks = doc_blocks(doc_stats(products)).checkpoint()
+    return index, blocks, block_postings(index, blocks).checkpoint()
+
+
 def intent(queries: DataFrame) -> DataFrame:
     """query_id, concept, categories, excluded, ignored: the first concept that a query fits."""
     found = text.tokens(text.normalize(F.col("query")))
@@ -101,8 +191,9 @@ def within_intent(scored: DataFrame, products: DataFrame, intents: DataFrame) ->
 def reranked(scored: DataFrame, queries: DataFrame, products: DataFrame, limit: int) -> DataFrame:
     """query_id, id, place, rerank: by rank of score and the signals of names and categories.
 
-    Scores count by their rank, not size. Of products whose names begin alike, more
-    than SAME_NAMES go behind all others.
+    ``scored`` holds what is to be ordered: the CANDIDATES best of each query. Scores count by
+    their rank, not size. Of products whose names begin alike, more than SAME_NAMES go
+    behind all others.
     """
     # Only a query's different scores are ranked, not its hits.
     scores = scored.select("query_id", "score").distinct().withColumn("dense", F.row_number().over(Window.partitionBy("query_id").orderBy("score")))

@@ -32,7 +32,7 @@ def longest_with_hits(tries: DataFrame, scored: DataFrame) -> DataFrame:
     found = scored.join(tries.select("query_id", "term_id", "words"), "query_id")
     found = found.withColumn("longest", F.max("words").over(Window.partitionBy("term_id"))).filter("words = longest")
     rank = F.row_number().over(Window.partitionBy("term_id").orderBy("score", "id"))
-    return found.withColumn("rank", rank - 1).filter(F.col("rank") < CANDIDATES).select("term_id", "id", "rank")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= CANDIDATES).select("term_id", "id", (F.col("rank") - 1).alias("rank"))
 
 
 def _contains_any(category: Column, words: Column) -> Column:

@@ -444,8 +444,8 @@ def _(s, d):
 
 @query("rerank_search")
 def _(s, d):
-    rows, scored = _scored(s, d)
-    return search.reranked(scored, searches(s), rows, 50).withColumn("rerank", F.round("rerank", 6))
+    rows = domain.products(s, d)
+    return search.reranked(search.best(searches(s), *search.indexed(rows)), searches(s), rows, 50).withColumn("rerank", F.round("rerank", 6))
 
 
 @query("intent_search")

@@ -158,11 +158,12 @@ _AFTER = f"(coalesce(list_contains({_ACT}, words[p]) AND p > 0, false) OR coales
 
 
 def rerank_sql(docs: str, limit: int) -> str:
-    return f""", named AS (SELECT id, {_WORDS} AS words, list_filter(str_split({normal_sql('category')}, ' '), lambda w : w <> '') AS kinds, {normal_sql('name')} AS normal FROM {docs}),
-each AS (SELECT b.query_id, b.id, b.score, f.token, list_filter(range(len(words)), lambda p : list_contains(forms, words[p + 1])) AS spots, words, list_has_any(forms, kinds) AS of_kind FROM bm25 b JOIN named USING (id) JOIN forms f USING (query_id)),
+    return f""", best AS (SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS nth FROM bm25) WHERE nth <= {search.CANDIDATES}),
+named AS (SELECT id, {_WORDS} AS words, list_filter(str_split({normal_sql('category')}, ' '), lambda w : w <> '') AS kinds, {normal_sql('name')} AS normal FROM {docs}),
+each AS (SELECT b.query_id, b.id, b.score, f.token, list_filter(range(len(words)), lambda p : list_contains(forms, words[p + 1])) AS spots, words, list_has_any(forms, kinds) AS of_kind FROM best b JOIN named USING (id) JOIN forms f USING (query_id)),
 marked AS (SELECT query_id, id, len(spots) > 0 AS held, CASE WHEN len(spots) > 0 THEN spots[1] END AS first, len(spots) > 0 AND len(list_filter(spots, lambda p : NOT {_AFTER})) = 0 AS late, of_kind FROM each),
 counted AS (SELECT query_id, id, count(CASE WHEN held THEN 1 END) AS held, min(first) AS first, count(CASE WHEN late THEN 1 END) AS after, count(CASE WHEN of_kind THEN 1 END) AS kinds, greatest(count(*), 1) AS total FROM marked GROUP BY query_id, id),
-dense AS (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY score) AS n FROM bm25), levels AS (SELECT *, max(n) OVER (PARTITION BY query_id) AS k FROM dense),
+dense AS (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY score) AS n FROM best), levels AS (SELECT *, max(n) OVER (PARTITION BY query_id) AS k FROM dense),
 signals AS (SELECT l.query_id, l.id, l.score, round({search.RANKED} * CASE WHEN k = 1 THEN 1.0 ELSE 1 - (n - 1) / (k - 1) END + {search.PLACE} * coalesce(1.0 / (1 + first), 0) + {search.PHRASE} * (contains(' ' || normal || ' ', ' ' || {normal_sql('query')} || ' '))::INTEGER
   + {search.COVERAGE} * held / total + {search.CATEGORY} * counted.kinds / total - {search.ACCESSORY} * CASE WHEN held > 0 THEN after / held ELSE 0 END, 8) AS rerank,
   array_to_string((list_filter(words, lambda w : NOT regexp_full_match(replace(w, '.', ''), '[0-9]+')))[1:4], ' ') AS signature FROM levels l JOIN counted USING (query_id, id) JOIN named USING (id) JOIN asked USING (query_id)),
@@ -173,13 +174,23 @@ reranked AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY
 @query("shop_rerank", f"WITH {_SHOP}" + search_sql("shop", SEARCHES) + rerank_sql("shop", 50) + " SELECT * FROM reranked")
 def _(s, d):
     rows = shop(s, d)
-    scored = search.bm25(searches(s), search.postings(rows), search.doc_stats(rows))
+    scored = search.best(searches(s), *search.indexed(rows))
     return search.reranked(scored, searches(s), rows, 50).withColumn("rerank", F.round("rerank", 6))
 
 
 DOCUMENT_SEARCHES = ("the thing", "und der", "src1 en")
 
 
+@query("shop_intent_rerank", f"WITH {_SHOP}" + search_sql("shop", SEARCHES, intents=True) + rerank_sql("shop", 50).replace("AS nth FROM bm25)", """AS nth FROM bm25 JOIN kept USING (query_id) JOIN shop USING (id)
+WHERE (categories IS NULL OR list_contains(categories, category)) AND (excluded IS NULL OR len(list_filter(excluded, lambda x : contains(lower(name), x))) = 0))""").replace("JOIN forms f USING (query_id)", "JOIN asked_forms f USING (query_id)").replace("named AS (SELECT id", f"""asked_forms AS (SELECT query_id, list_distinct(flatten(list_transform({_SAME}, lambda v : {_VARIANTS}))) AS forms, token FROM (SELECT query_id, unnest(range(len(found))) AS token, unnest(found) AS word FROM found)),
+named AS (SELECT id""", 1) + " SELECT * FROM reranked")
+def _(s, d):
+    """What a concept allows is kept before the limit, so it has its candidates among all hits."""
+    rows, intents = shop(s, d), search.intent(searches(s))
+    scored = search.best(intents, *search.indexed(rows), keep=lambda found: search.within_intent(found, rows, intents))
+    return search.reranked(scored, searches(s), rows, 50).withColumn("rerank", F.round("rerank", 6))
+
+
 @query("document_search", "WITH docs AS (SELECT doc_id AS id, text AS name, source AS category, lang AS subcategory FROM documents)" + search_sql("docs", DOCUMENT_SEARCHES) + " SELECT query_id, id, round(score, 6) AS score FROM bm25")
 def _(s, d):
     docs = domain.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("name"), F.col("source").alias("category"), F.col("lang").alias("subcategory"))
@@ -187,6 +198,15 @@ def _(s, d):
     return search.bm25(asked, search.postings(docs), search.doc_stats(docs)).withColumn("score", F.round("score", 6))
 
 
+@query("document_best", "WITH docs AS (SELECT doc_id AS id, text AS name, source AS category, lang AS subcategory FROM documents)" + search_sql("docs", DOCUMENT_SEARCHES) + """
+SELECT query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS nth FROM bm25) WHERE nth <= 50""")
+def _(s, d):
+    """The best of each search, with blocks that cannot reach them left closed."""
+    docs = domain.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("name"), F.col("source").alias("category"), F.col("lang").alias("subcategory"))
+    asked = s.createDataFrame(list(enumerate(DOCUMENT_SEARCHES)), "query_id long, query string")
+    return search.best(asked, *search.indexed(docs), limit=50).withColumn("score", F.round("score", 6))
+
+
 # The same SQL answers the searches over the plain catalogue (none of its words is in a concept).
 ORACLES["rerank_search"] = with_views("products", search_sql("products", ENGLISH) + rerank_sql("products", 50) + " SELECT * FROM reranked")
 ORACLES["intent_search"] = with_views("products", search_sql("products", ENGLISH, intents=True) + """ SELECT b.query_id, b.id, round(score, 6) AS score FROM bm25 b JOIN kept USING (query_id) JOIN products USING (id)

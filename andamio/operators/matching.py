@@ -43,54 +43,146 @@ def similar(targets: DataFrame, products: DataFrame, limit: int = SIMILAR) -> Da
     """target_id, id, score, place: the best of the family and category of each target.
 
     ``products`` has id, name, brand, category, subcategory, family_id, weight and
-    description (the last three may be null). One signal alone does not reach
-    LEAST_SCORE, so candidates come from equality joins on two signals together that can:
-    subcategory with a token, the brand, a band of weights or a word of the description;
-    a token with the brand, another token or a band of weights. Only ids
-    move until a pair is known. Null categories match none but the family's.
+    description (the last three may be null). Null categories match none but the family's.
+
+    Products of one class (category, subcategory, tokens of the name) have the same points for
+    those against any other class, so points are counted once for a pair of classes, and of
+    each class only the smallest ids without, with the brand, with the weight and with both are
+    listed: a product behind as many of equal or more points as there are places, and some for
+    the target itself and its family, cannot be among the best. Classes whose points with brand
+    and weight added do not reach what is there without them are left out. Families are classes
+    of their own. Only words of descriptions, where there are any, are looked up in pairs.
     """
 
     def described(df: DataFrame, prefix: str) -> DataFrame:
-        return df.select(
-            F.col("id").alias(f"{prefix}id"), F.col("category").alias(f"{prefix}category"), F.col("family_id").alias(f"{prefix}family"),
-            F.nullif(text.normalize(F.col("subcategory")), F.lit("")).alias(f"{prefix}sub"), text.identity_tokens(F.col("name")).alias(f"{prefix}tokens"),
-            F.nullif(F.lower(F.trim("brand")), F.lit("")).alias(f"{prefix}brand"), text.weight_number(F.col("weight")).alias(f"{prefix}weight"), text.description_tokens(F.col("description")).alias(f"{prefix}words"),
+        rows = df.select(
+            F.col("id").alias("id"), "category", F.col("family_id").alias("family"),
+            F.nullif(text.normalize(F.col("subcategory")), F.lit("")).alias("sub"), text.identity_tokens(F.col("name")).alias("tokens"),
+            F.nullif(F.lower(F.trim("brand")), F.lit("")).alias("brand"), text.weight_number(F.col("weight")).alias("weight"), text.description_tokens(F.col("description")).alias("words"),
         )
+        rows = rows.withColumn("class", F.md5(F.to_json(F.struct("category", "sub", "tokens"))))
+        return rows.select(*(F.col(c).alias(prefix + c) for c in rows.columns)).checkpoint()
 
-    a, b = described(targets, "a_"), described(products, "b_")
-
-    def joint_keys(df: DataFrame, p: str, bands: tuple[int, ...]) -> DataFrame:
-        c = lambda n: F.col(p + n)
-        none = F.array().cast("array<string>")
-        joined = lambda *parts: F.concat_ws("\x00", *parts)
-        of = lambda value: F.when(value.isNotNull(), F.array(value)).otherwise(none)
-        # Weights within a fifth of each other are in the same band or in neighbours.
-        band = F.when(c("weight") > 0, F.floor(F.log(c("weight")) / F.log(F.lit(1 / (1 - NEAR_WEIGHT)))))
-        weights = F.when(band.isNotNull(), F.array(*((band + i).cast("string") for i in bands))).otherwise(none)
-        beside = lambda kind, values, word: F.transform(values, lambda v: joined(F.lit(kind), word, v))
-        by_sub = [beside("st", c("tokens"), c("sub")), beside("sb", of(c("brand")), c("sub")), beside("sw", weights, c("sub")), beside("sd", F.coalesce(c("words"), none), c("sub"))]
-        by_sub = [F.when(c("sub").isNotNull(), x).otherwise(none) for x in by_sub]
-        per_token = lambda t: F.concat(beside("tb", of(c("brand")), t), beside("tw", weights, t), beside("tt", F.filter(c("tokens"), lambda u: u > t), t))
-        return df.select(f"{p}id", F.col(f"{p}category").alias("category"), F.explode(F.concat(*by_sub, F.flatten(F.transform(c("tokens"), per_token)))).alias("key"))
-
-    by_key = joint_keys(a, "a_", (-1, 0, 1)).join(joint_keys(b, "b_", (0,)), ["category", "key"]).select("a_id", "b_id")
-    by_family = a.join(b, F.col("a_family") == F.col("b_family")).select("a_id", "b_id")
-    pairs = by_key.unionByName(by_family).filter("a_id <> b_id").distinct()
+    ensure_checkpoints(products)
+    a = described(targets, "a_")
+    b = a.toDF(*(c.replace("a_", "b_", 1) for c in a.columns)) if targets is products else described(products, "b_")
+    by_class = _best_of_classes(a, b, _class_pairs(a, b), limit)
+    in_family = lambda df, p: df.filter(F.col(f"{p}family").isNotNull()).withColumn(f"{p}class", F.concat_ws("/", F.col(f"{p}family").cast("string"), f"{p}class"))
+    a_family, b_family = in_family(a, "a_"), in_family(b, "b_")
+    by_family = _best_of_classes(a_family, b_family, _family_pairs(a_family, b_family), limit)
+    pairs = by_class.unionByName(by_family).unionByName(_sharing_words(a, b)).filter("a_id <> b_id").distinct()
     rows = pairs.join(a, "a_id").join(b, "b_id")
     family = F.coalesce(F.col("a_family") == F.col("b_family"), F.lit(False))
+    alike = F.coalesce(F.col("a_category") == F.col("b_category"), F.lit(False))
     sub = F.coalesce(F.col("a_sub") == F.col("b_sub"), F.lit(False))
     shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
     same_words = F.size(F.array_intersect("a_words", "b_words"))
     brand = F.coalesce(F.col("a_brand") == F.col("b_brand"), F.lit(False))
-    near = F.coalesce((F.col("a_weight") > 0) & (F.abs(F.col("a_weight") - F.col("b_weight")) / F.col("a_weight") <= NEAR_WEIGHT), F.lit(False))
     points = lambda flag, n: F.when(flag, n).otherwise(0)
-    score = points(family, FAMILY) + points(sub, SUBCATEGORY) + F.least(shared * TOKEN, F.lit(MOST_TOKENS)) + points(brand, BRAND) + points(near, WEIGHT) + F.least(same_words * DESCRIPTION, F.lit(MOST_DESCRIPTION))
-    enough = family | (F.col("a_category") != NO_SIGNAL_CATEGORY) | (shared >= NO_SIGNAL_TOKENS)
+    score = points(family, FAMILY) + _class_points(sub, shared) + points(brand, BRAND) + points(_near(F.col("a_weight"), F.col("b_weight")), WEIGHT) + F.least(same_words * DESCRIPTION, F.lit(MOST_DESCRIPTION))
+    enough = family | (alike & (sub | (shared > 0)) & ((F.col("a_category") != NO_SIGNAL_CATEGORY) | (shared >= NO_SIGNAL_TOKENS)))
     scored = rows.filter(enough).select(F.col("a_id").alias("target_id"), F.col("b_id").alias("id"), score.alias("score"), family.alias("family")).filter(F.col("score") >= LEAST_SCORE)
     place = F.row_number().over(Window.partitionBy("target_id").orderBy(F.desc("score"), F.desc("family"), "id"))
     return scored.withColumn("place", place).filter(F.col("place") <= limit).drop("family")
 
 
+def _near(a: Column, b: Column) -> Column:
+    return F.coalesce((a > 0) & (F.abs(a - b) / a <= NEAR_WEIGHT), F.lit(False))
+
+
+def _class_points(sub: Column, shared: Column) -> Column:
+    return F.when(sub, SUBCATEGORY).otherwise(0) + F.least(shared * TOKEN, F.lit(MOST_TOKENS))
+
+
+def _class_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """ac, bc, base: classes of one category that share the subcategory or a token, with the points for these."""
+
+    def keys(df: DataFrame, p: str) -> DataFrame:
+        found = df.groupBy(f"{p}class").agg(*(F.first(f"{p}{c}").alias(c) for c in ("category", "sub", "tokens"))).filter("category IS NOT NULL")
+        of = F.concat(F.transform("tokens", lambda t: F.concat(F.lit("t"), t)), F.when(F.col("sub").isNotNull(), F.array(F.concat(F.lit("s"), "sub"))).otherwise(F.array().cast("array<string>")))
+        return found.select(F.col(f"{p}class").alias(f"{p[0]}c"), "category", F.explode(of).alias("key"))
+
+    met = keys(a, "a_").join(keys(b, "b_"), ["category", "key"])
+    # A row for each token that both have, and one for the subcategory.
+    is_token = F.col("key").startswith("t")
+    counted = met.groupBy("ac", "bc", "category").agg(F.count_if(is_token).cast("int").alias("shared"), F.max(~is_token).alias("sub"))
+    enough = (F.col("category") != NO_SIGNAL_CATEGORY) | (F.col("shared") >= NO_SIGNAL_TOKENS)
+    return counted.filter(enough).select("ac", "bc", _class_points(F.col("sub"), F.col("shared")).alias("base"))
+
+
+def _family_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The same for classes within families; every two of a family meet."""
+    of = lambda df, p: df.groupBy(F.col(f"{p}class").alias(f"{p[0]}c")).agg(*(F.first(f"{p}{c}").alias(f"{p}{c}") for c in ("family", "sub", "tokens")))
+    met = of(a, "a_").join(of(b, "b_"), F.col("a_family") == F.col("b_family"))
+    base = _class_points(F.coalesce(F.col("a_sub") == F.col("b_sub"), F.lit(False)), F.size(F.array_intersect("a_tokens", "b_tokens")))
+    return met.select("ac", "bc", base.alias("base"))
+
+
+def _best_of_classes(a: DataFrame, b: DataFrame, pairs: DataFrame, limit: int) -> DataFrame:
+    """a_id, b_id: for each target all products that can be among its ``limit`` best, and few others."""
+    few = 2 * limit + 1  # the places, the target itself, and places that its family takes elsewhere
+
+    def firsts(rows: DataFrame, by: list[str], *order) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy(*by).orderBy(*order, "b_id"))
+        return rows.withColumn("nth", nth).filter(F.col("nth") <= few).drop("nth")
+
+    a = a.withColumnRenamed("a_class", "ac")
+    b = b.withColumnRenamed("b_class", "bc")
+    # Classes that cannot reach what a class has even without brand and weight are out.
+    members = b.groupBy("bc").agg(F.count(F.lit(1)).alias("members"))
+    levels = pairs.join(members, "bc").groupBy("ac", "base").agg(F.sum("members").alias("members"))
+    held = F.sum("members").over(Window.partitionBy("ac").orderBy(F.desc("base")))
+    reached = levels.withColumn("held", held).filter(F.col("held") >= few).groupBy("ac").agg(F.max("base").alias("reached"))
+    pairs = pairs.join(reached, "ac", "left").filter(F.col("reached").isNull() | (F.col("base") + BRAND + WEIGHT >= F.col("reached"))).drop("reached").checkpoint()
+    brands, weights = a.filter("a_brand IS NOT NULL"), a.filter("a_weight > 0")
+    band = lambda w: F.floor(F.log(w) / F.log(F.lit(1 / (1 - NEAR_WEIGHT))))
+    # Weights within a fifth of each other are in the same band or in neighbours.
+    values = b.filter("b_weight > 0").select("b_weight").distinct().withColumn("band", band(F.col("b_weight")))
+    wanted = weights.select("a_weight").distinct().withColumn("band", F.explode(F.array(*(band(F.col("a_weight")) + i for i in (-1, 0, 1)))))
+    near = wanted.join(values, "band").filter(_near(F.col("a_weight"), F.col("b_weight"))).select("a_weight", "b_weight")
+
+    def listed(by: list[str]) -> DataFrame:
+        """bc, the columns of ``by`` and b_id: the smallest ids of each class with them."""
+        rows = b
+        for c in by:
+            rows = rows.filter(F.col(c).isNotNull())
+        return firsts(rows.select("bc", *by, "b_id"), ["bc", *by])
+
+    def kind(asked: list[str], rows: DataFrame, points: int) -> DataFrame:
+        """The best ids for each different ``asked`` of the targets."""
+        best = firsts(rows.select(*asked, "b_id", (F.col("base") + points).alias("points")), asked, F.desc("points"))
+        return best.select(*asked, "b_id", "points")
+
+    plain = kind(["ac"], pairs.join(listed([]), "bc"), 0)
+    branded = pairs.join(listed(["b_brand"]), "bc").withColumnRenamed("b_brand", "a_brand").join(brands.select("ac", "a_brand").distinct(), ["ac", "a_brand"])
+    weighed = pairs.join(listed(["b_weight"]), "bc").join(near, "b_weight").join(weights.select("ac", "a_weight").distinct(), ["ac", "a_weight"])
+    both = pairs.join(listed(["b_brand", "b_weight"]), "bc").withColumnRenamed("b_brand", "a_brand").join(near, "b_weight").join(brands.filter("a_weight > 0").select("ac", "a_brand", "a_weight").distinct(), ["ac", "a_brand", "a_weight"])
+    profiles = a.select("ac", "a_brand", "a_weight").distinct().withColumn("profile", F.md5(F.to_json(F.struct("ac", "a_brand", "a_weight"))))
+    found = [
+        profiles.join(kind(asked, rows, points), asked).select("profile", "b_id", "points")
+        for asked, rows, points in ((["ac", "a_brand"], branded, BRAND), (["ac", "a_weight"], weighed, WEIGHT), (["ac", "a_brand", "a_weight"], both, BRAND + WEIGHT))
+    ]
+    every = profiles.join(plain, "ac").select("profile", "b_id", "points")
+    for f in found:
+        every = every.unionByName(f)
+    every = firsts(every.groupBy("profile", "b_id").agg(F.max("points").alias("points")), ["profile"], F.desc("points"))
+    asking = a.select("a_id", F.md5(F.to_json(F.struct("ac", "a_brand", "a_weight"))).alias("profile"))
+    return asking.join(every, "profile").select("a_id", "b_id")
+
+
+def _sharing_words(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs that share a word of their descriptions and the family, or category and subcategory or a token."""
+
+    def keys(df: DataFrame, p: str) -> DataFrame:
+        one = lambda kind, *of: F.concat_ws("\x00", F.lit(kind), *of)
+        within = F.concat(F.transform(f"{p}tokens", lambda t: one("t", f"{p}category", t)), F.array(F.when(F.col(f"{p}sub").isNotNull(), one("s", f"{p}category", f"{p}sub"))))
+        of = F.array_append(F.when(F.col(f"{p}category").isNotNull(), within).otherwise(F.array().cast("array<string>")), F.when(F.col(f"{p}family").isNotNull(), one("f", F.col(f"{p}family").cast("string"))))
+        rows = df.filter(F.size(f"{p}words") > 0).select(f"{p}id", F.explode(f"{p}words").alias("word"), F.array_compact(of).alias("of"))
+        return rows.select(f"{p}id", "word", F.explode("of").alias("key"))
+
+    return keys(a, "a_").join(keys(b, "b_"), ["word", "key"]).select("a_id", "b_id")
+
+
 # -- fingerprints and verdicts ----------------------------------------------------------------
 
 

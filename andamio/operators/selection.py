@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from andamio.functions import specs, text, vocabulary
 
-from . import search
+from . import ledger, search
 
 CANDIDATES, LEAST_WORDS = 8, 2
 
@@ -81,3 +81,32 @@ def plan_terms(openings: DataFrame, finishes: DataFrame, pieces: DataFrame) -> D
 def automatic_quote(terms: DataFrame, chosen: DataFrame) -> DataFrame:
     """Items to add, marked for review, and the terms that found nothing (id null)."""
     return terms.join(chosen, "term_id", "left").select("key", "term", "id", "quantity", "confidence", F.lit("plano").alias("origin"), F.lit(0).alias("reviewed"))
+
+
+def quoted(materials: DataFrame, chosen: DataFrame, items: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items after a plan's materials are added in the order of ``seq``, and counters for each project.
+
+    ``materials`` has project_id, term_id, seq, rule, quantity, page, text, source_confidence and
+    now; ``chosen`` is of ``choose``; ``items`` has the columns of transitions. A product that
+    waits in the project gets the sum, one in another state starts again, and both keep what
+    they were added with; a new one is of the plan, to be reviewed. Counters: added (materials
+    with a product, each time it is added) and unfound. Materials without a product change nothing.
+    """
+    rows = materials.join(chosen.select("term_id", "id", F.col("confidence").alias("match")), "term_id", "left")
+    counters = rows.groupBy("project_id").agg(F.count("id").alias("added"), F.count_if(F.col("id").isNull()).alias("unfound"))
+    named = products.select("id", F.col("supplier").alias("new_supplier"), F.col("supplier_id").alias("new_supplier_id"))
+    commands = rows.join(named, "id").select(
+        "project_id", "seq", F.lit("add").alias("kind"), F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), "new_supplier", "new_supplier_id",
+        F.coalesce("quantity", F.lit(1.0)).alias("new_quantity"), "now", "rule", "page", "text", "source_confidence", "match",
+    )
+    done = ledger.ran(items.select("project_id", "item_id", "supplier", "supplier_id", "quantity", "state", "bought", "amount", "bought_on"), commands, products)
+    keys = ["project_id", "supplier", "supplier_id"]
+    last = done.filter("refused IS NULL").groupBy("project_id", F.col("new_supplier").alias("supplier"), F.col("new_supplier_id").alias("supplier_id")).agg(F.max_by("after_quantity", "seq").alias("last"), F.min_by(F.struct("fresh", "product", "rule", "page", "text", "source_confidence", "match", "now"), "seq").alias("first"))
+    met = items.join(last.select(*keys, "last"), keys, "left")
+    stay = met.select(*(F.coalesce("last", c).alias(c) if c == "quantity" else F.when(F.col("last").isNotNull(), ledger.PENDING).otherwise(F.col(c)).alias(c) if c == "state" else F.col(c) for c in items.columns))
+    new = {
+        "quantity": F.col("last"), "state": F.lit(ledger.PENDING), "category": F.col("first.product.category"), "section": text.suggested_section(F.col("first.product.category")), "added": F.col("first.now"), "origin": F.lit("plano"),
+        "reviewed": F.lit(0), "bought": F.lit(0.0), "confidence": F.col("first.match"), "text": F.col("first.text"), "rule": F.col("first.rule"), "page": F.col("first.page"), "source_confidence": F.col("first.source_confidence"),
+    }
+    made = last.filter("first.fresh").select(*(F.col(c) if c in keys else new.get(c, F.lit(None)).cast(items.schema[c].dataType).alias(c) for c in items.columns))
+    return stay.unionByName(made), counters

@@ -8,11 +8,13 @@ with null keys meet nothing and stay; empty batches leave everything as it is.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from andamio.functions import text
 
+from . import ledger
+
 # Kinds of events, states of items, fields that a patch may set, internal fields.
 EVENT_KINDS = ("item_agregado", "item_eliminado", "seleccion_aceptada", "seleccion_reemplazada", "seleccion_eliminada")
 STATES = ("pendiente", "parcial", "comprado", "descartado")
@@ -161,21 +163,13 @@ def deleted(items: DataFrame, commands: DataFrame, projects: DataFrame) -> tuple
 def replacements(items: DataFrame, commands: DataFrame, projects: DataFrame, products: DataFrame) -> DataFrame:
     """Each item to replace (new_supplier, new_supplier_id, new_quantity, now) with ``refused``: why not.
 
-    Not where a purchase is noted, the new product is in the project already or is
-    not in the catalogue. Of commands for one item, or for one product of a project, the first
-    by seq counts and the others are refused.
+    Not where a purchase is noted, the new product is in the project or not in the
+    catalogue, or the item was replaced before. Commands of a project are decided in the
+    order of seq, then item_id: what is refused takes no product, and a product that was
+    replaced is free for later commands.
     """
-    rows = items.join(permitted(commands, projects), ["project_id", "item_id"])
-    target = ["project_id", "new_supplier", "new_supplier_id"]
-    there = items.select("project_id", F.col("supplier").alias("new_supplier"), F.col("supplier_id").alias("new_supplier_id"), F.lit(True).alias("there")).distinct()
-    sold = products.groupBy(F.col("supplier").alias("new_supplier"), F.col("supplier_id").alias("new_supplier_id")).agg(F.min(F.struct("name", "category", "price")).alias("product"))
-    rows = rows.join(there, target, "left").join(sold, target[1:], "left")
-    bought = (F.coalesce("bought", F.lit(0.0)) != 0) | F.col("amount").isNotNull() | F.col("bought_on").isNotNull()
-    why = F.when(bought, "bought already").when(F.col("there"), "already in the project").when(F.col("product").isNull(), "not in the catalogue")
-    rows = rows.withColumn("why", why)
-    first = lambda *keys: F.row_number().over(Window.partitionBy(F.col("why").isNull(), *keys).orderBy("seq", "item_id")) == 1
-    late = ~(first("project_id", "item_id") & first(*target))
-    return rows.withColumn("refused", F.coalesce("why", F.when(late, "done before"))).drop("why", "there")
+    rows = ledger.met(items, permitted(commands, projects).withColumn("kind", F.lit("replace")), products).filter("supplier IS NOT NULL")
+    return ledger.decided(rows)
 
 
 def replaced(items: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:

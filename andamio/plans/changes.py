@@ -6,10 +6,10 @@ of theirs, over all rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from andamio.operators import projects, transitions
+from andamio.operators import ledger, projects, selection, transitions
 from andamio.sources import domain
 from andamio.sources.domain import with_views
 
@@ -123,6 +123,69 @@ def _(s, d):
     return transitions.checked_events(transitions.replaced(placed(s, d).select(*ITEM), _replacements(s, d))[1]).select("item_id", "kind", "supplier_id", "supplier_id_before", "seconds")
 
 
+# -- commands in their order ---------------------------------------------------------------------------
+
+_CHAINS = _PLACED + """, links AS (SELECT *, coalesce(lead(l_partkey) OVER w, l_partkey + 1) AS target, lead(l_partkey) OVER w IS NOT NULL AS held FROM placed WINDOW w AS (PARTITION BY project_id ORDER BY l_partkey)),
+known AS (SELECT l.*, p.p_partkey IS NOT NULL AS listed FROM links l LEFT JOIN part p ON p.p_partkey = target AND p.p_size <= 45),
+free AS (SELECT *, bool_and(bought = 0 AND listed) OVER (PARTITION BY project_id ORDER BY l_partkey DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS freed FROM known)"""
+
+
+@query("replacement_chains", with_views("projects", _CHAINS + """ SELECT item_id, target::VARCHAR AS new_supplier_id,
+  CASE WHEN bought <> 0 THEN 'bought already' WHEN held AND NOT freed THEN 'already in the project' WHEN NOT listed THEN 'not in the catalogue' END AS refused FROM free"""))
+def _(s, d):
+    """Every item takes the product of the next one, which is free if that one was replaced before."""
+    rows = placed(s, d).join(domain.projects(s, d).select("project_id", "owner_id"), "project_id")
+    target = F.coalesce(F.lead("l_partkey").over(Window.partitionBy("project_id").orderBy("l_partkey")), F.col("l_partkey") + 1)
+    commands = rows.select("project_id", "owner_id", "item_id", (-F.col("l_partkey")).alias("seq"), F.concat(F.lit("S"), (target % 7).cast("string")).alias("new_supplier"), target.cast("string").alias("new_supplier_id"), F.lit(None).cast("double").alias("new_quantity"), now().alias("now"))
+    return transitions.replacements(placed(s, d).select(*ITEM), commands, domain.projects(s, d), sold(s, d)).select("item_id", "new_supplier_id", "refused")
+
+
+@query("project_ledger", "WITH " + _PLACED.lstrip(", ") + """, c AS (SELECT p.*, high >= 0.08 AS goes, CASE WHEN part.p_partkey IS NULL THEN NULL WHEN low <= 0.02 THEN 2.0 WHEN low >= 0.05 THEN 3.0 END AS more FROM placed p LEFT JOIN part ON part.p_partkey = l_partkey AND part.p_size <= 45)
+SELECT project_id, supplier_id, CASE WHEN more IS NULL THEN quantity WHEN goes OR state <> 'pendiente' THEN more ELSE quantity + more END::DOUBLE AS quantity, CASE WHEN more IS NULL THEN state ELSE 'pendiente' END AS state, CASE WHEN NOT goes THEN item_id END AS item_id
+FROM c WHERE NOT goes OR more IS NOT NULL""")
+def _(s, d):
+    """Items are deleted, then some of their products are added again or once more."""
+    rows = placed(s, d)
+    none = lambda kind: F.lit(None).cast(kind)
+    goes = rows.filter("high >= 0.08").select("project_id", F.lit(1).alias("seq"), F.lit("delete").alias("kind"), "item_id", none("string").alias("new_supplier"), none("string").alias("new_supplier_id"), none("double").alias("new_quantity"), now().alias("now"))
+    more = F.when(F.col("low") <= 0.02, 2.0).when(F.col("low") >= 0.05, 3.0)
+    adds = rows.filter(more.isNotNull()).select("project_id", F.lit(2).alias("seq"), F.lit("add").alias("kind"), none("long").alias("item_id"), F.col("supplier").alias("new_supplier"), F.col("supplier_id").alias("new_supplier_id"), more.alias("new_quantity"), now().alias("now"))
+    items = rows.select(*ITEM)
+    return ledger.after(items, ledger.ran(items, goes.unionByName(adds), sold(s, d))).drop("supplier")
+
+
+def _quoted(s, d) -> tuple[DataFrame, DataFrame]:
+    """Materials of 200 plans by part; what is chosen for them, and what the projects hold already, from columns of theirs."""
+    part, size, key = domain.table(s, d, "part"), F.col("p_size"), F.col("p_partkey")
+    none = lambda kind: F.lit(None).cast(kind)
+    rule = F.when(F.col("p_type") == "SMALL", "cuadro_puertas").otherwise("computo_estructural")
+    materials = part.select((key % 200).alias("project_id"), key.alias("term_id"), key.alias("seq"), rule.alias("rule"), F.when(size % 4 != 0, size.cast("double")).alias("quantity"), size.alias("page"), F.col("p_name").alias("text"), F.lit("alta").alias("source_confidence"), now().alias("now"))
+    chosen = part.filter(size > 10).select(key.alias("term_id"), (key % 97 + 1).alias("id"), F.when(size > 30, "alta").otherwise("baja").alias("confidence"))
+    held = part.groupBy((key % 200).alias("project_id"), (key * 7 % 97 + 1).alias("p")).agg(F.min(size).alias("least"), F.max(size).cast("double").alias("quantity"))
+    product = F.col("p")
+    values = {"item_id": F.col("project_id") * 1000 + product, "supplier": F.concat(F.lit("S"), (product % 7).cast("string")), "supplier_id": product.cast("string"), "state": F.when(F.col("least") < 25, "pendiente").otherwise("descartado"), "reviewed": F.lit(1), "bought": F.lit(0.0), "origin": F.lit("manual")}
+    kinds = {"amount": "double", "bought_on": "timestamp_ntz", "added": "timestamp_ntz", "page": "int"}
+    items = held.select(*(F.col(c) if c in ("project_id", "quantity") else values[c].alias(c) if c in values else none(kinds.get(c, "string")).alias(c) for c in (*ITEM, "rule", "page", "source_confidence")))
+    return selection.quoted(materials, chosen, items, domain.products(s, d))
+
+
+_MATERIALS = """WITH m AS (SELECT p_partkey % 200 AS project_id, p_partkey AS seq, CASE WHEN p_type = 'SMALL' THEN 'cuadro_puertas' ELSE 'computo_estructural' END AS rule, CASE WHEN p_size % 4 <> 0 THEN p_size::DOUBLE ELSE 1.0 END AS quantity, CASE WHEN p_size > 10 THEN p_partkey % 97 + 1 END AS id, CASE WHEN p_size > 30 THEN 'alta' ELSE 'baja' END AS match, p_size AS page FROM part),
+held AS (SELECT p_partkey % 200 AS project_id, p_partkey * 7 % 97 + 1 AS id, CASE WHEN min(p_size) < 25 THEN 'pendiente' ELSE 'descartado' END AS state, max(p_size)::DOUBLE AS quantity FROM part GROUP BY ALL),"""
+
+
+@query("quote_upsert", _MATERIALS + """ a AS (SELECT project_id, id, sum(quantity) AS more, min_by(rule, seq) AS rule, min_by(match, seq) AS match, min_by(page, seq) AS page FROM m WHERE id IS NOT NULL GROUP BY ALL)
+SELECT project_id, id::VARCHAR AS supplier_id, (coalesce(CASE WHEN h.state = 'pendiente' OR a.id IS NULL THEN h.quantity END, 0) + coalesce(more, 0))::DOUBLE AS quantity, CASE WHEN a.id IS NULL THEN h.state ELSE 'pendiente' END AS state, CASE WHEN h.id IS NULL THEN 'plano' ELSE 'manual' END AS origin,
+  (h.id IS NOT NULL)::INTEGER AS reviewed, CASE WHEN h.id IS NULL THEN rule END AS rule, CASE WHEN h.id IS NULL THEN match END AS confidence, CASE WHEN h.id IS NULL THEN page END AS page
+FROM a FULL JOIN held h USING (project_id, id)""")
+def _(s, d):
+    return _quoted(s, d)[0].select("project_id", "supplier_id", "quantity", "state", "origin", "reviewed", "rule", "confidence", "page")
+
+
+@query("quote_counters", _MATERIALS.rstrip(",") + " SELECT project_id, count(id) AS added, count(*) - count(id) AS unfound FROM m GROUP BY project_id")
+def _(s, d):
+    return _quoted(s, d)[1]
+
+
 # -- patches, look-ups, limits ---------------------------------------------------------------------
 
 

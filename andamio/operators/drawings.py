@@ -242,8 +242,50 @@ def without_repeated_tables(found: DataFrame) -> DataFrame:
     return found.join(first.select("project_id", "page"), ["project_id", "page"], "left_semi")
 
 
-def analysis(found: DataFrame, levels_: DataFrame, pieces_: DataFrame) -> DataFrame:
-    """One JSON row per project of what the plan says."""
-    listed = lambda df, name, *cols: df.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
-    rows = listed(found, "sheets", "page", "code", "name").join(listed(levels_, "levels", "elevation", "name", "sheets"), "project_id", "left").join(listed(pieces_, "pieces", "page", "description", "quantity"), "project_id", "left")
-    return rows.select("project_id", F.to_json(F.struct("sheets", "levels", "pieces")).alias("analysis"))
+def search_term(kind: str) -> Column:
+    """What a material is searched by: openings by type and material, finishes by description, else by their text; pieces by description."""
+    if kind == "openings":
+        return F.coalesce(F.nullif(F.concat_ws(" ", F.nullif("type", F.lit("")), F.nullif("material", F.lit(""))), F.lit("")), F.col("text"))
+    if kind == "finishes":
+        return F.coalesce(F.nullif("description", F.lit("")), F.col("text"))
+    return F.col("description")
+
+
+def source_pages(found: DataFrame, levels_: DataFrame, *sources: DataFrame) -> DataFrame:
+    """project_id, page: where levels have their sheets and anything that was read comes from.
+
+    Of sheets with one code the last page has it; a code without a sheet gives none.
+    """
+    of_code = found.filter(F.coalesce("code", F.lit("")) != "").groupBy("project_id", "code").agg(F.max("page").alias("page"))
+    pages = levels_.select("project_id", F.explode("sheets").alias("code")).join(of_code, ["project_id", "code"]).select("project_id", "page")
+    for rows in sources:
+        pages = pages.unionByName(rows.select("project_id", "page"))
+    return pages.distinct()
+
+
+def analysis(found: DataFrame, levels_: DataFrame, spaces_: DataFrame, openings_: DataFrame, finishes: DataFrame, pieces_: DataFrame, warnings: DataFrame, names: DataFrame) -> DataFrame:
+    """A nested document for each project that has a sheet: what its plan says, and on which sheets.
+
+    found: project_id, page, code, name, discipline, kind; levels: name, elevation, sheets;
+    spaces: name, level, page, text; openings: kind (puerta, ventana), code, width, height, type,
+    material, quantity, page, text, confidence; finishes: code, description, brand, format,
+    colour, place, page, text, confidence; pieces: quantity, width_mm, height_mm, length_m,
+    description, page, text, confidence; warnings: source (in the order of the readers), seq,
+    warning; names: name. Only sheets that something comes from are in it. Lists are by page,
+    then by the rest of the row; what a project lacks is an empty list. A document is as large as a plan.
+    """
+    used = found.join(source_pages(found, levels_, spaces_, openings_, finishes, pieces_), ["project_id", "page"], "left_semi")
+    opening = ("page", "code", "width", "height", "type", "material", "quantity", "text", "confidence", search_term("openings").alias("search_term"))
+    of_kind = lambda kind: openings_.filter(F.col("kind") == kind)
+    parts = {
+        "levels": (levels_, ("elevation", "name", "sheets")), "spaces": (spaces_, ("page", "name", "level", "text")), "doors": (of_kind("puerta"), opening), "windows": (of_kind("ventana"), opening),
+        "finishes": (finishes, ("page", "code", "description", "brand", "format", "colour", "place", "text", "confidence", search_term("finishes").alias("search_term"))),
+        "pieces": (pieces_, ("page", "quantity", "width_mm", "height_mm", "length_m", "description", "text", "confidence", search_term("pieces").alias("search_term"))),
+        "sheets": (used, ("page", "code", "name", "discipline", "kind")), "warnings": (warnings, ("source", "seq", "warning")),
+    }
+    rows = found.groupBy("project_id").agg(F.count(F.lit(1)).alias("sheet_count")).join(names.select("project_id", F.col("name").alias("project_name")), "project_id", "left")
+    for name, (df, columns) in parts.items():
+        listed = df.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+        empty = F.array().cast(listed.schema[name].dataType)
+        rows = rows.join(listed, "project_id", "left").withColumn(name, F.coalesce(name, empty))
+    return rows.withColumn("warnings", F.transform("warnings", lambda w: w["warning"]))

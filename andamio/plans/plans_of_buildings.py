@@ -160,3 +160,49 @@ def _(s, d):
     size = F.col("p_size")
     level = F.when(size > 40, "alta").when(size > 20, "media").otherwise("baja")
     return drawings.best_readings(domain.table(s, d, "part").select((F.col("p_partkey") % 20).alias("project_id"), F.concat(F.lit("P"), (size % 7).cast("string")).alias("code"), F.col("p_brand").alias("text"), level.alias("confidence"), F.col("p_partkey").alias("seq")))
+
+
+# -- the analysis document -------------------------------------------------------------------------------
+
+
+def _analysed(s, d) -> DataFrame:
+    """Sheets from orders, what they hold from lines: a plan for each of 50 projects."""
+    key, n, k = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_suppkey")
+    show = lambda c: c.cast("string")
+    order = domain.table(s, d, "orders")
+    found = order.select((F.col("o_orderkey") % 50).alias("project_id"), F.col("o_orderkey").cast("int").alias("page"), F.when(F.col("o_orderkey") % 4 != 0, F.concat(F.lit("A"), show(F.col("o_orderkey") % 900))).alias("code"), F.col("o_orderpriority").alias("name"), F.lit("arquitectonica").alias("discipline"), F.lit("vector").alias("kind"))
+    levels = order.filter("o_orderpriority = '1-URGENT'").groupBy((F.col("o_orderkey") % 50).alias("project_id"), F.concat(F.lit("N +"), show(F.col("o_orderkey") % 3)).alias("name")).agg(F.min(F.col("o_orderkey") % 3).cast("double").alias("elevation"), F.array_sort(F.collect_set(F.concat(F.lit("A"), show(F.col("o_orderkey") % 900)))).alias("sheets"))
+    line = domain.table(s, d, "lineitem").select((key % 50).alias("project_id"), key.cast("int").alias("page"), "*")
+    text = F.concat(F.lit("t"), show(k))
+    spaces = line.filter("l_linenumber = 3 AND l_quantity < 3").select("project_id", "page", F.lit("SALA").alias("name"), F.lit(None).cast("string").alias("level"), text.alias("text"))
+    openings = line.filter("l_linenumber IN (1, 2) AND l_quantity < 4").select("project_id", "page", F.when(n == 1, "puerta").otherwise("ventana").alias("kind"), F.concat(F.lit("P"), show(k)).alias("code"), F.lit(0.9).alias("width"), F.lit(2.1).alias("height"), F.when(k % 3 != 0, "abatible").alias("type"), F.when(k % 2 == 0, "madera").alias("material"), n.alias("quantity"), text.alias("text"), F.lit("alta").alias("confidence"))
+    finishes = line.filter("l_linenumber = 4 AND l_quantity < 3").select("project_id", "page", F.lit("F1").alias("code"), F.when(k % 2 == 0, "porcelanato").alias("description"), *(F.lit(None).cast("string").alias(c) for c in ("brand", "format", "colour")), F.lit("pisos").alias("place"), text.alias("text"), F.lit("media").alias("confidence"))
+    pieces = line.filter("l_linenumber = 5 AND l_quantity < 3").select("project_id", "page", n.alias("quantity"), F.lit(50.0).alias("width_mm"), F.lit(100.0).alias("height_mm"), F.lit(6.0).alias("length_m"), F.concat(F.lit("perfil "), show(k)).alias("description"), text.alias("text"), F.lit("alta").alias("confidence"))
+    warnings = order.filter("o_orderpriority = '5-LOW' AND o_totalprice > 400000").select((F.col("o_orderkey") % 50).alias("project_id"), (F.col("o_orderkey") % 3).alias("source"), F.col("o_orderkey").alias("seq"), F.concat(F.lit("w"), show(F.col("o_orderkey"))).alias("warning"))
+    names = found.groupBy("project_id").agg(F.min("name").alias("name"))
+    return drawings.analysis(found, levels, spaces, openings, finishes, pieces, warnings, names)
+
+
+_ANALYSED = """WITH found AS (SELECT o_orderkey % 50 AS project_id, o_orderkey::INTEGER AS page, CASE WHEN o_orderkey % 4 <> 0 THEN 'A' || (o_orderkey % 900) END AS code, o_orderpriority AS name FROM orders),
+levels AS (SELECT DISTINCT o_orderkey % 50 AS project_id, 'A' || (o_orderkey % 900) AS code FROM orders WHERE o_orderpriority = '1-URGENT'),
+line AS (SELECT l_orderkey % 50 AS project_id, l_orderkey::INTEGER AS page, l_linenumber AS n, l_suppkey AS k, l_quantity AS q, 't' || l_suppkey AS text FROM lineitem),
+openings AS (SELECT *, coalesce(nullif(concat_ws(' ', CASE WHEN k % 3 <> 0 THEN 'abatible' END, CASE WHEN k % 2 = 0 THEN 'madera' END), ''), text) AS term FROM line WHERE n IN (1, 2) AND q < 4),
+spaces AS (SELECT * FROM line WHERE n = 3 AND q < 3), finishes AS (SELECT *, CASE WHEN k % 2 = 0 THEN 'porcelanato' ELSE text END AS term FROM line WHERE n = 4 AND q < 3), pieces AS (SELECT *, 'perfil ' || k AS term FROM line WHERE n = 5 AND q < 3),
+used AS (SELECT l.project_id, max(f.page) AS page FROM levels l JOIN found f ON l.project_id = f.project_id AND l.code = f.code GROUP BY l.project_id, l.code
+  UNION SELECT project_id, page FROM openings UNION SELECT project_id, page FROM spaces UNION SELECT project_id, page FROM finishes UNION SELECT project_id, page FROM pieces)
+SELECT p.project_id, p.sheet_count, p.project_name, (SELECT string_agg(page, ' ' ORDER BY page) FROM (SELECT DISTINCT u.page FROM used u JOIN found f ON u.page = f.page WHERE u.project_id = p.project_id)) AS pages,
+  (SELECT count(*) FROM spaces x WHERE x.project_id = p.project_id) AS spaces, (SELECT coalesce(string_agg(term, '|' ORDER BY page, 'P' || k, CASE WHEN k % 3 <> 0 THEN 'abatible' END NULLS FIRST), '') FROM openings x WHERE n = 1 AND x.project_id = p.project_id) AS doors,
+  (SELECT count(*) FROM openings x WHERE n = 2 AND x.project_id = p.project_id) AS windows, (SELECT coalesce(string_agg(term, '|' ORDER BY page, CASE WHEN k % 2 = 0 THEN 'porcelanato' END NULLS FIRST, text), '') FROM finishes x WHERE x.project_id = p.project_id) AS finishes,
+  (SELECT coalesce(string_agg(term, '|' ORDER BY page, term), '') FROM pieces x WHERE x.project_id = p.project_id) AS pieces,
+  (SELECT coalesce(string_agg('w' || o_orderkey, ' ' ORDER BY o_orderkey % 3, o_orderkey), '') FROM orders WHERE o_orderpriority = '5-LOW' AND o_totalprice > 400000 AND o_orderkey % 50 = p.project_id) AS warnings
+FROM (SELECT project_id, count(*) AS sheet_count, min(name) AS project_name FROM found GROUP BY project_id) p"""
+
+
+@query("plan_analysis", _ANALYSED)
+def _(s, d):
+    """The documents, with their lists told in short."""
+    terms = lambda c: F.array_join(F.transform(c, lambda x: x["search_term"]), "|").alias(c)
+    return _analysed(s, d).select(
+        "project_id", "sheet_count", "project_name", F.array_join(F.transform("sheets", lambda x: x["page"].cast("string")), " ").alias("pages"), F.size("spaces").cast("long").alias("spaces"), terms("doors"),
+        F.size("windows").cast("long").alias("windows"), terms("finishes"), terms("pieces"), F.array_join("warnings", " ").alias("warnings"),
+    )

@@ -59,14 +59,13 @@ def volume(name: Column) -> Column:
     return F.coalesce(*(F.bround(first_number(name, p) * factor, 4) for p, factor in VOLUMES))
 
 
-def amperes(name: Column) -> Column:
-    n = first_number(name, AMPERES)
+def _within(n: Column) -> Column:
+    """Amperes that can be; other numbers with an a behind are no currents."""
     return F.when((n > 0) & (n < 5000), n)
 
 
-def btu(name: Column) -> Column:
-    """A dot or comma before three digits parts thousands."""
-    found = F.nullif(F.regexp_extract(name, BTU, 1), F.lit(""))
+def _thousands(found: Column) -> Column:
+    """A number in which a dot or comma before three digits parts thousands."""
     return F.when(found.rlike(r"^\d{1,3}[.,]\d{3}$"), F.regexp_replace(found, "[.,]", "").try_cast("double")).otherwise(number(found))
 
 
@@ -74,10 +73,24 @@ SPEC_NAMES = (*PATTERNS, "volumen_l", "amperaje_a", "energia_btu")
 
 
 def all_specs(name: Column) -> Column:
-    """A struct of all numbers that a name states; null is unknown."""
-    base = prepared(name)
-    found = {k: first_number(base, p) for k, p in PATTERNS.items()} | {"volumen_l": volume(base), "amperaje_a": amperes(base), "energia_btu": btu(base)}
-    return F.struct(*(found[k].alias(k) for k in SPEC_NAMES))
+    """A struct of all numbers that a name states; null is unknown.
+
+    The texts of all rules are taken out first and bound to a variable, then read as
+    numbers, so no rule is written out more than once and the code stays small.
+    """
+    rules = [*PATTERNS.values(), *(p for p, _ in VOLUMES), AMPERES, BTU]
+    texts = F.transform(F.array(prepared(name)), lambda base: F.array(*(F.nullif(F.regexp_extract(base, p, 1), F.lit("")) for p in rules)))
+
+    def numbers(found: Column) -> Column:
+        at = lambda i: F.get(found, F.lit(i))
+        plain = len(PATTERNS)
+        made = {k: number(at(i)) for i, k in enumerate(PATTERNS)}
+        made["volumen_l"] = F.coalesce(*(F.bround(number(at(plain + i)) * factor, 4) for i, (_, factor) in enumerate(VOLUMES)))
+        made["amperaje_a"] = _within(number(at(plain + len(VOLUMES))))
+        made["energia_btu"] = _thousands(at(plain + len(VOLUMES) + 1))
+        return F.struct(*(made[k].alias(k) for k in SPEC_NAMES))
+
+    return F.get(F.transform(texts, numbers), F.lit(0))
 
 
 def compare(a: Column, b: Column) -> Column:

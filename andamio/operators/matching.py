@@ -13,6 +13,8 @@ FAMILY, SUBCATEGORY, TOKEN, MOST_TOKENS, BRAND, WEIGHT, DESCRIPTION, MOST_DESCRI
 LEAST_SCORE, NEAR_WEIGHT, SIMILAR = 8, 0.2, 6
 NO_SIGNAL_CATEGORY, NO_SIGNAL_TOKENS = "General", 2
 GENERIC_CODE = 15
+#: A name's own tokens confirm a match from this similarity and so many in common on.
+LEAST_OWN, OWN_SHARED = 0.66, 2
 #: Confidence that each use of a match asks for.
 LEAST_CONFIDENCE = {"search": 0.45, "similar": 0.45, "comparison": 0.70, "budget": 0.85, "quote": 0.85}
 WEIGHTS = {"code": 0.28, "brand": 0.20, "tokens": 0.20, "short_code": 0.12, "category": 0.05, "dimensions": 0.03, "size": 0.03, "volume": 0.03, "package": 0.03, "colour": 0.03}
@@ -213,21 +215,55 @@ def specific(prints: DataFrame) -> DataFrame:
     return joined.withColumns({"codes": F.array_except("codes", "generic"), "tokens": F.array_except("tokens", F.transform("generic", F.lower))}).drop("generic")
 
 
-def candidate_pairs(prints: DataFrame, strong: bool = False) -> DataFrame:
-    """a, b (a < b) of different suppliers that share a code, or brand and a token.
+def _code_keys() -> Column:
+    return F.transform("codes", lambda c: F.concat(F.lit("c:"), c))
 
-    With ``strong`` two tokens beside the brand, as a confirmed match without a code has.
-    """
+
+def candidate_pairs(prints: DataFrame) -> DataFrame:
+    """a, b (a < b) of different suppliers that share a code, or brand and a token."""
     none = F.array().cast("array<string>")
-    branded = lambda *t: F.concat_ws(":", F.lit("m"), F.col("brand"), *t)
-    two = F.flatten(F.transform("tokens", lambda t: F.transform(F.filter("tokens", lambda u: u > t), lambda u: branded(t, u))))
-    words = two if strong else F.transform("tokens", lambda t: branded(t))
-    keys = F.concat(F.transform("codes", lambda c: F.concat(F.lit("c:"), c)), F.when(F.col("brand").isNotNull(), words).otherwise(none))
+    words = F.transform("tokens", lambda t: F.concat_ws(":", F.lit("m"), F.col("brand"), t))
+    keys = F.concat(_code_keys(), F.when(F.col("brand").isNotNull(), words).otherwise(none))
     rows = prints.select("id", "supplier", F.explode(keys).alias("key"))
     a, b = rows.select(F.col("id").alias("a"), F.col("supplier").alias("of_a"), "key"), rows.select(F.col("id").alias("b"), F.col("supplier").alias("of_b"), "key")
     return a.join(b, "key").filter("a < b AND of_a <> of_b").select("a", "b").distinct()
 
 
+def nodes(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Products of a supplier that nothing in a verdict tells apart, as one: (its prints under the smallest id; id, node of each product).
+
+    A verdict on two nodes of different suppliers holds for all their products, so links between
+    nodes are links between all of them, and copies make no pairs.
+    """
+    told = [c for c in prints.columns if c not in ("id", "category", "supplier")]
+    keyed = prints.withColumn("same", F.md5(F.to_json(F.struct("supplier", *(F.array_sort(c) if c in ("codes", "tokens", "colours", "finishes", "connectors") else c for c in told)))))
+    first = keyed.groupBy("same").agg(F.min("id").alias("node"))
+    members = keyed.select("id", "same").join(first, "same").select("id", "node")
+    return prints.join(first.select(F.col("node").alias("id")), "id", "left_semi"), members
+
+
+def strong_pairs(prints: DataFrame) -> DataFrame:
+    """a, b (a < b) of different suppliers that can be confirmed: a shared code, or one brand and names alike.
+
+    Names of one brand are alike where their own tokens (without the brand's) have a
+    similarity of LEAST_OWN and OWN_SHARED tokens in common. Such sets are about equally long and
+    share one of their rarest tokens: of n tokens all but as many as have to be shared, and one.
+    So a product has a key for each of these few rare tokens and none for a common one.
+    """
+    rows = prints.filter(F.col("brand").isNotNull()).select("id", "supplier", "brand", F.array_except("tokens", text.tokens(text.normalize(F.col("brand")))).alias("own"))
+    each = rows.select("id", "supplier", "brand", F.size("own").alias("n"), F.explode("own").alias("token")).filter(F.col("n") >= OWN_SHARED)
+    counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("holders"))
+    listed = each.join(counts, "token").groupBy("id", "supplier", "brand", "n").agg(F.array_sort(F.collect_list(F.struct("holders", "token"))).alias("rarest"))
+    shared = F.greatest(F.lit(OWN_SHARED), F.ceil(F.col("n") * LEAST_OWN - 1e-9))
+    keys = F.transform(F.slice("rarest", F.lit(1), (F.col("n") - shared + 1).cast("int")), lambda t: F.concat_ws(":", F.lit("m"), F.col("brand"), t["token"]))
+    named = listed.select("id", "supplier", "n", F.explode(keys).alias("key"))
+    coded = prints.select("id", "supplier", F.lit(0).alias("n"), F.explode(_code_keys()).alias("key"))
+    every = named.unionByName(coded)
+    side = lambda p: every.select(F.col("id").alias(p), F.col("supplier").alias(f"of_{p}"), F.col("n").alias(f"n_{p}"), "key")
+    alike = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * LEAST_OWN - 1e-9
+    return side("a").join(side("b"), "key").filter("a < b AND of_a <> of_b").filter(alike).select("a", "b").distinct()
+
+
 def compared(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     """Both fingerprints of each pair, and what they share."""
     side = lambda p: prints.select(F.col("id").alias(p), F.struct(*[c for c in prints.columns if c != "id"]).alias(f"{p}_"))
@@ -256,7 +292,7 @@ def verdicts(rows: DataFrame) -> DataFrame:
     """a, b, verdict: confirmed, probable or different; a rule that fits first decides."""
     package = F.coalesce(F.col("a_.package") != F.col("b_.package"), F.lit(False))
     conflict = (F.size("spec.conflicts") > 0) | package | _clash("colours") | _clash("finishes") | _clash("connectors")
-    coded, strong = F.size("shared_codes") > 0, (F.col("own_shared") >= 2) & (F.col("own_jaccard") >= 0.66)
+    coded, strong = F.size("shared_codes") > 0, (F.col("own_shared") >= OWN_SHARED) & (F.col("own_jaccard") >= LEAST_OWN)
     long_code = F.exists("shared_codes", lambda c: F.length(c) >= 5)
     verdict = (
         F.when(conflict, "different").when(coded & F.col("one_part"), "probable").when(coded & (long_code | strong), "confirmed").when(coded, "probable")
@@ -344,9 +380,9 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def equivalence_groups(products: DataFrame, edges: DataFrame) -> DataFrame:
-    """group_id, members, suppliers, name: components over two suppliers at least; the longest name stands for all."""
-    rows = products.join(components(edges), "id")
+def equivalence_groups(products: DataFrame, labels: DataFrame) -> DataFrame:
+    """group_id, members, suppliers, name of the groups that ``labels`` (id, group_id) makes over two suppliers at least; the longest name stands for all."""
+    rows = products.join(labels, "id")
     groups = rows.groupBy("group_id").agg(
         F.count(F.lit(1)).alias("members"), F.countDistinct("supplier").alias("suppliers"), F.max_by("name", F.struct(F.length("name"), -F.col("id"))).alias("name")
     )
@@ -354,8 +390,11 @@ def equivalence_groups(products: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def resolve(products: DataFrame) -> DataFrame:
-    """Entity resolution from names to groups."""
+    """Entity resolution from names to groups: confirmed links between nodes, their components, and the nodes' products."""
     ensure_checkpoints(products)
     prints = specific(fingerprints(products)).checkpoint()
-    found = verdicts(compared(candidate_pairs(prints, strong=True), prints))
-    return equivalence_groups(products, found.filter("verdict = 'confirmed'").select("a", "b"))
+    told, members = nodes(prints)
+    told = told.checkpoint()
+    found = verdicts(compared(strong_pairs(told), told))
+    labels = components(found.filter("verdict = 'confirmed'").select("a", "b"))
+    return equivalence_groups(products, members.join(labels.withColumnRenamed("id", "node"), "node").select("id", "group_id"))

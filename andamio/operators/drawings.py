@@ -27,6 +27,11 @@ HOLE = r"(?i)buque\s+de\s+(\d+[.,]\d+)\s*m?\s*x\s*(\d+[.,]\d+)"
 PIECE = r"(?i)^\s*(\d+)\s+(.*?)\s*(\d+)\s*x\s*(\d+)\s*mm\s*x\s*(\d+(?:[.,]\d+)?)\s*m\b"
 DISCIPLINES = (("electrica", ("ELECTRIC", "ELÉCTRIC")), ("mecanica", ("MECANIC", "MECÁNIC", "SANITARI", "AGUAS")), ("estructural", ("ESTRUCTUR", "CIMIENTO", "FUNDACI")), ("arquitectonica", ("ARQUITECT", "PLANTA", "FACHADA", "ACABADO", "CORTE")))
 BIG_GAP, ROW_MARGIN = 250.0, 3.0
+FINISHES = {"TABLA DE ACABADOS DE MUROS Y PAREDES": "muros_y_paredes", "TABLA DE ACABADOS DE PISOS": "pisos", "TABLA DE ACABADOS DE CIELOS": "cielos"}
+FINISH_HEADERS, FINISH_CODE = ("CODIGO", "ACABADO", "MARCA", "MODELO", "ESPECIFICACIONES", "DISTRIBUIDOR", "OBSERVACIONES"), r"^([A-Z]?\d{1,2})$"
+LEGAL_WORDS = ("REGLAMENTO", "PROPIEDAD INTELECTUAL", "CONSENTIMIENTO", "REPRODUCCION", "C.F.I.A")
+#: Where tables stand and how far words may be off their column: share of the width, heights of the header's band, margins.
+TABLE_SIDE, HEADER_BAND, CODE_MARGIN, LEFT_MARGIN, RIGHT_MARGIN, LAST_ROW = 0.5, (1.0, 45.0), 10.0, 35.0, 5.0, 1.5
 LEAST_TEXT, FEW_DRAWINGS, MANY_DRAWINGS = 20, 5, 1000
 
 
@@ -198,6 +203,108 @@ def cells(words: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:
     return inside.groupBy("project_id", "page", "code", "column").agg(F.array_join(in_order, " ").alias("value"))
 
 
+# -- tables found by their titles and headers ------------------------------------------------------
+
+
+def table_titles(words: DataFrame, titles: dict[str, str] = FINISHES) -> DataFrame:
+    """project_id, page, place, top, bottom: the first line of each page that holds a title.
+
+    A line is the words of one height from left to right.
+    """
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda w: w["text"])
+    lines = words.groupBy("project_id", "page", "y0").agg(F.upper(F.array_join(in_order, " ")).alias("line"), F.max("y1").alias("bottom"))
+    held = F.array_compact(F.array(*(F.when(F.contains("line", F.lit(t)), F.lit(place)) for t, place in titles.items())))
+    found = lines.select("project_id", "page", "y0", "bottom", F.explode(held).alias("place"))
+    return found.groupBy("project_id", "page", "place").agg(F.min("y0").alias("top"), F.min_by("bottom", "y0").alias("bottom"))
+
+
+def table_columns(words: DataFrame, titles: DataFrame, headers: tuple[str, ...] = FINISH_HEADERS) -> DataFrame:
+    """project_id, page, place, nth, column, left, right, header_bottom: the columns of each title's table.
+
+    Headers stand in a band below the title. A column reaches from its header to the next one, the
+    last to the edge of the page. Tables whose first column is not the first of ``headers`` are none.
+    """
+    keys = ["project_id", "page", "place"]
+    side = words.filter(F.col("x0") >= F.col("width") * TABLE_SIDE).filter(F.upper("text").isin(*headers))
+    band = F.col("w.y0").between(F.col("t.bottom") + HEADER_BAND[0], F.col("t.bottom") + HEADER_BAND[1])
+    met = side.alias("w").join(titles.alias("t"), ["project_id", "page"]).filter(band).select(*keys, F.upper("text").alias("column"), "x0", "y0", "w.y1", "width")
+    first = met.groupBy(*keys, "column").agg(F.min_by(F.struct("x0", "y1", "width"), F.struct("y0", "x0")).alias("h")).select(*keys, "column", "h.*")
+    across = Window.partitionBy(*keys).orderBy("x0", "column")
+    rows = first.withColumn("nth", F.row_number().over(across)).withColumn("right", F.coalesce(F.lead("x0").over(across), F.col("width")))
+    whole = Window.partitionBy(*keys)
+    rows = rows.withColumn("first", F.max(F.when(F.col("nth") == 1, F.col("column"))).over(whole)).withColumn("header_bottom", F.max(F.when(F.col("nth") == 1, F.col("y1"))).over(whole))
+    return rows.filter(F.col("first") == headers[0]).select(*keys, "nth", "column", F.col("x0").alias("left"), "right", "header_bottom")
+
+
+def table_rows(words: DataFrame, columns: DataFrame) -> DataFrame:
+    """project_id, page, place, code, top, bottom of each row: from its code in the first column to the next.
+
+    Codes behind the first gap of more than BIG_GAP are of something else. The last row is
+    LAST_ROW times as high as the upper median of the others, and ends at the page's edge.
+    """
+    keys = ["project_id", "page", "place"]
+    first = columns.filter("nth = 1").select(*keys, "left", "right", "header_bottom")
+    inside = (F.col("x0") >= F.col("left") - CODE_MARGIN) & (F.col("x0") < F.col("right") - RIGHT_MARGIN) & (F.col("y1") >= F.col("header_bottom")) & (F.col("y0") >= F.col("header_bottom"))
+    codes = words.filter(F.col("text").rlike(FINISH_CODE)).join(first, ["project_id", "page"]).filter(inside)
+    down = Window.partitionBy(*keys).orderBy("y0", "text")
+    codes = codes.withColumn("gap", F.col("y0") - F.lag("y0").over(down))
+    broken = F.max(F.coalesce(F.col("gap") > BIG_GAP, F.lit(False))).over(down)  # equal codes at one place break together
+    kept = codes.withColumn("broken", broken).filter("NOT broken").withColumn("next", F.lead("y0").over(down))
+    gaps = F.array_sort(F.collect_list(F.col("next") - F.col("y0")))
+    typical = kept.groupBy(*keys).agg(gaps.alias("gaps")).select(*keys, F.coalesce(F.get("gaps", F.floor(F.size("gaps") / 2).cast("int")), F.lit(BIG_GAP)).alias("typical"))
+    last = F.least(F.col("y0") + F.col("typical") * LAST_ROW, F.col("height"))
+    return kept.join(typical, keys).select(*keys, F.col("text").alias("code"), (F.col("y0") - ROW_MARGIN).alias("top"), F.coalesce(F.col("next") - ROW_MARGIN, last).alias("bottom"))
+
+
+def table_cells(words: DataFrame, columns: DataFrame, rows: DataFrame) -> DataFrame:
+    """project_id, page, place, code, top, text (all words of the row) and cells (a map from column to text).
+
+    A word is of the first column whose band it stands in; a band begins LEFT_MARGIN before its
+    header, so words set to the left of it are not lost.
+    """
+    keys = ["project_id", "page", "place"]
+    side = words.filter(F.col("x0") >= F.col("width") * TABLE_SIDE)
+    below = columns.filter("nth = 1").select(*keys, F.col("left").alias("code_left"), F.col("right").alias("code_right"), "header_bottom")
+    bands = columns.filter("nth > 1").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("nth", "column", "left", "right"))).alias("bands"))
+    met = side.join(rows, ["project_id", "page"]).filter("y0 >= top AND y0 < bottom").join(below, keys).filter("y0 >= header_bottom").join(bands, keys, "left")
+    in_code = (F.col("x0") >= F.col("code_left") - CODE_MARGIN) & (F.col("x0") < F.col("code_right") - RIGHT_MARGIN)
+    band = F.get(F.filter("bands", lambda b: (F.col("x0") >= b["left"] - LEFT_MARGIN) & (F.col("x0") < b["right"] - RIGHT_MARGIN)), F.lit(0))["column"]
+    met = met.withColumn("column", F.when(~in_code, band))
+    words_of = lambda kept: F.transform(F.array_sort(F.collect_list(kept)), lambda w: w["text"])
+    each = met.groupBy(*keys, "code", "top", "column").agg(F.array_join(words_of(F.struct("y0", "x0", "text")), " ").alias("value"), F.collect_list(F.struct("y0", "x0", "text")).alias("raw"))
+    every = F.transform(F.array_sort(F.flatten(F.collect_list("raw"))), lambda w: w["text"])
+    cells_ = F.map_from_entries(F.collect_list(F.when(F.col("column").isNotNull(), F.struct("column", "value"))))
+    return each.groupBy(*keys, "code", "top").agg(F.array_join(every, " ").alias("text"), cells_.alias("cells"))
+
+
+def finishes(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The finishes of each page's tables, and warnings (project_id, page, place, warning).
+
+    ``words`` has project_id, page, text, x0, y0, x1, y1, width and height (of the page). Title, header,
+    columns and rows are found by their places. Rows that are a plan's legal text are left
+    out with a warning, and so is a title without rows. Empty cells are null.
+    """
+    titles = table_titles(words)
+    columns = table_columns(words, titles)
+    found = table_cells(words, columns, table_rows(words, columns))
+    legal = reduce(lambda a, b: a | b, (F.contains(F.upper("text"), F.lit(w)) for w in LEGAL_WORDS))
+    good, keys = found.filter(~legal), ["project_id", "page", "place"]
+    cell = lambda c: F.nullif(F.trim(F.try_element_at("cells", F.lit(c))), F.lit(""))
+    colour = F.nullif(F.initcap(F.trim(F.regexp_extract(F.coalesce(cell("ESPECIFICACIONES"), F.lit("")), COLOUR, 1))), F.lit(""))
+    rows = good.select(*keys, "code", cell("ACABADO").alias("description"), cell("MARCA").alias("brand"), cell("MODELO").alias("format"), colour.alias("colour"), "text", F.lit("media").alias("confidence"), "top")
+    dropped = found.filter(legal).select(*keys, F.concat(F.lit("row "), "code", F.lit(" is the legal text of the sheet")).alias("warning"))
+    empty = titles.join(found, keys, "left_anti").select(*keys, F.lit("a title without rows").alias("warning"))
+    return rows, dropped.unionByName(empty)
+
+
+def merged_finishes(rows: DataFrame) -> DataFrame:
+    """One row for each project, place and code, as tables are repeated on sheets: the most confident, then the first; and whether others differ."""
+    rank = F.when(F.col("confidence") == "alta", 0).when(F.col("confidence") == "media", 1).otherwise(2)
+    kept = [c for c in rows.columns if c not in ("project_id", "place", "code")]
+    best = rows.groupBy("project_id", "place", "code").agg(F.min_by(F.struct(*kept), F.struct(rank, "page", "top", "text")).alias("b"), (F.countDistinct("text") > 1).alias("disagree"))
+    return best.select("project_id", "place", "code", "b.*", "disagree")
+
+
 def nearest_names(codes: DataFrame, names: DataFrame) -> DataFrame:
     """code, name of each page: in order where there are as many names as codes, else each
     code takes the nearest name still free, nearest pairs first.

@@ -162,6 +162,72 @@ def _(s, d):
     return drawings.best_readings(domain.table(s, d, "part").select((F.col("p_partkey") % 20).alias("project_id"), F.concat(F.lit("P"), (size % 7).cast("string")).alias("code"), F.col("p_brand").alias("text"), level.alias("confidence"), F.col("p_partkey").alias("seq")))
 
 
+# -- tables of finishes -----------------------------------------------------------------------------------
+
+#: Words of a page for each order: a title, headers, and codes with their cells from lines.
+_WORDS = """pages AS (SELECT o_orderkey % 50 AS project_id, o_orderkey::INTEGER AS page, CASE WHEN o_orderkey % 2 = 0 THEN 'PISOS' ELSE 'CIELOS' END AS kind, o_orderkey % 5 * 10 AS shift, o_orderpriority <> '5-LOW' AS headed FROM orders),
+marks AS (SELECT project_id, page, unnest(['TABLA', 'DE', 'ACABADOS', 'DE', kind]) AS text, unnest([600.0, 640.0, 660.0, 720.0, 740.0]) AS x0, 100.0 AS y0 FROM pages
+  UNION ALL SELECT project_id, page, unnest(['ACABADO', 'Marca', 'ESPECIFICACIONES']), unnest([560.0 + shift, 700.0 + shift, 850.0]), 120.0 FROM pages UNION ALL SELECT project_id, page, 'CODIGO', 520.0, 121.0 FROM pages WHERE headed),
+line AS (SELECT l_orderkey % 50 AS project_id, l_orderkey::INTEGER AS page, l_linenumber AS n, l_suppkey AS k, l_quantity AS q, 150.0 + l_linenumber * 40 + CASE WHEN l_linenumber >= 6 THEN 300 ELSE 0 END AS y FROM lineitem),
+words0 AS (SELECT * FROM marks UNION ALL SELECT project_id, page, 'F' || n, 521.0, y FROM line UNION ALL SELECT project_id, page, CASE WHEN k % 10 = 0 THEN 'Reglamento' ELSE 'd' || k END, 550.0 + q * 5, y + 1 FROM line
+  UNION ALL SELECT project_id, page, 'b' || k, 690.0 + q * 3, y + 2 FROM line UNION ALL SELECT project_id, page, unnest(['COLOR', 'AZUL']), unnest([860.0, 900.0]), y + 12 FROM line WHERE k % 3 = 0),
+words AS (SELECT *, x0 + 30 AS x1, y0 + 10 AS y1, 1000.0 AS width, 800.0 AS height FROM words0)"""
+
+
+def words(s: SparkSession, d: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    pages_ = domain.table(s, d, "orders").select((key % 50).alias("project_id"), key.cast("int").alias("page"), F.when(key % 2 == 0, "PISOS").otherwise("CIELOS").alias("kind"), (key % 5 * 10).alias("shift"), (F.col("o_orderpriority") != "5-LOW").alias("headed"))
+    word = lambda text, x, y: F.struct(text.alias("text"), x.cast("double").alias("x0"), y.cast("double").alias("y0"))
+    at = lambda text, x, y: word(F.lit(text), F.lit(x), F.lit(y))
+    marks = F.array(
+        at("TABLA", 600, 100), at("DE", 640, 100), at("ACABADOS", 660, 100), at("DE", 720, 100), word(F.col("kind"), F.lit(740), F.lit(100)), word(F.lit("ACABADO"), 560 + F.col("shift"), F.lit(120)), word(F.lit("Marca"), 700 + F.col("shift"), F.lit(120)),
+        at("ESPECIFICACIONES", 850, 120), F.when(F.col("headed"), at("CODIGO", 520, 121)),
+    )
+    n, k, q = F.col("l_linenumber"), F.col("l_suppkey"), F.col("l_quantity")
+    y = 150.0 + n * 40 + F.when(n >= 6, 300).otherwise(0)
+    named = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
+    coloured = k % 3 == 0
+    cells = F.array(word(named("F", n), F.lit(521), y), word(F.when(k % 10 == 0, "Reglamento").otherwise(named("d", k)), 550 + q * 5, y + 1), word(named("b", k), 690 + q * 3, y + 2), F.when(coloured, word(F.lit("COLOR"), F.lit(860), y + 12)), F.when(coloured, word(F.lit("AZUL"), F.lit(900), y + 12)))
+    rows = pages_.select("project_id", "page", F.explode(F.array_compact(marks)).alias("w")).unionByName(domain.table(s, d, "lineitem").select((F.col("l_orderkey") % 50).alias("project_id"), F.col("l_orderkey").cast("int").alias("page"), F.explode(F.array_compact(cells)).alias("w")))
+    return rows.select("project_id", "page", "w.*", (F.col("w.x0") + 30).alias("x1"), (F.col("w.y0") + 10).alias("y1"), F.lit(1000.0).alias("width"), F.lit(800.0).alias("height"))
+
+
+_TABLES = "WITH " + _WORDS + """, lines AS (SELECT project_id, page, y0, max(y1) AS bottom, upper(string_agg(text, ' ' ORDER BY x0, text)) AS line FROM words GROUP BY ALL),
+titles AS (SELECT project_id, page, place, min(y0) AS top, min_by(bottom, y0) AS bottom FROM lines JOIN (VALUES ('TABLA DE ACABADOS DE MUROS Y PAREDES', 'muros_y_paredes'), ('TABLA DE ACABADOS DE PISOS', 'pisos'), ('TABLA DE ACABADOS DE CIELOS', 'cielos')) t(title, place) ON contains(line, title) GROUP BY ALL),
+heads AS (SELECT w.project_id, w.page, place, upper(text) AS name, min_by(w.x0, (w.y0, w.x0)) AS x0, min_by(w.y1, (w.y0, w.x0)) AS y1 FROM words w JOIN titles t ON w.project_id = t.project_id AND w.page = t.page AND w.y0 BETWEEN t.bottom + 1 AND t.bottom + 45
+  WHERE w.x0 >= width * 0.5 AND upper(text) IN ('CODIGO', 'ACABADO', 'MARCA', 'MODELO', 'ESPECIFICACIONES', 'DISTRIBUIDOR', 'OBSERVACIONES') GROUP BY ALL),
+cols AS (SELECT *, row_number() OVER w AS nth, coalesce(lead(x0) OVER w, 1000.0) AS upto, first_value(name) OVER w AS head, first_value(y1) OVER w AS below FROM heads WINDOW w AS (PARTITION BY project_id, page, place ORDER BY x0, name)),
+known AS (SELECT * FROM cols WHERE head = 'CODIGO'),
+codes AS (SELECT w.project_id, w.page, c.place, text AS code, w.y0, height, w.y0 - lag(w.y0) OVER v AS gap FROM words w JOIN known c ON w.project_id = c.project_id AND w.page = c.page AND nth = 1 WHERE regexp_full_match(text, '[A-Z]?[0-9]{1,2}') AND w.x0 >= c.x0 - 10 AND w.x0 < upto - 5 AND w.y0 >= below
+  WINDOW v AS (PARTITION BY w.project_id, w.page, c.place ORDER BY w.y0, text)),
+kept AS (SELECT *, lead(y0) OVER v AS next FROM (SELECT *, max(coalesce(gap > 250, false)) OVER (PARTITION BY project_id, page, place ORDER BY y0, code) AS broken FROM codes) WHERE NOT broken WINDOW v AS (PARTITION BY project_id, page, place ORDER BY y0, code)),
+typical AS (SELECT project_id, page, place, coalesce(list_sort(list(next - y0) FILTER (next IS NOT NULL))[count(next) // 2 + 1], 250.0) AS typical FROM kept GROUP BY ALL),
+rows_ AS (SELECT k.*, y0 - 3 AS top, coalesce(next - 3, least(y0 + typical * 1.5, height)) AS bottom FROM kept k JOIN typical USING (project_id, page, place)),
+inside AS (SELECT r.project_id, r.page, r.place, r.code, r.top, w.text, w.x0, w.y0, (SELECT min(c.nth) FROM known c WHERE c.project_id = r.project_id AND c.page = r.page AND c.place = r.place AND c.nth > 1 AND w.x0 >= c.x0 - 35 AND w.x0 < c.upto - 5) AS nth,
+  w.x0 >= f.x0 - 10 AND w.x0 < f.upto - 5 AS in_code
+  FROM rows_ r JOIN words w ON w.project_id = r.project_id AND w.page = r.page AND w.y0 >= r.top AND w.y0 < r.bottom AND w.x0 >= width * 0.5 JOIN known f ON f.project_id = r.project_id AND f.page = r.page AND f.place = r.place AND f.nth = 1 AND w.y0 >= f.below),
+cells AS (SELECT i.project_id, i.page, i.place, i.code, i.top, string_agg(i.text, ' ' ORDER BY i.y0, i.x0, i.text) AS text, string_agg(i.text, ' ' ORDER BY i.y0, i.x0, i.text) FILTER (NOT in_code AND name = 'ACABADO') AS description,
+  string_agg(i.text, ' ' ORDER BY i.y0, i.x0, i.text) FILTER (NOT in_code AND name = 'MARCA') AS brand, string_agg(i.text, ' ' ORDER BY i.y0, i.x0, i.text) FILTER (NOT in_code AND name = 'ESPECIFICACIONES') AS spec
+  FROM inside i LEFT JOIN known c ON c.project_id = i.project_id AND c.page = i.page AND c.place = i.place AND c.nth = i.nth GROUP BY ALL),
+marked AS (SELECT *, regexp_matches(upper(text), 'REGLAMENTO|PROPIEDAD INTELECTUAL|CONSENTIMIENTO|REPRODUCCION|C\\.F\\.I\\.A') AS legal, nullif(array_to_string(list_transform(str_split(trim(regexp_extract(coalesce(spec, ''), '(?i)COLOR\\s+([A-Z][A-Z ]{2,30})', 1)), ' '), lambda x : upper(left(x, 1)) || lower(substr(x, 2))), ' '), '') AS colour FROM cells)"""
+
+
+@query("plan_finishes", _TABLES + " SELECT project_id, page, place, code, description, brand, colour, text FROM marked WHERE NOT legal")
+def _(s, d):
+    return drawings.finishes(words(s, d))[0].select("project_id", "page", "place", "code", "description", "brand", "colour", "text")
+
+
+@query("finish_warnings", _TABLES + """ SELECT project_id, page, place, 'row ' || code || ' is the legal text of the sheet' AS warning FROM marked WHERE legal
+UNION ALL SELECT project_id, page, place, 'a title without rows' FROM titles t WHERE NOT EXISTS (SELECT 1 FROM cells c WHERE c.page = t.page AND c.place = t.place)""")
+def _(s, d):
+    return drawings.finishes(words(s, d))[1]
+
+
+@query("merged_finishes", _TABLES + """ SELECT project_id, place, code, min_by(struct_pack(d := description), (page, top, text)).d AS description, min(page) AS page, count(DISTINCT text) > 1 AS disagree FROM marked WHERE NOT legal GROUP BY ALL""")
+def _(s, d):
+    return drawings.merged_finishes(drawings.finishes(words(s, d))[0]).select("project_id", "place", "code", "description", "page", "disagree")
+
+
 # -- the analysis document -------------------------------------------------------------------------------
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoints(df: DataFrame) -> None:
@@ -15,3 +16,9 @@ def ensure_checkpoints(df: DataFrame) -> None:
         if not found and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="andamio-"))
+
+
+def new_folder(spark: SparkSession, what: str) -> str:
+    """A folder of its own among the checkpoints, where driver and executors share files."""
+    ensure_checkpoints(spark.range(1))
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{what}-{uuid.uuid4().hex}"

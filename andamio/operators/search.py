@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -170,6 +172,55 @@ def indexed(products: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return index, blocks, block_postings(index, blocks).checkpoint()
 
 
+# -- an index that follows its products ------------------------------------------------------------
+
+
+@dataclass
+class Index:
+    """Written tables: postings, doc_stats, and tombstones (ids whose rows in older parts are void)."""
+
+    postings: DataFrame
+    stats: DataFrame
+    tombstones: DataFrame | None = None
+
+
+def index_of(products: DataFrame) -> Index:
+    ensure_checkpoints(products)
+    return Index(postings(products).checkpoint(), doc_stats(products).checkpoint())
+
+
+def index_delta(changed: DataFrame, removed: DataFrame) -> Index:
+    """The part of an index for products that are new or changed (their rows now) and ids that are gone.
+
+    Its size follows the change; nothing of the older parts is read.
+    """
+    made = index_of(changed)
+    made.tombstones = changed.select("id").unionByName(removed.select("id")).distinct().checkpoint()
+    return made
+
+
+def merged_index(parts: list[Index]) -> Index:
+    """One index of a base and its deltas in order: each part without what later ones void.
+
+    Counts and lengths are those of what is left, so scores equal those of an index built anew.
+    The tombstones behind a part are its deltas' sizes; they are joined, and sent to all
+    tasks only where Spark finds them small. ``index_of`` results have no tombstones.
+    """
+
+    def alive(rows: DataFrame, later: list[Index]) -> DataFrame:
+        void = [p.tombstones for p in later if p.tombstones is not None]
+        return rows.join(reduce(DataFrame.unionByName, void).distinct(), "id", "left_anti") if void else rows
+
+    kept = lambda of: reduce(DataFrame.unionByName, (alive(of(p), parts[i + 1 :]) for i, p in enumerate(parts)))
+    return Index(kept(lambda p: p.postings), kept(lambda p: p.stats))
+
+
+def compacted(parts: list[Index]) -> Index:
+    """The merged index written as one part without tombstones."""
+    made = merged_index(parts)
+    return Index(made.postings.checkpoint(), made.stats.checkpoint())
+
+
 def intent(queries: DataFrame) -> DataFrame:
     """query_id, concept, categories, excluded, ignored: the first concept that a query fits."""
     found = text.tokens(text.normalize(F.col("query")))

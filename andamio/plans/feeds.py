@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from andamio.operators import catalogue
-from andamio.sources import domain, suppliers
+from andamio.operators import catalogue, snapshots
+from andamio.operators.common import new_folder
+from andamio.sources import domain, landed, suppliers
 
 from .queries import query
 
@@ -117,3 +118,52 @@ def _(s, d):
     known = fresh.withColumns({"description": F.lit("old"), "sku": F.lit("S1"), "image": F.lit("gone"), "name": F.upper("name")})
     sizes = part(s, d).filter("p_size > 5").select(key().alias("supplier_id"))
     return catalogue.upserted(known.join(sizes, "supplier_id", "left_semi"), fresh).select("supplier_id", "name", "category", "description", "sku", "image")
+
+
+# -- buckets and landed pages ----------------------------------------------------------------------------
+
+
+@query("bucketed_upsert", """WITH a AS (SELECT p_partkey, p_name AS name, p_type AS category, p_brand AS brand FROM part WHERE p_size > 15),
+b AS (SELECT p_partkey, upper(p_name) AS name, 'new' AS category, NULL::VARCHAR AS brand FROM part WHERE p_size <= 20), c AS (SELECT p_partkey, 'last' AS name, 'newer' AS category, 'B' AS brand FROM part WHERE p_brand = 'Brand#11' AND p_size < 5)
+SELECT p_partkey::VARCHAR AS supplier_id, CASE WHEN c.p_partkey IS NOT NULL THEN c.name WHEN b.p_partkey IS NOT NULL THEN b.name ELSE a.name END AS name, coalesce(c.category, b.category, a.category) AS category, coalesce(c.brand, b.brand, a.brand) AS brand
+FROM part LEFT JOIN a USING (p_partkey) LEFT JOIN b USING (p_partkey) LEFT JOIN c USING (p_partkey) WHERE a.p_partkey IS NOT NULL OR b.p_partkey IS NOT NULL OR c.p_partkey IS NOT NULL""")
+def _(s, d):
+    """Three versions of a catalogue in buckets; the last one is read."""
+    rows, path = part(s, d), new_folder(s, "catalogue")
+    of = lambda kept, name, category, brand: rows.filter(kept).select(F.lit("S").alias("supplier"), key().alias("supplier_id"), name.alias("name"), category.alias("category"), brand.cast("string").alias("brand"))
+    versions = [
+        of("p_size > 15", F.col("p_name"), F.col("p_type"), F.col("p_brand")), of("p_size <= 20", F.upper("p_name"), F.lit("new"), F.lit(None)), of("p_brand = 'Brand#11' AND p_size < 5", F.lit("last"), F.lit("newer"), F.lit("B")),
+    ]
+    for n, batch in enumerate(versions):
+        snapshots.upsert(batch, path, n, n - 1 if n else None, buckets=16)
+    return snapshots.snapshot(s, path, len(versions) - 1).select("supplier_id", "name", "category", "brand")
+
+
+def _landed(s, d) -> tuple[DataFrame, DataFrame]:
+    """Every part on a page of its brand's listing, 20 a page: some brands miss a page, some have an empty or a last one."""
+    path = new_folder(s, "pages")
+    place = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1
+    rows = part(s, d).withColumn("page", (F.floor(place / 20) + 1).cast("int")).groupBy("p_brand", "page").agg(F.array_sort(F.collect_list(F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))).alias("items"))
+    kind = F.substring("p_brand", -1, 1)
+    rows = rows.filter(~((kind == "1") & (F.col("page") == 3)))
+    items = F.when((kind == "2") & (F.col("page") == 2), F.slice("items", 1, 0)).otherwise(F.col("items"))
+    body = F.to_json(F.struct(items.alias("items"), ((kind == "3") & (F.col("page") == 2)).alias("last")))
+    body = F.when((kind == "4") & (F.col("page") == 1), F.lit("<html>busy</html>")).otherwise(body)
+    pages = rows.select(F.col("p_brand").alias("category"), "page", body.alias("value"))
+    pages.repartition("category", "page").write.partitionBy("category", "page").text(path)
+    return landed.listed(landed.pages(s, path, "struct<id: bigint, name: string>"))
+
+
+_LANDED = """WITH p AS (SELECT *, right(p_brand, 1) AS kind, ((row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 20 + 1)::INTEGER AS page FROM part)"""
+_COUNTED = "NOT (kind = '1' AND page >= 3) AND NOT (kind = '2' AND page >= 2) AND NOT (kind = '3' AND page > 2)"
+
+
+@query("landed_items", _LANDED + f""" SELECT p_brand AS category, page, p_partkey AS id, p_name AS name FROM p WHERE {_COUNTED} AND NOT (kind = '4' AND page = 1)""")
+def _(s, d):
+    return _landed(s, d)[0].select("category", "page", "item.id", "item.name")
+
+
+@query("landed_offsets", _LANDED + f""", r AS (SELECT p_brand AS category, kind, page FROM p GROUP BY ALL)
+SELECT category, max(CASE WHEN {_COUNTED} THEN page END) AS page, CASE WHEN kind = '4' THEN '1' ELSE '' END AS corrupt, bool_or((kind = '3' AND page = 2) OR (kind = '2' AND page = 2)) AS complete FROM r GROUP BY category, kind""")
+def _(s, d):
+    return _landed(s, d)[1].withColumn("corrupt", F.array_join(F.transform("corrupt", lambda p: p.cast("string")), " "))

@@ -207,6 +207,15 @@ def _(s, d):
     return search.best(asked, *search.indexed(docs), limit=50).withColumn("score", F.round("score", 6))
 
 
+@query("incremental_search", f"""WITH {_SHOP}, now AS (SELECT shop.id, CASE WHEN p_size > 40 THEN name || ' roja' ELSE name END AS name, category, subcategory FROM shop JOIN part ON id = p_partkey WHERE p_size > 3)""" + search_sql("now", SEARCHES) + " SELECT query_id, id, round(score, 6) AS score FROM bm25")
+def _(s, d):
+    """An index of all products, then a delta of those with new names and those that are gone."""
+    rows = shop(s, d).join(domain.table(s, d, "part").select(F.col("p_partkey").alias("id"), "p_size"), "id")
+    changed = rows.filter("p_size > 40").withColumn("name", F.concat("name", F.lit(" roja")))
+    index = search.merged_index([search.index_of(rows), search.index_delta(changed, rows.filter("p_size <= 3"))])
+    return search.bm25(searches(s), index.postings, index.stats).withColumn("score", F.round("score", 6))
+
+
 # The same SQL answers the searches over the plain catalogue (none of its words is in a concept).
 ORACLES["rerank_search"] = with_views("products", search_sql("products", ENGLISH) + rerank_sql("products", 50) + " SELECT * FROM reranked")
 ORACLES["intent_search"] = with_views("products", search_sql("products", ENGLISH, intents=True) + """ SELECT b.query_id, b.id, round(score, 6) AS score FROM bm25 b JOIN kept USING (query_id) JOIN products USING (id)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from andamio.operators import catalogue, suggestions
+from andamio.operators import snapshots, suggestions
 
 
 def suggestion_windows(events: DataFrame, length: str = "1 day", late: str = "2 days") -> DataFrame:
@@ -17,19 +17,15 @@ def suggestion_windows(events: DataFrame, length: str = "1 day", late: str = "2
     return counts.select(F.col("window.start").alias("begin"), "confidence", "suggested", "accepted", "replaced", "removed")
 
 
-def upsert_stream(batches: DataFrame, path: str, checkpoint: str):
-    """Writes a new snapshot of the catalogue under ``path`` for each micro-batch, numbered by it.
+def upsert_stream(batches: DataFrame, path: str, checkpoint: str, buckets: int = snapshots.BUCKETS):
+    """Writes a version of the catalogue under ``path`` for each micro-batch, numbered by it.
 
-    A batch that is repeated after a failure writes its own snapshot again from the one
-    before, so its effect is the same.
+    A version rewrites the buckets that its batch touches (``snapshots``). A batch that is
+    repeated after a failure writes its own version again from the one before, so its
+    effect is the same.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        if number == 0:
-            old = spark.createDataFrame([], batch.drop("seq").schema)
-        else:
-            old = spark.read.parquet(f"{path}/{number - 1}")
-        catalogue.upserted(old, batch).write.mode("overwrite").parquet(f"{path}/{number}")
+        snapshots.upsert(batch, path, number, number - 1 if number else None, buckets)
 
     return batches.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from andamio import streaming
 from andamio.functions import specs, text
-from andamio.operators import catalogue, drawings, matching, projects, selection, suggestions, takeoff, transitions
+from andamio.operators import catalogue, drawings, matching, projects, selection, snapshots, suggestions, takeoff, transitions
 from andamio.plans import changes
 
 ITEM = "project_id long, supplier string, supplier_id string, line long, quantity double, state string, bought double, amount double, price_when_added double, section string, added string"
@@ -168,7 +168,7 @@ def test_streams(spark, tmp_path):
     for n, rows in enumerate([[("A", "1", "one", "b", 1.0, 1), ("A", "2", "two", None, 2.0, 2)], [("A", "1", "uno", None, 3.0, 3)]]):
         spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         streaming.upsert_stream(spark.readStream.schema(kind).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
-        got = {r.supplier_id: (r["name"], r.brand, r.price) for r in spark.read.parquet(f"{tmp_path}/out/{n}").collect()}
+        got = {r.supplier_id: (r["name"], r.brand, r.price) for r in snapshots.snapshot(spark, f"{tmp_path}/out", n).collect()}
     assert got == {"1": ("uno", "b", 3.0), "2": ("two", None, 2.0)}
     events = spark.createDataFrame([("item_agregado", "alta", "2024-01-01 10:00:00"), ("seleccion_aceptada", "alta", "2024-01-01 23:00:00"), ("item_agregado", "alta", "2024-01-02 01:00:00")], "kind string, confidence string, created string")
     events.write.parquet(f"{tmp_path}/events")

@@ -117,11 +117,11 @@ def _concept_sql(then: str) -> str:
 
 
 def search_sql(docs: str, asked, intents: bool = False) -> str:
-    """Tokens, forms and BM25 scores of searches over ``docs`` (id, name, category, subcategory)."""
-    values = ", ".join(f"({i}::BIGINT, '{q}')" for i, q in enumerate(asked))
+    """Tokens, forms and BM25 scores of searches over ``docs`` (id, name, category, subcategory); ``asked`` are texts, or SQL for query_id and query."""
+    given = asked if isinstance(asked, str) else "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{q}')" for i, q in enumerate(asked)) + ") v(query_id, query)"
     words = lambda c: f"list_filter(regexp_split_to_array({normal_sql(c)}, '[ .]'), lambda w : w <> '')"
     kept = f"CASE WHEN {_concept_sql('name')} IS NOT NULL THEN list_distinct(list_filter(found, lambda w : NOT list_contains({_list(vocabulary.CONTEXT_WORDS)}, w))) ELSE found END" if intents else "found"
-    return f""", asked AS (SELECT * FROM (VALUES {values}) v(query_id, query)), found AS (SELECT *, {tokens_sql(normal_sql('query'))} AS found FROM asked),
+    return f""", asked AS ({given}), found AS (SELECT *, {tokens_sql(normal_sql('query'))} AS found FROM asked),
 kept AS (SELECT *, {kept} AS tokens, {_concept_sql('categories')} AS categories, {_concept_sql('excluded')} AS excluded FROM found),
 token_rows AS (SELECT query_id, len(tokens) AS wanted, unnest(range(len(tokens))) AS token, unnest(tokens) AS word FROM kept),
 forms AS (SELECT query_id, wanted, token, list_distinct(flatten(list_transform({_SAME}, lambda v : {_VARIANTS}))) AS forms FROM token_rows),
@@ -220,3 +220,21 @@ def _(s, d):
 ORACLES["rerank_search"] = with_views("products", search_sql("products", ENGLISH) + rerank_sql("products", 50) + " SELECT * FROM reranked")
 ORACLES["intent_search"] = with_views("products", search_sql("products", ENGLISH, intents=True) + """ SELECT b.query_id, b.id, round(score, 6) AS score FROM bm25 b JOIN kept USING (query_id) JOIN products USING (id)
 WHERE (categories IS NULL OR list_contains(categories, category)) AND (excluded IS NULL OR len(list_filter(excluded, lambda x : contains(lower(name), x))) = 0)""")
+
+# -- automatic choice ------------------------------------------------------------------------------
+
+_TOKENS_OF = lambda x: tokens_sql(normal_sql(x))
+_FIRST_OF = lambda x: f"list_filter({_TOKENS_OF(x)}, lambda w : NOT regexp_full_match(replace(w, '.', ''), '[0-9]+'))[1]"
+_TERMS = f""", terms0 AS (SELECT id AS key, split_part(name, ' ', 1) || ' ' || subcategory AS term, 2.0 AS quantity, false AS piece, split_part(name, ' ', 1) AS anchor FROM products WHERE subcategory IN ('bolt', 'gear')
+  UNION ALL SELECT id, name, 1.0, true, NULL FROM products WHERE name NOT LIKE '%bolt%' AND name NOT LIKE '%gear%' UNION ALL SELECT id, 'sin ' || name, 1.0, false, NULL FROM products WHERE price IS NULL),
+terms AS (SELECT term, min(key) AS key, min_by(quantity, key) AS quantity, min_by(piece, key) AS piece, min_by(struct_pack(a := anchor), key).a AS anchor FROM terms0 GROUP BY term),
+sought AS (SELECT * FROM terms WHERE NOT coalesce(list_contains({_list(vocabulary.NEGATIONS)}, str_split({normal_sql('term')}, ' ')[1]), false)),
+words_of AS (SELECT term, {_TOKENS_OF('term')} AS found FROM sought),
+tries AS (SELECT row_number() OVER (ORDER BY term, words) AS query_id, * FROM (SELECT term, 1000000 AS words, term AS query FROM sought UNION ALL SELECT term, n, array_to_string(found[1:n], ' ') FROM (SELECT term, found, unnest(range(2, len(found))) AS n FROM words_of)))"""
+_CHOSEN = f""", longest AS (SELECT term, id, row_number() OVER (PARTITION BY term ORDER BY score, id) AS nth FROM (SELECT t.term, b.id, b.score, words = max(words) OVER (PARTITION BY t.term) AS kept FROM bm25 b JOIN tries t USING (query_id)) WHERE kept),
+candidates AS (SELECT l.term, l.id, nth, p.price, {_FIRST_OF('p.name')} AS first, coalesce(t.anchor, {_FIRST_OF('t.term')}) AS concept, t.piece, {normal_sql("p.category || ' ' || p.subcategory")} AS kind, {_WORDS.replace('(name,', '(p.name,')} AS all_words
+  FROM longest l JOIN terms t USING (term) JOIN products p ON p.id = l.id WHERE nth <= 8),
+good AS (SELECT * FROM candidates WHERE CASE WHEN least(length(first), length(concept)) < 5 THEN first = concept ELSE left(first, 5) = left(concept, 5) END AND NOT list_has_any(all_words, {_list(vocabulary.PART_WORDS)})
+  AND NOT (piece AND len(list_filter({_list(vocabulary.FORBIDDEN_FOR_PIECES)}, lambda w : contains(kind, w))) > 0)),
+chosen AS (SELECT term, min_by(id, nth) AS id, CASE WHEN min(nth) = 1 AND coalesce(min_by(coalesce(price, 0), nth) > 0, false) THEN 'media' ELSE 'baja' END AS confidence FROM good GROUP BY term)"""
+ORACLES["auto_quote"] = with_views("products", _TERMS + search_sql("products", "SELECT query_id, query FROM tries") + _CHOSEN + """ SELECT t.key, t.term, c.id, t.quantity::DOUBLE AS quantity, c.confidence, 'plano' AS origin, 0 AS reviewed FROM terms t LEFT JOIN chosen c USING (term)""")

@@ -67,14 +67,17 @@ def plan_terms(openings: DataFrame, finishes: DataFrame, pieces: DataFrame) -> D
     """Search terms for what a plan lists, with what is known of size and category.
 
     openings: key, kind (puerta or ventana), material, width_m, height_m, quantity;
-    finishes: key, place, description, quantity; pieces: key, description, quantity.
+    finishes: key, place, description, quantity; pieces: key, description, quantity, and may have
+    width_mm and height_mm, whose section is sought in centimetres (lengths are not in names).
     """
+    section = lambda c: (F.col(c) / 10 if c in pieces.columns else F.lit(None)).cast("double")
+    measured = section("width_mm").isNotNull() & section("height_mm").isNotNull()
     lit = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
     table = F.create_map(*(x for k, v in vocabulary.EXPECTED_CATEGORIES.items() for x in (F.lit(k), lit(v))))
     none = F.lit(None).cast("array<string>")
     a = openings.select("key", F.concat_ws(" ", "kind", "material").alias("term"), (F.col("width_m") * 100).alias("width"), (F.col("height_m") * 100).alias("height"), F.try_element_at(table, F.col("kind")).alias("expected"), none.alias("forbidden"), F.col("kind").alias("anchor"), "quantity")
     b = finishes.select("key", F.col("description").alias("term"), F.lit(None).cast("double").alias("width"), F.lit(None).cast("double").alias("height"), F.try_element_at(table, F.col("place")).alias("expected"), none.alias("forbidden"), F.lit(None).cast("string").alias("anchor"), F.lit(1.0).alias("quantity"))
-    c = pieces.select("key", F.col("description").alias("term"), F.lit(None).cast("double").alias("width"), F.lit(None).cast("double").alias("height"), none.alias("expected"), lit(vocabulary.FORBIDDEN_FOR_PIECES).alias("forbidden"), F.lit(None).cast("string").alias("anchor"), "quantity")
+    c = pieces.select("key", F.col("description").alias("term"), F.when(measured, section("width_mm")).alias("width"), F.when(measured, section("height_mm")).alias("height"), none.alias("expected"), lit(vocabulary.FORBIDDEN_FOR_PIECES).alias("forbidden"), F.lit(None).cast("string").alias("anchor"), "quantity")
     return a.unionByName(b).unionByName(c).withColumn("term_id", F.xxhash64("key", "term"))
 
 

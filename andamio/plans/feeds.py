@@ -167,3 +167,22 @@ def _(s, d):
 SELECT category, max(CASE WHEN {_COUNTED} THEN page END) AS page, CASE WHEN kind = '4' THEN '1' ELSE '' END AS corrupt, bool_or((kind = '3' AND page = 2) OR (kind = '2' AND page = 2)) AS complete FROM r GROUP BY category, kind""")
 def _(s, d):
     return _landed(s, d)[1].withColumn("corrupt", F.array_join(F.transform("corrupt", lambda p: p.cast("string")), " "))
+
+
+# -- categories from a home page -----------------------------------------------------------------------------
+
+_DEPARTMENTS = ("Pinturas", "Cocina", "Pisos", "Mascotas", "Techos", "Herramientas")
+
+
+@query("discovered_categories", f"""WITH l AS (SELECT p_brand, p_partkey, 'c' || (p_partkey % 300) AS name, lpad((10 + p_size % 7)::VARCHAR, 2, '0') || lpad((p_partkey % 10000)::VARCHAR, 4, '0') AS category_id, 's' || p_partkey AS slug,
+  CASE p_size % 7 {" ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_DEPARTMENTS))} ELSE 'General' END AS department FROM part)
+SELECT p_brand AS page_id, name, max_by(category_id, p_partkey) AS category_id, max_by(slug, p_partkey) AS slug, max_by(department, p_partkey) AS department FROM l WHERE department NOT IN ('Cocina', 'Mascotas') GROUP BY ALL""")
+def _(s, d):
+    """A home page for each brand, whose menu comes twice, the second time without names."""
+    show = lambda c: c.cast("string")
+    digits = F.concat(F.lpad(show(10 + F.col("p_size") % 7), 2, "0"), F.lpad(show(F.col("p_partkey") % 10000), 4, "0"))
+    link = F.concat(F.lit('<li><a title=" c'), show(F.col("p_partkey") % 300), F.lit(f'" href="{SITE}/catalogo/'), digits, F.lit("/s"), key(), F.lit('.html">x</a></li>'))
+    menu = lambda named: "".join(f'<a class="m" href="{SITE}/catalogo/{10 + i}/d{i}.html"> {x if named else ""} </a>' for i, x in enumerate(_DEPARTMENTS))
+    links = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", link.alias("link")))), lambda x: x["link"]), "\n")
+    homes = part(s, d).groupBy(F.col("p_brand").alias("page_id")).agg(F.concat(F.lit(f"<html>{menu(True)}"), links, F.lit(f"{menu(False)}</html>")).alias("html"))
+    return suppliers.discovered_categories(homes, SITE)

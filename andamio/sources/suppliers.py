@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +61,33 @@ def department_feed(rows: DataFrame, supplier: str, site: str) -> DataFrame:
     return shaped(rows, supplier=F.lit(supplier), supplier_id=F.col("code"), sku=F.col("code"), name=F.col("name"), brand=F.col("brand"), category=category, subcategory=F.col("family"), price=F.bround("price", 0), online=F.when(F.col("stock").isNotNull(), F.col("stock") > 0), url=F.concat(F.lit(f"{site}/p/"), text.slug(F.col("name")), F.lit("-"), "code"))
 
 
+#: Departments that have nothing for a building.
+OTHER_DEPARTMENTS = ("Electrodomésticos", "Cocina", "Comedor y bar", "Decoración", "Outdoors", "Mascotas", "Muebles", "Automotriz")
+
+
+def discovered_categories(homes: DataFrame, site: str, excluded: tuple[str, ...] = OTHER_DEPARTMENTS) -> DataFrame:
+    """page_id, name, category_id, slug, department: what a site's home page (page_id, html) links to.
+
+    Departments are links to two digits, categories to six whose first two are their department's.
+    A menu may come twice, once without names: a department's first name counts. Categories
+    of ``excluded`` departments are left out, of equal names the last link counts, and a category without
+    a known department is General. Null or other html has none.
+    """
+    link = lambda digits: re.escape(f"{site}/catalogo/") + rf"(\d{{{digits}}})/"
+    of_department = rf'<a[^>]*href="{link(2)}[^"]+\.html"[^>]*>([^<]*)<'
+    of_category = rf'<a title="([^"]*)" href="{link(6)}([^"]+)\.html"'
+
+    def found(pattern: str, **groups: int) -> DataFrame:
+        each = F.arrays_zip(*(F.regexp_extract_all("html", F.lit(pattern), F.lit(i)).alias(n) for n, i in groups.items()))
+        return homes.select("page_id", F.posexplode(each).alias("at", "link")).select("page_id", "at", "link.*")
+
+    departments = found(of_department, code=1, department=2).withColumn("department", F.trim("department")).filter("department <> ''")
+    departments = departments.groupBy("page_id", "code").agg(F.min_by("department", "at").alias("department"))
+    rows = found(of_category, name=1, category_id=2, slug=3).withColumn("code", F.left("category_id", F.lit(2))).join(departments, ["page_id", "code"], "left")
+    kept = rows.filter(~F.coalesce(F.col("department").isin(*excluded), F.lit(False))).withColumn("department", F.coalesce("department", F.lit("General")))
+    return kept.groupBy("page_id", F.trim("name").alias("name")).agg(F.max_by(F.struct("category_id", "slug", "department"), "at").alias("c")).select("page_id", "name", "c.*")
+
+
 def detail_feed(listing: DataFrame, details: DataFrame, supplier: str, site: str) -> DataFrame:
     """A listing with a page of details for each product; prices stay as they are."""
     rows = listing.join(details, "id", "left")

@@ -213,17 +213,18 @@ class Directory:
         return a + np.flatnonzero((self.low0[s] <= q0 + half) & (self.high0[s] >= q0 - half) & (self.low1[s] <= q1 + half) & (self.high1[s] >= q1 - half))
 
 
-def searched(data: DataFrame, visits: DataFrame, k: int, query_rows: int) -> DataFrame:
+def searched(data: DataFrame, visits: DataFrame, queries: DataFrame, k: int, query_rows: int) -> DataFrame:
     """query_id, vec_id, score: the best k of every block that a query visits.
 
-    data: block, part, vec_id, v; visits: block, part, vec_id, v of the queries. A block meets
+    data: block, part, vec_id, v; visits: block, part, vec_id; queries: vec_id, v. Visits are
+    numbers until here, where vectors join them on their way to the blocks. A block meets
     its queries some ``query_rows`` at a time, so a task holds no more than the two.
     """
     asked = visits.groupBy("block", "part").agg(F.ceil(F.count(F.lit(1)) / query_rows).cast("int").alias("turns"))
     asked = common.materialise(asked, "turns")
     rows = data.join(asked, ["block", "part"]).select("block", "part", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), F.lit(False).alias("asks"), "vec_id", "v")
     turn = F.pmod(F.xxhash64(F.lit(SEED), "vec_id"), F.col("turns")).cast("int")
-    queries = visits.join(asked, ["block", "part"]).select("block", "part", turn.alias("turn"), F.lit(True).alias("asks"), "vec_id", "v")
+    asking = visits.join(asked, ["block", "part"]).join(queries.select("vec_id", "v"), "vec_id").select("block", "part", turn.alias("turn"), F.lit(True).alias("asks"), "vec_id", "v")
 
     def search(batches):
         key, held = None, ([], [])
@@ -253,7 +254,7 @@ def searched(data: DataFrame, visits: DataFrame, k: int, query_rows: int) -> Dat
         if key is not None:
             yield close()
 
-    grid = rows.unionByName(queries).repartition("block", "part", "turn").sortWithinPartitions("block", "part", "turn", "asks")
+    grid = rows.unionByName(asking).repartition("block", "part", "turn").sortWithinPartitions("block", "part", "turn", "asks")
     return grid.mapInArrow(search, "query_id long, vec_id long, score double")
 
 
@@ -277,7 +278,10 @@ def nearest(vectors: DataFrame, every: int = EVERY, k: int = NEIGHBOURS, block_r
     its windows have to reach in the two arrays, and it then visits the blocks that they
     meet, all others being pruned. Within a block, windows around the query's place in
     each of many sorted arrays widen until enough vectors are in most of them, and those
-    are verified in full. What is held in one place is a directory with a line a block.
+    are verified in full. Where a query's windows do not fill in ROUNDS rounds (a block whose
+    vectors are far from it on most projections), the whole block is verified for it: the
+    exact way, never a shorter list. What is held in one place is a directory with a line a
+    block (some 70 bytes for 4,096 vectors, 2 GB for 10^11 vectors).
     """
     common.small_batches(vectors.sparkSession)
     rows = common.materialise(usable(vectors), "vectors")
@@ -302,7 +306,7 @@ def nearest(vectors: DataFrame, every: int = EVERY, k: int = NEIGHBOURS, block_r
         for batch in batches:
             of = [blocks.own(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("size", "q0", "q1")), strict=True)]
             part = part_of(batch.column("vec_id").to_numpy(), blocks.parts[of] if of else np.ones(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(of, np.int64)), pa.array(part), batch.column("vec_id"), batch.column("v")], names=["block", "part", "vec_id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(of, np.int64)), pa.array(part), batch.column("vec_id")], names=["block", "part", "vec_id"])
 
     def reached(batches):
         blocks, _ = held.value
@@ -322,16 +326,15 @@ def nearest(vectors: DataFrame, every: int = EVERY, k: int = NEIGHBOURS, block_r
                         out.append((np.full(len(p), i), np.full(len(p), b), p))
                 if out:
                     i, b, p = (np.concatenate(x) for x in zip(*out, strict=True))
-                    taken = part.take(pa.array(i))
-                    yield pa.RecordBatch.from_arrays([pa.array(b.astype(np.int64)), pa.array(p.astype(np.int64)), taken.column("vec_id"), taken.column("v")], names=["block", "part", "vec_id", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(b.astype(np.int64)), pa.array(p.astype(np.int64)), part.column("vec_id").take(pa.array(i))], names=["block", "part", "vec_id"])
 
-    kind = "block long, part long, vec_id long, v array<double>"
-    data = common.materialise(rows.mapInArrow(dealt, kind), "blocks")
+    kind = "block long, part long, vec_id long"
+    data = common.materialise(rows.mapInArrow(dealt, f"{kind}, v array<double>"), "blocks")
     queries = rows.filter(F.col("vec_id") % every == 0)
-    near = common.materialise(best(searched(data, common.materialise(queries.mapInArrow(home, kind), "homes"), k, query_rows), k), "near")
+    near = common.materialise(best(searched(data, common.materialise(queries.mapInArrow(home, kind), "homes"), queries, k, query_rows), k), "near")
     last = near.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("last"))
     visits = common.materialise(queries.join(last, "vec_id", "left").mapInArrow(reached, kind), "visits")
-    found = near.drop("rank").unionByName(searched(data, visits, k, query_rows))
+    found = near.drop("rank").unionByName(searched(data, visits, queries, k, query_rows))
     return best(found, k).select("query_id", "rank", "vec_id", "score")
 
 

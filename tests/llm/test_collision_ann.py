@@ -51,9 +51,9 @@ def test_far_blocks_are_pruned(spark):
     seen = []
     inner = collision_ann.searched
 
-    def counted(data, visits, k, query_rows):
+    def counted(data, visits, *others):
         seen.append((data.select("block", "part").distinct().count(), visits.count()))
-        return inner(data, visits, k, query_rows)
+        return inner(data, visits, *others)
 
     collision_ann.searched = counted
     try:

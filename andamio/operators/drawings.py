@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from andamio.operators.common import ensure_checkpoints
+
 # How plans write codes, levels, openings, pieces, call-outs, dates, scales and labels.
 SHEET_CODE = r"^([A-Z]{1,3}-?\d{1,3}(?:\.\d{1,2})?)$"
 OPENING_CODE = r"^([PV]-?\d{1,2}[A-Z]?)$"
@@ -282,11 +284,13 @@ def finishes(words: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ``words`` has project_id, page, text, x0, y0, x1, y1, width and height (of the page). Title, header,
     columns and rows are found by their places. Rows that are a plan's legal text are left
-    out with a warning, and so is a title without rows. Empty cells are null.
+    out with a warning, and so is a title without rows. Empty cells are null. Titles, columns
+    and cells are written between the steps.
     """
-    titles = table_titles(words)
-    columns = table_columns(words, titles)
-    found = table_cells(words, columns, table_rows(words, columns))
+    ensure_checkpoints(words)
+    titles = table_titles(words).checkpoint()
+    columns = table_columns(words, titles).checkpoint()
+    found = table_cells(words, columns, table_rows(words, columns)).checkpoint()
     legal = reduce(lambda a, b: a | b, (F.contains(F.upper("text"), F.lit(w)) for w in LEGAL_WORDS))
     good, keys = found.filter(~legal), ["project_id", "page", "place"]
     cell = lambda c: F.nullif(F.trim(F.try_element_at("cells", F.lit(c))), F.lit(""))

@@ -74,3 +74,16 @@ def test_millimetres_against_inches(spark):
     assert [r[0] for r in rows.select(specs.crossed_diameters(F.col("a"), F.col("b"))).collect()] == ["agree", "conflict", "agree", None, None]
 
 
+
+
+def test_sale_units(spark):
+    rows = [("pintura 1/4 galon", "Pinturas"), ("pintura", "Pinturas"), ("sellador 500 ml", "x"), ("cemento 25 kg", "x"), ("clavo 2,5 lb", "x"), ("piso 1.44 m2", "x"), ("taladro", "x"), (None, None)]
+    got = spark.createDataFrame(rows, "name string, category string").select(specs.sale_unit(F.col("name"), F.col("category"))).collect()
+    assert [r[0] for r in got] == ["Cuarto", None, "0.5 L", "25 kg", "2.5 lb", "1.44 m²", None, None]
+
+
+def test_sizes_fit_within_a_fifth_either_way_round(spark):
+    rows = [("puerta 90 x 210 cm", False), ("puerta 210x90 cm", False), ("puerta 0.9 x 2.1 m", False), ("puerta 100 x 200", False), ("puerta 60 x 210 cm", True), ("puerta", None), ("lamina 900 x 2100 mm", False), ('puerta 36 x 84 "', False)]
+    got = spark.createDataFrame(rows, "name string, want boolean").select("want", specs.sizes_conflict(F.col("name"), F.lit(90.0), F.lit(210.0)).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+    assert spark.range(1).select(specs.sizes_conflict(F.lit("puerta 90 x 210"), F.lit(None).cast("double"), F.lit(1.0))).first()[0] is None

@@ -211,10 +211,13 @@ def cells(words: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:
 def table_titles(words: DataFrame, titles: dict[str, str] = FINISHES) -> DataFrame:
     """project_id, page, place, top, bottom: the first line of each page that holds a title.
 
-    A line is the words of one height from left to right.
+    A line is the words of one height from left to right. Only lines with a title's first word
+    are put together.
     """
+    line = ["project_id", "page", "y0"]
+    begun = words.filter(F.upper("text").isin(*{t.split()[0] for t in titles})).select(*line).distinct()
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda w: w["text"])
-    lines = words.groupBy("project_id", "page", "y0").agg(F.upper(F.array_join(in_order, " ")).alias("line"), F.max("y1").alias("bottom"))
+    lines = words.join(begun, line, "left_semi").groupBy(*line).agg(F.upper(F.array_join(in_order, " ")).alias("line"), F.max("y1").alias("bottom"))
     held = F.array_compact(F.array(*(F.when(F.contains("line", F.lit(t)), F.lit(place)) for t, place in titles.items())))
     found = lines.select("project_id", "page", "y0", "bottom", F.explode(held).alias("place"))
     return found.groupBy("project_id", "page", "place").agg(F.min("y0").alias("top"), F.min_by("bottom", "y0").alias("bottom"))

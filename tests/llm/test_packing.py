@@ -59,3 +59,14 @@ def test_patterns_hold_every_piece_once(counts):
         for x in lengths:
             got[x] += n
     assert got == Counter(counts)
+
+
+def test_repeated_rows_of_one_id(spark, monkeypatch):
+    """A third of all rows are one document, some more share its id: every row has its own pieces, and reruns agree."""
+    monkeypatch.setattr(packing, "RANKED", 7)
+    rows = [(5, "alpha beta gamma " * 5)] * 40 + [(5, "alpha"), (5, None), (None, "alpha"), (None, "alpha")] + [(i, f"word{i} " * (i % 7)) for i in range(80)]
+    out = packing.pack(docs(spark, rows).repartition(6), length=32).collect()
+    check(rows, out, 32)
+    again = packing.pack(docs(spark, rows).repartition(3), length=32).collect()
+    shape = lambda found: Counter((r.doc_id, r.start, r.length, r.offset) for r in found)
+    assert shape(out) == shape(again)

@@ -41,7 +41,8 @@ def words_of(text: str | None) -> list[bytes]:
 
 def ending_group(word: bytes) -> int:
     """A group by the word's last three letters (of UTF-8, so whole ones)."""
-    return COMMON_WORDS + xxhash.xxh3_64_intdigest(word.decode(errors="replace")[-3:].encode()) % ENDING_GROUPS
+    ending = word[-3:] if word.isascii() else word.decode(errors="replace")[-3:].encode()
+    return COMMON_WORDS + xxhash.xxh3_64_intdigest(ending) % ENDING_GROUPS
 
 
 @dataclass(frozen=True)
@@ -372,20 +373,24 @@ def score(docs: DataFrame, common_words: int = COMMON_WORDS, rounds: int = ROUND
     common.small_batches(docs.sparkSession)
     model, counts = train(docs, common_words, rounds)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("same", pa.int64()), ("word", pa.binary()), ("times", pa.int64()), ("is_row", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
-    )
+    schema = pa.schema([("doc_id", pa.int64()), ("same", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
     def local(batches):
         m = held.value
         log_count = np.log10(m.known.counts + 1.0)
-        out: list[list] = [[] for _ in schema]
+        rows: list[tuple] = []
+        words_left: list[bytes] = []
+        times: list[int] = []
+        ends = [0]
 
         def flush():
-            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
-            for c in out:
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)]
+            rare = pa.StructArray.from_arrays([pa.array(words_left, pa.binary()), pa.array(times, pa.int64())], names=["word", "times"])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare)
+            for c in (rows, words_left, times):
                 c.clear()
-            return batch
+            ends[:] = [0]
+            return pa.RecordBatch.from_arrays([*columns, lists], names=[*schema.names, "rare"])
 
         for doc_id, text in tokens.rows(batches, "doc_id", "text"):
             words = words_of(text)
@@ -398,20 +403,24 @@ def score(docs: DataFrame, common_words: int = COMMON_WORDS, rounds: int = ROUND
             value = emitted + float(m.transition[classes[:-1], classes[1:]].sum()) - float(m.room[classes[1:]].sum())
             same = xxhash.xxh3_64_intdigest((text or "").encode()) - (1 << 63)
             # No word holds a blank, so the row of a text without other words finds no partner.
-            times = Counter(rest) or {b" %d" % same: 0}
-            k = len(times)
-            n_known = len(words) - len(rest) + int(m.ends > 0)
-            row = ([doc_id] * k, [same] * k, times.keys(), times.values(), *([x] + [z] * (k - 1) for x, z in ((1, 0), (len(words) + 1, 0), (n_known, 0), (base, 0.0), (value, 0.0))))
-            for c, values in zip(out, row, strict=True):
-                c.extend(values)
-            if len(out[0]) >= 50_000:
+            counted = Counter(rest) or {b" %d" % same: 0}
+            words_left.extend(counted.keys())
+            times.extend(counted.values())
+            ends.append(len(words_left))
+            rows.append((doc_id, same, len(words) + 1, len(words) - len(rest) + int(m.ends > 0), base, value))
+            if len(words_left) >= 50_000:
                 yield flush()
         yield flush()
 
-    rows = docs.mapInArrow(local, "doc_id long, same long, word binary, times long, is_row long, n_tokens long, n_known long, base double, score double")
+    # A row for each text, its other words as a list; the first of them carries the text's own sums.
+    found = docs.mapInArrow(local, "doc_id long, same long, n_tokens long, n_known long, base double, score double, rare array<struct<word: binary, times: long>>")
+    sums = ("n_tokens", "n_known", "base", "score")
+    rows = found.select("doc_id", "same", *sums, F.posexplode("rare").alias("at", "other"))
+    first = F.col("at") == 0
+    rows = rows.select("doc_id", "same", "other.word", "other.times", F.when(first, 1).alias("is_row"), *(F.when(first, F.col(c)).alias(c) for c in sums))
     joined = rows.join(counts.select("word", F.col("n").alias("count")), "word", "left")
     more = F.sum(F.col("times") * F.coalesce(F.log10(F.col("count") + 1), F.lit(0.0)))
-    known = F.sum(F.col("n_known") + F.when(F.col("count").isNotNull(), F.col("times")).otherwise(0))
+    known = F.sum("n_known") + F.sum(F.when(F.col("count").isNotNull(), F.col("times")).otherwise(0))
     # Rows that repeat id and text share a group; each has its part of the sums.
     repeats = F.sum("is_row")
     summed = joined.groupBy("doc_id", "same").agg(

@@ -1,4 +1,4 @@
-"""Pages of a supplier's listing as they were landed: ``category=NAME/page=7/`` with one JSON text each."""
+"""Pages of a supplier's listing as they were landed: ``category=NAME/page=7/`` with one JSON text each, or many pages in a file."""
 
 from __future__ import annotations
 
@@ -11,8 +11,21 @@ def pages(spark: SparkSession, path: str, item: str) -> DataFrame:
     A file is {"items": [...], "last": true or false}; one that is no such JSON is corrupt and
     has no items. Files are read whole, in parallel, by the executors.
     """
+    rows = spark.read.schema("value string, category string, page int").text(path, wholetext=True)
+    return _read(rows, item)
+
+
+def batches(spark: SparkSession, path: str, item: str) -> DataFrame:
+    """The same of files in which every line is a page: {"category": ..., "page": 7, "value": its text as it came}.
+
+    So files grow with what a file can hold, not with pages, and few are listed.
+    """
+    return _read(spark.read.schema("value string, category string, page int").json(path), item)
+
+
+def _read(rows: DataFrame, item: str) -> DataFrame:
     schema = f"struct<items: array<{item}>, last: boolean>"
-    rows = spark.read.schema("value string, category string, page int").text(path, wholetext=True).withColumn("read", F.from_json("value", schema))
+    rows = rows.withColumn("read", F.from_json("value", schema))
     empty = F.array().cast(f"array<{item}>")
     return rows.filter("page IS NOT NULL").select("category", "page", F.coalesce("read.items", empty).alias("items"), F.coalesce("read.last", F.lit(False)).alias("last"), F.col("read.items").isNull().alias("corrupt"))
 

@@ -19,21 +19,23 @@ def now() -> Column:
     return F.lit(AS_OF).cast("timestamp_ntz")
 
 
-def placed(s: SparkSession, d: str) -> DataFrame:
-    line = domain.table(s, d, "lineitem")
+def placed(s: SparkSession, d: str, by: tuple[str, ...] = ("project_id",)) -> DataFrame:
+    """The items, dealt to tasks by ``by`` (of project_id and item_id), so what meets them by these columns does not move them again."""
+    line = domain.table(s, d, "lineitem").withColumn("project_id", F.col("l_orderkey")).withColumn("item_id", F.col("l_orderkey") * 1_000_000 + F.col("l_partkey")).repartition(*by)
     none = lambda kind: F.lit(None).cast(kind)
-    rows = line.groupBy(F.col("l_orderkey").alias("project_id"), "l_partkey").agg(
+    rows = line.groupBy("project_id", "item_id", "l_partkey").agg(
         F.max("l_quantity").alias("quantity"), F.max("l_returnflag").alias("flag"), F.max("l_linestatus").alias("status"), F.min("l_linenumber").alias("n"), F.min("l_tax").alias("tax"),
         F.min("l_discount").alias("low"), F.max("l_discount").alias("high"), F.min("l_shipdate").alias("added"),
     )
     return rows.select(
-        "project_id", (F.col("project_id") * 1_000_000 + F.col("l_partkey")).alias("item_id"), F.concat(F.lit("S"), (F.col("l_partkey") % 7).cast("string")).alias("supplier"), F.col("l_partkey").cast("string").alias("supplier_id"), "quantity",
+        "project_id", "item_id", F.concat(F.lit("S"), (F.col("l_partkey") % 7).cast("string")).alias("supplier"), F.col("l_partkey").cast("string").alias("supplier_id"), "quantity",
         F.when(F.col("flag") == "A", "comprado").otherwise("pendiente").alias("state"), none("string").alias("priority"), none("string").alias("comment"), none("string").alias("section"), F.when(F.col("status") == "O", 1).otherwise(0).alias("reviewed"),
         F.when(F.col("flag") == "A", F.col("quantity")).otherwise(0.0).alias("bought"), none("double").alias("amount"), none("timestamp_ntz").alias("bought_on"), F.when(F.col("n") == 1, "manual").otherwise("plano").alias("origin"),
         F.when(F.col("tax") <= 0.04, "alta").alias("confidence"), F.lit("Pinturas").alias("category"), none("string").alias("text"), F.col("added").cast("timestamp_ntz").alias("added"), "low", "high", "tax", "l_partkey",
     )
 
 
+ITEM_KEY = ("project_id", "item_id")
 ITEM = ("project_id", "item_id", "supplier", "supplier_id", "quantity", "state", "priority", "comment", "section", "reviewed", "bought", "amount", "bought_on", "origin", "confidence", "category", "text", "added")
 
 _PLACED = """, placed AS (SELECT *, flag = 'A' AS was_bought, CASE WHEN flag = 'A' THEN 'comprado' ELSE 'pendiente' END AS state, (status = 'O')::INTEGER AS reviewed, CASE WHEN flag = 'A' THEN quantity ELSE 0.0::DOUBLE END AS bought,
@@ -55,9 +57,11 @@ def _updates(s, d) -> DataFrame:
     none = lambda kind: F.lit(None).cast(kind)
     both = [none("string").alias(c) for c in ("priority", "comment", "section")]
     state = F.when(F.col("low") < 0.03, "comprado").when(F.col("low") < 0.05, "pendiente")
-    first = rows.select("project_id", "owner_id", "item_id", F.lit(1).alias("seq"), none("double").alias("quantity"), state.alias("state"), *both, none("int").alias("reviewed"), now().alias("now"))
-    second = rows.select("project_id", "owner_id", "item_id", F.lit(2).alias("seq"), F.when(F.col("low") > 0.05, F.col("quantity") + 1).alias("quantity"), none("string").alias("state"), *both, F.when(F.col("high") > 0.08, 1).alias("reviewed"), (now() + F.expr("INTERVAL 1 DAY")).alias("now"))
-    return transitions.updates(placed(s, d).select(*ITEM), first.unionByName(second), domain.projects(s, d))
+    given = lambda seq, quantity, state, reviewed, at: F.struct(F.lit(seq).alias("seq"), quantity.alias("quantity"), state.alias("state"), *both, reviewed.alias("reviewed"), at.alias("now"))
+    first = given(1, none("double"), state, none("int"), now())
+    second = given(2, F.when(F.col("low") > 0.05, F.col("quantity") + 1), none("string"), F.when(F.col("high") > 0.08, 1), now() + F.expr("INTERVAL 1 DAY"))
+    commands = rows.select("project_id", "owner_id", "item_id", F.explode(F.array(first, second)).alias("c")).select("project_id", "owner_id", "item_id", "c.*")
+    return transitions.updates(placed(s, d, ITEM_KEY).select(*ITEM), commands, domain.projects(s, d))
 
 
 _MINE = "tax < 0.07"
@@ -68,7 +72,7 @@ _S1 = f"CASE WHEN {_MINE} THEN CASE WHEN low < 0.03 THEN 'comprado' WHEN low < 0
 SELECT item_id, CASE WHEN {_MINE} AND low > 0.05 THEN quantity + 1 ELSE quantity END AS quantity, coalesce(s1, state) AS state, CASE WHEN {_MINE} AND high > 0.08 THEN 1 ELSE reviewed END AS reviewed,
   CASE s1 WHEN 'comprado' THEN quantity WHEN 'pendiente' THEN 0 ELSE bought END AS bought, CASE WHEN s1 = 'comprado' THEN TIMESTAMP '{AS_OF}' END AS bought_on FROM c"""))
 def _(s, d):
-    items = placed(s, d).select(*ITEM)
+    items = placed(s, d, ITEM_KEY).select(*ITEM)
     return transitions.updated(items, _updates(s, d)).select("item_id", "quantity", "state", "reviewed", "bought", "bought_on")
 
 
@@ -81,7 +85,7 @@ def _(s, d):
 
 def _deletions(s, d) -> tuple[DataFrame, DataFrame]:
     rows = _with_owner(s, d, placed(s, d)).filter("high >= 0.08").select("project_id", "owner_id", "item_id", now().alias("now"))
-    return transitions.deleted(placed(s, d).select(*ITEM), rows, domain.projects(s, d))
+    return transitions.deleted(placed(s, d, ITEM_KEY).select(*ITEM), rows, domain.projects(s, d))
 
 
 @query("deleted_items", with_views("projects", _PLACED + f" SELECT item_id, quantity, state FROM placed WHERE NOT (high >= 0.08 AND {_MINE})"))
@@ -137,7 +141,7 @@ def _(s, d):
     rows = placed(s, d).join(domain.projects(s, d).select("project_id", "owner_id"), "project_id")
     target = F.coalesce(F.lead("l_partkey").over(Window.partitionBy("project_id").orderBy("l_partkey")), F.col("l_partkey") + 1)
     commands = rows.select("project_id", "owner_id", "item_id", (-F.col("l_partkey")).alias("seq"), F.concat(F.lit("S"), (target % 7).cast("string")).alias("new_supplier"), target.cast("string").alias("new_supplier_id"), F.lit(None).cast("double").alias("new_quantity"), now().alias("now"))
-    return transitions.replacements(placed(s, d).select(*ITEM), commands, domain.projects(s, d), sold(s, d)).select("item_id", "new_supplier_id", "refused")
+    return transitions.replacements(placed(s, d).select(*ITEM), commands, domain.projects(s, d), sold(s, d), ["item_id", "new_supplier_id"]).select("item_id", "new_supplier_id", "refused")
 
 
 @query("project_ledger", "WITH " + _PLACED.lstrip(", ") + """, c AS (SELECT p.*, high >= 0.08 AS goes, CASE WHEN part.p_partkey IS NULL THEN NULL WHEN low <= 0.02 THEN 2.0 WHEN low >= 0.05 THEN 3.0 END AS more FROM placed p LEFT JOIN part ON part.p_partkey = l_partkey AND part.p_size <= 45)
@@ -147,11 +151,13 @@ def _(s, d):
     """Items are deleted, then some of their products are added again or once more."""
     rows = placed(s, d)
     none = lambda kind: F.lit(None).cast(kind)
-    goes = rows.filter("high >= 0.08").select("project_id", F.lit(1).alias("seq"), F.lit("delete").alias("kind"), "item_id", none("string").alias("new_supplier"), none("string").alias("new_supplier_id"), none("double").alias("new_quantity"), now().alias("now"))
+    goes = F.struct(F.lit(1).alias("seq"), F.lit("delete").alias("kind"), "item_id", none("string").alias("new_supplier"), none("string").alias("new_supplier_id"), none("double").alias("new_quantity"), now().alias("now"))
     more = F.when(F.col("low") <= 0.02, 2.0).when(F.col("low") >= 0.05, 3.0)
-    adds = rows.filter(more.isNotNull()).select("project_id", F.lit(2).alias("seq"), F.lit("add").alias("kind"), none("long").alias("item_id"), F.col("supplier").alias("new_supplier"), F.col("supplier_id").alias("new_supplier_id"), more.alias("new_quantity"), now().alias("now"))
+    adds = F.struct(F.lit(2).alias("seq"), F.lit("add").alias("kind"), none("long").alias("item_id"), F.col("supplier").alias("new_supplier"), F.col("supplier_id").alias("new_supplier_id"), more.alias("new_quantity"), now().alias("now"))
+    given = F.array_compact(F.array(F.when(F.col("high") >= 0.08, goes), F.when(more.isNotNull(), adds)))
+    commands = rows.select("project_id", F.explode(given).alias("c")).select("project_id", "c.*")
     items = rows.select(*ITEM)
-    return ledger.after(items, ledger.ran(items, goes.unionByName(adds), sold(s, d))).drop("supplier")
+    return ledger.after(items, ledger.ran(items, commands, sold(s, d), list(ledger.AFTER))).drop("supplier")
 
 
 def _quoted(s, d) -> tuple[DataFrame, DataFrame]:

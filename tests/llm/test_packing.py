@@ -70,3 +70,14 @@ def test_repeated_rows_of_one_id(spark, monkeypatch):
     again = packing.pack(docs(spark, rows).repartition(3), length=32).collect()
     shape = lambda found: Counter((r.doc_id, r.start, r.length, r.offset) for r in found)
     assert shape(out) == shape(again)
+
+
+def test_pretokens_met_again_are_not_made_again(monkeypatch):
+    """As many different pre-tokens as some 10 MB of text have, met twice by a task."""
+    made = Counter()
+    monkeypatch.setattr(tokens.Splitter, "ids", lambda self, piece: made.update([piece]) or [7, 70_000])
+    ids = tokens.ids(tokens.default_path())
+    for _ in range(2):
+        for at in range(0, 190_000, 1_000):
+            assert ids.of(" ".join(f"{n}" for n in range(at, at + 1_000))).tolist() == [7, 70_000] * 1_000
+    assert max(made.values()) == 1

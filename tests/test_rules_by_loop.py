@@ -1,5 +1,6 @@
 """Queries that have no SQL, against loops in Python over the same tables."""
 
+import random
 import re
 
 import pytest
@@ -87,3 +88,19 @@ def test_sizes_fit_within_a_fifth_either_way_round(spark):
     got = spark.createDataFrame(rows, "name string, want boolean").select("want", specs.sizes_conflict(F.col("name"), F.lit(90.0), F.lit(210.0)).alias("got")).collect()
     assert [r.got for r in got] == [r.want for r in got]
     assert spark.range(1).select(specs.sizes_conflict(F.lit("puerta 90 x 210"), F.lit(None).cast("double"), F.lit(1.0))).first()[0] is None
+
+
+def test_numbers_in_long_texts_are_found_near_numbers_alone(spark):
+    """The same numbers, units and sizes as in the whole text, from a small part of it."""
+    rng = random.Random(11)
+    odd = ["5", "3/4", "1", "1/2", "-", "- -", "--", "/", "x", "#", "a#", "sch", "Sch", "barsch", "sÇh", "śch", "́", "mm", "MM", "m", "m2", "m²", "cm", "kg", "lb", "libras", "galón", "l", "ml", "hp", "btu", "awg", "°", "°c", '"', "pulgadas", "v", "vac", "w", "12.5mm", "2,5", "1.200", "40a", "90x210", "1-1/2", "|", "und", "auch,", "ñandú", " ", "İ", "K"]
+    joins = [" ", " ", " ", " ", "", "\n", "  ", "\t \r\n"]
+    short = ["".join(x + rng.choice(joins) for x in rng.choices(odd, k=rng.randint(1, 16))) for _ in range(3000)]
+    prose = " ".join(rng.choices(["und", "the", "auch", "perfil", "casa"], k=200_000))
+    rows = spark.createDataFrame([(t,) for t in [*short, f"{prose} 5 mm {prose} sch 40 {prose} 2 x 3 cm", "", None]], "text string")
+    rows = rows.repartition(8).select("text", specs.near_numbers(F.col("text")).alias("near"))
+    read = lambda c: F.struct(specs.all_specs(F.col(c)), specs.sale_unit(F.col(c), F.lit("")), specs.size_pairs(F.col(c)))
+    got = rows.select("text", "near", read("text").alias("a"), read("near").alias("b")).collect()
+    assert [r.text for r in got if r.a != r.b] == []
+    assert len({str(r.a) for r in got}) > 500
+    assert max(len(r.near or "") for r in got) < 200

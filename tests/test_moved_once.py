@@ -42,3 +42,11 @@ def test_only_what_is_kept_or_decides_is_moved(spark):
 def test_null_keys_of_items_meet_no_command(spark):
     items, commands, products = frames(spark, [item(1, None, "a"), item(None, 2, "b")], [(1, 1, "delete", None, None, None, None, None), (None, 2, "delete", 2, None, None, None, None), (None, 3, "add", None, "S", "b", 4.0, None)], "ab")
     assert {r.seq: (r.refused, r.there_item) for r in ledger.ran(items, commands, products).collect()} == {1: ("no such item", None), 2: ("no such item", None), 3: (None, None)}
+
+
+def test_rows_move_to_their_fold_once_and_become_commands_there(spark):
+    for name in ("purchases_fold", "add_items_fold"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        moved = plan.split("Exchange hashpartitioning")
+        assert len(moved) == 2, name
+        assert "Generate" not in plan and "ObjectHashAggregate" not in moved[1] and "SortAggregate" not in moved[1], name
